@@ -21,8 +21,12 @@ PLUS_EQUALS_EXTRA = 0.5
 BACKTICK_WEIGHT = 0.5
 SHORT_LITERAL_EXTRA = 0.25
 
+# An identifier: an ASCII letter, '_' or '$' at a word boundary, then letters, digits, '_' and '$'
+# up to the last boundary. Word characters are letters, numbers and '_', without combining marks.
+_WORD = r"\p{L}\p{N}_"
+TOKEN = rf"(?:(?<![{_WORD}])[_a-zA-Z]|(?<=[{_WORD}])\$)[${_WORD}]*(?<=[{_WORD}])"
+
 # Token weights and limits of the identifier check.
-TOKEN = r"\b[$_a-zA-Z][$\w]*\b"
 SHORT_TOKEN, SHORT_TOKEN_WEIGHT = 2, 0.8
 HEX_TOKEN_WEIGHT = 1.2
 DUNDER_TOKEN_WEIGHT = 0.5
@@ -137,7 +141,7 @@ def obfuscation_score(text: Column, ext: Column, weights: dict | None = None, mi
 
 def identifiers(text: Column) -> Column:
     """Identifier tokens of a text, in order, with repeats."""
-    return F.regexp_extract_all(text, F.lit(f"(?U){TOKEN}"), 0)
+    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
 
 def entropy(token: Column) -> Column:

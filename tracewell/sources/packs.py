@@ -6,11 +6,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.regex import check_pattern
 from tracewell.functions.text import strip
+from tracewell.operators.ranking import with_row_number
 
 
 @dataclass(frozen=True)
@@ -56,8 +57,8 @@ def parse_pattern_lines(lines: DataFrame) -> DataFrame:
     """``lines(pack, kind, line_no, line)`` -> ``patterns(pack, kind, ord, pattern)``; ``ord`` is
     the pattern's place among its list's patterns."""
     found = lines.withColumn("pattern", pattern_of_line(F.col("line"))).filter(F.col("pattern").isNotNull())
-    order = Window.partitionBy("pack", "kind").orderBy("line_no")
-    return found.select("pack", "kind", F.row_number().over(order).cast("int").alias("ord"), "pattern")
+    ranked = with_row_number(found, "ord", "line_no", partition=["pack", "kind"])
+    return ranked.select("pack", "kind", F.col("ord").cast("int").alias("ord"), "pattern")
 
 
 def read_patterns(spark: SparkSession, path: str) -> list[str]:
