@@ -12,11 +12,11 @@ from oracle.sql import ORACLES
 from tracewell.functions import checks
 from tracewell.functions.text import decode_text
 from tracewell.operators import file_rules, files as fo, line_rules, lines as lo, patterns as po, report, rules as ro
-from tracewell.operators.hits import all_hits, explode_hits, report_columns
+from tracewell.operators.hits import explode_hits, report_columns
 from tracewell.options import ScanOptions
 from tracewell.plans.catalog import catalog, pattern_list_lines
 from tracewell.plans.corpus import STARTER_PACKS, STARTER_RULES, corpus
-from tracewell.plans.scan import prepare, scan, scan_with_filenames
+from tracewell.plans.scan import prepare, scan_with_filenames
 from tracewell.sources.packs import parse_pattern_lines
 from tracewell.sources.rules import Rule
 
@@ -54,7 +54,8 @@ def decoded(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     narrow = F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "?")
     content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(narrow, "ISO-8859-1"))
-    return documents.select("doc_id", decode_text(content).alias("text"))
+    encoded = documents.select("doc_id", content.alias("content"))
+    return encoded.select("doc_id", F.expr(decode_text("content")).alias("text"))
 
 
 def lines(spark, sf):
@@ -190,22 +191,22 @@ def rule_lint(spark, sf):
 
 def _lines_where(test):
     def query(spark, sf):
-        found = _lines(spark, sf).withColumn("_lc", F.lower("code"))
-        return found.filter(test(F.col("code"), F.col("_lc"))).select("file_id", "line_no")
+        rows, line = po.with_line_columns(_lines(spark, sf))
+        return rows.filter(test(line)).select("file_id", "line_no")
 
     return query
 
 
 def _keyword_rule(name):
     rule = _rule(name)
-    return _lines_where(
-        lambda c, lc: checks.keyword_combination(c, lc, rule.keyword_groups(), rule.keyword_threshold())
-    )
+    return _lines_where(lambda line: checks.keyword_combination(line, rule.keyword_groups(), rule.keyword_threshold()))
 
 
 def obf_strings_line(spark, sf):
-    score = checks.obfuscation_score(F.col("code"), F.col("ext"))
-    return _lines(spark, sf).select("file_id", "line_no", score.alias("score")).filter(F.col("score") > 0)
+    """Scores above 0 only; the test is on an exploded column, so it is not pushed below it."""
+    score = checks.obfuscation_score("code", "ext")
+    scored = _lines(spark, sf).select("file_id", "line_no", F.explode(F.array(F.expr(score))).alias("score"))
+    return scored.filter("score > 0")
 
 
 def fallback_gate(spark, sf):
@@ -219,9 +220,7 @@ def line_rule_events(spark, sf):
 
 
 def _line_rule_hits(spark, sf, o):
-    marked = _marked(spark, sf, o).select("path", "scope", "marks", "ext")
-    hits = marked.select("path", "scope", line_rules.line_rule_hit_array(STARTER_RULES, o).alias("h"))
-    return report_columns(explode_hits(hits, "h"))
+    return report_columns(explode_hits(_marked(spark, sf, o), line_rules.line_rule_hit_array(STARTER_RULES, o)))
 
 
 def line_rule_hits(spark, sf):
@@ -241,8 +240,8 @@ def file_text(spark, sf):
 
 def _file_rule_hits(spark, sf, names, o=OPTIONS):
     rules = [_rule(n) for n in names]
-    hits = _kept(spark, sf, o).select("path", "scope", file_rules.file_rule_hit_array(rules, o).alias("h"))
-    return report_columns(explode_hits(hits, "h"))
+    files = file_rules.with_file_text(_kept(spark, sf, o), o)
+    return report_columns(explode_hits(files, file_rules.file_rule_hit_array(rules, o)))
 
 
 def file_keyword(spark, sf):
@@ -250,19 +249,19 @@ def file_keyword(spark, sf):
 
 
 def minified_files(spark, sf):
-    return _kept(spark, sf).filter(file_rules.is_minified(F.col("kept"), OPTIONS)).select("file_id", "ext")
+    return _kept(spark, sf).filter(file_rules.is_minified(OPTIONS)).select("file_id", "ext")
 
 
 def obf_strings_file(spark, sf):
     rule = _rule("string_heap")
     text = file_rules.with_file_text(_kept(spark, sf), OPTIONS)
-    score = checks.obfuscation_score(F.col("file_text"), F.col("ext"), rule.parameters["weights"])
-    return text.select("file_id", score.alias("score"))
+    score = checks.obfuscation_score("file_text", "ext", rule.parameters["weights"])
+    return text.select("file_id", F.expr(score).alias("score"))
 
 
 def identifier_stats(spark, sf):
     text = file_rules.with_file_text(_kept(spark, sf), OPTIONS)
-    stats = text.select("file_id", file_rules.identifier_stats(F.col("file_text"), 3.8).alias("s"))
+    stats = text.select("file_id", F.expr(checks.identifier_stats("file_text", 3.8)).alias("s"))
     return stats.select(
         "file_id",
         *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("tokens", "hex_hits", "entropy_hits", "long_lines")],
@@ -273,9 +272,9 @@ def identifier_stats(spark, sf):
 def token_entropy(spark, sf):
     """Entropy of each distinct identifier; repeats are summed before the exchange."""
     text = file_rules.with_file_text(_kept(spark, sf), OPTIONS)
-    tokens = text.select(F.explode(checks.identifiers(F.col("file_text"))).alias("token"))
+    tokens = text.select(F.expr(f"explode({checks.identifiers('file_text')})").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("uses"))
-    return counts.select("token", "uses", checks.entropy(F.col("token")).alias("entropy"))
+    return counts.select("token", "uses", F.expr(checks.entropy("token")).alias("entropy"))
 
 
 def obf_vars(spark, sf):
@@ -338,10 +337,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_keywords": rule_keywords,
         "rule_applicability": rule_applicability,
         "rule_lint": rule_lint,
-        "rule_string_length": _lines_where(lambda c, lc: checks.string_length(c, 300)),
-        "rule_base64": _lines_where(lambda c, lc: checks.base64_suspect(c, 20)),
-        "rule_hex": _lines_where(lambda c, lc: checks.hex_suspect(c, 20)),
-        "rule_path_access": _lines_where(lambda c, lc: checks.path_access(c, _rule("secret_path").parameters["paths"])),
+        "rule_string_length": _lines_where(lambda line: checks.string_length(line.text, 300)),
+        "rule_base64": _lines_where(lambda line: checks.base64_suspect(line.text, 20)),
+        "rule_hex": _lines_where(lambda line: checks.hex_suspect(line.text, 20)),
+        "rule_path_access": _lines_where(lambda line: checks.path_access(line.text, _rule("secret_path").parameters["paths"])),
         "rule_keyword_single": _keyword_rule("decode_words"),
         "rule_keyword_multi": _keyword_rule("env_then_exec"),
         "obf_strings_line": obf_strings_line,

@@ -1,12 +1,12 @@
-"""Rule checks as boolean and score Columns."""
+"""Rule checks as SQL expression text: booleans and scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tracewell.functions.regex import matches
-from tracewell.functions.text import let, occurrences
+from tracewell.functions.regex import Line, matches
+from tracewell.functions.sql import (
+    Sql, all_of, any_of, case, contains, fold, is_in, let, number, struct, text, transform, where,
+)
+from tracewell.functions.text import occurrences
 from tracewell.sources.rules import Keyword
 
 # Score weights, limits and extensions of the string check.
@@ -28,7 +28,7 @@ TOKEN = rf"(?:(?<![{_WORD}])[_a-zA-Z]|(?<=[{_WORD}])\$)[${_WORD}]*(?<=[{_WORD}])
 
 # Token weights and limits of the identifier check.
 SHORT_TOKEN, SHORT_TOKEN_WEIGHT = 2, 0.8
-HEX_TOKEN_WEIGHT = 1.2
+HEX_PREFIX, HEX_TOKEN_WEIGHT = "_0x", 1.2
 DUNDER_TOKEN_WEIGHT = 0.5
 UNDERSCORE_TOKEN_WEIGHT = 0.3
 ENTROPY_TOKEN, ENTROPY_TOKEN_WEIGHT = 5, 1.0
@@ -44,123 +44,185 @@ VARS_DEFAULTS = {
 }
 
 
-def string_length(c: Column, min_length: int = 0) -> Column:
-    return F.length(c) >= min_length
-
-
-def base64_suspect(c: Column, min_length: int = 0) -> Column:
-    return (F.length(c) >= min_length) & c.rlike(r"\A[A-Za-z0-9+/=]++\z")
+def string_length(c: Sql, min_length: int = 0) -> Sql:
+    return f"(length({c}) >= {min_length})"
 
 
-def hex_suspect(c: Column, min_length: int = 0) -> Column:
-    return (F.length(c) >= min_length) & c.rlike(r"\A[0-9a-fA-F]++\z")
+def base64_suspect(c: Sql, min_length: int = 0) -> Sql:
+    return rf"(length({c}) >= {min_length} AND rlike({c}, {text(r'\A[A-Za-z0-9+/=]++\z')}))"
 
 
-def path_access(c: Column, paths: list[str]) -> Column:
-    return any_of([F.contains(c, F.lit(p)) for p in paths])
+def hex_suspect(c: Sql, min_length: int = 0) -> Sql:
+    return rf"(length({c}) >= {min_length} AND rlike({c}, {text(r'\A[0-9a-fA-F]++\z')}))"
 
 
-def any_of(tests: list[Column]) -> Column:
-    found = F.lit(False)
-    for i, test in enumerate(tests):
-        found = test if i == 0 else found | test
-    return found
+def path_access(c: Sql, paths: list[str]) -> Sql:
+    return any_of(contains(c, p) for p in paths)
 
 
-def keyword_test(c: Column, lowered: Column, keyword: Keyword) -> Column:
+def keyword_test(line: Line, keyword: Keyword) -> Sql:
     if keyword.kind == "plain":
-        return F.contains(lowered, F.lit(keyword.value))
-    return matches(c, keyword.value, keyword.ignore_case)
+        return contains(line.lower, keyword.value)
+    return matches(line, keyword.value, keyword.ignore_case)
 
 
-def keyword_combination(c: Column, lowered: Column, groups: list[list[Keyword]], threshold: int) -> Column:
+def keyword_combination(line: Line, groups: list[list[Keyword]], threshold: int) -> Sql:
     """One group: at least ``threshold`` of its items. Several: an item of each."""
     if len(groups) == 1:
-        tests = [keyword_test(c, lowered, k) for k in groups[0]]
+        tests = [keyword_test(line, k) for k in groups[0]]
         if threshold <= 1:
             return any_of(tests)
         if threshold > len(tests):
-            return F.lit(False)
-        count = sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
-        return count >= threshold
-    all_groups = F.lit(True)
-    for i, group in enumerate(groups):
-        met = any_of([keyword_test(c, lowered, k) for k in group])
-        all_groups = met if i == 0 else all_groups & met
-    return all_groups
+            return "false"
+        return "(" + " + ".join(f"CAST({t} AS INT)" for t in tests) + f" >= {threshold})"
+    return all_of(any_of(keyword_test(line, k) for k in group) for group in groups)
 
 
-def count_matches(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+def count_matches(c: Sql, pattern: str, needs: str) -> Sql:
+    """Matches of ``pattern``, each of which contains the literal ``needs``."""
+    return case((contains(c, needs), f"regexp_count({c}, {text(pattern)})"), default="0")
 
 
-def obfuscation_score(text: Column, ext: Column, weights: dict | None = None, min_literals: int = MIN_STRING_LITERALS) -> Column:
-    """Weighted count of string building, escapes and literals in ``text``."""
+def obfuscation_score(
+    c: Sql, ext: Sql, weights: dict | None = None, min_literals: int = MIN_STRING_LITERALS
+) -> Sql:
+    """Weighted count of string building, escapes and literals in a text."""
     w = {**STRING_WEIGHTS, **(weights or {})}
 
-    def times(n: Column, weight: float) -> Column:
-        return n * F.lit(float(weight))
-
-    def when_many(n: Column, weight: float) -> Column:
-        return F.when(n >= min_literals, times(n, weight)).otherwise(0.0)
-
-    def parts(t: Column) -> Column:
-        plus_equals = occurrences(t, "+=")
-        concat = F.when(ext.isin(list(CONCAT_EXTENSIONS)), count_matches(t, r"(?U)\.concat\s*\(")).when(
-            ext.isin(list(JOIN_EXTENSIONS)), count_matches(t, r"(?U)\.join\s*\(")
-        ).otherwise(0)
-        powershell = F.when(
-            ext.isin(list(POWERSHELL_EXTENSIONS)),
-            times(
-                count_matches(t, "(?iu)-bxor")
-                + count_matches(t, "(?iu)FromBase64String")
-                + count_matches(t, r"(?iU)\bIEX\b|\bInvoke-Expression\b"),
-                w["powershell_exec"],
-            )
-            + times(occurrences(t, "`"), BACKTICK_WEIGHT),
-        ).otherwise(0.0)
-        literals = F.transform(F.regexp_extract_all(t, F.lit("'[^']*'|\"[^\"]*\""), 0), lambda s: F.length(s))
-        literal_score = let(
-            literals,
-            lambda ls: when_many(F.size(ls), w["short_string"])
-            + when_many(F.size(F.filter(ls, lambda n: n <= SHORT_LITERAL)), w["short_string"] + SHORT_LITERAL_EXTRA),
+    def parts(t: Sql) -> Sql:
+        plus_equals, plus = occurrences(t, "+="), occurrences(t, "+")
+        building = case(
+            (contains(t, "+"), let(
+                plus_equals,
+                lambda n: f"({n} * {number(w['plus'] + PLUS_EQUALS_EXTRA)} + ({plus} - {n}) * {number(w['plus'])})",
+            )),
+            default="0.0D",
+        )
+        joins = case(
+            (is_in(ext, CONCAT_EXTENSIONS), count_matches(t, r"(?U)\.concat\s*\(", ".concat")),
+            (is_in(ext, JOIN_EXTENSIONS), count_matches(t, r"(?U)\.join\s*\(", ".join")),
+            default="0",
+        )
+        calls = " + ".join(
+            f"regexp_count({t}, {text(rx)})"
+            for rx in ("(?iu)-bxor", "(?iu)FromBase64String", r"(?iU)\bIEX\b|\bInvoke-Expression\b")
         )
-        return (
-            times(plus_equals, w["plus"] + PLUS_EQUALS_EXTRA)
-            + times(occurrences(t, "+") - plus_equals, w["plus"])
-            + times(concat, w["concat"])
-            + powershell
-            + times(count_matches(t, r"\\x[0-9a-fA-F]{2}"), w["escape"])
-            + times(count_matches(t, r"\\u[0-9a-fA-F]{4}"), w["escape"])
-            + literal_score
+        powershell = case(
+            (is_in(ext, POWERSHELL_EXTENSIONS),
+             f"({calls}) * {number(w['powershell_exec'])} + {occurrences(t, '`')} * {number(BACKTICK_WEIGHT)}"),
+            default="0.0D",
         )
+        escapes = (
+            f"({count_matches(t, r'\\x[0-9a-fA-F]{2}', chr(92) + 'x')} "
+            f"+ {count_matches(t, r'\\u[0-9a-fA-F]{4}', chr(92) + 'u')}) * {number(w['escape'])}"
+        )
+        lengths = transform(f"regexp_extract_all({t}, {text(_STRING_LITERAL)}, 0)", lambda s: f"length({s})")
+
+        def literal_score(sizes: Sql) -> Sql:
+            def when_many(n: Sql, weight: float) -> Sql:
+                return case((f"{n} >= {min_literals}", f"{n} * {number(weight)}"), default="0.0D")
+
+            short = f"size({where(sizes, lambda n: f'{n} <= {SHORT_LITERAL}')})"
+            return f"({when_many(f'size({sizes})', w['short_string'])} + {let(short, lambda n: when_many(n, w['short_string'] + SHORT_LITERAL_EXTRA))})"
+
+        quoted = any_of([contains(t, '"'), contains(t, "'")])
+        literals = case((quoted, let(lengths, literal_score)), default="0.0D")
+        return f"({building} + {joins} * {number(w['concat'])} + {powershell} + {escapes} + {literals})"
 
     # Weights are multiples of 0.05, so a score can sit on a limit: drop the noise of the sum.
-    return F.round(let(text, parts), 9)
+    return f"round({let(c, parts)}, 9)"
+
+
+_STRING_LITERAL = "'[^']*'|\"[^\"]*\""
 
 
-def identifiers(text: Column) -> Column:
+def identifiers(c: Sql) -> Sql:
     """Identifier tokens of a text, in order, with repeats."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
+    return f"regexp_extract_all({c}, {text(TOKEN)}, 0)"
 
 
-def entropy(token: Column) -> Column:
+def entropy(token: Sql) -> Sql:
     """Bits per character, 0 for the empty string."""
 
-    def sum_of(t: Column) -> Column:
-        size = F.length(t)
-        share = lambda ch: (size - F.length(F.replace(t, ch, F.lit("")))) / size
-        return F.aggregate(
-            F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), 0)), share),
-            F.lit(0.0),
-            lambda acc, p: acc - p * F.log2(p),
+    def bits(t: Sql) -> Sql:
+        characters = f"array_distinct(regexp_extract_all({t}, '(?s).', 0))"
+        share = lambda ch: f"(length({t}) - length(replace({t}, {ch}, ''))) / length({t})"
+        total = fold(
+            transform(characters, share), "0.0D", lambda acc, p: f"{acc} - {p} * log2({p})", lambda acc: acc
         )
+        return case((f"{t} = ''", "0.0D"), default=total)
 
-    return F.round(F.when(F.length(token) == 0, F.lit(0.0)).otherwise(let(token, sum_of)), 9)
+    return f"round({let(token, bits)}, 9)"
 
 
-def is_high_entropy(token: Column, threshold: float) -> Column:
+def is_high_entropy(token: Sql, threshold: float) -> Sql:
     """Same as ``entropy(token) >= threshold``; a token of n characters has at most log2(n) bits,
     so most tokens are told from their length alone."""
     shortest = max(ENTROPY_TOKEN, int(2 ** (threshold - 1e-6)))
-    return (F.length(token) >= shortest) & (entropy(token) >= threshold)
+    return f"(length({token}) >= {shortest} AND {entropy(token)} >= {number(threshold)})"
+
+
+def long_lines(c: Sql) -> Sql:
+    newline = text("\n")
+    return f"size({where(f'split({c}, {newline})', lambda line: f'length({line}) > {LONG_LINE}')})"
+
+
+def identifier_stats(c: Sql, entropy_threshold: float) -> Sql:
+    """``struct(tokens, weight, hex_hits, entropy_hits, long_lines)`` of a text."""
+
+    def add(acc: Sql, t: Sql) -> Sql:
+        def plus(weight: float, hex_hit: int = 0, entropy_hit: int = 0) -> Sql:
+            return struct(
+                w=f"{acc}.w + {number(weight)}", hex=f"{acc}.hex + {hex_hit}", ent=f"{acc}.ent + {entropy_hit}"
+            )
+
+        return case(
+            (f"octet_length({t}) <= {SHORT_TOKEN} OR length({t}) <= {SHORT_TOKEN}", plus(SHORT_TOKEN_WEIGHT)),
+            (f"startswith({t}, '_')", case(
+                (f"startswith({t}, {text(HEX_PREFIX)})", plus(HEX_TOKEN_WEIGHT, hex_hit=1)),
+                (f"startswith({t}, '__')", plus(DUNDER_TOKEN_WEIGHT)),
+                default=plus(UNDERSCORE_TOKEN_WEIGHT),
+            )),
+            (is_high_entropy(t, entropy_threshold), plus(ENTROPY_TOKEN_WEIGHT, entropy_hit=1)),
+            default=acc,
+        )
+
+    def stats(tokens: Sql) -> Sql:
+        return fold(
+            tokens,
+            struct(w="0.0D", hex="0", ent="0"),
+            add,
+            lambda acc: struct(
+                tokens=f"size({tokens})",
+                weight=f"round({acc}.w, 9)",
+                hex_hits=f"{acc}.hex",
+                entropy_hits=f"{acc}.ent",
+                long_lines=long_lines(c),
+            ),
+        )
+
+    return let(identifiers(c), stats)
+
+
+def obfuscated_vars(c: Sql, parameters: dict) -> Sql:
+    """Identifier shape test of a text. What a byte search or line lengths can refuse is refused
+    before any token is made."""
+    p = {**VARS_DEFAULTS, **parameters}
+    refusals = []
+    if p["require_hex_prefix"]:
+        refusals.append(contains(c, HEX_PREFIX))
+    if p["require_long_lines"]:
+        refusals.append(f"{long_lines(c)} >= {p['min_long_lines']}")
+
+    def test(s: Sql) -> Sql:
+        ratio = case((f"{s}.tokens > 0", f"{s}.weight / {s}.tokens"), default="1000.0D")
+        tests = [
+            f"{s}.tokens >= {p['min_tokens']}",
+            f"round({ratio}, 9) >= {number(p['min_ratio'])}",
+            f"{s}.entropy_hits >= {p['min_entropy_hits']}",
+        ]
+        if p["require_hex_prefix"]:
+            tests.append(f"{s}.hex_hits > 0")
+        return all_of(tests)
+
+    return all_of([*refusals, let(identifier_stats(c, float(p["entropy_threshold"])), test)])

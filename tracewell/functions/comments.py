@@ -12,90 +12,84 @@ no sort, no exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tracewell.functions.text import let, lstrip, occurrences, rstrip
+from tracewell.functions.sql import Sql, any_of, case, contains, let, struct, text, transform
+from tracewell.functions.text import lstrip, occurrences, rstrip
 
 # A '#' that no complete quoted piece covers. Possessive, so long lines do not recurse.
 _HASH_OUTSIDE_QUOTES = r"""(?s)\A((?:[^'"#]++|'[^']*+'|"[^"]*+")*+)#.*\z"""
-_TRIPLE_ON_ONE_LINE = r"""(?s)(\"{3}|'{3}).*?\1"""
+_TRIPLE_ON_ONE_LINE = r"""(?s)("{3}|'{3}).*?\1"""
 _BLOCK_ON_ONE_LINE = r"(?s)/\*.*?\*/"
 
 
-def cut_hash(code: Column) -> Column:
-    return F.when(
-        F.contains(code, F.lit("#")) & F.rlike(code, F.lit(_HASH_OUTSIDE_QUOTES)),
-        rstrip(F.regexp_extract(code, _HASH_OUTSIDE_QUOTES, 1)),
-    ).otherwise(code)
+def cut_hash(code: Sql) -> Sql:
+    rx = text(_HASH_OUTSIDE_QUOTES)
+    return case(
+        (f"{contains(code, '#')} AND rlike({code}, {rx})", rstrip(f"regexp_extract({code}, {rx}, 1)")), default=code
+    )
+
+
+def _starts_with_hash(raw: Sql) -> Sql:
+    return f"startswith({lstrip(raw)}, '#')"
 
 
-def _starts_with_hash(raw: Column) -> Column:
-    return F.contains(raw, F.lit("#")) & F.startswith(lstrip(raw), F.lit("#"))
+def shell_code(raw: Sql, code: Sql) -> Sql:
+    return case((_starts_with_hash(raw), "''"), default=cut_hash(code))
 
 
-def shell_code(raw: Column, code: Column) -> Column:
-    return F.when(_starts_with_hash(raw), F.lit("")).otherwise(cut_hash(code))
+def _has_triple(code: Sql) -> Sql:
+    return any_of([contains(code, '"""'), contains(code, "'''")])
 
 
-def python_code(raw: Column, code: Column) -> Column:
-    inline = F.when(
-        F.contains(code, F.lit('"""')) | F.contains(code, F.lit("'''")),
-        F.regexp_replace(code, _TRIPLE_ON_ONE_LINE, ""),
-    ).otherwise(code)
-    return F.when(_starts_with_hash(raw), F.lit("")).otherwise(cut_hash(inline))
+def python_code(raw: Sql, code: Sql) -> Sql:
+    inline = case((_has_triple(code), f"regexp_replace({code}, {text(_TRIPLE_ON_ONE_LINE)}, '')"), default=code)
+    return case((_starts_with_hash(raw), "''"), default=let(inline, cut_hash))
 
 
-def python_symbol(code: Column) -> Column:
+def python_symbol(code: Sql) -> Sql:
     """n: nothing, d / s: flips the double / single triple-quote state, b: flips both."""
-    double = occurrences(code, '"""') % 2 == 1
-    single = occurrences(code, "'''") % 2 == 1
-    return F.when(double & single, "b").when(double, "d").when(single, "s").otherwise("n")
+    counts = struct(d=f"{occurrences(code, chr(34) * 3)} % 2 = 1", s=f"{occurrences(code, chr(39) * 3)} % 2 = 1")
+    symbol = lambda n: case((f"{n}.d AND {n}.s", "'b'"), (f"{n}.d", "'d'"), (f"{n}.s", "'s'"), default="'n'")
+    return case((_has_triple(code), let(counts, symbol)), default="'n'")
 
 
-def _without_blocks(code: Column) -> Column:
-    return F.when(F.contains(code, F.lit("/*")), F.regexp_replace(code, _BLOCK_ON_ONE_LINE, "")).otherwise(code)
+def _without_blocks(code: Sql) -> Sql:
+    return case((contains(code, "/*"), f"regexp_replace({code}, {text(_BLOCK_ON_ONE_LINE)}, '')"), default=code)
 
 
-def block_code(raw: Column, code: Column) -> Column:
-    return F.substring_index(_without_blocks(code), "//", 1)
+def block_code(raw: Sql, code: Sql) -> Sql:
+    return f"substring_index({_without_blocks(code)}, '//', 1)"
 
 
-def block_symbol(code: Column) -> Column:
+def block_symbol(code: Sql) -> Sql:
     """n: nothing, o: opens a block, c: closes one, b: has both."""
-    opens = F.contains(_without_blocks(code), F.lit("/*"))
-    closes = F.contains(code, F.lit("*/"))
-    return F.when(opens & closes, "b").when(opens, "o").when(closes, "c").otherwise("n")
+    opens, closes = contains(_without_blocks(code), "/*"), contains(code, "*/")
+    marks = struct(o=f"({contains(code, '/*')} AND {opens})", c=closes)
+    return let(marks, lambda m: case((f"{m}.o AND {m}.c", "'b'"), (f"{m}.o", "'o'"), (f"{m}.c", "'c'"), default="'n'"))
 
 
-def _runs_to_mask(symbols: Column, run: str, hidden: str) -> Column:
+def _runs_to_mask(symbols: Sql, run: str, hidden: str) -> Sql:
     """Cut ``symbols`` into runs; '1' for every line in a run's ``hidden`` part, '0' elsewhere."""
 
-    def mask(r: Column) -> Column:
-        n = F.length(F.regexp_extract(r, hidden, 0))
-        return F.concat(F.repeat(F.lit("1"), n), F.repeat(F.lit("0"), F.length(r) - n))
+    def mask(r: Sql) -> Sql:
+        count = f"length(regexp_extract({r}, {text(hidden)}, 0))"
+        return let(count, lambda n: f"concat(repeat('1', {n}), repeat('0', length({r}) - {n}))")
 
-    return F.split(F.array_join(F.transform(F.regexp_extract_all(symbols, F.lit(run), 0), mask), ""), "")
+    runs = f"regexp_extract_all({symbols}, {text(run)}, 0)"
+    return f"split(array_join({transform(runs, mask)}, ''), '')"
 
 
-def block_mask(symbols: Column) -> Column:
+def block_mask(symbols: Sql) -> Sql:
     """An opening line hides itself and all up to and including the next line that closes."""
     hidden = "[ob][on]*+[bc]?"
     return _runs_to_mask(symbols, f"{hidden}|[nc]++", f"^{hidden}")
 
 
-def python_mask(symbols: Column) -> Column:
+def python_mask(symbols: Sql) -> Sql:
     """A line is hidden while either state is on after it; the line that ends both shows."""
     double = _runs_to_mask(symbols, "[db][ns]*+[db]?|[ns]++", "^[db][ns]*+")
     single = _runs_to_mask(symbols, "[sb][nd]*+[sb]?|[nd]++", "^[sb][nd]*+")
-    return F.zip_with(double, single, lambda d, s: F.greatest(d, s))
-
-
-def symbols_of(lines: Column) -> Column:
-    return F.array_join(F.transform(lines, lambda x: x.sym), "")
+    return f"zip_with({double}, {single}, (d, s) -> greatest(d, s))"
 
 
-__all__ = [
-    "block_code", "block_mask", "block_symbol", "cut_hash", "let", "python_code", "python_mask",
-    "python_symbol", "shell_code", "symbols_of",
-]
+def symbols_of(lines: Sql) -> Sql:
+    return f"array_join({transform(lines, lambda x: f'{x}.sym')}, '')"

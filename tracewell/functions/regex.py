@@ -4,8 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tracewell.functions.sql import Sql, any_of, contains, let, struct, text
+
+try:
+    from re import _parser
+except ImportError:  # guards are an extra; without the parse tree there are none
+    _parser = None
+
+# Code points outside ASCII that ignoring case makes equal to an ASCII letter (long s,
+# dotless i, dotted I, Kelvin sign). Lines without them may be searched in lower case.
+FOLDS_TO_ASCII = "".join(map(chr, (0x17F, 0x131, 0x130, 0x212A)))
+SHORTEST_GUARD = 2
 
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
@@ -17,10 +26,6 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return f"(?dU{'i' if ignore_case else ''}){named}"
 
 
-def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return F.rlike(c, F.lit(java_pattern(pattern, ignore_case)))
-
-
 def check_pattern(pattern: str) -> str | None:
     """Why a pattern does not compile, or None."""
     try:
@@ -28,3 +33,64 @@ def check_pattern(pattern: str) -> str | None:
     except re.error as e:
         return str(e)
     return None
+
+
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """ASCII literals of which every match contains one; empty if no such set is known."""
+    if _parser is None:
+        return ()
+    tree = _parser.parse(pattern)
+    if tree.state.flags & ~re.UNICODE:
+        return ()
+    return _literals(tree)
+
+
+def _literals(tree) -> tuple[str, ...]:
+    found: list[tuple[str, ...]] = []
+    run = ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _parser.LITERAL and arg < 128:
+            run += chr(arg)
+            continue
+        found.append((run,))
+        run = ""
+        if op is _parser.SUBPATTERN and not (arg[1] or arg[2]):
+            found.append(_literals(arg[3]))
+        elif op is _parser.BRANCH:
+            branches = [_literals(b) for b in arg[1]]
+            found.append(tuple(w for b in branches for w in b) if all(branches) else ())
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+            found.append(_literals(arg[2]))
+    usable = [words for words in found if words and min(map(len, words)) >= SHORTEST_GUARD]
+    return max(usable, key=lambda words: min(map(len, words)), default=())
+
+
+def matches(line: "Line", pattern: str, ignore_case: bool = False) -> Sql:
+    """The pattern is found in the line. Most lines lack every literal it needs and are settled by
+    a byte search, without a Java string being made of them."""
+    test = f"rlike({line.text}, {text(java_pattern(pattern, ignore_case))})"
+    literals = required_literals(pattern)
+    if not literals:
+        return test
+    if ignore_case:
+        guard = any_of([*(contains(line.lower, w.lower()) for w in literals), line.folds])
+    else:
+        guard = any_of(contains(line.text, w) for w in literals)
+    return f"({guard} AND {test})"
+
+
+def folds(c: Sql) -> Sql:
+    """The text has a letter that equals an ASCII letter once case is ignored."""
+    return f"(octet_length({c}) <> length({c}) AND {any_of(contains(c, ch) for ch in FOLDS_TO_ASCII)})"
+
+
+class Line:
+    """A line under test: its text, the same in lower case, and whether ``folds`` holds."""
+
+    def __init__(self, text: Sql, lower: Sql, folds: Sql):
+        self.text, self.lower, self.folds = text, lower, folds
+
+
+def with_line(c: Sql, body) -> Sql:
+    """``body(Line)`` with the lower case of ``c`` made once."""
+    return let(struct(lower=f"lower({c})", folds=folds(c)), lambda v: body(Line(c, f"{v}.lower", f"{v}.folds")))

@@ -1,85 +1,94 @@
-"""String helpers shared by the operators; every function returns a Column."""
+"""Text helpers as SQL expression text."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from tracewell.functions.sql import Sql, case, contains, fold, let, struct, text
 from tracewell.options import TRUNCATION_MARK
 
-# Blanks as str.strip() sees them: Unicode white space plus the four separators 1C-1F.
-BLANK = r"[\s\x{1c}-\x{1f}]"
-NOT_BLANK = r"(?U)[^\s\x{1c}-\x{1f}]"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+# The code points str.strip() takes away.
+_BLANK_RANGES = [
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
+BLANKS = "".join(chr(c) for low, high in _BLANK_RANGES for c in range(low, high + 1))
 
 
-def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{BLANK}++", "")
+def lstrip(c: Sql) -> Sql:
+    return f"trim(LEADING {text(BLANKS)} FROM {c})"
 
 
-def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)(?<!{BLANK}){BLANK}++\z", "")
+def rstrip(c: Sql) -> Sql:
+    return f"trim(TRAILING {text(BLANKS)} FROM {c})"
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")
+def strip(c: Sql) -> Sql:
+    return f"trim(BOTH {text(BLANKS)} FROM {c})"
 
 
-def has_text(c: Column) -> Column:
-    return c.rlike(NOT_BLANK)
+def has_text(c: Sql) -> Sql:
+    return f"({lstrip(c)} <> '')"
 
 
-def truncate(c: Column, limit: int) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(TRUNCATION_MARK))).otherwise(c)
+def truncate(c: Sql, limit: int) -> Sql:
+    cut = lambda t: case(
+        (f"length({t}) > {limit}", f"concat(substring({t}, 1, {limit}), {text(TRUNCATION_MARK)})"), default=t
+    )
+    return let(c, cut)
 
 
-def occurrences(c: Column, token: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    gap = F.length(c) - F.length(F.replace(c, F.lit(token), F.lit("")))
-    return (gap / F.lit(len(token))).cast("int")
+def occurrences(c: Sql, token: str) -> Sql:
+    """Non-overlapping occurrences of an ASCII literal."""
+    gap = f"(octet_length({c}) - octet_length(replace({c}, {text(token)}, '')))"
+    count = gap if len(token) == 1 else f"({gap} div {len(token)})"
+    return case((contains(c, token), f"CAST({count} AS INT)"), default="0")
 
 
-def csv_value(c: Column, limit: int | None = None, remove_line_feed: bool = True) -> Column:
+def csv_value(c: Sql, limit: int | None = None, remove_line_feed: bool = True) -> Sql:
     """Quote one value for the ``;`` report. The cut counts the doubled quotes."""
-    text = F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""'))
+    doubled = f"""replace(coalesce({c}, ''), '"', '""')"""
     if remove_line_feed:
-        text = F.translate(text, "\n\r", "  ")
-    text = strip(text)
-    cut = text if limit is None else truncate(text, limit)
-    return F.when(text == "", F.lit("")).otherwise(F.concat(F.lit('"'), cut, F.lit('"')))
+        doubled = f"translate({doubled}, {text(chr(10) + chr(13))}, '  ')"
+
+    def quote(t: Sql) -> Sql:
+        cut = t if limit is None else truncate(t, limit)
+        return case((f"{t} = ''", "''"), default=f"""concat('"', {cut}, '"')""")
+
+    return let(strip(doubled), quote)
 
 
-def split_lines(text: Column) -> Column:
+def split_lines(c: Sql) -> Sql:
     """Universal newlines; a final newline starts no further line and '' has no line."""
-    unix = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(unix, r"\n\z", ""), "\n")
+    unix = case((contains(c, "\r"), f"regexp_replace({c}, {text(chr(13) + chr(10) + '?')}, {text(chr(10))})"), default=c)
+    newline = text("\n")
+    whole = lambda t: case(
+        (f"endswith({t}, {newline})", f"substring({t}, 1, length({t}) - 1)"), default=t
     )
+    lines = f"split({let(unix, whole)}, {newline})"
+    return case((f"{c} = ''", "CAST(array() AS array<string>)"), default=lines)
 
 
-def decode_text(content: Column) -> Column:
+def decode_text(content: Sql) -> Sql:
     """UTF-8 for the whole value, or else Latin-1 for the whole value."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
-        F.decode(content, "ISO-8859-1")
+    return case(
+        (f"is_valid_utf8(CAST({content} AS STRING))", f"decode({content}, 'UTF-8')"),
+        default=f"decode({content}, 'ISO-8859-1')",
     )
 
 
-def prefix_length(items: Column, weight: Callable[[Column], Column], max_items: int, max_weight: int) -> Column:
+def prefix_length(items: Sql, weight: Callable[[Sql], Sql], max_items: int, max_weight: int) -> Sql:
     """How many leading items fit: one fits while fewer than ``max_items`` items and less than
     ``max_weight`` came before it. A single fold, so it is linear in the array."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("w"))
-    return F.aggregate(
+    return fold(
         items,
-        start,
-        lambda acc, x: F.when(
-            (acc.n < max_items) & (acc.w < max_weight),
-            F.struct((acc.n + 1).alias("n"), (acc.w + weight(x)).cast("bigint").alias("w")),
-        ).otherwise(acc),
-        lambda acc: acc.n,
+        struct(n="0", w="0L"),
+        lambda acc, x: case(
+            (
+                f"{acc}.n < {max_items} AND {acc}.w < {max_weight}",
+                struct(n=f"{acc}.n + 1", w=f"{acc}.w + {weight(x)}"),
+            ),
+            default=acc,
+        ),
+        lambda acc: f"{acc}.n",
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import checks
-from tracewell.functions.text import let, prefix_length, strip, truncate
-from tracewell.operators.hits import HIT_ARRAY, hit_struct
+from tracewell.functions.regex import with_line
+from tracewell.functions.sql import Sql, case, first, fold, is_in, let, present, text, transform, where
+from tracewell.functions.text import prefix_length, strip, truncate
+from tracewell.operators.hits import HIT_TYPE, hit_struct
 from tracewell.operators.line_rules import applies, obfuscated_strings
 from tracewell.operators.lines import file_text
 from tracewell.options import ScanOptions
@@ -26,151 +28,84 @@ def file_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
     return [r for r in order_rules(rules, o.level) if r.scope == "file" and r.in_context(o.scan_context)]
 
 
-def is_minified(kept: Column, o: ScanOptions) -> Column:
+def is_minified(o: ScanOptions) -> Sql:
     """A script of one or two lines whose mean length is over the limit."""
-    total = F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x.raw))
-    few = F.size(kept).between(1, 2)
-    return F.col("ext").isin(o.script_extensions) & few & (total / F.size(kept) > o.max_minified_line_avg_length)
+    total = fold("kept", "0L", lambda acc, x: f"{acc} + length({x}.raw)", lambda acc: acc)
+    return (
+        f"({is_in('ext', o.script_extensions)} AND size(kept) BETWEEN 1 AND 2 "
+        f"AND {total} / size(kept) > {o.max_minified_line_avg_length})"
+    )
 
 
-def keyword_lines(rule: Rule, kept: Column, o: ScanOptions) -> Column:
+def keyword_lines(rule: Rule, o: ScanOptions) -> Sql:
     """Distinct cut originals that meet the rule, in order of first appearance, up to the limits."""
     groups, threshold = rule.keyword_groups(), rule.keyword_threshold()
-
-    def test(x: Column) -> Column:
-        return let(F.lower(x.raw), lambda lc: checks.keyword_combination(x.raw, lc, groups, threshold))
-
-    cut = F.transform(F.filter(kept, test), lambda x: truncate(x.raw, o.max_line_rule_hit_length))
-    distinct = F.array_distinct(cut)
-    if o.no_bail_out:
-        return distinct
-    return let(
-        distinct,
-        lambda d: F.slice(d, F.lit(1), prefix_length(d, F.length, o.max_lines_file_scan, o.max_chars_file_scan)),
+    found = where(
+        "kept", lambda x: with_line(f"{x}.raw", lambda line: checks.keyword_combination(line, groups, threshold))
     )
+    cut = f"array_distinct({transform(found, lambda x: truncate(f'{x}.raw', o.max_line_rule_hit_length))})"
+    if o.no_bail_out:
+        return cut
+    fits = lambda d: prefix_length(d, lambda t: f"length({t})", o.max_lines_file_scan, o.max_chars_file_scan)
+    return let(cut, lambda d: f"slice({d}, 1, {fits(d)})")
 
 
-def keyword_preview(found: Column, kept: Column, o: ScanOptions) -> Column:
+def keyword_preview(found: Sql, o: ScanOptions) -> Sql:
     n = o.max_preview_lines_file
-    lines = F.transform(F.slice(found, 1, n), lambda t: truncate(strip(t), o.max_line_rule_hit_length))
-    text = F.array_join(lines, "\n")
-    return (
-        F.when(is_minified(kept, o), F.lit(MINIFIED_EVIDENCE))
-        .when(F.size(found) > n, F.concat(F.lit(PREVIEW_HEADER.format(n=n)), text))
-        .when(F.size(found) > 1, F.concat(F.lit(MATCHED_HEADER), text))
-        .otherwise(text)
+    lines = transform(f"slice({found}, 1, {n})", lambda t: truncate(strip(t), o.max_line_rule_hit_length))
+    header = case(
+        (f"size({found}) > {n}", text(PREVIEW_HEADER.format(n=n))),
+        (f"size({found}) > 1", text(MATCHED_HEADER)),
+        default="''",
     )
+    preview = f"concat({header}, array_join({lines}, {text(chr(10))}))"
+    return case((is_minified(o), text(MINIFIED_EVIDENCE)), default=preview)
 
 
-def identifier_stats(text: Column, entropy_threshold: float) -> Column:
-    """``struct(tokens, weight, hex_hits, entropy_hits, long_lines)`` of a text."""
-
-    def fold(tokens: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("hex"), F.lit(0).alias("ent"))
-
-        def add(acc: Column, t: Column) -> Column:
-            def plus(weight: float, hex_hit: int = 0, entropy_hit: int = 0) -> Column:
-                return F.struct(
-                    (acc.w + F.lit(weight)).alias("w"),
-                    (acc.hex + hex_hit).alias("hex"),
-                    (acc.ent + entropy_hit).alias("ent"),
-                )
-
-            return (
-                F.when(F.length(t) <= checks.SHORT_TOKEN, plus(checks.SHORT_TOKEN_WEIGHT))
-                .when(F.startswith(t, F.lit("_0x")), plus(checks.HEX_TOKEN_WEIGHT, hex_hit=1))
-                .when(F.startswith(t, F.lit("__")), plus(checks.DUNDER_TOKEN_WEIGHT))
-                .when(F.startswith(t, F.lit("_")), plus(checks.UNDERSCORE_TOKEN_WEIGHT))
-                .when(checks.is_high_entropy(t, entropy_threshold), plus(checks.ENTROPY_TOKEN_WEIGHT, entropy_hit=1))
-                .otherwise(acc)
-            )
-
-        return F.aggregate(
-            tokens,
-            start,
-            add,
-            lambda acc: F.struct(
-                F.size(tokens).alias("tokens"),
-                F.round(acc.w, 9).alias("weight"),
-                acc.hex.alias("hex_hits"),
-                acc.ent.alias("entropy_hits"),
-                F.size(F.filter(F.split(text, "\n"), lambda l: F.length(l) > checks.LONG_LINE)).alias("long_lines"),
-            ),
-        )
+def text_for_rules(o: ScanOptions) -> Sql:
+    return file_text("kept", None if o.no_bail_out else o.max_chars_file_scan)
 
-    return let(checks.identifiers(text), fold)
 
+def with_file_text(files: DataFrame, o: ScanOptions) -> DataFrame:
+    return files.withColumn("file_text", F.expr(text_for_rules(o)))
 
-def obfuscated_vars(stats: Column, parameters: dict) -> Column:
-    p = {**checks.VARS_DEFAULTS, **parameters}
-    ratio = F.round(F.when(stats.tokens > 0, stats.weight / stats.tokens).otherwise(1000.0), 9)
-    test = (stats.tokens >= p["min_tokens"]) & (ratio >= float(p["min_ratio"]))
-    if p["require_hex_prefix"]:
-        test = test & (stats.hex_hits > 0)
-    if p["require_long_lines"]:
-        test = test & (stats.long_lines >= p["min_long_lines"])
-    return test & (stats.entropy_hits >= p["min_entropy_hits"])
 
+def needs_text(rules: list[Rule], o: ScanOptions) -> bool:
+    return any(r.type != "keyword_combination" for r in file_rules(rules, o))
 
-def _is_obfuscated_vars(rule: Rule, text: Column) -> Column:
-    p = {**checks.VARS_DEFAULTS, **rule.parameters}
-    return let(identifier_stats(text, float(p["entropy_threshold"])), lambda s: obfuscated_vars(s, p))
 
+def file_rule_hit_array(rules: list[Rule], o: ScanOptions) -> Sql:
+    """Hits of all file rules of a file, from ``kept`` and, if ``needs_text``, ``file_text``."""
 
-def file_rule_hit_array(rules: list[Rule], o: ScanOptions, text: Column | None = None) -> Column:
-    """Hits of all file rules of a file, from ``kept``; ``text`` is its ``file_text``."""
-    ordered = file_rules(rules, o)
-    none = F.array().cast(HIT_ARRAY)
-    if not ordered:
-        return none
-    kept = F.col("kept")
-    if text is None:
-        text = text_for_rules(kept, o)
-
-    def hit(i: int, rule: Rule) -> Column:
-        def build(hits: Column, line: Column) -> Column:
+    def hit(i: int, rule: Rule) -> Sql:
+        def build(hits: Sql, line: Sql) -> Sql:
             return hit_struct(
                 stage="file_rule",
                 hits=hits,
-                pattern_or_rule=F.lit(FILE_RULE_PREFIX + rule.name),
-                type_or_severity=F.lit(rule.severity),
-                rule_id=F.lit(rule.id),
-                rule_type=F.lit(rule.type),
-                line_number=F.lit(0),
+                pattern_or_rule=text(FILE_RULE_PREFIX + rule.name),
+                type_or_severity=text(rule.severity),
+                rule_id=text(rule.id),
+                rule_type=text(rule.type),
+                line_number="0",
                 line=line,
-                seq=F.lit(i),
+                seq=i,
             )
 
         if rule.type == "keyword_combination":
-            found = let(
-                keyword_lines(rule, kept, o),
-                lambda lines: F.when(F.size(lines) > 0, build(F.size(lines), keyword_preview(lines, kept, o))),
-            )
+            matched = lambda found: build(f"size({found})", keyword_preview(found, o))
+            result = let(keyword_lines(rule, o), lambda found: case((f"size({found}) > 0", matched(found))))
         elif rule.type == "obfuscation_strings":
-            found = F.when(obfuscated_strings(rule, text, F.col("ext")), build(F.lit(1), F.lit(STRINGS_EVIDENCE)))
+            result = case((obfuscated_strings(rule, "file_text"), build("1", text(STRINGS_EVIDENCE))))
         else:
-            found = F.when(_is_obfuscated_vars(rule, text), build(F.lit(1), F.lit(VARS_EVIDENCE)))
-        where = applies(rule, o)
-        return found if where is None else F.when(where, found)
-
-    hits = F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(ordered)]))
-    if o.file_gate == "evaluated" or o.all_matches:
-        return hits
-    fallback = [i for i, r in enumerate(ordered) if r.only_if_no_match]
-    return let(hits, lambda hs: _documented_gate(hs, fallback))
-
+            result = case((checks.obfuscated_vars("file_text", rule.parameters), build("1", text(VARS_EVIDENCE))))
+        file_test = applies(rule, o)
+        return result if file_test is None else case((file_test, result))
 
-def _documented_gate(hits: Column, fallback: list[int]) -> Column:
-    """A fallback rule counts only when no earlier file rule has matched, so only as the first hit."""
-    if not fallback:
+    ordered = file_rules(rules, o)
+    hits = present([hit(i, r) for i, r in enumerate(ordered)], HIT_TYPE)
+    fallback = [str(i) for i, r in enumerate(ordered) if r.only_if_no_match]
+    if o.file_gate == "evaluated" or o.all_matches or not fallback:
         return hits
-    first = F.try_element_at(hits, F.lit(1))
-    return F.filter(hits, lambda h: ~h.seq.isin(fallback) | (h.seq == first.seq))
-
-
-def text_for_rules(kept: Column, o: ScanOptions) -> Column:
-    return file_text(kept, None if o.no_bail_out else o.max_chars_file_scan)
-
-
-def with_file_text(files: DataFrame, o: ScanOptions) -> DataFrame:
-    return files.withColumn("file_text", text_for_rules(F.col("kept"), o))
+    # As documented: a fallback rule counts only when no earlier file rule matched.
+    late = lambda h, all_hits: f"{h}.seq IN ({', '.join(fallback)}) AND {h}.seq <> {first(all_hits)}.seq"
+    return let(hits, lambda hs: where(hs, lambda h: f"NOT ({late(h, hs)})"))

@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.sql import Sql, any_of, case, is_in, text
 from tracewell.functions.text import decode_text
-from tracewell.operators.hits import as_hits
+from tracewell.operators.hits import as_hits, hit_struct
 from tracewell.options import ScanOptions
 
 
 def with_path_columns(files: DataFrame) -> DataFrame:
     """Adds basename, ext (last suffix, lower case, '' for dot files) and parent."""
-    parts = F.split("path", "/")
-    basename = F.element_at(parts, -1)
-    return files.withColumns(
+    named = files.withColumns(
         {
-            "basename": basename,
-            "ext": F.lower(F.regexp_extract(basename, r"(?s)^.+(\.[^.]+)$", 1)),
-            "parent": F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(""),
+            "basename": F.expr("substring_index(path, '/', -1)"),
+            "parent": F.expr("CASE WHEN contains(path, '/') THEN substring_index(substring_index(path, '/', -2), '/', 1) ELSE '' END"),
         }
     )
+    return named.withColumn("ext", F.expr(rf"lower(regexp_extract(basename, {text(r'(?s)^.+(\.[^.]+)$')}, 1))"))
 
 
-def scan_kind(o: ScanOptions) -> Column:
+def scan_kind(o: ScanOptions) -> Sql:
     """'content', 'shell' or null. Content wins where both apply."""
-    content_file = F.lower("basename").isin([name.lower() for name in o.content_files])
-    return F.when(F.col("ext").isin(o.content_extensions) | content_file, "content").when(
-        F.col("ext").isin(o.shell_extensions), "shell"
-    )
+    content_file = is_in("lower(basename)", [name.lower() for name in o.content_files])
+    content = any_of([is_in("ext", o.content_extensions), content_file])
+    return case((content, "'content'"), (is_in("ext", o.shell_extensions), "'shell'"))
 
 
 def relevant_files(files: DataFrame, o: ScanOptions) -> DataFrame:
     """Only files some pack applies to, with their ``scan_kind``."""
-    kind = scan_kind(o)
+    kind = F.expr(scan_kind(o))
     return exclude_dirs(files, o).filter(kind.isNotNull()).withColumn("scan_kind", kind)
 
 
@@ -42,8 +40,7 @@ def exclude_dirs(files: DataFrame, o: ScanOptions) -> DataFrame:
         return files
     if o.exclude_mode == "parent":
         return files.filter(~F.col("parent").isin(list(o.exclude_dirs)))
-    parts = F.split("path", "/")
-    directories = F.slice(parts, 1, F.size(parts) - 1)
+    directories = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     return files.filter(~F.arrays_overlap(directories, F.array(*map(F.lit, o.exclude_dirs))))
 
 
@@ -51,24 +48,30 @@ def filename_hits(files: DataFrame, names: list[str]) -> DataFrame:
     """Project files whose basename equals a listed one. Looks at names only, so it can run on
     a listing and never opens a file; exclusions and relevance do not apply to it."""
     found = files.filter((F.col("scope") == "project") & F.col("basename").isin(names))
-    return as_hits(
-        found,
+    hit = hit_struct(
         stage="filename",
-        hits=F.lit(1),
-        pattern_or_rule=F.lit("[filename-only]"),
-        type_or_severity=F.lit("filename"),
-        line_number=F.lit(0),
-        line=F.lit(""),
+        hits="1",
+        pattern_or_rule=text("[filename-only]"),
+        type_or_severity=text("filename"),
+        line_number="0",
+        line="''",
     )
+    return as_hits(found, hit)
+
+
+def with_text(files: DataFrame) -> DataFrame:
+    """Files with ``text``, decoded from ``content`` where they come as bytes."""
+    if "text" in files.columns:
+        return files
+    return files.withColumn("text", F.expr(decode_text("content"))).drop("content")
 
 
 def split_readable(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(readable files with text, errors)``. A file that has no content, or more than the
     caller allows, goes to ``errors(file_id, reason)`` and the scan carries on without it."""
-    size = F.octet_length("content")
-    reason = F.when(F.col("content").isNull(), "unreadable")
+    branches = [("content IS NULL", "'unreadable'")]
     if max_bytes is not None:
-        reason = reason.when(size > max_bytes, "oversized")
-    errors = files.select("file_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
-    readable = files.filter(reason.isNull()).withColumn("text", decode_text(F.col("content"))).drop("content")
-    return readable, errors
+        branches.append((f"octet_length(content) > {max_bytes}", "'oversized'"))
+    reason = F.expr(case(*branches))
+    errors = files.select("file_id", reason.alias("reason")).filter("reason IS NOT NULL")
+    return with_text(files.filter(reason.isNull())), errors

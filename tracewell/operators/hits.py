@@ -2,59 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.sql import Sql, struct, text
+
 HIT_COLUMNS = [
     "file", "hits", "pattern_or_rule", "type_or_severity", "rule_id", "rule_type", "line_number", "line",
 ]
 # Carried beside the report columns: where a hit came from and its place in report order.
 ORIGIN_COLUMNS = ["scope", "stage", "seq"]
 
-HIT_ARRAY = (
-    "array<struct<hits:int,pattern_or_rule:string,type_or_severity:string,rule_id:string,"
-    "rule_type:string,line_number:int,line:string,stage:string,seq:int>>"
+HIT_TYPE = (
+    "struct<hits:int,pattern_or_rule:string,type_or_severity:string,rule_id:string,"
+    "rule_type:string,line_number:int,line:string,stage:string,seq:int>"
 )
 
 
 def hit_struct(
     *,
     stage: str,
-    hits: Column,
-    pattern_or_rule: Column,
-    type_or_severity: Column,
-    line_number: Column,
-    line: Column,
-    rule_id: Column | None = None,
-    rule_type: Column | None = None,
-    seq: Column | None = None,
-) -> Column:
-    empty = F.lit("")
-    return F.struct(
-        hits.cast("int").alias("hits"),
-        pattern_or_rule.alias("pattern_or_rule"),
-        type_or_severity.alias("type_or_severity"),
-        (empty if rule_id is None else rule_id).alias("rule_id"),
-        (empty if rule_type is None else rule_type).alias("rule_type"),
-        line_number.cast("int").alias("line_number"),
-        line.alias("line"),
-        F.lit(stage).alias("stage"),
-        (F.lit(0) if seq is None else seq).cast("int").alias("seq"),
+    hits: Sql,
+    pattern_or_rule: Sql,
+    type_or_severity: Sql,
+    line_number: Sql,
+    line: Sql,
+    rule_id: Sql = "''",
+    rule_type: Sql = "''",
+    seq: int = 0,
+) -> Sql:
+    return struct(
+        hits=hits,
+        pattern_or_rule=pattern_or_rule,
+        type_or_severity=type_or_severity,
+        rule_id=rule_id,
+        rule_type=rule_type,
+        line_number=line_number,
+        line=line,
+        stage=text(stage),
+        seq=str(seq),
     )
 
 
-def as_hits(rows: DataFrame, **parts) -> DataFrame:
+def as_hits(rows: DataFrame, hit: Sql) -> DataFrame:
     """One hit per row of ``rows(path, scope, …)``."""
-    return rows.select(
-        F.col("path").alias("file"), "scope", hit_struct(**parts).alias("h")
-    ).select("file", "scope", "h.*").select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
+    found = rows.select(F.col("path").alias("file"), "scope", F.expr(hit).alias("h"))
+    return found.select("file", "scope", "h.*").select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
 
 
-def explode_hits(files: DataFrame, column: str) -> DataFrame:
+def explode_hits(files: DataFrame, hits: Sql) -> DataFrame:
     """One row per element of an array of hit structs. The outer generator keeps the optimizer
     from adding a size test that would evaluate the whole array expression a second time."""
-    rows = files.select(F.col("path").alias("file"), "scope", F.inline_outer(column))
-    return rows.filter(F.col("hits").isNotNull()).select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
+    rows = files.select(F.col("path").alias("file"), "scope", F.expr(f"inline_outer({hits})"))
+    return rows.filter("hits IS NOT NULL").select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
 
 
 def report_columns(hits: DataFrame) -> DataFrame:

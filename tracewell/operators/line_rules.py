@@ -2,82 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import checks
-from tracewell.functions.text import let, strip, truncate
-from tracewell.operators.hits import HIT_ARRAY, hit_struct
-from tracewell.operators.patterns import first_match_by_kind, pattern_hit
+from tracewell.functions.regex import Line, with_line
+from tracewell.functions.sql import Sql, array, case, first, is_in, let, present, struct, text, transform, where
+from tracewell.functions.text import strip, truncate
+from tracewell.operators.hits import HIT_TYPE, hit_struct
+from tracewell.operators.patterns import by_kind, first_match, pattern_hit, with_line_columns
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Packs
 from tracewell.sources.rules import Rule, order_rules
 
 LINE_RULE_PREFIX = "[heuristic threshold reached]: "
-NO_RULES = "array<int>"
+_NO_HITS = f"CAST(array() AS array<{HIT_TYPE}>)"
 
 
-def applies(rule: Rule, o: ScanOptions) -> Column | None:
+def applies(rule: Rule, o: ScanOptions) -> Sql | None:
     """File-level condition for a rule; None where it applies to every file."""
     exts = rule.extensions(o.extension_groups)
-    return None if exts is None else F.col("ext").isin(exts)
+    return None if exts is None else is_in("ext", exts)
 
 
-def line_check(rule: Rule, code: Column, lowered: Column, ext: Column) -> Column:
+def line_check(rule: Rule, line: Line) -> Sql:
     p = rule.parameters
     if rule.type == "string_length":
-        return checks.string_length(code, p.get("min_length", 0))
+        return checks.string_length(line.text, p.get("min_length", 0))
     if rule.type == "base64_suspect":
-        return checks.base64_suspect(code, p.get("min_length", 0))
+        return checks.base64_suspect(line.text, p.get("min_length", 0))
     if rule.type == "hex_suspect":
-        return checks.hex_suspect(code, p.get("min_length", 0))
+        return checks.hex_suspect(line.text, p.get("min_length", 0))
     if rule.type == "path_access":
-        return checks.path_access(code, p.get("paths", []))
+        return checks.path_access(line.text, p.get("paths", []))
     if rule.type == "keyword_combination":
-        return checks.keyword_combination(code, lowered, rule.keyword_groups(), rule.keyword_threshold())
+        return checks.keyword_combination(line, rule.keyword_groups(), rule.keyword_threshold())
     if rule.type == "obfuscation_strings":
-        return obfuscated_strings(rule, code, ext)
+        return obfuscated_strings(rule, line.text)
     raise ValueError(f"rule {rule.id!r}: {rule.type!r} is not a line check")
 
 
-def obfuscated_strings(rule: Rule, text: Column, ext: Column) -> Column:
+def obfuscated_strings(rule: Rule, c: Sql) -> Sql:
     p = rule.parameters
-    score = checks.obfuscation_score(
-        text, ext, p.get("weights"), int(p.get("min_string_literals", checks.MIN_STRING_LITERALS))
-    )
-    return score >= float(p.get("min_score", checks.MIN_SCORE))
+    literals = int(p.get("min_string_literals", checks.MIN_STRING_LITERALS))
+    score = checks.obfuscation_score(c, "ext", p.get("weights"), literals)
+    return f"({score} >= {float(p.get('min_score', checks.MIN_SCORE))}D)"
 
 
 def line_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
     return [r for r in order_rules(rules, o.level) if r.scope == "line"]
 
 
-def fired_rules(ordered: list[Rule], o: ScanOptions, code: Column, lowered: Column) -> Column:
+def fired_rules(ordered: list[Rule], o: ScanOptions, line: Line) -> Sql:
     """Positions (in ``ordered``) of the rules that fire on a line, ascending."""
-    if not ordered:
-        return F.array().cast(NO_RULES)
-    tests = []
-    for i, rule in enumerate(ordered):
-        where = applies(rule, o)
-        check = line_check(rule, code, lowered, F.col("ext"))
-        tests.append(F.when(check if where is None else where & check, i))
-    return F.array_compact(F.array(*tests))
+
+    def fired(i: int, rule: Rule) -> Sql:
+        test, file_test = line_check(rule, line), applies(rule, o)
+        return case((test if file_test is None else f"{file_test} AND {test}", str(i)))
+
+    return present([fired(i, r) for i, r in enumerate(ordered)], "int")
 
 
 def line_rule_events(lines: DataFrame, rules: list[Rule], o: ScanOptions) -> DataFrame:
     """Raw events, before the gate: one row per kept line and rule that fires on it."""
     ordered = line_rules(rules, o)
-    rows = lines.withColumn("_lc", F.lower("code"))
+    rows, line = with_line_columns(lines)
     fired = rows.select(
-        "file_id", "line_no", "raw", F.explode_outer(fired_rules(ordered, o, F.col("code"), F.col("_lc"))).alias("i")
-    ).filter(F.col("i").isNotNull())
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values or [""])), F.col("i") + 1)
+        "file_id", "line_no", "raw", F.expr(f"explode_outer({fired_rules(ordered, o, line)})").alias("i")
+    ).filter("i IS NOT NULL")
+    pick = lambda values: F.expr(f"try_element_at({array(map(text, values), 'string')}, i + 1)")
     return fired.select(
         "file_id",
-        pick([r.id for r in ordered]).alias("rule_id"),
+        pick(r.id for r in ordered).alias("rule_id"),
         (F.col("i") + 1).alias("rule_order"),
         "line_no",
-        pick([r.severity for r in ordered]).alias("severity"),
+        pick(r.severity for r in ordered).alias("severity"),
         "raw",
     )
 
@@ -88,100 +87,85 @@ def with_marks(files: DataFrame, packs: Packs | None, rules: list[Rule], o: Scan
     after it works on the marks."""
     ordered = line_rules(rules, o)
 
-    def mark(x: Column) -> Column:
-        def with_lower(lc: Column) -> Column:
-            pattern = F.lit(None).cast("int") if packs is None else first_match_by_kind(x.code, packs, lc)
-            return F.struct(
-                x.line_no.alias("line_no"),
-                x.raw.alias("raw"),
-                pattern.alias("pattern"),
-                fired_rules(ordered, o, x.code, lc).alias("rules"),
+    def mark(x: Sql) -> Sql:
+        def tested(line: Line) -> Sql:
+            pattern = "CAST(NULL AS INT)" if packs is None else by_kind(packs, lambda pack: first_match(line, pack))
+            return struct(
+                line_no=f"{x}.line_no", raw=f"{x}.raw", pattern=pattern, rules=fired_rules(ordered, o, line)
             )
 
-        return let(F.lower(x.code), with_lower)
+        return with_line(f"{x}.code", tested)
 
-    found = F.filter(F.transform("kept", mark), lambda m: m.pattern.isNotNull() | (F.size(m.rules) > 0))
-    return files.withColumn("marks", found)
+    found = where(transform("kept", mark), lambda m: f"{m}.pattern IS NOT NULL OR size({m}.rules) > 0")
+    return files.withColumn("marks", F.expr(found))
 
 
-def pattern_hit_array(packs: Packs, o: ScanOptions) -> Column:
-    return F.transform(
-        F.filter("marks", lambda m: m.pattern.isNotNull()), lambda m: pattern_hit(m, m.pattern, packs, o)
-    )
+def pattern_hit_array(packs: Packs, o: ScanOptions) -> Sql:
+    found = where("marks", lambda m: f"{m}.pattern IS NOT NULL")
+    return transform(found, lambda m: pattern_hit(m, f"{m}.pattern", packs, o))
 
 
-def events(marks: Column) -> Column:
-    return F.filter(marks, lambda m: F.size(m.rules) > 0)
+def events(marks: Sql) -> Sql:
+    return where(marks, lambda m: f"size({m}.rules) > 0")
 
 
-def gated(rule: Rule, i: int, fired: Column, o: ScanOptions) -> Column:
+def gated(rule: Rule, i: int, fired: Sql, o: ScanOptions) -> Sql:
     """The events of one rule that count. A fallback rule is not tried once any line rule has
     fired in the file, so it keeps its event only if that is the file's very first one."""
     if rule.only_if_no_match and not o.all_matches:
-        first = F.try_element_at(fired, F.lit(1))
-        return F.when(F.try_element_at(first.rules, F.lit(1)) == i, F.slice(fired, 1, 1)).otherwise(F.slice(fired, 1, 0))
-    return F.filter(fired, lambda m: F.array_contains(m.rules, i))
+        is_first = f"{first(f'{first(fired)}.rules')} = {i}"
+        return f"slice({fired}, 1, {case((is_first, '1'), default='0')})"
+    return where(fired, lambda m: f"array_contains({m}.rules, {i})")
 
 
-def evidence(found: Column, o: ScanOptions) -> Column:
+def evidence(found: Sql, o: ScanOptions) -> Sql:
     """Matched lines in order, numbered when there are several."""
-
-    def text(m: Column) -> Column:
-        return truncate(strip(m.raw), o.max_line_rule_hit_length)
-
-    numbered = F.array_join(
-        F.transform(found, lambda m: F.concat(m.line_no.cast("string"), F.lit(": "), text(m))), "\n"
+    cut = lambda m: truncate(strip(f"{m}.raw"), o.max_line_rule_hit_length)
+    numbered = transform(found, lambda m: f"concat({m}.line_no, ': ', {cut(m)})")
+    return case(
+        (f"size({found}) > 1", f"array_join({numbered}, {text(chr(10))})"), default=cut(first(found))
     )
-    return F.when(F.size(found) > 1, numbered).otherwise(text(F.try_element_at(found, F.lit(1))))
 
 
-def line_rule_hit_array(rules: list[Rule], o: ScanOptions) -> Column:
+def line_rule_hit_array(rules: list[Rule], o: ScanOptions) -> Sql:
     """Hits of all line rules of a file, from its ``marks``."""
     ordered = line_rules(rules, o)
-    none = F.array().cast(HIT_ARRAY)
-    if not ordered:
-        return none
-
-    def hits_of(fired: Column) -> Column:
-        def hit(i: int, rule: Rule) -> Column:
-            return let(
-                gated(rule, i, fired, o),
-                lambda found: F.when(
-                    F.size(found) >= max(1, rule.heuristic_threshold),
-                    hit_struct(
-                        stage="line_rule",
-                        hits=F.size(found),
-                        pattern_or_rule=F.lit(LINE_RULE_PREFIX + rule.name),
-                        type_or_severity=F.lit(rule.severity),
-                        rule_id=F.lit(rule.id),
-                        rule_type=F.lit(rule.type),
-                        line_number=F.try_element_at(found, F.lit(1)).line_no,
-                        line=evidence(found, o),
-                        seq=F.lit(i),
-                    ),
-                ),
+
+    def hit(i: int, rule: Rule, fired: Sql) -> Sql:
+        def build(found: Sql) -> Sql:
+            built = hit_struct(
+                stage="line_rule",
+                hits=f"size({found})",
+                pattern_or_rule=text(LINE_RULE_PREFIX + rule.name),
+                type_or_severity=text(rule.severity),
+                rule_id=text(rule.id),
+                rule_type=text(rule.type),
+                line_number=f"{first(found)}.line_no",
+                line=evidence(found, o),
+                seq=i,
             )
+            return case((f"size({found}) >= {max(1, rule.heuristic_threshold)}", built))
+
+        return let(gated(rule, i, fired, o), build)
 
-        return F.when(F.size(fired) > 0, F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(ordered)]))).otherwise(none)
+    def hits_of(fired: Sql) -> Sql:
+        hits = present([hit(i, r, fired) for i, r in enumerate(ordered)], HIT_TYPE)
+        return case((f"size({fired}) > 0", hits), default=_NO_HITS)
 
-    return let(events(F.col("marks")), hits_of)
+    return let(events("marks"), hits_of) if ordered else _NO_HITS
 
 
 def gated_event_rows(files: DataFrame, rules: list[Rule], o: ScanOptions) -> DataFrame:
     """Events that count, one row each, from ``marks``."""
     ordered = line_rules(rules, o)
 
-    def kept_events(fired: Column) -> Column:
-        def of_rule(i: int, rule: Rule) -> Column:
-            return F.transform(
-                gated(rule, i, fired, o),
-                lambda m: F.struct(
-                    F.lit(rule.id).alias("rule_id"), F.lit(i + 1).alias("rule_order"), m.line_no.alias("line_no"),
-                    F.lit(rule.severity).alias("severity"), m.raw.alias("raw"),
-                ),
-            )
-
-        return F.flatten(F.array(*[of_rule(i, r) for i, r in enumerate(ordered)]))
+    def of_rule(i: int, rule: Rule, fired: Sql) -> Sql:
+        row = lambda m: struct(
+            rule_id=text(rule.id), rule_order=str(i + 1), line_no=f"{m}.line_no",
+            severity=text(rule.severity), raw=f"{m}.raw",
+        )
+        return transform(gated(rule, i, fired, o), row)
 
-    rows = files.select("file_id", F.inline_outer(let(events(F.col("marks")), kept_events)))
-    return rows.filter(F.col("rule_id").isNotNull())
+    all_rules = lambda fired: f"flatten(array({', '.join(of_rule(i, r, fired) for i, r in enumerate(ordered))}))"
+    rows = files.select("file_id", F.expr(f"inline_outer({let(events('marks'), all_rules)})"))
+    return rows.filter("rule_id IS NOT NULL")

@@ -8,95 +8,80 @@ only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import comments as C
-from tracewell.functions.text import has_text, let, prefix_length, split_lines
+from tracewell.functions.sql import Sql, case, is_in, let, struct, text, transform, where
+from tracewell.functions.text import has_text, prefix_length, split_lines
 from tracewell.options import PYTHON_EXTENSION, ScanOptions
 
+_CODE = {"shell": C.shell_code, "python": C.python_code, "block": C.block_code}
+_SYMBOL = {"python": C.python_symbol, "block": C.block_symbol}
+_MASK = {"python": ("[dsb]", C.python_mask), "block": ("[ob]", C.block_mask)}
+_NO_MASK = "CAST(array() AS array<string>)"
+
 
-def _dialects(o: ScanOptions) -> dict[str, list[str]]:
-    """Per extension, the comment dialects that apply, in the order they are applied."""
-    found: dict[str, list[str]] = {}
+def comment_rounds(o: ScanOptions) -> list[dict[str, list[str]]]:
+    """``[{dialect: extensions}]`` in the order they are applied. One round, unless settings put
+    an extension in two dialects."""
+    dialects: dict[str, list[str]] = {}
     for name, exts in (
         ("shell", o.shell_extensions),
         ("python", [PYTHON_EXTENSION]),
         ("block", o.block_comment_extensions),
     ):
         for ext in dict.fromkeys(exts):
-            found.setdefault(ext, []).append(name)
-    return found
-
-
-def comment_rounds(o: ScanOptions) -> list[dict[str, list[str]]]:
-    """``[{dialect: extensions}]``. One round, unless an extension is in two dialects."""
-    dialects = _dialects(o)
-    depth = max((len(d) for d in dialects.values()), default=0)
-    rounds = []
-    for i in range(depth):
-        plan: dict[str, list[str]] = {}
-        for ext, names in dialects.items():
-            if i < len(names):
-                plan.setdefault(names[i], []).append(ext)
-        rounds.append(plan)
+            dialects.setdefault(ext, []).append(name)
+    rounds: list[dict[str, list[str]]] = []
+    for ext, names in dialects.items():
+        for i, name in enumerate(names):
+            if i == len(rounds):
+                rounds.append({})
+            rounds[i].setdefault(name, []).append(ext)
     return rounds
 
 
-_CODE = {"shell": C.shell_code, "python": C.python_code, "block": C.block_code}
-_SYMBOL = {"python": C.python_symbol, "block": C.block_symbol}
-_MASK = {"python": ("[dsb]", C.python_mask), "block": ("[ob]", C.block_mask)}
-
+def _numbered(lines: Sql) -> Sql:
+    return f"transform({lines}, (x, i) -> {struct(line_no='i + 1', raw='x', code='x', sym=text('n'))})"
 
-def _line(line_no: Column, raw: Column, code: Column, sym: Column) -> Column:
-    return F.struct(line_no.alias("line_no"), raw.alias("raw"), code.alias("code"), sym.alias("sym"))
 
-
-def _cut_comments(lines: Column, plan: dict[str, list[str]]) -> Column:
+def _cut_comments(lines: Sql, plan: dict[str, list[str]]) -> Sql:
     """Each line on its own: code without comments, and its symbol."""
 
-    def with_dialect(name: str | None) -> Column:
-        def cut(x: Column) -> Column:
-            code = _CODE[name](x.raw, x.code) if name else x.code
-            sym = _SYMBOL[name](x.code) if name in _SYMBOL else F.lit("n")
-            return _line(x.line_no, x.raw, code, sym)
-
-        return F.transform(lines, cut)
+    def with_dialect(name: str) -> Sql:
+        return transform(
+            lines,
+            lambda x: struct(
+                line_no=f"{x}.line_no",
+                raw=f"{x}.raw",
+                code=_CODE[name](f"{x}.raw", f"{x}.code"),
+                sym=_SYMBOL[name](f"{x}.code") if name in _SYMBOL else "'n'",
+            ),
+        )
 
-    branches = None
-    for name, exts in plan.items():
-        test = F.col("ext").isin(exts)
-        branches = (F if branches is None else branches).when(test, with_dialect(name))
-    plain = with_dialect(None)
-    return plain if branches is None else branches.otherwise(plain)
+    return case(*[(is_in("ext", exts), with_dialect(name)) for name, exts in plan.items()], default=lines)
 
 
-def _masks(lines: Column, plan: dict[str, list[str]]) -> Column:
+def _masks(lines: Sql, plan: dict[str, list[str]]) -> Sql:
     """One '1' per hidden line, or an empty array where the file has no multi-line comment."""
-    none = F.array().cast("array<string>")
-    symbols = C.symbols_of(lines)
-    branches = None
-
-    def masked(trigger: str, mask) -> Column:
-        return let(symbols, lambda s: F.when(s.rlike(trigger), mask(s)).otherwise(none))
-
-    for name, (trigger, mask) in _MASK.items():
-        if name in plan:
-            found = masked(trigger, mask)
-            branches = (F if branches is None else branches).when(F.col("ext").isin(plan[name]), found)
-    return none if branches is None else branches.otherwise(none)
 
+    def masked(trigger: str, mask) -> Sql:
+        return let(
+            C.symbols_of(lines), lambda s: case((f"rlike({s}, {text(trigger)})", mask(s)), default=_NO_MASK)
+        )
 
-def _numbered(lines: Column) -> Column:
-    return F.transform(lines, lambda x, i: _line((i + 1).cast("int"), x, x, F.lit("n")))
+    return case(
+        *[(is_in("ext", plan[name]), masked(*how)) for name, how in _MASK.items() if name in plan], default=_NO_MASK
+    )
 
 
-def _without_hidden(lines: Column, masks: Column) -> Column:
-    shown = F.zip_with(lines, masks, lambda x, m: F.when(F.coalesce(m, F.lit("0")) == "0", x))
-    return F.filter(shown, lambda x: x.isNotNull() & has_text(x.code))
+def _without_hidden(lines: Sql, masks: Sql) -> Sql:
+    shown = f"zip_with({lines}, {masks}, (x, m) -> CASE WHEN m = '1' THEN NULL ELSE x END)"
+    return where(shown, lambda x: f"{x} IS NOT NULL AND {has_text(f'{x}.code')}")
 
 
-def with_kept_lines(files: DataFrame, o: ScanOptions, strip_comments: bool = True) -> DataFrame:
+def with_kept_lines(files: DataFrame, o: ScanOptions) -> DataFrame:
     """Replaces ``text`` by ``kept array<struct<line_no, raw, code, sym>>``: lines that still have
     text once comments are cut, down to where the scan bails out.
 
@@ -104,36 +89,35 @@ def with_kept_lines(files: DataFrame, o: ScanOptions, strip_comments: bool = Tru
     Catalyst keeps such projections apart instead of evaluating the array again.
     """
     others = [c for c in files.columns if c != "text"]
-    step = files.select(*others, _numbered(split_lines(F.col("text"))).alias("_lines"))
-    for plan in comment_rounds(o) if strip_comments else [{}]:
-        step = step.select(*others, _cut_comments(F.col("_lines"), plan).alias("_lines"))
-        step = step.select(*others, _without_hidden(F.col("_lines"), _masks(F.col("_lines"), plan)).alias("_lines"))
+    step = files.select(*others, F.expr(_numbered(split_lines("text"))).alias("_lines"))
+    for plan in comment_rounds(o):
+        step = step.select(*others, F.expr(_cut_comments("_lines", plan)).alias("_lines"))
+        step = step.select(*others, F.expr(_without_hidden("_lines", _masks("_lines", plan))).alias("_lines"))
     return bail_out(step.withColumnRenamed("_lines", "kept"), o)
 
 
-def bail_out(files: DataFrame, o: ScanOptions, column: str = "kept") -> DataFrame:
-    """The leading lines of ``column`` until the line or character limit is reached."""
+def bail_out(files: DataFrame, o: ScanOptions) -> DataFrame:
+    """The leading lines of ``kept`` until the line or character limit is reached."""
     if o.no_bail_out:
         return files
-    n = prefix_length(F.col(column), lambda x: F.length(x.raw), o.max_lines_file_scan, o.max_chars_file_scan)
-    return files.withColumn(column, F.slice(column, F.lit(1), n))
+    n = prefix_length("kept", lambda x: f"length({x}.raw)", o.max_lines_file_scan, o.max_chars_file_scan)
+    return files.withColumn("kept", F.expr(f"slice(kept, 1, {n})"))
 
 
 def kept_lines(files: DataFrame) -> DataFrame:
     """One row per kept line, ``(…file columns, line_no, raw, code)``."""
     others = [c for c in files.columns if c != "kept"]
-    rows = files.select(*others, F.inline_outer("kept")).drop("sym")
-    return rows.filter(F.col("line_no").isNotNull())
+    return files.select(*others, F.inline_outer("kept")).drop("sym").filter("line_no IS NOT NULL")
 
 
 def raw_lines(files: DataFrame) -> DataFrame:
     """Every line of every file, ``(…file columns, line_no, raw)``."""
     others = [c for c in files.columns if c != "text"]
-    rows = files.select(*others, F.posexplode_outer(split_lines(F.col("text"))).alias("pos", "raw"))
-    return rows.filter(F.col("raw").isNotNull()).select(*others, (F.col("pos") + 1).cast("int").alias("line_no"), "raw")
+    rows = files.select(*others, F.posexplode_outer(F.expr(split_lines("text"))).alias("pos", "raw"))
+    return rows.filter("raw IS NOT NULL").select(*others, F.expr("pos + 1").alias("line_no"), "raw")
 
 
-def file_text(kept: Column, max_chars: int | None) -> Column:
+def file_text(kept: Sql, max_chars: int | None) -> Sql:
     """Original text of the kept lines; cut where the scan bails out."""
-    text = F.array_join(F.transform(kept, lambda x: x.raw), "\n")
-    return text if max_chars is None else F.substring(text, 1, max_chars)
+    joined = f"array_join({transform(kept, lambda x: f'{x}.raw')}, {text(chr(10))})"
+    return joined if max_chars is None else f"substring({joined}, 1, {max_chars})"

@@ -2,88 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.regex import matches
+from tracewell.functions.regex import Line, folds, matches
+from tracewell.functions.sql import Sql, array, case, contains, present, text
 from tracewell.functions.text import strip, truncate
 from tracewell.operators.hits import HIT_COLUMNS, ORIGIN_COLUMNS, hit_struct
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Pack, Packs
 
 
-def pattern_tests(code: Column, lowered: Column, pack: Pack) -> list[Column]:
+def pattern_tests(line: Line, pack: Pack) -> list[Sql]:
     """One boolean per pattern, plain ones first."""
-    plain = [F.contains(lowered, F.lit(p.lower())) for p in pack.plain]
-    return plain + [matches(code, p, ignore_case=True) for p in pack.regex]
+    plain = [contains(line.lower, p.lower()) for p in pack.plain]
+    return plain + [matches(line, p, ignore_case=True) for p in pack.regex]
 
 
-def first_match(code: Column, lowered: Column, pack: Pack) -> Column:
+def first_match(line: Line, pack: Pack) -> Sql:
     """Index of the first pattern that matches, null if none does."""
-    tests = pattern_tests(code, lowered, pack)
-    if not tests:
-        return F.lit(None).cast("int")
-    return F.coalesce(*[F.when(t, i) for i, t in enumerate(tests)])
+    tests = pattern_tests(line, pack)
+    return case(*[(t, str(i)) for i, t in enumerate(tests)], default="CAST(NULL AS INT)")
 
 
-def all_matches(code: Column, lowered: Column, pack: Pack) -> Column:
+def every_match(line: Line, pack: Pack) -> Sql:
     """Indexes of all patterns that match."""
-    tests = pattern_tests(code, lowered, pack)
-    if not tests:
-        return F.array().cast("array<int>")
-    return F.array_compact(F.array(*[F.when(t, i) for i, t in enumerate(tests)]))
-
-
-def _by_kind(packs: Packs, build) -> Column:
-    column = None
-    for kind, pack in packs.by_kind().items():
-        column = (F if column is None else column).when(F.col("scan_kind") == kind, build(pack))
-    return column
-
+    return present([case((t, str(i))) for i, t in enumerate(pattern_tests(line, pack))], "int")
 
-def first_match_by_kind(code: Column, packs: Packs, lowered: Column) -> Column:
-    """``first_match`` in the pack for the file's ``scan_kind``."""
-    return _by_kind(packs, lambda pack: first_match(code, lowered, pack))
 
+def by_kind(packs: Packs, build: Callable[[Pack], Sql]) -> Sql:
+    """``build`` of the pack that serves the file."""
+    return case(*[(f"scan_kind = {text(kind)}", build(pack)) for kind, pack in packs.by_kind().items()])
 
-def pattern_name(packs: Packs, index: Column) -> Column:
-    return _by_kind(packs, lambda pack: F.element_at(F.array(*map(F.lit, pack.patterns or ("",))), index + 1))
 
+def pattern_hit(line: Sql, index: Sql, packs: Packs, o: ScanOptions) -> Sql:
+    def name(pack: Pack) -> Sql:
+        return f"try_element_at({array(map(text, pack.patterns), 'string')}, {index} + 1)"
 
-def pattern_type(packs: Packs, index: Column) -> Column:
-    return _by_kind(packs, lambda pack: F.when(index < len(pack.plain), "normal").otherwise("regex"))
-
-
-def pattern_hit(line: Column, index: Column, packs: Packs, o: ScanOptions) -> Column:
     return hit_struct(
         stage="pattern",
-        hits=F.lit(1),
-        pattern_or_rule=pattern_name(packs, index),
-        type_or_severity=pattern_type(packs, index),
-        line_number=line.line_no,
-        line=truncate(strip(line.raw), o.max_line_length),
+        hits="1",
+        pattern_or_rule=by_kind(packs, name),
+        type_or_severity=by_kind(packs, lambda pack: case((f"{index} < {len(pack.plain)}", "'normal'"), default="'regex'")),
+        line_number=f"{line}.line_no",
+        line=truncate(strip(f"{line}.raw"), o.max_line_length),
     )
 
 
+def with_line_columns(lines: DataFrame) -> tuple[DataFrame, Line]:
+    """Adds what tests of a line share."""
+    rows = lines.withColumns({"_lower": F.lower("code"), "_folds": F.expr(folds("code"))})
+    return rows, Line("code", "_lower", "_folds")
+
+
 def pattern_hits(lines: DataFrame, packs: Packs, o: ScanOptions, mode: str = "first") -> DataFrame:
     """Hits on ``kept_lines``. ``first``: at most one per line, the first pattern in list order;
     ``all``: one per matching pattern."""
-    rows = lines.withColumn("_lc", F.lower("code"))
-    code, lowered = F.col("code"), F.col("_lc")
+    rows, line = with_line_columns(lines)
     if mode == "first":
-        found = rows.withColumn("_i", _by_kind(packs, lambda pack: first_match(code, lowered, pack)))
+        index = by_kind(packs, lambda pack: first_match(line, pack))
     elif mode == "all":
-        every = _by_kind(packs, lambda pack: all_matches(code, lowered, pack))
-        found = rows.withColumn("_i", F.explode_outer(every))
+        index = f"explode_outer({by_kind(packs, lambda pack: every_match(line, pack))})"
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    found = found.filter(F.col("_i").isNotNull())
-    hit = pattern_hit(F.struct("line_no", "raw"), F.col("_i"), packs, o)
-    return (
-        found.select(F.col("path").alias("file"), "scope", hit.alias("h"))
-        .select("file", "scope", "h.*")
-        .select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
+    found = rows.select("path", "scope", "scan_kind", F.struct("line_no", "raw").alias("_line"), F.expr(index).alias("_i"))
+    hits = found.filter("_i IS NOT NULL").select(
+        F.col("path").alias("file"), "scope", F.expr(pattern_hit("_line", "_i", packs, o)).alias("h")
     )
+    return hits.select("file", "scope", "h.*").select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
 
 
 def pattern_table_hits(lines: DataFrame, patterns: DataFrame, n: int = 4) -> DataFrame:
@@ -98,13 +86,13 @@ def pattern_table_hits(lines: DataFrame, patterns: DataFrame, n: int = 4) -> Dat
     wanted = patterns.select("pattern", F.lower("pattern").alias("_p")).distinct()
     text = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
 
-    filed = wanted.filter(F.length("_p") >= n).select("pattern", "_p", F.explode(_grams(F.col("_p"), n)).alias("_g"))
+    filed = wanted.filter(F.length("_p") >= n).select("pattern", "_p", F.explode(_grams("_p", n)).alias("_g"))
     share = filed.groupBy("_g").agg(F.count("*").alias("_w"))
     rarest = filed.join(share, "_g").groupBy("pattern", "_p").agg(F.min_by("_g", F.struct("_w", "_g")).alias("_g"))
-    pieces = text.select("*", F.explode(F.array_distinct(_grams(F.col("_lc"), n))).alias("_g"))
-    long = pieces.join(rarest, "_g").filter(F.contains("_lc", F.col("_p")))
+    pieces = text.select("*", F.explode(F.array_distinct(_grams("_lc", n))).alias("_g"))
+    long = pieces.join(rarest, "_g").filter(F.contains("_lc", "_p"))
 
-    short_grams = F.flatten(F.array(*[_grams(F.col("_lc"), k) for k in range(1, n)]))
+    short_grams = F.flatten(F.array(*[_grams("_lc", k) for k in range(1, n)]))
     short_pieces = text.select("file_id", "line_no", F.explode(F.array_distinct(short_grams)).alias("_p"))
     short = short_pieces.join(wanted.filter(F.length("_p") < n), "_p")
 
@@ -112,8 +100,6 @@ def pattern_table_hits(lines: DataFrame, patterns: DataFrame, n: int = 4) -> Dat
     return long.select(columns).unionByName(short.select(columns))
 
 
-def _grams(c: Column, n: int) -> Column:
+def _grams(c: str, n: int):
     """Windows of ``n`` characters."""
-    count = F.greatest(F.length(c) - (n - 1), F.lit(0))
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
+    return F.expr(f"transform(sequence(1, greatest(length({c}) - {n - 1}, 1)), i -> substring({c}, i, {n}))")

@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.sql import Sql, case, text
 from tracewell.functions.text import csv_value
+from tracewell.operators.files import relevant_files
 from tracewell.options import TRUNCATION_MARK, ScanOptions
 
 SCOPES = ["project", "local_cache", "global_cache"]
 STAGES = ["filename", "pattern", "line_rule", "file_rule"]
 
 
-def _position(c: str, order: list[str]) -> Column:
-    return F.array_position(F.array(*map(F.lit, order)), F.col(c))
+def _position(c: str, order: list[str]) -> Sql:
+    return f"array_position(array({', '.join(map(text, order))}), {c})"
 
 
 def pivot(hits: DataFrame) -> DataFrame:
     """Hit records per pattern or rule, with the type seen first (scope, file, stage, line, rule).
     Aggregates before its only exchange, so a pattern that dominates costs no more than others."""
-    first = F.struct(_position("scope", SCOPES), "file", _position("stage", STAGES), "line_number", "seq")
+    place = f"struct({_position('scope', SCOPES)}, file, {_position('stage', STAGES)}, line_number, seq)"
     return hits.groupBy("pattern_or_rule").agg(
-        F.min_by("type_or_severity", first).alias("type_or_severity"),
-        F.count("*").alias("hits"),
+        F.expr(f"min_by(type_or_severity, {place})").alias("type_or_severity"), F.count("*").alias("hits")
     )
 
 
 def scope_summary(hits: DataFrame, files: DataFrame, o: ScanOptions) -> DataFrame:
     """Per scope: hits of each stage, all hits, and relevant files."""
-    from tracewell.operators.files import relevant_files
-
     counts = hits.groupBy("scope").agg(
         *[F.count_if(F.col("stage") == s).alias(f"{s}_hits") for s in STAGES], F.count("*").alias("total_hits")
     )
@@ -42,18 +41,16 @@ def csv_columns(hits: DataFrame, o: ScanOptions) -> DataFrame:
     """The report's columns as they stand in the file. The line of a pattern hit is cut after its
     quotes are doubled; as it was cut before that already, length tells whether it was longer."""
     n = o.max_line_length
-    line = F.col("line")
-    was_cut = (F.col("stage") == "pattern") & (F.length(line) > n)
-    doubled = F.replace(F.substring(line, 1, n), F.lit('"'), F.lit('""'))
-    long_line = F.concat(F.lit('"'), F.substring(doubled, 1, n), F.lit(TRUNCATION_MARK), F.lit('"'))
-    text = F.when(F.col("stage") == "pattern", csv_value(line, n)).otherwise(csv_value(line, remove_line_feed=False))
+    doubled = f"""replace(substring(line, 1, {n}), '"', '""')"""
+    long_line = f"""concat('"', substring({doubled}, 1, {n}), {text(TRUNCATION_MARK)}, '"')"""
+    line = case(
+        (f"stage = 'pattern' AND length(line) > {n}", long_line),
+        ("stage = 'pattern'", csv_value("line", n)),
+        default=csv_value("line", remove_line_feed=False),
+    )
+    quoted = lambda c: F.expr(csv_value(c)).alias(c)
     return hits.select(
-        csv_value(F.col("file")).alias("file"),
-        "hits",
-        csv_value(F.col("pattern_or_rule")).alias("pattern_or_rule"),
-        csv_value(F.col("type_or_severity")).alias("type_or_severity"),
-        csv_value(F.col("rule_id")).alias("rule_id"),
-        csv_value(F.col("rule_type")).alias("rule_type"),
-        "line_number",
-        F.when(was_cut, long_line).otherwise(text).alias("line"),
+        quoted("file"), "hits", quoted("pattern_or_rule"), quoted("type_or_severity"), quoted("rule_id"),
+        quoted("rule_type"), "line_number", F.expr(line).alias("line"),
     )
+

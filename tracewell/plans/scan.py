@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracewell.functions.text import decode_text
-from tracewell.operators.file_rules import file_rule_hit_array, file_rules, text_for_rules
-from tracewell.operators.files import filename_hits, relevant_files
+from tracewell.operators.file_rules import file_rule_hit_array, needs_text, with_file_text
+from tracewell.operators.files import filename_hits, relevant_files, with_text
 from tracewell.operators.hits import all_hits, explode_hits
 from tracewell.operators.line_rules import line_rule_hit_array, pattern_hit_array, with_marks
 from tracewell.operators.lines import with_kept_lines
@@ -18,30 +16,18 @@ from tracewell.sources.rules import Rule
 FILE_COLUMNS = ["file_id", "scope", "path", "basename", "ext", "parent"]
 
 
-def with_text(files: DataFrame) -> DataFrame:
-    """Files with ``text``, decoded from ``content`` where they come as bytes."""
-    if "text" in files.columns:
-        return files
-    return files.withColumn("text", decode_text(F.col("content"))).drop("content")
-
-
 def prepare(files: DataFrame, o: ScanOptions) -> DataFrame:
     """Relevant files with their kept lines."""
-    relevant = relevant_files(with_text(files), o).select(*FILE_COLUMNS, "scan_kind", "text")
-    return with_kept_lines(relevant, o)
+    relevant = relevant_files(files, o)
+    return with_kept_lines(with_text(relevant).select(*FILE_COLUMNS, "scan_kind", "text"), o)
 
 
 def scan_prepared(prepared: DataFrame, packs: Packs, rules: list[Rule], o: ScanOptions) -> DataFrame:
     step = with_marks(prepared, packs, rules, o)
-    with_texts = any(r.type.startswith("obfuscation") for r in file_rules(rules, o))
-    if with_texts:
-        step = step.withColumn("_text", text_for_rules(F.col("kept"), o))
-    hits = F.concat(
-        pattern_hit_array(packs, o),
-        line_rule_hit_array(rules, o),
-        file_rule_hit_array(rules, o, F.col("_text") if with_texts else None),
-    )
-    return explode_hits(step.select("path", "scope", hits.alias("_hits")), "_hits")
+    if needs_text(rules, o):
+        step = with_file_text(step, o)
+    parts = [pattern_hit_array(packs, o), line_rule_hit_array(rules, o), file_rule_hit_array(rules, o)]
+    return explode_hits(step, f"concat({', '.join(parts)})")
 
 
 def scan(files: DataFrame, packs: Packs, rules: list[Rule] = (), o: ScanOptions = ScanOptions()) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.regex import check_pattern
+from tracewell.functions.sql import Sql, case, let, text
 from tracewell.functions.text import strip
 from tracewell.operators.ranking import with_row_number
 
@@ -44,19 +45,19 @@ class Packs:
         return {"content": self.content, "shell": self.shell}
 
 
-def pattern_of_line(line: Column) -> Column:
+def pattern_of_line(line: Sql) -> Sql:
     """The pattern a list line holds, null if it holds none: text before the first '#', without
     outer blanks, without one pair of quotes (blanks inside the quotes count)."""
-    text = strip(F.substring_index(line, "#", 1))
-    quoted = text.startswith('"') & text.endswith('"')
-    inner = F.when(quoted, F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text)
-    return F.nullif(inner, F.lit(""))
+    inner = lambda t: case(
+        (f"""startswith({t}, '"') AND endswith({t}, '"')""", f"substring({t}, 2, greatest(length({t}) - 2, 0))"), default=t
+    )
+    return f"nullif({let(strip(f'substring_index({line}, {text(chr(35))}, 1)'), inner)}, '')"
 
 
 def parse_pattern_lines(lines: DataFrame) -> DataFrame:
     """``lines(pack, kind, line_no, line)`` -> ``patterns(pack, kind, ord, pattern)``; ``ord`` is
     the pattern's place among its list's patterns."""
-    found = lines.withColumn("pattern", pattern_of_line(F.col("line"))).filter(F.col("pattern").isNotNull())
+    found = lines.withColumn("pattern", F.expr(pattern_of_line("line"))).filter("pattern IS NOT NULL")
     ranked = with_row_number(found, "ord", "line_no", partition=["pack", "kind"])
     return ranked.select("pack", "kind", F.col("ord").cast("int").alias("ord"), "pattern")
 
@@ -71,7 +72,7 @@ def read_patterns(spark: SparkSession, path: str) -> list[str]:
     rows = spark.read.text(path, wholetext=True).select(
         F.posexplode(F.split("value", "\r\n|\n|\r")).alias("n", "line")
     )
-    parsed = rows.select("n", pattern_of_line(F.col("line")).alias("p")).filter(F.col("p").isNotNull())
+    parsed = rows.select("n", F.expr(pattern_of_line("line")).alias("p")).filter("p IS NOT NULL")
     return [r.p for r in sorted(parsed.collect(), key=lambda r: r.n)]
 
 

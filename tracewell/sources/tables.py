@@ -1,4 +1,4 @@
-"""Reading corpora that are kept as tables."""
+"""Corpora that are kept as tables."""
 
 from __future__ import annotations
 
@@ -12,15 +12,15 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
-def read_corpus_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table of texts, for work that is heavy per byte.
+def spread_small(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """Deal out rows of small tables evenly over the cores, for work that is heavy per byte.
 
     A task reads whole row groups, so a small table in one row group would keep a single core
-    busy. A table below 128 MB per core is dealt out evenly first; that bounds the exchange, and
-    above it the table has row groups enough and is read as it lies.
+    busy. Below 128 MB stored per core the rows are dealt out first, which bounds the exchange;
+    above it the tables have row groups enough and are read as they lie.
     """
-    table = spark.read.parquet(path)
+    spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if stored_bytes(spark, path) < cores * BYTES_PER_CORE:
-        return table.repartition(cores)
-    return table
+    if sum(stored_bytes(spark, p) for p in paths) < cores * BYTES_PER_CORE:
+        return rows.repartition(cores)
+    return rows
