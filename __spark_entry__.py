@@ -12,7 +12,7 @@ from oracle.sql import ORACLES
 from tracewell.functions import checks
 from tracewell.functions.text import decode_text
 from tracewell.operators import file_rules, files as fo, line_rules, lines as lo, patterns as po, report, rules as ro
-from tracewell.operators.hits import explode_hits, report_columns
+from tracewell.operators.hits import explode_hits, keep_where, report_columns
 from tracewell.options import ScanOptions
 from tracewell.plans.catalog import catalog, pattern_list_lines
 from tracewell.plans.corpus import STARTER_PACKS, STARTER_RULES, corpus
@@ -203,10 +203,8 @@ def _keyword_rule(name):
 
 
 def obf_strings_line(spark, sf):
-    """Scores above 0 only; the test is on an exploded column, so it is not pushed below it."""
-    score = checks.obfuscation_score("code", "ext")
-    scored = _lines(spark, sf).select("file_id", "line_no", F.explode(F.array(F.expr(score))).alias("score"))
-    return scored.filter("score > 0")
+    scored = _lines(spark, sf).withColumn("score", F.expr(checks.obfuscation_score("code", "ext")))
+    return keep_where(scored, "score > 0").select("file_id", "line_no", "score")
 
 
 def fallback_gate(spark, sf):
@@ -249,7 +247,7 @@ def file_keyword(spark, sf):
 
 
 def minified_files(spark, sf):
-    return _kept(spark, sf).filter(file_rules.is_minified(OPTIONS)).select("file_id", "ext")
+    return keep_where(_kept(spark, sf), file_rules.is_minified(OPTIONS)).select("file_id", "ext")
 
 
 def obf_strings_file(spark, sf):

@@ -57,6 +57,13 @@ def explode_hits(files: DataFrame, hits: Sql) -> DataFrame:
     return rows.filter("hits IS NOT NULL").select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
 
 
+def keep_where(rows: DataFrame, test: Sql) -> DataFrame:
+    """Filter on something expensive to derive. A plain filter would be pushed below the
+    projections it reads and evaluate them again; one on a generated column stays where it is."""
+    tested = rows.select("*", F.expr(f"explode_outer(array({test}))").alias("_keep"))
+    return tested.filter("_keep").drop("_keep")
+
+
 def report_columns(hits: DataFrame) -> DataFrame:
     return hits.select(*HIT_COLUMNS)
 

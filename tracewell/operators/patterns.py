@@ -14,6 +14,8 @@ from tracewell.operators.hits import HIT_COLUMNS, ORIGIN_COLUMNS, hit_struct
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Pack, Packs
 
+BROADCAST_PATTERNS = 200_000
+
 
 def pattern_tests(line: Line, pack: Pack) -> list[Sql]:
     """One boolean per pattern, plain ones first."""
@@ -78,28 +80,29 @@ def pattern_table_hits(lines: DataFrame, patterns: DataFrame, n: int = 4) -> Dat
     """All plain matches of a pattern table too large to compile, as ``(file_id, line_no, pattern)``.
 
     Every pattern is filed under the one of its ``n``-grams that fewest patterns share, a line meets
-    the patterns filed under its own grams, and ``contains`` settles it. The equi-join leaves the
-    choice of strategy to the optimizer: with a table below the broadcast threshold lines do not
-    move at all, and above it adaptive execution splits partitions of common grams. A pattern
-    shorter than ``n`` is its own gram; that branch is dropped at run time when there is none.
+    the patterns filed under its own grams, and ``contains`` settles it. A table counted to be
+    small is broadcast, so lines do not move at all; a larger one is joined by gram, where adaptive
+    execution splits the partitions of common grams. A pattern shorter than ``n`` is its own gram;
+    that branch is dropped at run time when there is none.
     """
     wanted = patterns.select("pattern", F.lower("pattern").alias("_p")).distinct()
-    text = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
+    texts = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
 
-    filed = wanted.filter(F.length("_p") >= n).select("pattern", "_p", F.explode(_grams("_p", n)).alias("_g"))
+    filed = wanted.filter(F.length("_p") >= n).select("pattern", "_p", _grams("_p", n).alias("_g"))
     share = filed.groupBy("_g").agg(F.count("*").alias("_w"))
+    place = F.broadcast if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else lambda side: side
     rarest = filed.join(share, "_g").groupBy("pattern", "_p").agg(F.min_by("_g", F.struct("_w", "_g")).alias("_g"))
-    pieces = text.select("*", F.explode(F.array_distinct(_grams("_lc", n))).alias("_g"))
-    long = pieces.join(rarest, "_g").filter(F.contains("_lc", "_p"))
+    pieces = texts.select("*", _grams("_lc", n).alias("_g"))
+    long = pieces.join(place(rarest), "_g").filter(F.contains("_lc", "_p"))
 
-    short_grams = F.flatten(F.array(*[_grams("_lc", k) for k in range(1, n)]))
-    short_pieces = text.select("file_id", "line_no", F.explode(F.array_distinct(short_grams)).alias("_p"))
-    short = short_pieces.join(wanted.filter(F.length("_p") < n), "_p")
+    short_pieces = texts.select("file_id", "line_no", _grams("_lc", *range(1, n)).alias("_p"))
+    short = short_pieces.join(place(wanted.filter(F.length("_p") < n)), "_p")
 
     columns = ["file_id", "line_no", "pattern"]
     return long.select(columns).unionByName(short.select(columns))
 
 
-def _grams(c: str, n: int):
-    """Windows of ``n`` characters."""
-    return F.expr(f"transform(sequence(1, greatest(length({c}) - {n - 1}, 1)), i -> substring({c}, i, {n}))")
+def _grams(c: str, *sizes: int):
+    """Distinct windows of the given sizes, each size in one pass over the text."""
+    windows = [f"regexp_extract_all({c}, {text(f'(?s)(?=(.{{{n}}}))')}, 1)" for n in sizes]
+    return F.expr(f"explode_outer(array_distinct(concat({', '.join(windows)})))")
