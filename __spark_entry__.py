@@ -145,7 +145,7 @@ def ngram_pattern_hits(spark, sf):
     words = spark.read.parquet(f"{sf}/benchmark.parquet").select(
         F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0)).alias("pattern")
     )
-    found = po.pattern_table_hits(_lines(spark, sf), words.distinct())
+    found = po.pattern_table_hits(_lines(spark, sf), words.distinct(), n=6)
     return found.groupBy("file_id", "line_no").agg(
         F.count("*").alias("patterns"), F.min("pattern").alias("first_pattern"), F.max("pattern").alias("last_pattern")
     )
