@@ -21,7 +21,7 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     """The same pattern for ``rlike``: Unicode classes, only ``\\n`` ends a line, named groups
     and the end anchor in Java spelling. MULTILINE needs nothing, as tests see one line each."""
     named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    named = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\\k<{m[1].replace('_', '')}>", named)
+    named = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", named)
     named = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
     return f"(?dU{'i' if ignore_case else ''}){named}"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracewell.functions.regex import check_pattern
 from tracewell.operators.ranking import with_row_number
@@ -149,7 +150,7 @@ def rule_keywords(rules: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _pattern_problem(patterns: pd.Series) -> pd.Series:
     return patterns.map(check_pattern)
 

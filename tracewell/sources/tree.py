@@ -6,6 +6,11 @@ as a table of ``(path, content)`` rows, which every operator takes as well.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +56,71 @@ def _read(spark: SparkSession, roots: dict[str, list[str]], glob: str | None) ->
     return with_path_columns(files.withColumn("path", local)).withColumn("file_id", F.col("path"))
 
 
+def _entries(directory: str) -> tuple[list[str], list[tuple[str, str, int]]]:
+    """``(subdirectories, files)`` directly in a directory, a file as (path, name, length). On a
+    local disk links to files are resolved and links to directories are not entered."""
+    directories, files = [], []
+    if "://" in directory:
+        system, root = arrow_fs.FileSystem.from_uri(directory)
+        scheme = directory.split("://", 1)[0]
+        for info in system.get_file_info(arrow_fs.FileSelector(root)):
+            path = f"{scheme}://{info.path.lstrip('/')}" if system.type_name != "hdfs" else f"{scheme}://{info.path}"
+            if info.type == arrow_fs.FileType.Directory:
+                directories.append(path)
+            else:
+                files.append((path, info.base_name, info.size))
+        return directories, files
+    for entry in os.scandir(directory.removeprefix("file:")):
+        if entry.is_dir(follow_symlinks=False):
+            directories.append(entry.path)
+        elif entry.is_file():
+            files.append((os.path.realpath(entry.path), entry.name, entry.stat().st_size))
+    return directories, files
+
+
+def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            pending = [row.directory]
+            while pending:
+                directories, files = _entries(pending.pop())
+                if row.deep:
+                    pending += directories
+                if files:
+                    found = pd.DataFrame(files, columns=["path", "name", "length"])
+                    yield found.assign(scope=row.scope)
+
+
 def list_tree(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
-    """All files below ``{scope: [directories]}`` with their length, none of them opened.
-    Directories that do not exist are left out."""
-    return _read(spark, roots, None).select(*FILE_COLUMNS, "length")
+    """All files below ``{scope: [directories]}`` with their length, none of them opened, empty
+    ones included. Directories that do not exist are left out.
+
+    The driver only opens directories until there are some per core; tasks list the rest.
+    """
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    rows: list[tuple[str, str, bool]] = []
+    for scope, paths in roots.items():
+        frontier = _existing(spark, paths)
+        while frontier and len(frontier) < wanted:
+            rows += [(scope, d, False) for d in frontier]
+            frontier = [sub for d in frontier for sub in _entries(d)[0]]
+        rows += [(scope, d, True) for d in frontier]
+    if not rows:
+        raise ValueError(f"none of the directories exist: {roots}")
+    directories = spark.createDataFrame(rows, "scope string, directory string, deep boolean")
+    listed = directories.repartition(min(len(rows), wanted)).mapInPandas(
+        _list_below, "path string, name string, length bigint, scope string"
+    )
+    files = with_path_columns(listed).withColumns({"basename": F.col("name"), "file_id": F.col("path")})
+    return files.select(*FILE_COLUMNS, "length")
 
 
 def read_tree(
     spark: SparkSession, roots: dict[str, list[str]], o: ScanOptions = ScanOptions(), max_bytes: int = MAX_FILE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """``(files with content, scan_errors)`` of the files a scan reads. Size is tested on the
-    listing, so an oversized file is reported without being read."""
+    listing, so an oversized file is reported without being read. Empty files have no lines and
+    are not among them; ``list_tree`` has them."""
     files = _read(spark, roots, relevant_glob(o))
     fits = F.col("length") <= max_bytes
     errors = files.filter(~fits).select("file_id", F.lit("oversized").alias("reason"))
