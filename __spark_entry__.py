@@ -238,7 +238,8 @@ def file_text(spark, sf):
 
 def _file_rule_hits(spark, sf, names, o=OPTIONS):
     rules = [_rule(n) for n in names]
-    files = file_rules.with_file_text(_kept(spark, sf, o), o)
+    marked = line_rules.with_marks(_kept(spark, sf, o), None, rules, o)
+    files = file_rules.with_file_text(marked, o)
     return report_columns(explode_hits(files, file_rules.file_rule_hit_array(rules, o)))
 
 

@@ -86,7 +86,8 @@ def test_required_literals_never_lose_a_match():
 
 
 def test_java_spelling(spark):
-    cases = [(r"(?P<a_b>x)(?P=a_b)\Z", "yxx"), (r"\w\b", "é"), (r"a.b", "a\rb"), (r"\d", "٣")]
+    assert java_pattern(r"(^|[^a\$])x") == r"(?dU)(?<![a\$])()x"
+    cases = [(r"(^|[^b])(a)\2", "xaa"), (r"(?P<a_b>x)(?P=a_b)\Z", "yxx"), (r"\w\b", "é"), (r"a.b", "a\rb"), (r"\d", "٣")]
     for pattern, text in cases:
         assert re.search(pattern, text)
         row = spark.createDataFrame([(text,)], "t string").select(F.rlike("t", F.lit(java_pattern(pattern)))).first()

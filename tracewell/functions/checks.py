@@ -45,15 +45,23 @@ VARS_DEFAULTS = {
 
 
 def string_length(c: Sql, min_length: int = 0) -> Sql:
-    return f"(length({c}) >= {min_length})"
+    """Bytes are known without counting, and characters are never more than bytes."""
+    return f"(octet_length({c}) >= {min_length} AND length({c}) >= {min_length})"
+
+
+def _only(c: Sql, characters: str, min_length: int) -> Sql:
+    """The whole text is of these ASCII characters, none of them a blank. Most lines have a blank
+    near their start and go no further; in ASCII, bytes and characters are the same number."""
+    pattern = text(rf"\A[{characters}]++\z")
+    return f"(octet_length({c}) >= {min_length} AND NOT contains({c}, ' ') AND rlike({c}, {pattern}))"
 
 
 def base64_suspect(c: Sql, min_length: int = 0) -> Sql:
-    return rf"(length({c}) >= {min_length} AND rlike({c}, {text(r'\A[A-Za-z0-9+/=]++\z')}))"
+    return _only(c, "A-Za-z0-9+/=", min_length)
 
 
 def hex_suspect(c: Sql, min_length: int = 0) -> Sql:
-    return rf"(length({c}) >= {min_length} AND rlike({c}, {text(r'\A[0-9a-fA-F]++\z')}))"
+    return _only(c, "0-9a-fA-F", min_length)
 
 
 def path_access(c: Sql, paths: list[str]) -> Sql:

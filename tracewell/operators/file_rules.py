@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import checks
-from tracewell.functions.regex import with_line
 from tracewell.functions.sql import Sql, case, first, fold, is_in, let, present, text, transform, where
 from tracewell.functions.text import prefix_length, strip, truncate
 from tracewell.operators.hits import HIT_TYPE, hit_struct
-from tracewell.operators.line_rules import applies, obfuscated_strings
+from tracewell.operators.line_rules import applies, file_rules, obfuscated_strings
 from tracewell.operators.lines import file_text
 from tracewell.options import ScanOptions
-from tracewell.sources.rules import Rule, order_rules
+from tracewell.sources.rules import Rule
 
 # Texts of the report.
 FILE_RULE_PREFIX = "[heuristic file match]: "
@@ -24,10 +23,6 @@ MATCHED_HEADER = "Matched lines:\n"
 PREVIEW_HEADER = "Preview of matched lines (max. {n}):\n"
 
 
-def file_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
-    return [r for r in order_rules(rules, o.level) if r.scope == "file" and r.in_context(o.scan_context)]
-
-
 def is_minified(o: ScanOptions) -> Sql:
     """A script of one or two lines whose mean length is over the limit."""
     total = fold("kept", "0L", lambda acc, x: f"{acc} + length({x}.raw)", lambda acc: acc)
@@ -37,12 +32,10 @@ def is_minified(o: ScanOptions) -> Sql:
     )
 
 
-def keyword_lines(rule: Rule, o: ScanOptions) -> Sql:
-    """Distinct cut originals that meet the rule, in order of first appearance, up to the limits."""
-    groups, threshold = rule.keyword_groups(), rule.keyword_threshold()
-    found = where(
-        "kept", lambda x: with_line(f"{x}.raw", lambda line: checks.keyword_combination(line, groups, threshold))
-    )
+def keyword_lines(i: int, o: ScanOptions) -> Sql:
+    """Distinct cut originals that meet file rule ``i``, in order of first appearance, up to the
+    limits."""
+    found = where("marks", lambda m: f"array_contains({m}.file_rules, {i})")
     cut = f"array_distinct({transform(found, lambda x: truncate(f'{x}.raw', o.max_line_rule_hit_length))})"
     if o.no_bail_out:
         return cut
@@ -75,7 +68,8 @@ def needs_text(rules: list[Rule], o: ScanOptions) -> bool:
 
 
 def file_rule_hit_array(rules: list[Rule], o: ScanOptions) -> Sql:
-    """Hits of all file rules of a file, from ``kept`` and, if ``needs_text``, ``file_text``."""
+    """Hits of all file rules of a file, from ``kept``, ``marks`` and, if ``needs_text``,
+    ``file_text``."""
 
     def hit(i: int, rule: Rule) -> Sql:
         def build(hits: Sql, line: Sql) -> Sql:
@@ -93,13 +87,15 @@ def file_rule_hit_array(rules: list[Rule], o: ScanOptions) -> Sql:
 
         if rule.type == "keyword_combination":
             matched = lambda found: build(f"size({found})", keyword_preview(found, o))
-            result = let(keyword_lines(rule, o), lambda found: case((f"size({found}) > 0", matched(found))))
+            result = let(keyword_lines(i, o), lambda found: case((f"size({found}) > 0", matched(found))))
         elif rule.type == "obfuscation_strings":
             result = case((obfuscated_strings(rule, "file_text"), build("1", text(STRINGS_EVIDENCE))))
         else:
             result = case((checks.obfuscated_vars("file_text", rule.parameters), build("1", text(VARS_EVIDENCE))))
         file_test = applies(rule, o)
-        return result if file_test is None else case((file_test, result))
+        if file_test is None or rule.type == "keyword_combination":  # marks were made with the test
+            return result
+        return case((file_test, result))
 
     ordered = file_rules(rules, o)
     hits = present([hit(i, r) for i, r in enumerate(ordered)], HIT_TYPE)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import checks
-from tracewell.functions.regex import Line, with_line
+from tracewell.functions.regex import Line, folds, with_line
 from tracewell.functions.sql import Sql, array, case, first, is_in, let, present, struct, text, transform, where
 from tracewell.functions.text import strip, truncate
 from tracewell.operators.hits import HIT_TYPE, hit_struct
@@ -53,6 +53,10 @@ def line_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
     return [r for r in order_rules(rules, o.level) if r.scope == "line"]
 
 
+def file_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
+    return [r for r in order_rules(rules, o.level) if r.scope == "file" and r.in_context(o.scan_context)]
+
+
 def fired_rules(ordered: list[Rule], o: ScanOptions, line: Line) -> Sql:
     """Positions (in ``ordered``) of the rules that fire on a line, ascending."""
 
@@ -81,23 +85,43 @@ def line_rule_events(lines: DataFrame, rules: list[Rule], o: ScanOptions) -> Dat
     )
 
 
+def keyword_file_rules(rules: list[Rule], o: ScanOptions) -> list[tuple[int, Rule]]:
+    """File rules that look at one line at a time, with their place among the file rules."""
+    return [(i, r) for i, r in enumerate(file_rules(rules, o)) if r.type == "keyword_combination"]
+
+
+def _fired_file_rules(found: list[tuple[int, Rule]], o: ScanOptions, line: Line) -> Sql:
+    def fired(i: int, rule: Rule) -> Sql:
+        test = checks.keyword_combination(line, rule.keyword_groups(), rule.keyword_threshold())
+        file_test = applies(rule, o)
+        return case((test if file_test is None else f"{file_test} AND {test}", str(i)))
+
+    return present([fired(i, r) for i, r in found], "int")
+
+
 def with_marks(files: DataFrame, packs: Packs | None, rules: list[Rule], o: ScanOptions) -> DataFrame:
     """Adds ``marks``: the few kept lines of the file on which something fires, each with its
-    pattern index (null for none) and its rule positions. One pass over the lines; everything
-    after it works on the marks."""
-    ordered = line_rules(rules, o)
+    pattern index (null for none), its line rules' positions, and those of keyword file rules, which
+    test the original line. One pass over the lines; everything after it works on the marks."""
+    ordered, by_file = line_rules(rules, o), keyword_file_rules(rules, o)
 
     def mark(x: Sql) -> Sql:
         def tested(line: Line) -> Sql:
             pattern = "CAST(NULL AS INT)" if packs is None else by_kind(packs, lambda pack: first_match(line, pack))
+            lower = case((f"{x}.raw = {x}.code", line.lower), default=f"lower({x}.raw)")
+            original = lambda v: _fired_file_rules(by_file, o, Line(f"{x}.raw", v, folds(f"{x}.raw")))
             return struct(
-                line_no=f"{x}.line_no", raw=f"{x}.raw", pattern=pattern, rules=fired_rules(ordered, o, line)
+                line_no=f"{x}.line_no",
+                raw=f"{x}.raw",
+                pattern=pattern,
+                rules=fired_rules(ordered, o, line),
+                file_rules=let(lower, original) if by_file else "CAST(array() AS array<int>)",
             )
 
         return with_line(f"{x}.code", tested)
 
-    found = where(transform("kept", mark), lambda m: f"{m}.pattern IS NOT NULL OR size({m}.rules) > 0")
-    return files.withColumn("marks", F.expr(found))
+    fires = lambda m: f"{m}.pattern IS NOT NULL OR size({m}.rules) > 0 OR size({m}.file_rules) > 0"
+    return files.withColumn("marks", F.expr(where(transform("kept", mark), fires)))
 
 
 def pattern_hit_array(packs: Packs, o: ScanOptions) -> Sql:
