@@ -118,6 +118,28 @@ def test_bail_out_counts_kept_lines_only(spark):
     assert [c for _, c in lines] == [f"x{i}" for i in range(200)]
 
 
+@pytest.mark.parametrize("dialect, ext", [("python", ".py"), ("block", ".java"), ("none", ".rb")])
+def test_bail_out_of_long_files(spark, dialect, ext):
+    """Heads that reach a limit, heads that do not, and every kind of newline."""
+    rng = random.Random(8)
+    o = ScanOptions(max_lines_file_scan=3, max_chars_file_scan=25)
+    lines = ["x = 1", "# c", "", "  ", "/*", "*/ y", '"""', "z" * 9, "é // q"]
+    contents = {
+        f"f{i}{ext}": rng.choice(["\n", "\n", "\r\n", "\r"]).join(rng.choices(lines, k=rng.randint(0, 60))) for i in range(300)
+    }
+
+    def expected(text):
+        raws = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        left, chars = [], 0
+        for no, code in fold_lines(text, dialect):
+            if len(left) < 3 and chars < 25:
+                left.append((no, code))
+            chars += len(raws[no - 1])
+        return left
+
+    assert kept(spark, contents, o) == {p: expected(t) for p, t in contents.items()}
+
+
 def test_bail_out_keeps_the_crossing_line(spark):
     text = "a" * 15_000 + "\n" + "b" * 6_000 + "\n" + "c" * 10
     assert [no for no, _ in kept(spark, {"a.rb": text}, ScanOptions())["a.rb"]] == [1, 2]

@@ -81,27 +81,52 @@ def _without_hidden(lines: Sql, masks: Sql) -> Sql:
     return where(shown, lambda x: f"{x} IS NOT NULL AND {has_text(f'{x}.code')}")
 
 
+# Lines looked at first when a scan may bail out, per line it may keep.
+HEAD_LINES = 4
+
+
 def with_kept_lines(files: DataFrame, o: ScanOptions) -> DataFrame:
     """Replaces ``text`` by ``kept array<struct<line_no, raw, code, sym>>``: lines that still have
     text once comments are cut, down to where the scan bails out.
 
+    A scan that bails out needs few lines of a long file, but how many depends on what is skipped.
+    So the head of the file is prepared first, and the whole of it only for files whose head does
+    not reach a limit; nearly all long files do, and the others come out exact all the same.
+    """
+    if o.no_bail_out:
+        return _with_shown_lines(files, "text", "kept", o)
+    others = [c for c in files.columns if c != "text"]
+    head = f"substring_index(text, {text(chr(10))}, {HEAD_LINES * o.max_lines_file_scan})"
+    step = files.select("*", F.expr(head).alias("_head"))
+    beyond = case(("octet_length(_head) < octet_length(text)", "text"))
+    step = step.select(*others, "_head", F.expr(beyond).alias("_rest"))
+    step = _with_shown_lines(step, "_head", "kept", o).withColumn("_n", F.expr(_fitting("kept", o)))
+    reached = f"_n < size(kept) OR _n = {o.max_lines_file_scan}"
+    step = step.select(
+        *others,
+        F.expr("slice(kept, 1, _n)").alias("kept"),
+        F.expr(case((reached, "NULL"), default="_rest")).alias("_rest"),
+    )
+    step = _with_shown_lines(step, "_rest", "_all", o)
+    return step.select(*others, F.expr(f"coalesce(slice(_all, 1, {_fitting('_all', o)}), kept)").alias("kept"))
+
+
+def _fitting(lines: Sql, o: ScanOptions) -> Sql:
+    return prefix_length(lines, lambda x: f"length({x}.raw)", o.max_lines_file_scan, o.max_chars_file_scan)
+
+
+def _with_shown_lines(files: DataFrame, source: str, name: str, o: ScanOptions) -> DataFrame:
+    """Replaces the text in ``source`` by its lines that have text once comments are cut.
+
     Steps are separate projections because each array is used several times in the next one;
     Catalyst keeps such projections apart instead of evaluating the array again.
     """
-    others = [c for c in files.columns if c != "text"]
-    step = files.select(*others, F.expr(_numbered(split_lines("text"))).alias("_lines"))
+    others = [c for c in files.columns if c != source]
+    step = files.select(*others, F.expr(_numbered(split_lines(source))).alias("_lines"))
     for plan in comment_rounds(o):
         step = step.select(*others, F.expr(_cut_comments("_lines", plan)).alias("_lines"))
         step = step.select(*others, F.expr(_without_hidden("_lines", _masks("_lines", plan))).alias("_lines"))
-    return bail_out(step.withColumnRenamed("_lines", "kept"), o)
-
-
-def bail_out(files: DataFrame, o: ScanOptions) -> DataFrame:
-    """The leading lines of ``kept`` until the line or character limit is reached."""
-    if o.no_bail_out:
-        return files
-    n = prefix_length("kept", lambda x: f"length({x}.raw)", o.max_lines_file_scan, o.max_chars_file_scan)
-    return files.withColumn("kept", F.expr(f"slice(kept, 1, {n})"))
+    return step.withColumnRenamed("_lines", name)
 
 
 def kept_lines(files: DataFrame) -> DataFrame:
