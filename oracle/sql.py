@@ -489,11 +489,10 @@ ORACLES: dict[str, str] = {
     "rule_keywords": query("""
         SELECT id AS rule_id, g::INT AS group_no, i::INT AS item_no, kind, value, flags FROM keywords""", "keywords"),
     "rule_applicability": query("""
-        SELECT ext, (SELECT count(*) FROM catalog WHERE extensions IS NULL) + coalesce(n, 0) AS rules, files
+        SELECT ext, (SELECT count(DISTINCT coalesce(id, '')) FROM catalog WHERE extensions IS NULL) + coalesce(n, 0) AS rules, files
         FROM (SELECT ext, count(*) AS files FROM files GROUP BY ext)
         LEFT JOIN (
-            SELECT ext, count(DISTINCT coalesce(id, '')) - count(DISTINCT CASE WHEN id IS NULL THEN 1 END)
-                + count(DISTINCT CASE WHEN id IS NULL THEN 1 END) AS n
+            SELECT ext, count(DISTINCT coalesce(id, '')) AS n
             FROM (
                 SELECT c.id, unnest(CASE WHEN prefix(e, '.') THEN [e] ELSE g.exts END) AS ext
                 FROM (SELECT id, unnest(extensions) AS e FROM catalog) c LEFT JOIN known_groups g ON g.name = c.e)

@@ -260,6 +260,19 @@ def test_applies_to_groups_suffixes_and_nothing_else():
         rule(parameters={"keywords": ["a"]}, applies_to={"extensions": ["cobol"]}).extensions(groups)
 
 
+def test_applicability_as_a_table(spark):
+    lists = [None, [], ["typescript", ".vue"], ["python"], ["python", ".py"], ["cobol"]]
+    rules = [
+        rule(id=f"r{i}", parameters={"keywords": ["a"]}, applies_to={} if exts is None else {"extensions": exts})
+        for i, exts in enumerate(lists)
+    ]
+    found = {(r.rule_id, r.ext) for r in ro.rule_extensions(rules_table(spark, rules), O).collect()}
+    assert found == {("r0", "*"), ("r1", "*"), ("r2", ".ts"), ("r2", ".tsx"), ("r2", ".vue"), ("r3", ".py"), ("r4", ".py")}
+    files = files_of(spark, {"a.py": "", "b.py": "", "c.ts": "", "d": ""})
+    counts = {r.ext: (r.files, r.rules) for r in ro.applicable(rules_table(spark, rules), files, O).collect()}
+    assert counts == {".py": (2, 4), ".ts": (1, 3), "": (1, 2)}
+
+
 def test_scan_context():
     r = rule(parameters={"keywords": ["a"]}, applies_to={"scan_context": ["web"]})
     assert r.in_context(None) and r.in_context("web") and not r.in_context("batch")

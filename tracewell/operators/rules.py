@@ -80,28 +80,37 @@ def order_rules(rules: DataFrame, level: str) -> DataFrame:
     return with_row_number(placed, "rule_order", "idx", keys=list(keys)).drop(*keys)
 
 
+ANY_EXTENSION = "*"
+
+
 def rule_extensions(rules: DataFrame, o: ScanOptions) -> DataFrame:
-    """``(rule_id, ext)`` for every extension a restricted rule applies to; a name is a group or
-    a literal suffix, and unknown names give nothing (``lint_rules`` reports them)."""
-    names = rules.select(F.col("id").alias("rule_id"), F.explode("applies_to.extensions").alias("name"))
+    """``(rule_id, ext)`` for every extension a rule applies to, ``*`` for a rule that names none.
+    A name is a group or a literal suffix; unknown names give nothing (``lint_rules`` reports
+    them)."""
     groups = F.create_map(*[
         part for g, exts in o.extension_groups.items() for part in (F.lit(g), F.array(*map(F.lit, exts)))
     ])
-    single = F.when(F.col("name").startswith("."), F.array("name"))
+    given = F.col("applies_to.extensions")
+    names = rules.select(
+        F.col("id").alias("rule_id"),
+        F.explode(F.when(F.size(given) > 0, given).otherwise(F.array(F.lit(ANY_EXTENSION)))).alias("name"),
+    )
+    single = F.when(F.col("name").startswith(".") | (F.col("name") == ANY_EXTENSION), F.array("name"))
     exts = F.coalesce(F.try_element_at(groups, F.col("name")), single)
     return names.select("rule_id", F.explode(exts).alias("ext")).distinct()
 
 
 def applicable(rules: DataFrame, files: DataFrame, o: ScanOptions) -> DataFrame:
-    """Rules per extension that occurs: ``(ext, rules, files)``, with rules that name no extension
-    applying to each. Joins per extension, never per file."""
-    present = files.groupBy("ext").agg(F.count("*").alias("files"))
-    restricted = rule_extensions(rules, o).groupBy("ext").agg(F.count("*").alias("n"))
-    open_rules = rules.filter(F.coalesce(F.size("applies_to.extensions"), F.lit(0)) <= 0).agg(F.count("*").alias("open"))
-    counted = present.join(restricted, "ext", "left")
-    everywhere = open_rules.withColumn("_k", F.lit(1))
-    return counted.withColumn("_k", F.lit(1)).join(everywhere, "_k").select(
-        "ext", (F.coalesce("n", F.lit(0)) + F.col("open")).alias("rules"), "files"
+    """Per extension that occurs, how many files have it and how many rules apply to it. Both sides
+    are counted per extension before they meet."""
+    present = files.groupBy(F.col("ext").alias("file_ext")).agg(F.count("*").alias("files"))
+    counts = rule_extensions(rules, o).groupBy("ext").agg(F.count("*").alias("n"))
+    either = present.select("*", F.explode(F.array("file_ext", F.lit(ANY_EXTENSION))).alias("ext"))
+    return (
+        either.join(counts, "ext", "left")
+        .groupBy(F.col("file_ext").alias("ext"), "files")
+        .agg(F.sum(F.coalesce("n", F.lit(0))).alias("rules"))
+        .select("ext", "rules", "files")
     )
 
 

@@ -25,10 +25,11 @@ def write_hits(hits: DataFrame, path: str, o: ScanOptions = ScanOptions(), fmt:
 
 
 def write_pivot(hits: DataFrame, path: str, mode: str = "errorifexists") -> bool:
-    """The pivot as a ``;`` report, most hits first; nothing is written when there are no hits."""
-    counts = report.pivot(hits)
-    if counts.isEmpty():
+    """The pivot as a ``;`` report, most hits first; nothing is written when there are no hits.
+    Meant for written hits: on a scan's own result, each action here would scan again."""
+    if hits.isEmpty():
         return False
+    counts = report.pivot(hits)
     quoted = counts.select(
         F.expr(csv_value("pattern_or_rule")).alias("pattern_or_rule"),
         F.expr(csv_value("type_or_severity")).alias("type_or_severity"),
