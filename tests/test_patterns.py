@@ -48,6 +48,20 @@ def test_scan_and_line_operator_agree(spark):
     assert sorted((r.file, r.line_number, r.pattern_or_rule, r.type_or_severity) for r in fused) == hits_of(spark, contents)
 
 
+def test_hundreds_of_patterns(spark, capfd):
+    plain = tuple(f"needle_{i}(" for i in range(300))
+    regex = tuple(rf"(^|[^a-z])(hook{i}|probe{i})\b" for i in range(60))
+    pack = Packs(content=Pack(plain, regex), shell=Pack(plain, regex))
+    contents = {"a.js": "x\nNEEDLE_7( needle_8(\n probe59\n", "b.sh": "needle_299("}
+    expected = [("a.js", 2, "needle_7(", "normal"), ("a.js", 3, regex[59], "regex"), ("b.sh", 1, "needle_299(", "normal")]
+    capfd.readouterr()
+    assert hits_of(spark, contents, pack) == expected
+    assert len(hits_of(spark, contents, pack, "all")) == 4
+    assert "Failed to compile" not in capfd.readouterr().err
+    fused = scan(files_of(spark, contents), pack, [], O).collect()
+    assert sorted((r.file, r.line_number, r.pattern_or_rule, r.type_or_severity) for r in fused) == expected
+
+
 def test_evidence_is_stripped_and_cut(spark):
     text = "  " + "ENV_READ" + "y" * 200 + "  "
     [row] = scan(files_of(spark, {"a.js": text}), STARTER_PACKS, [], O).collect()

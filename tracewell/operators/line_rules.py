@@ -10,7 +10,7 @@ from tracewell.functions.regex import Line, folds, with_line
 from tracewell.functions.sql import Sql, array, case, first, is_in, let, present, struct, text, transform, where
 from tracewell.functions.text import strip, truncate
 from tracewell.operators.hits import HIT_TYPE, hit_struct
-from tracewell.operators.patterns import by_kind, first_match, pattern_hit, with_line_columns
+from tracewell.operators.patterns import by_kind, compiled_or_not, first_match, pattern_hit, with_line_columns
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Packs
 from tracewell.sources.rules import Rule, order_rules
@@ -71,9 +71,9 @@ def line_rule_events(lines: DataFrame, rules: list[Rule], o: ScanOptions) -> Dat
     """Raw events, before the gate: one row per kept line and rule that fires on it."""
     ordered = line_rules(rules, o)
     rows, line = with_line_columns(lines)
-    fired = rows.select(
-        "file_id", "line_no", "raw", F.expr(f"explode_outer({fired_rules(ordered, o, line)})").alias("i")
-    ).filter("i IS NOT NULL")
+    positions = compiled_or_not(len(ordered), fired_rules(ordered, o, line))
+    fired = rows.select("file_id", "line_no", "raw", F.expr(f"explode_outer({positions})").alias("i"))
+    fired = fired.filter("i IS NOT NULL")
     pick = lambda values: F.expr(f"try_element_at({array(map(text, values), 'string')}, i + 1)")
     return fired.select(
         "file_id",

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.regex import Line, folds, matches
-from tracewell.functions.sql import Sql, array, case, contains, present, text
+from tracewell.functions.sql import Sql, array, case, contains, interpreted, present, text
 from tracewell.functions.text import strip, truncate
 from tracewell.operators.hits import HIT_COLUMNS, ORIGIN_COLUMNS, hit_struct
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Pack, Packs
 
 BROADCAST_PATTERNS = 200_000
+COMPILED_TESTS = 40
 
 
 def pattern_tests(line: Line, pack: Pack) -> list[Sql]:
@@ -39,6 +40,10 @@ def by_kind(packs: Packs, build: Callable[[Pack], Sql]) -> Sql:
     return case(*[(f"scan_kind = {text(kind)}", build(pack)) for kind, pack in packs.by_kind().items()])
 
 
+def compiled_or_not(tests: int, expression: Sql) -> Sql:
+    return expression if tests <= COMPILED_TESTS else interpreted(expression)
+
+
 def pattern_hit(line: Sql, index: Sql, packs: Packs, o: ScanOptions) -> Sql:
     def name(pack: Pack) -> Sql:
         return f"try_element_at({array(map(text, pack.patterns), 'string')}, {index} + 1)"
@@ -63,10 +68,11 @@ def pattern_hits(lines: DataFrame, packs: Packs, o: ScanOptions, mode: str = "fi
     """Hits on ``kept_lines``. ``first``: at most one per line, the first pattern in list order;
     ``all``: one per matching pattern."""
     rows, line = with_line_columns(lines)
+    tests = sum(len(pack.patterns) for pack in packs.by_kind().values())
     if mode == "first":
-        index = by_kind(packs, lambda pack: first_match(line, pack))
+        index = compiled_or_not(tests, by_kind(packs, lambda pack: first_match(line, pack)))
     elif mode == "all":
-        index = f"explode_outer({by_kind(packs, lambda pack: every_match(line, pack))})"
+        index = f"explode_outer({compiled_or_not(tests, by_kind(packs, lambda pack: every_match(line, pack)))})"
     else:
         raise ValueError(f"unknown mode {mode!r}")
     found = rows.select("path", "scope", "scan_kind", F.struct("line_no", "raw").alias("_line"), F.expr(index).alias("_i"))
