@@ -5,7 +5,10 @@ A catalog may be any size (many teams' rule sets in one table); nothing here col
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -159,6 +162,11 @@ def rule_keywords(rules: DataFrame) -> DataFrame:
     )
 
 
+# Workers need not have this package: what runs there is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[check_pattern.__module__])
+
+
 @F.pandas_udf(StringType())
 def _pattern_problem(patterns: pd.Series) -> pd.Series:
     return patterns.map(check_pattern)

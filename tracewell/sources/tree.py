@@ -7,10 +7,12 @@ as a table of ``(path, content)`` rows, which every operator takes as well.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,10 @@ def _entries(directory: str) -> tuple[list[str], list[tuple[str, str, int]]]:
     return directories, files
 
 
+# Workers need not have this package: what runs there is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
