@@ -20,6 +20,14 @@ from tracewell.plans.scan import prepare, scan_with_filenames
 from tracewell.sources.packs import parse_pattern_lines
 from tracewell.sources.rules import Rule
 
+try:
+    import corpus_pipeline
+    from tracewell.llm import queries as llm
+except ModuleNotFoundError as missing:  # the subpackage is optional, what it needs is not
+    if not (missing.name or "").startswith(("corpus_pipeline", "tracewell.llm")):
+        raise
+    llm = None
+
 # No test document is 200 lines long, so the queries bail out after 20.
 OPTIONS = ScanOptions(max_lines_file_scan=20)
 ALL = replace(OPTIONS, all_matches=True)
@@ -312,6 +320,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Those of the library without its optional subpackage."""
     return {
         "decode_text": decoded,
         "lines": lines,
@@ -363,4 +376,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

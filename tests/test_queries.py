@@ -19,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.core_queries()))
 def test_query(spark, duck, name):
     found = entry.queries()[name](spark, SF)
     expected = duck.sql(entry.oracle_sql()[name])
