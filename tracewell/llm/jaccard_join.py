@@ -5,8 +5,9 @@ made whole: the size-derived bound (two sets link only if they share one of each
 ``n - ceil(t n) + 1`` first shingles, in any one order of all shingles) leaves few rows in few columns,
 and the product runs in blocks over those.
 
-* Order: shingles of many documents ("common") come last, so that a passage that many documents share
-  opens no block. Commonness is counted over all documents. It only orders: any order gives the same links.
+* Order: shingles of one document come first, those of many documents last, so that what documents share opens
+  a block only where little else is in them. This is counted over all documents, in a bitmap and a list of
+  bounded size. It only orders: any order gives the same links.
 * Columns with up to ``SMALL_LIST`` documents give their pairs, each verified on the whole sets.
 * Longer columns are dealt into chunks of bounded rows and bytes; each pair of chunks is one block, whose
   overlap counts are accumulated over blocks of shingle columns, pairs being discarded as soon as what is
@@ -37,6 +38,8 @@ COMMON = 64  # documents that make a shingle common
 COMMON_MOST = 1_000_000  # entries of the list of common shingles that is sent to tasks (8 MB)
 KEY_BITS = 40  # of a shingle's hash, for the order
 BUCKET_BITS = 10
+BITMAP_BITS = 27  # of the bitmap of keys held by several documents (16 MB)
+LEVELS = tuple(2**i for i in range(1, 11))
 
 
 def _count_shingles(n: int):
@@ -63,38 +66,56 @@ def _count_shingles(n: int):
     return count
 
 
-def _common_keys(least: int):
-    def common(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(k, dtype=np.uint32) for k in table.column("keys").to_pylist()]
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = counts >= least
-        bucket = int(table.column("bucket")[0].as_py())
-        full = keys[often].astype(np.int64) + (bucket << (KEY_BITS - BUCKET_BITS))
-        return pa.table({"key": pa.array(full), "documents": pa.array(counts[often].astype(np.int64))})
-
-    return common
-
-
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Keys of shingles that at least ``COMMON`` documents hold, or of more documents where that list
-    would pass ``COMMON_MOST`` entries."""
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """Of one bucket: bitmaps of the keys that at least 2, 4, ... documents hold, how full each is, and the
+    keys of ``COMMON`` documents or more."""
+    parts = [np.frombuffer(k, dtype=np.uint32) for k in table.column("keys").to_pylist()]
+    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+    bucket = int(table.column("bucket")[0].as_py())
+    bits = (keys >> np.uint32(KEY_BITS - BITMAP_BITS)).astype(np.int64)
+    maps = []
+    for level in LEVELS:
+        held = np.zeros(1 << (BITMAP_BITS - BUCKET_BITS), dtype=bool)
+        held[bits[counts >= level]] = True
+        maps.append(held)
+    often = counts >= COMMON
+    common = [
+        {"key": int(k) + (bucket << (KEY_BITS - BUCKET_BITS)), "documents": int(d)} for k, d in zip(keys[often], counts[often])
+    ]
+    columns = {"bucket": pa.array([bucket], pa.int32()), "common": pa.array([common], pa.list_(pa.struct(
+        [("key", pa.int64()), ("documents", pa.int64())])))}
+    columns |= {f"full{x}": pa.array([int(m.sum())]) for x, m in zip(LEVELS, maps)}
+    columns |= {f"map{x}": pa.array([np.packbits(m, bitorder="little").tobytes()]) for x, m in zip(LEVELS, maps)}
+    return pa.table(columns)
+
+
+def shingle_order(docs: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """What orders shingles, of bounded size: a bitmap of the keys held by several documents (by as many as
+    leave it at most a quarter full), and the keys of ``COMMON`` documents or more (of more where that list
+    would pass ``COMMON_MOST`` entries)."""
     packed = docs.select("text").mapInArrow(_count_shingles(n), "bucket int, keys binary")
-    counts = packed.groupBy("bucket").applyInArrow(_common_keys(COMMON), "key long, documents long").cache()
-    try:
-        least = COMMON
-        while counts.where(F.col("documents") >= least).count() > COMMON_MOST:
-            least *= 2
-        rows = counts.where(F.col("documents") >= least).select("key").toArrow()
-    finally:
-        counts.unpersist()
-    return np.sort(rows.column("key").to_numpy().astype(np.uint64))
-
-
-def _describe(n: int, percent: int, common):
+    schema = "bucket int, common array<struct<key:bigint,documents:bigint>>, " + ", ".join(
+        [f"full{x} long" for x in LEVELS] + [f"map{x} binary" for x in LEVELS])
+    counts = scratch.keep(packed.groupBy("bucket").applyInArrow(_count_bucket, schema), "counts")
+    full = counts.agg(*[F.sum(f"full{x}").alias(f"full{x}") for x in LEVELS]).first()
+    level = next((x for x in LEVELS if (full[f"full{x}"] or 0) <= 1 << (BITMAP_BITS - 2)), LEVELS[-1])
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+    width = 1 << (BITMAP_BITS - 3 - BUCKET_BITS)
+    for row in counts.select("bucket", F.col(f"map{level}").alias("bits")).toLocalIterator():
+        bitmap[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
+    common, least = counts.select(F.inline("common")), COMMON
+    while common.where(F.col("documents") >= least).count() > COMMON_MOST:
+        least *= 2
+    rows = common.where(F.col("documents") >= least).select("key").toArrow()
+    scratch.drop(counts)
+    return bitmap, np.sort(rows.column("key").to_numpy().astype(np.uint64))
+
+
+def _describe(n: int, percent: int, order):
     """Per document: set size, the set's fingerprint and its first shingles in the common order."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, often = Powers(), common.value
+        powers, (bitmap, often) = Powers(), order.value
         for batch in batches:
             ids = batch.column(0)
             for words in word_slices(batch.column(1), powers):
@@ -105,7 +126,9 @@ def _describe(n: int, percent: int, common):
                 key = sets >> np.uint64(64 - KEY_BITS)
                 at = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
                 late = often[at] == key if len(often) else np.zeros(len(key), dtype=bool)
-                order = np.lexsort((sets, late, row))
+                bit = (key >> np.uint64(KEY_BITS - BITMAP_BITS)).astype(np.int64)
+                late = late.astype(np.int8) * 2 + ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                places = np.lexsort((sets, late, row))
                 rank = np.arange(len(sets)) - first[:-1][row]
                 wanted = size + (-percent * size // 100) + 1
                 head = rank < wanted[row]
@@ -117,7 +140,7 @@ def _describe(n: int, percent: int, common):
                         pa.array(size.astype(np.int64)),
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
-                        binaries(sets[order][head], heads),
+                        binaries(sets[places][head], heads),
                     ],
                     ["doc_id", "n", "f1", "f2", "head"],
                 )
@@ -237,9 +260,9 @@ def _block(percent: int):
 def describe_sets(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """``(doc_id, n, f1, f2, head)`` of every document, written in the shared folder."""
     docs = docs.select("doc_id", "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
+    order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, n, scratch))
     return scratch.keep(
-        docs.mapInArrow(_describe(n, percent, common), "doc_id long, n long, f1 long, f2 long, head binary"), "described")
+        docs.mapInArrow(_describe(n, percent, order), "doc_id long, n long, f1 long, f2 long, head binary"), "described")
 
 
 def links(docs: DataFrame, described: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -262,7 +285,7 @@ def links(docs: DataFrame, described: DataFrame, n: int, percent: int, scratch:
     wanted = nodes.join(found, "node", "left_semi").select("node", F.col("f1").alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
     sets = texts.mapInArrow(_sets(n), "node long, wanted long, f1 long, shingles binary").where("f1 = wanted")
-    sets = scratch.keep(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = scratch.keep(sets.select("node", "shingles"), "sets")
 
     small = rows.join(columns.where(F.col("docs") <= SMALL_LIST), "shingle").groupBy("shingle").agg(
         F.sort_array(F.collect_list(F.struct("node", "n"))).alias("held"))
