@@ -1,10 +1,74 @@
-"""Cleaning and packing of ``documents``, stage by stage."""
+"""Cleaning and packing of ``documents``, stage by stage. Each stage takes ``(spark, docs, sf_dir)``, and all but
+the last return the columns of ``documents``.
+
+Rows that share a ``doc_id`` are one document: they stay or go together. Extra columns of ``docs`` travel along.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tracewell.llm.decontamination import contaminated
+from tracewell.llm.jaccard_join import jaccard_components
+from tracewell.llm.language_id import UNKNOWN, detect, fit, held_out
+from tracewell.llm.packing import pack_documents
+from tracewell.llm.queries import tokenizer_file
+from tracewell.llm.secret_scan import secret_scan
 from tracewell.llm.storage import Scratch
 
-STAGES = []
+# A text of whose n-grams fewer are known, in the language that knows most, is in no language.
+LEAST_KNOWN = 0.1
+
+
+def language_stage(spark, docs, sf_dir):
+    """Drops documents in no language: without a letter, or with hardly a known n-gram."""
+    filters = fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = detect(docs, filters, docs.columns)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= LEAST_KNOWN)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Keeps the smallest doc_id of each group of linked documents (five-word shingles, Jaccard of 0.8)."""
+    groups = jaccard_components(docs, n=5, percent=80)
+    gone = groups.where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Drops documents that hold a passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = contaminated(docs, benchmark).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark, docs, sf_dir):
+    """Writes ``[SECRET]`` in place of each secret; where matches of two rules overlap, over both."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = secret_scan(docs.withColumn("whole", F.col("text")), keep=(*others, "whole"))
+    cut = F.expr("""
+        aggregate(spans, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
+            'at', s.end,
+            'out', if(s.start < a.at, a.out,
+                concat(a.out, substring(whole, cast(a.at + 1 as int), cast(s.start - a.at as int)), '[SECRET]')))),
+            a -> concat(a.out, substring(whole, cast(a.at + 1 as int))))""")
+    clean = found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("whole")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Packs what is left into sequences of 4096 tokens; a row per piece."""
+    return pack_documents(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+# Latent retrieval and packing are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,43 @@
+"""DuckDB SQL for the queries of ``queries.py`` that SQL can express on whole tables."""
+
+_ASSIGN = (
+    r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"""
+    r"""[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+SECRETS = f"""
+WITH rules(rank, kind, pattern, grp, least) AS (
+    VALUES (0, 'assign', '{_ASSIGN}', 2, 8), (1, 'access', 'AKIA[A-Z0-9]+', 0, 16), (2, 'hex', '[0-9a-f]+', 0, 32)
+), texts AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+    SELECT row_id, 0 AS rank, least, kind, regexp_extract_all(text, '{_ASSIGN}', 0) AS hits,
+        regexp_extract_all(text, '{_ASSIGN}', 2) AS vals, regexp_split_to_array(text, '{_ASSIGN}') AS gaps
+    FROM texts, rules WHERE rank = 0
+    UNION ALL
+    SELECT row_id, 1, least, kind, regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0),
+        regexp_split_to_array(text, 'AKIA[A-Z0-9]+')
+    FROM texts, rules WHERE rank = 1
+    UNION ALL
+    SELECT row_id, 2, least, kind, regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0),
+        regexp_split_to_array(text, '[0-9a-f]+')
+    FROM texts, rules WHERE rank = 2 AND regexp_matches(text, '[0-9a-f]{{32}}')
+), numbered AS (
+    SELECT row_id, rank, kind, least, gaps, hits, vals, unnest(generate_series(1, len(hits))) AS i FROM found
+), spans AS (
+    SELECT row_id, rank, kind,
+        sum(length(gaps[i]) + coalesce(length(hits[i - 1]), 0)) OVER (PARTITION BY row_id, rank ORDER BY i) AS start_at,
+        length(hits[i]) AS width, length(vals[i]) >= least AS counts
+    FROM numbered
+), kept AS (
+    SELECT row_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+        count(*) FILTER (rank = 2) AS n_hex,
+        string_agg(kind || ':' || start_at::BIGINT || ':' || (start_at + width)::BIGINT, ',' ORDER BY start_at, rank) AS spans
+    FROM spans WHERE counts GROUP BY row_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN kept USING (row_id)
+"""
+
+ORACLES = {"op1_secret_scan": SECRETS}

@@ -1,25 +1,61 @@
-"""Queries over the given tables, one per operator."""
+"""Queries over the given tables, one per operator, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracewell.llm.decontamination import contaminated
 from tracewell.llm.jaccard_join import jaccard_components
+from tracewell.llm.language_id import language_id
+from tracewell.llm.oracle import ORACLES
+from tracewell.llm.packing import pack_documents
+from tracewell.llm.secret_scan import RULES, secret_scan, span_text
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_secret_scan(spark, sf):
+    found = secret_scan(_read(spark, sf, "documents"))
+    counts = [
+        F.expr(f"cast(size(filter(spans, s -> s.rank = {k})) as bigint)").alias(f"n_{r.kind}") for k, r in enumerate(RULES)
+    ]
+    texts = found.select("doc_id", *counts, span_text("spans").alias("spans"))
+    return texts.select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+def op2_best_fit_packing(spark, sf):
+    return pack_documents(_read(spark, sf, "documents"), tokenizer_file())
+
+
 def op6_jaccard_join(spark, sf):
     return jaccard_components(_read(spark, sf, "documents"))
 
 
+def op8_decontamination(spark, sf):
+    return contaminated(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+def op9_language_id(spark, sf):
+    return language_id(_read(spark, sf, "documents"))
+
+
+QUERIES = (op1_secret_scan, op2_best_fit_packing, op6_jaccard_join, op8_decontamination, op9_language_id)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_jaccard_join,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -50,12 +50,13 @@ class Words:
     """Words of some rows: ``first[i]:first[i + 1]`` are row i's, ``start``/``end`` their byte places
     in ``data`` (lower case), ``hash`` their 64-bit hashes; ``row0`` is the first row's number."""
 
-    def __init__(self, row0: int, offsets: np.ndarray, data: np.ndarray, powers: "Powers"):
+    def __init__(self, row0: int, offsets: np.ndarray, data: np.ndarray, powers: "Powers", letters: np.ndarray | None = None):
         self.row0, self.rows = row0, len(offsets) - 1
         self.data = lower_table()[data]
-        inside = np.ones(256, dtype=bool)
-        inside[list(_SPACES)] = False
-        inside = inside[self.data]
+        if letters is None:
+            letters = np.ones(256, dtype=bool)
+            letters[list(_SPACES)] = False
+        inside = letters[self.data]
         n = len(data)
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
@@ -111,15 +112,18 @@ class Powers:
         return np.multiply.accumulate(values)
 
 
-def word_slices(column: pa.Array, powers: Powers, size: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of a column, some rows (about ``size`` bytes) at a time."""
+def word_slices(
+    column: pa.Array, powers: Powers, letters: np.ndarray | None = None, size: int = SLICE_BYTES
+) -> Iterator[Words]:
+    """The words of a column, some rows (about ``size`` bytes) at a time; with ``letters`` (a flag for each
+    byte) words are runs of those bytes."""
     offsets, data = byte_column(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         last = int(np.searchsorted(offsets, offsets[row] + size, side="left"))
         last = min(max(last, row + 1), rows)
         part = offsets[row : last + 1]
-        yield Words(row, part - part[0], data[part[0] : part[-1]], powers)
+        yield Words(row, part - part[0], data[part[0] : part[-1]], powers, letters)
         row = last
 
 
