@@ -12,6 +12,7 @@ hot and no task holds more than a shard.
 
 from __future__ import annotations
 
+import string
 import sys
 import types
 import zlib
@@ -28,7 +29,8 @@ SHARD_PIECES = 4096
 GROUPS = 24
 SMALL = 10  # pieces of up to capacity / SMALL tokens are small
 UNITS = 512  # lengths are rounded up to capacity / UNITS for the configurations
-CACHED_WORDS = 600_000  # of a worker process
+CACHED_WORDS = 350_000  # of a worker process, and as many stems
+WORD_END = "</w>"
 BATCH_ROWS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,15 +43,43 @@ def _worker_cache(key: str) -> dict:
     return home.__dict__.setdefault(key, {})
 
 
-def _look_up(words: set[str], cache: dict[str, bytes], tokenizer) -> None:
-    """Adds the words' ids, as little-endian unsigned 32-bit integers. A vocabulary that folds case and
-    drops white space gives a text the ids of its words; ASCII words share those of their lower case."""
-    plain = {w: w.lower() if w.isascii() and "<|" not in w else w for w in words}
-    new = list({p for p in plain.values() if p not in cache})
-    for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-    for word, p in plain.items():
-        cache[word] = cache[p]
+class WordIds:
+    """Ids of words, as little-endian unsigned 32-bit integers, by a tokenizer that drops white space, folds case
+    and never joins letters with what follows them: a text then has the ids of its words, and a word of letters
+    and final punctuation those of the two. Stems are looked up many at a time; a token that ends a word ends a stem.
+    """
+
+    def __init__(self, tokenizer, suffix: str):
+        self.tokenizer, self.words, self.parts = tokenizer, {}, {}
+        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def add(self, words: set[str]) -> None:
+        split = {}
+        for word in words:
+            plain = word.lower() if word.isascii() else word
+            stem = plain.rstrip(string.punctuation)
+            split[word] = (stem, plain[len(stem) :]) if stem.isalpha() else (word, "")
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        stems = [s for s in {s for s, _ in split.values()}.difference(self.parts) if s.isalpha()]
+        for at in range(0, len(stems), 2000):
+            self._add_stems(stems[at : at + 2000])
+        rest = list({part for pair in split.values() for part in pair}.difference(self.parts))
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.parts[part] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, (stem, end) in split.items():
+            self.words[word] = self.parts[stem] + self.parts[end] if end else self.parts[stem]
+
+    def _add_stems(self, stems: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype="<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) == len(stems):  # else some stem is more than one run of letters to the tokenizer
+            data, start = ids.tobytes(), 0
+            for stem, end in zip(stems, ends):
+                self.parts[stem] = data[start:end]
+                start = end
 
 
 def _pieces(model, capacity: int, end_id: int):
@@ -57,7 +87,11 @@ def _pieces(model, capacity: int, end_id: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model.value)
-        cache = _worker_cache(f"words {zlib.crc32(model.value.encode())}")
+        held = _worker_cache(f"words {zlib.crc32(model.value.encode())}")
+        if "ids" not in held:
+            held["ids"] = WordIds(tokenizer, WORD_END)
+        ids_of = held["ids"]
+        cache = ids_of.words
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
@@ -69,7 +103,7 @@ def _pieces(model, capacity: int, end_id: int):
                     if len(cache) > CACHED_WORDS:
                         cache.clear()
                         new = set().union(*texts)
-                    _look_up(new, cache, tokenizer)
+                    ids_of.add(new)
                 made = []
                 for doc_id, words in zip(part.column(0).to_pylist(), texts):
                     ids = b"".join(map(cache.__getitem__, words)) + end
