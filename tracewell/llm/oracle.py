@@ -40,4 +40,22 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN kept USING (row_id)
 """
 
-ORACLES = {"op1_secret_scan": SECRETS}
+# Base 32 of a digest: its 160 bits, five at a time.
+ARCHIVES = """
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+    SELECT hex, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(
+        list_transform(range(5), lambda j: CAST(substr(bits, (5 * i + j + 1)::INT, 1) AS INT) * (16 >> j::INT))))::INT, 1)), '') AS digest
+    FROM (SELECT hex, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(
+        (instr('0123456789abcdef', substr(hex, i::INT, 1)) - 1)::INT), 4, '0')), '') AS bits FROM (SELECT DISTINCT hex FROM hashed))
+), firsts AS (
+    SELECT hex, min(page_id) AS original FROM hashed GROUP BY hex
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM hashed JOIN digests USING (hex) JOIN firsts USING (hex)
+"""
+
+ORACLES = {"op1_secret_scan": SECRETS, "op7_warc": ARCHIVES}

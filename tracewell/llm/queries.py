@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.decontamination import contaminated
 from tracewell.llm.jaccard_join import jaccard_components
-from tracewell.llm.language_id import language_id
+from tracewell.llm import quality, warc
+from tracewell.llm.language_id import held_out, language_id
+from tracewell.llm.neighbours import nearest_neighbours
 from tracewell.llm.oracle import ORACLES
 from tracewell.llm.packing import pack_documents
 from tracewell.llm.secret_scan import RULES, secret_scan, span_text
@@ -38,10 +40,20 @@ def op2_best_fit_packing(spark, sf):
     return pack_documents(_read(spark, sf, "documents"), tokenizer_file())
 
 
+def op4_quality_classifier(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    labels = _read(spark, sf, "labels").where(~held_out("doc_id", 5, 0))
+    return quality.score(docs, quality.fit(docs.where("NOT held_out"), labels), ["doc_id", "held_out"])
+
+
 def op6_jaccard_join(spark, sf):
     return jaccard_components(_read(spark, sf, "documents"))
 
 
+def op7_warc(spark, sf):
+    return warc.round_trip(_read(spark, sf, "pages"))
+
+
 def op8_decontamination(spark, sf):
     return contaminated(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
@@ -50,7 +62,12 @@ def op9_language_id(spark, sf):
     return language_id(_read(spark, sf, "documents"))
 
 
-QUERIES = (op1_secret_scan, op2_best_fit_packing, op6_jaccard_join, op8_decontamination, op9_language_id)
+def op10_nn_descent(spark, sf):
+    return nearest_neighbours(_read(spark, sf, "embeddings"))
+
+
+QUERIES = (op1_secret_scan, op2_best_fit_packing, op4_quality_classifier, op6_jaccard_join, op7_warc, op8_decontamination, op9_language_id,
+           op10_nn_descent)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
