@@ -111,7 +111,8 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 def trigram_index(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """Postings ``(trigram, doc_id)`` of the wanted trigrams over the lower case of all texts."""
     words = F.array(*[F.lit(t) for t in wanted])
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    # the generator keeps the lower case from being made again for each trigram
+    low = docs.select("doc_id", F.explode(F.array(F.lower("text"))).alias("low"))
     held = low.select("doc_id", F.filter(words, lambda t: F.contains("low", t)).alias("held"))
     return held.select(F.explode("held").alias("trigram"), "doc_id")
 
@@ -190,7 +191,8 @@ def secret_scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, keep: tu
         scratch = Scratch(docs.sparkSession, "secrets")
         index = scratch.keep(trigram_index(docs.select("doc_id", "text"), wanted), "index")
         found = candidates(index, indexed, wanted).select(F.col("doc_id").alias("found id"), "rules")
-        texts = texts.join(found, F.col("doc_id").eqNullSafe(F.col("found id")), "left").drop("found id")
+        # one plan at every size: both sides by doc_id, however few documents are found
+        texts = texts.hint("merge").join(found, F.col("doc_id").eqNullSafe(F.col("found id")), "left").drop("found id")
     else:
         texts = texts.withColumn("rules", F.array().cast("array<string>"))
     for rank, rule in enumerate(rules):
