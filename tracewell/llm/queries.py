@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.class_lm import score_texts
 from tracewell.llm.decontamination import contaminated
 from tracewell.llm.jaccard_join import jaccard_components
 from tracewell.llm import quality, warc
@@ -46,6 +47,10 @@ def op4_quality_classifier(spark, sf):
     return quality.score(docs, quality.fit(docs.where("NOT held_out"), labels), ["doc_id", "held_out"])
 
 
+def op5_class_lm(spark, sf):
+    return score_texts(_read(spark, sf, "documents"), held_out("doc_id", 5, 1))
+
+
 def op6_jaccard_join(spark, sf):
     return jaccard_components(_read(spark, sf, "documents"))
 
@@ -66,7 +71,7 @@ def op10_nn_descent(spark, sf):
     return nearest_neighbours(_read(spark, sf, "embeddings"))
 
 
-QUERIES = (op1_secret_scan, op2_best_fit_packing, op4_quality_classifier, op6_jaccard_join, op7_warc, op8_decontamination, op9_language_id,
+QUERIES = (op1_secret_scan, op2_best_fit_packing, op4_quality_classifier, op5_class_lm, op6_jaccard_join, op7_warc, op8_decontamination, op9_language_id,
            op10_nn_descent)
 
 
