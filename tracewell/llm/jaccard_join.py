@@ -37,12 +37,17 @@ COLUMN_BLOCK = 2048
 COMMON = 64  # documents that make a shingle common
 COMMON_MOST = 1_000_000  # entries of the list of common shingles that is sent to tasks (8 MB)
 KEY_BITS = 40  # of a shingle's hash, for the order
-BUCKET_BITS = 10
+LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 10, 20  # of a key, which name its bucket; more for more input
 BITMAP_BITS = 27  # of the bitmap of keys held by several documents (16 MB)
 LEVELS = tuple(2**i for i in range(1, 11))
 
 
-def _count_shingles(n: int):
+def bucket_bits(docs: DataFrame) -> int:
+    """Buckets grow with the input's partitions, so that one holds a fraction of a partition's keys."""
+    return min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, (8 * docs.rdd.getNumPartitions()).bit_length()))
+
+
+def _count_shingles(n: int, bits: int):
     """Per bucket of the key space, the keys of a batch's shingles (a document's once), sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,52 +60,56 @@ def _count_shingles(n: int):
             if not keys:
                 continue
             keys = np.sort(np.concatenate(keys))
-            bucket = keys >> np.uint64(KEY_BITS - BUCKET_BITS)
-            edges = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
-            low = (keys & np.uint64((1 << (KEY_BITS - BUCKET_BITS)) - 1)).astype(np.uint32)
+            bucket = keys >> np.uint64(KEY_BITS - bits)
+            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
+            low = (keys & np.uint64((1 << (KEY_BITS - bits)) - 1)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(1 << BUCKET_BITS, dtype=np.int32)), binaries(low, edges.astype(np.int64))],
+                [pa.array(np.arange(1 << bits, dtype=np.int32)), binaries(low, edges.astype(np.int64))],
                 ["bucket", "keys"],
             )
 
     return count
 
 
-def _count_bucket(table: pa.Table) -> pa.Table:
-    """Of one bucket: bitmaps of the keys that at least 2, 4, ... documents hold, how full each is, and the
-    keys of ``COMMON`` documents or more."""
-    parts = [np.frombuffer(k, dtype=np.uint32) for k in table.column("keys").to_pylist()]
-    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    bucket = int(table.column("bucket")[0].as_py())
-    bits = (keys >> np.uint32(KEY_BITS - BITMAP_BITS)).astype(np.int64)
-    maps = []
-    for level in LEVELS:
-        held = np.zeros(1 << (BITMAP_BITS - BUCKET_BITS), dtype=bool)
-        held[bits[counts >= level]] = True
-        maps.append(held)
-    often = counts >= COMMON
-    common = [
-        {"key": int(k) + (bucket << (KEY_BITS - BUCKET_BITS)), "documents": int(d)} for k, d in zip(keys[often], counts[often])
-    ]
-    columns = {"bucket": pa.array([bucket], pa.int32()), "common": pa.array([common], pa.list_(pa.struct(
-        [("key", pa.int64()), ("documents", pa.int64())])))}
-    columns |= {f"full{x}": pa.array([int(m.sum())]) for x, m in zip(LEVELS, maps)}
-    columns |= {f"map{x}": pa.array([np.packbits(m, bitorder="little").tobytes()]) for x, m in zip(LEVELS, maps)}
-    return pa.table(columns)
+def _count_bucket(bits: int):
+    def count_bucket(table: pa.Table) -> pa.Table:
+        """Of one bucket: bitmaps of the keys that at least 2, 4, ... documents hold, how full each is, and the
+        keys of ``COMMON`` documents or more."""
+        parts = [np.frombuffer(k, dtype=np.uint32) for k in table.column("keys").to_pylist()]
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        bucket = int(table.column("bucket")[0].as_py())
+        slot = (keys >> np.uint32(KEY_BITS - BITMAP_BITS)).astype(np.int64)
+        maps = []
+        for level in LEVELS:
+            held = np.zeros(1 << (BITMAP_BITS - bits), dtype=bool)
+            held[slot[counts >= level]] = True
+            maps.append(held)
+        often = counts >= COMMON
+        common = [
+            {"key": int(k) + (bucket << (KEY_BITS - bits)), "documents": int(d)} for k, d in zip(keys[often], counts[often])
+        ]
+        columns = {"bucket": pa.array([bucket], pa.int32()), "common": pa.array([common], pa.list_(pa.struct(
+            [("key", pa.int64()), ("documents", pa.int64())])))}
+        columns |= {f"full{x}": pa.array([int(m.sum())]) for x, m in zip(LEVELS, maps)}
+        columns |= {f"map{x}": pa.array([np.packbits(m, bitorder="little").tobytes()]) for x, m in zip(LEVELS, maps)}
+        return pa.table(columns)
+
+    return count_bucket
 
 
 def shingle_order(docs: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """What orders shingles, of bounded size: a bitmap of the keys held by several documents (by as many as
     leave it at most a quarter full), and the keys of ``COMMON`` documents or more (of more where that list
     would pass ``COMMON_MOST`` entries)."""
-    packed = docs.select("text").mapInArrow(_count_shingles(n), "bucket int, keys binary")
+    bits = bucket_bits(docs)
+    packed = docs.select("text").mapInArrow(_count_shingles(n, bits), "bucket int, keys binary")
     schema = "bucket int, common array<struct<key:bigint,documents:bigint>>, " + ", ".join(
         [f"full{x} long" for x in LEVELS] + [f"map{x} binary" for x in LEVELS])
-    counts = scratch.keep(packed.groupBy("bucket").applyInArrow(_count_bucket, schema), "counts")
+    counts = scratch.keep(packed.groupBy("bucket").applyInArrow(_count_bucket(bits), schema), "counts")
     full = counts.agg(*[F.sum(f"full{x}").alias(f"full{x}") for x in LEVELS]).first()
     level = next((x for x in LEVELS if (full[f"full{x}"] or 0) <= 1 << (BITMAP_BITS - 2)), LEVELS[-1])
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    width = 1 << (BITMAP_BITS - 3 - BUCKET_BITS)
+    width = 1 << (BITMAP_BITS - 3 - bits)
     for row in counts.select("bucket", F.col(f"map{level}").alias("bits")).toLocalIterator():
         bitmap[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
     common, least = counts.select(F.inline("common")), COMMON
@@ -271,7 +280,7 @@ def links(docs: DataFrame, described: DataFrame, n: int, percent: int, scratch:
     nodes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(
         F.min("doc_id").alias("node"), F.first("n").alias("n"))
     nodes = scratch.keep(nodes, "nodes")
-    post = described.where("n > 0").select("doc_id", "f1", "n", "head").mapInArrow(
+    post = described.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "f1", "n", "head").mapInArrow(
         _postings, "shingle long, node long, f1 long, n long")
     # columns of two different sets at least; copies of one set open none
     open_columns = post.groupBy("shingle").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where(

@@ -264,7 +264,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def page_of(record_id: str) -> Column:
-    return F.regexp_extract(record_id, r"^<urn:page:(\d+|-\d+):", 1).cast("long")
+    return F.regexp_extract(record_id, r"^<urn:page:(\d+|-\d+):", 1).try_cast("long")
 
 
 def pages_read(records: DataFrame) -> DataFrame:
