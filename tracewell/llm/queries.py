@@ -15,6 +15,7 @@ from tracewell.llm.language_id import held_out, language_id
 from tracewell.llm.neighbours import nearest_neighbours
 from tracewell.llm.oracle import ORACLES
 from tracewell.llm.packing import pack_documents
+from tracewell.llm.paragraph_dedup import repeated_paragraphs
 from tracewell.llm.secret_scan import RULES, secret_scan, span_text
 
 
@@ -41,6 +42,10 @@ def op2_best_fit_packing(spark, sf):
     return pack_documents(_read(spark, sf, "documents"), tokenizer_file())
 
 
+def op3_substring_dedup(spark, sf):
+    return repeated_paragraphs(_read(spark, sf, "documents"))
+
+
 def op4_quality_classifier(spark, sf):
     docs = _read(spark, sf, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
     labels = _read(spark, sf, "labels").where(~held_out("doc_id", 5, 0))
@@ -71,8 +76,10 @@ def op10_nn_descent(spark, sf):
     return nearest_neighbours(_read(spark, sf, "embeddings"))
 
 
-QUERIES = (op1_secret_scan, op2_best_fit_packing, op4_quality_classifier, op5_class_lm, op6_jaccard_join, op7_warc, op8_decontamination, op9_language_id,
-           op10_nn_descent)
+QUERIES = (
+    op1_secret_scan, op2_best_fit_packing, op3_substring_dedup, op4_quality_classifier, op5_class_lm, op6_jaccard_join,
+    op7_warc, op8_decontamination, op9_language_id, op10_nn_descent,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
