@@ -14,7 +14,7 @@ from tracewell.sources.rules import rule_from_dict
 from tracewell.sources.settings import read_settings
 from tracewell.sources.sinks import write_hits, write_pivot
 from tracewell.sources.tree import list_tree, read_tree
-from tracewell.streaming.incremental import scan_stream, stream_tree, write_stream
+from tracewell.streaming.incremental import new_files, scan_stream, stream_tree, write_stream
 
 SF = "/root/testdata/sf0.001"
 O = ScanOptions(max_lines_file_scan=20)
@@ -30,7 +30,7 @@ def tree(tmp_path_factory):
         "project/docs/note.md": b"ENV_READ",
         "project/docs/stage_loader.js": b"",
         "project/Package.JSON": b"ENV_READ",
-        "cache/stage_loader.js": b"nc -l",
+        "cache/stage_loader.js": b"oin -l",
     }
     for name, content in files.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
@@ -51,6 +51,7 @@ def test_tree(spark, tree):
     files, errors = read_tree(spark, roots(tree))
     assert {os.path.relpath(r.path, tree) for r in files.collect()} == {
         "project/src/a.js", "project/src/b.PY", "project/bin/run.sh", "project/Package.JSON", "cache/stage_loader.js",
+        "project/docs/stage_loader.js",
     }
     assert errors.count() == 0
     hits = scan_with_filenames(files, STARTER_PACKS, STARTER_RULES, O, listing=listing).filter("stage IN ('filename', 'pattern')")
@@ -61,7 +62,7 @@ def test_tree(spark, tree):
         ("project/bin/run.sh", 1, "Fetch_Tool ", "fetch_tool é"),
         ("project/Package.JSON", 1, "ENV_READ", "ENV_READ"),
         ("project/docs/stage_loader.js", 0, "[filename-only]", ""),
-        ("cache/stage_loader.js", 1, STARTER_PACKS.content.regex[1], "nc -l"),
+        ("cache/stage_loader.js", 1, STARTER_PACKS.content.regex[1], "oin -l"),
     }
 
 
@@ -78,13 +79,14 @@ def test_links(spark, tmp_path):
 def test_oversized_files_are_reported_unread(spark, tree):
     files, errors = read_tree(spark, roots(tree), max_bytes=20)
     assert {r.reason for r in errors.collect()} == {"oversized"} and errors.count() == 2
-    assert files.count() == 3
+    assert files.count() == 4
 
 
 def test_stream_equals_batch(spark, tree, tmp_path):
     project = {"project": [f"{tree}/project"]}
     files, _ = read_tree(spark, project)
-    batch = scan_with_filenames(files, STARTER_PACKS, STARTER_RULES, O)
+    # the stream source of Spark sees no empty files
+    batch = scan_with_filenames(files.where("octet_length(content) > 0"), STARTER_PACKS, STARTER_RULES, O)
     stream = scan_stream(stream_tree(spark, f"{tree}/project"), STARTER_PACKS, STARTER_RULES, O)
     write_stream(stream, f"{tmp_path}/hits", f"{tmp_path}/checkpoint", available_now=True).awaitTermination(120)
     written = spark.read.parquet(f"{tmp_path}/hits").select(*HIT_COLUMNS)
@@ -167,3 +169,43 @@ def test_kept_lines_are_made_once(spark):
     passes = lambda o: plan(scan(files_of(spark, {"a.js": "x"}), STARTER_PACKS, STARTER_RULES, o)).count("zip_with(_lines")
     assert passes(O.forensic()) == 1
     assert passes(O) == 2  # head, then whole files where the head was not enough
+
+
+def test_tree_hides_nothing_and_follows_no_directory_links(spark, tmp_path, monkeypatch):
+    for name in ("src/__init__.py", "src/_app.js", "src/.eslintrc.js", ".d/h.sh", "_cacache/c.js", "real/b.js"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("ENV_READ\n")
+    (tmp_path / "src/empty.py").write_text("")
+    (tmp_path / "src/loop").symlink_to(tmp_path)
+    (tmp_path / "src/run.txt").symlink_to(tmp_path / "real/b.js")
+    (tmp_path / "src/link.py").symlink_to(tmp_path / "real/b.js")
+    (tmp_path / "src/stage_loader.js").symlink_to(tmp_path / "nowhere.js")
+    roots = {"project": [str(tmp_path)]}
+    listed = list_tree(spark, roots).collect()
+    names = sorted(n for _, _, files in os.walk(tmp_path) for n in files)
+    assert sorted(r.basename for r in listed) == names
+    assert {r.ext for r in listed if r.basename in ("run.txt", "link.py")} == {".js"}
+    files, errors = read_tree(spark, roots)
+    read = {r.basename: bytes(r.content) for r in files.collect()}
+    assert set(read) == set(names) - {"stage_loader.js"} and read["empty.py"] == b"" and read["run.txt"] == b"ENV_READ\n"
+    assert [(os.path.basename(r.file_id), r.reason) for r in errors.collect()] == [("nowhere.js", "unreadable")]
+
+
+def test_what_cannot_be_listed_is_an_error(tmp_path, monkeypatch):
+    from tracewell.sources import tree
+
+    def scandir(path):
+        raise PermissionError(path)
+
+    (tmp_path / "a.js").write_text("x")
+    assert [e[0] for e in tree._entries(str(tmp_path))] == ["file"]
+    monkeypatch.setattr(tree.os, "scandir", scandir)
+    assert [e[:2] for e in tree._entries(str(tmp_path))] == [("error", str(tmp_path))]
+
+
+def test_new_files(spark, tmp_path):
+    (tmp_path / "_a.js").write_text("x")
+    first = new_files(spark, {"project": [str(tmp_path)]}, None)
+    assert [r.basename for r in first.collect()] == ["_a.js"]
+    (tmp_path / ".b.js").write_text("")
+    assert [r.basename for r in new_files(spark, {"project": [str(tmp_path)]}, first).collect()] == [".b.js"]

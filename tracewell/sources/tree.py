@@ -1,27 +1,105 @@
 """Directory trees as files tables.
 
-Trees of very many small files are slow to list and to open; corpora of that kind are better kept
-as a table of ``(path, content)`` rows, which every operator takes as well.
+One lister serves every reader: directories are listed on the executors, level by level, and contents are opened
+there too, each file's or directory's failure being a row. Trees of very many small files are slow to list and to
+open; corpora of that kind are better kept as a table of ``(path, content)`` rows, which every operator takes as well.
 """
 
 from __future__ import annotations
 
 import os
+import stat
 import sys
+import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.files import with_path_columns
+from tracewell.operators.files import relevant_files, with_path_columns
 from tracewell.options import ScanOptions
 from tracewell.plans.scan import FILE_COLUMNS
 
 # The most a row's binary value can hold; larger files are reported, not read.
 MAX_FILE_BYTES = (1 << 31) - 1 - (1 << 20)
+PIECE_ENTRIES = 4096
+BATCH_BYTES = 32 << 20
+DIRECTORIES_PER_TASK = 256
+FILES_PER_TASK = 4096
+LISTED = "scope string, kind string, path string, name string, length long"
+
+# Arrow's names of schemes that Hadoop knows by others.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _is_local(path: str) -> bool:
+    return "://" not in path or path.startswith("file:")
+
+
+def _local(path: str) -> str:
+    path = path.removeprefix("file:")
+    return "/" + path.lstrip("/") if path.startswith("//") else path
+
+
+def _remote(path: str) -> tuple[arrow_fs.FileSystem, str, str]:
+    """File system, path in it, and what to put before its paths to have the caller's again."""
+    scheme, rest = path.split("://", 1)
+    system, inner = arrow_fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else f"{scheme}://"
+
+
+def _entries(directory: str) -> Iterator[tuple[str, str, str, int]]:
+    """``(kind, path, name, length)`` of what is directly in a directory: ``directory``, ``file``, or ``error`` for
+    what cannot be looked at. Links to files are resolved and links to directories not entered; a link to
+    nothing is a file by its name."""
+    try:
+        if not _is_local(directory):
+            system, inner, before = _remote(directory)
+            for info in system.get_file_info(arrow_fs.FileSelector(inner)):
+                kind = "directory" if info.type == arrow_fs.FileType.Directory else "file"
+                yield kind, before + info.path, info.base_name, info.size or 0
+            return
+        with os.scandir(_local(directory)) as entries:
+            for entry in entries:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield "directory", entry.path, entry.name, 0
+                    elif entry.is_symlink() and not os.path.exists(entry.path):
+                        yield "file", os.path.realpath(entry.path), entry.name, 0
+                    else:
+                        found = entry.stat()
+                        if stat.S_ISREG(found.st_mode):
+                            yield "file", os.path.realpath(entry.path), entry.name, found.st_size
+                except OSError:
+                    yield "error", entry.path, entry.name, 0
+    except OSError:
+        yield "error", directory, os.path.basename(directory), 0
+
+
+# Workers need not have this package: what runs there is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["scope", "kind", "path", "name", "length"]
+    kinds = [pa.string()] * 4 + [pa.int64()]
+
+    def piece(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    rows = []
+    for batch in batches:
+        for scope, directory in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for entry in _entries(directory):
+                rows.append((scope, *entry))
+                if len(rows) == PIECE_ENTRIES:
+                    yield piece(rows)
+                    rows = []
+    if rows:
+        yield piece(rows)
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -33,101 +111,95 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def _either_case(name: str) -> str:
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+def _checkpointed(rows: DataFrame) -> DataFrame:
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
+    return rows.checkpoint()
 
 
-def relevant_glob(o: ScanOptions) -> str:
-    """Glob of every file a scan reads, so that others are dropped while listing."""
-    exts = dict.fromkeys(o.content_extensions + o.shell_extensions)
-    return "{" + ",".join(["*" + _either_case(e) for e in exts] + [_either_case(n) for n in o.content_files]) + "}"
+def list_everything(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
+    """``(scope, kind, path, name, length)`` of all files below ``{scope: [directories]}`` and of what could not be
+    looked at. Each round lists one level of directories in tasks of some hundred directories; the driver holds the
+    roots only. Directories that do not exist are left out."""
+    given = [(scope, path) for scope, paths in roots.items() for path in _existing(spark, paths)]
+    if not given:
+        raise ValueError(f"none of the directories exist: {roots}")
+    level, waiting, found = spark.createDataFrame(given, "scope string, path string"), len(given), None
+    while waiting:
+        tasks = max(1, min(waiting, max(spark.sparkContext.defaultParallelism, waiting // DIRECTORIES_PER_TASK)))
+        listed = _checkpointed(level.repartition(tasks).mapInArrow(_list_level, LISTED))
+        part = listed.where("kind <> 'directory'")
+        found = part if found is None else found.union(part)
+        level = listed.where("kind = 'directory'").select("scope", "path")
+        waiting = level.count()
+    return found
 
 
-def _read(spark: SparkSession, roots: dict[str, list[str]], glob: str | None) -> DataFrame | None:
-    files = None
-    for scope, paths in roots.items():
-        for path in _existing(spark, paths):
-            reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            if glob:
-                reader = reader.option("pathGlobFilter", glob)
-            part = reader.load(path).withColumn("scope", F.lit(scope))
-            files = part if files is None else files.unionByName(part)
-    if files is None:
-        raise ValueError(f"none of the directories exist: {roots}")
-    local = F.regexp_replace("path", "^file:(//(?=/))?", "")
-    return with_path_columns(files.withColumn("path", local)).withColumn("file_id", F.col("path"))
-
-
-def _entries(directory: str) -> tuple[list[str], list[tuple[str, str, int]]]:
-    """``(subdirectories, files)`` directly in a directory, a file as (path, name, length). On a
-    local disk links to files are resolved and links to directories are not entered."""
-    directories, files = [], []
-    if "://" in directory:
-        system, root = arrow_fs.FileSystem.from_uri(directory)
-        scheme = directory.split("://", 1)[0]
-        for info in system.get_file_info(arrow_fs.FileSelector(root)):
-            path = f"{scheme}://{info.path.lstrip('/')}" if system.type_name != "hdfs" else f"{scheme}://{info.path}"
-            if info.type == arrow_fs.FileType.Directory:
-                directories.append(path)
-            else:
-                files.append((path, info.base_name, info.size))
-        return directories, files
-    for entry in os.scandir(directory.removeprefix("file:")):
-        if entry.is_dir(follow_symlinks=False):
-            directories.append(entry.path)
-        elif entry.is_file():
-            files.append((os.path.realpath(entry.path), entry.name, entry.stat().st_size))
-    return directories, files
+def _as_files(listed: DataFrame) -> DataFrame:
+    files = with_path_columns(listed.where("kind = 'file'"))
+    return files.withColumns({"basename": F.col("name"), "file_id": F.col("path")}).select(*FILE_COLUMNS, "length")
 
 
-# Workers need not have this package: what runs there is sent by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def list_tree(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
+    """All files below ``{scope: [directories]}`` with their length, none of them opened, empty and hidden ones
+    included. ``ext`` is that of the file a link leads to, ``basename`` the link's own."""
+    return _as_files(list_everything(spark, roots))
 
 
-def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            pending = [row.directory]
-            while pending:
-                directories, files = _entries(pending.pop())
-                if row.deep:
-                    pending += directories
-                if files:
-                    found = pd.DataFrame(files, columns=["path", "name", "length"])
-                    yield found.assign(scope=row.scope)
+def _open(path: str):
+    if _is_local(path):
+        return open(_local(path), "rb")
+    system, inner, _ = _remote(path)
+    return system.open_input_stream(inner)
 
 
-def list_tree(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
-    """All files below ``{scope: [directories]}`` with their length, none of them opened, empty
-    ones included. Directories that do not exist are left out.
-
-    The driver only opens directories until there are some per core; tasks list the rest.
-    """
-    wanted = 4 * spark.sparkContext.defaultParallelism
-    rows: list[tuple[str, str, bool]] = []
-    for scope, paths in roots.items():
-        frontier = _existing(spark, paths)
-        while frontier and len(frontier) < wanted:
-            rows += [(scope, d, False) for d in frontier]
-            frontier = [sub for d in frontier for sub in _entries(d)[0]]
-        rows += [(scope, d, True) for d in frontier]
-    if not rows:
-        raise ValueError(f"none of the directories exist: {roots}")
-    directories = spark.createDataFrame(rows, "scope string, directory string, deep boolean")
-    listed = directories.repartition(min(len(rows), wanted)).mapInPandas(
-        _list_below, "path string, name string, length bigint, scope string"
-    )
-    files = with_path_columns(listed).withColumns({"basename": F.col("name"), "file_id": F.col("path")})
-    return files.select(*FILE_COLUMNS, "length")
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        start, size, contents = 0, 0, []
+        for i, path in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            try:
+                with _open(path) as file:
+                    contents.append(file.read())
+            except OSError:
+                contents.append(None)
+            size += len(contents[-1] or b"")
+            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                rows = batch.slice(start, len(contents))
+                columns = [*rows.columns[:-1], pa.array(contents, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names[:-1], "content"])
+                start, size, contents = i + 1, 0, []
+
+
+def _unreadable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        failed = []
+        for path in batch.column(0).to_pylist():
+            try:
+                with _open(path) as file:
+                    file.read(1)
+            except OSError:
+                failed.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(failed, pa.string())], ["file_id"])
 
 
 def read_tree(
     spark: SparkSession, roots: dict[str, list[str]], o: ScanOptions = ScanOptions(), max_bytes: int = MAX_FILE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """``(files with content, scan_errors)`` of the files a scan reads. Size is tested on the
-    listing, so an oversized file is reported without being read. Empty files have no lines and
-    are not among them; ``list_tree`` has them."""
-    files = _read(spark, roots, relevant_glob(o))
-    fits = F.col("length") <= max_bytes
-    errors = files.filter(~fits).select("file_id", F.lit("oversized").alias("reason"))
-    return files.filter(fits).select(*FILE_COLUMNS, "content"), errors
+    """``(files with content, scan_errors)`` of the files a scan reads, empty ones included.
+
+    Relevance and size are settled on the listing, so other files are never opened. Errors are ``oversized`` files,
+    and files and directories that are ``unreadable``; a file is tried for that by its first byte, so the errors
+    cost no second reading. A file that fails later on has no content row."""
+    listed = list_everything(spark, roots)
+    files = relevant_files(_as_files(listed), o).select(*FILE_COLUMNS, "length")
+    fits = files.where(F.col("length") <= max_bytes)
+    tasks = max(spark.sparkContext.defaultParallelism, fits.count() // FILES_PER_TASK)
+    dealt = fits.repartition(tasks).select(*FILE_COLUMNS, F.col("path").alias("where"))
+    schema = ", ".join(f"{c} string" for c in FILE_COLUMNS) + ", content binary"
+    readable = dealt.mapInArrow(_contents, schema).where("content IS NOT NULL")
+    tried = dealt.select("where").mapInArrow(_unreadable, "file_id string").withColumn("reason", F.lit("unreadable"))
+    lost = listed.where("kind = 'error'").select(F.col("path").alias("file_id"), F.lit("unreadable").alias("reason"))
+    oversized = files.where(F.col("length") > max_bytes).select("file_id", F.lit("oversized").alias("reason"))
+    return readable, oversized.union(lost).union(tried)

@@ -15,12 +15,21 @@ from tracewell.options import ScanOptions
 from tracewell.plans.scan import FILE_COLUMNS, scan_with_filenames
 from tracewell.sources.packs import Packs
 from tracewell.sources.rules import Rule
+from tracewell.sources.tree import list_tree
 
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def new_files(spark: SparkSession, roots: dict[str, list[str]], seen: DataFrame | None) -> DataFrame:
+    """Files of ``list_tree`` that ``seen(path, length)``, an earlier listing, has not, for scans on a schedule. It sees
+    every file, hidden and empty ones too."""
+    listed = list_tree(spark, roots)
+    return listed if seen is None else listed.join(seen.select("path", "length").distinct(), ["path", "length"], "left_anti")
+
+
 def stream_tree(spark: SparkSession, path: str, scope: str = "project", max_files_per_trigger: int = 10_000) -> DataFrame:
-    """New files below ``path``."""
+    """New files below ``path``. Spark's file stream passes over names that start with ``_`` or ``.`` and over empty files;
+    ``new_files`` does not."""
     found = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILES)
