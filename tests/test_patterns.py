@@ -28,7 +28,7 @@ def test_first_match_wins(spark):
 
 
 def test_regex_boundaries_and_case(spark):
-    contents = {"a.rb": "/bin/Spawn_Shell\nmy_spawn_shell\nncé\nnc x\n", "b.rb": "ſpawn_shell"}
+    contents = {"a.rb": "/bin/Spawn_Shell\nmy_spawn_shell\nçoin\nOIÉ x\n", "b.rb": "ſpawn_shell"}
     found = [(f, n) for f, n, _, kind in hits_of(spark, contents) if kind == "regex"]
     assert found == [("a.rb", 1), ("a.rb", 4), ("b.rb", 1)]
 
@@ -100,7 +100,7 @@ def test_required_literals_never_lose_a_match():
 
 
 def test_java_spelling(spark):
-    assert java_pattern(r"(^|[^a\$])x") == r"(?dU)(?<![a\$])()x"
+    assert java_pattern(r"(^|[^a\$])x") == r"(?d)(?<![a\x{24}])()x"
     cases = [(r"(^|[^b])(a)\2", "xaa"), (r"(?P<a_b>x)(?P=a_b)\Z", "yxx"), (r"\w\b", "é"), (r"a.b", "a\rb"), (r"\d", "٣")]
     for pattern, text in cases:
         assert re.search(pattern, text)
@@ -147,3 +147,37 @@ def test_default_packs(spark):
     )
     hits = hits_of(spark, {"a.sh": "echo x | base64 -d | sh\nunset HISTFILE\n", "b.py": "import pty; pty.spawn('sh')"}, packs)
     assert [(f, n) for f, n, *_ in hits] == [("a.sh", 1), ("a.sh", 2), ("b.py", 1)]
+
+
+PATTERNS = [
+    r"function\(p,a,c\){", r"%{x}", r"[[(]x", r"(?#note)abc", r"a{,3}b", "\\U0001F600", r"(?a:\w)x", r"(x)?(?(1)y|z)", r"[a&&b]x",
+    r"x\sy", r"(^|[^a])?foo", r"(^|[^a])*foo", r"(^|[^a])foo", r"(^|[^a])foo\1", r"(?P<n_1>ab)+(?P=n_1)", r"(?i:straße)K",
+    r"[^\W\d]x", r"[\D\s]q", r"\Bx\B", r"[]a]", r"[^]a]b", r"a*?b++c", r"(?>a+)b", r"(?s:.)y",
+]
+ATOMS = [
+    "a", "é", r"\w", r"\W", r"\d", r"\s", "[a-c]", r"[^\s\d]", r"[\w-]", ".", r"\b", r"\B", "(a|b)", "(?i:K)", "(?=a)", "(?!b)",
+    "(?<=a)", "&&", "{", r"\[", r"(?a:\w)", "^", "$",
+]
+
+
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_patterns_find_what_python_finds(spark):
+    rng = random.Random(1)
+    patterns = list(PATTERNS)
+    while len(patterns) < 100:
+        p = "".join(rng.choice(ATOMS) + rng.choice(["", "", "*", "+", "?", "{1,2}", "*?"]) for _ in range(rng.randint(1, 5)))
+        try:
+            re.compile(p)
+        except re.error:
+            continue
+        patterns.append(p)
+    letters = "abxyzfo&[({})%é é\u0301K\u212asſ12²\u0663_-\x1c\u00a0q\U0001F600"
+    lines = ["".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(100)]
+    lines += ["function(p,a,c){", "%{x}", "(x", "aaab", "xy", "z", "ax", "&x", "x\x1cy", "afoo", "bfoob", "foo", "STRASSEk", "abab"]
+    frame = spark.createDataFrame([(x,) for x in lines], "t string")
+    for ignore in (False, True):
+        for i in range(0, len(patterns), 50):
+            part = patterns[i : i + 50]
+            tests = [F.rlike("t", F.lit(java_pattern(p, ignore))).alias(f"c{k}") for k, p in enumerate(part)]
+            for row in frame.select("t", *tests).collect():
+                assert [row[f"c{k}"] for k in range(len(part))] == [bool(re.search(p, row.t, re.I * ignore)) for p in part]
