@@ -28,8 +28,9 @@ except ModuleNotFoundError as missing:  # the subpackage is optional, what it ne
         raise
     llm = None
 
-# No test document is 200 lines long, so the queries bail out after 20.
-OPTIONS = ScanOptions(max_lines_file_scan=20)
+# Whole files, but for the queries of the default limits.
+DEFAULT = ScanOptions()
+OPTIONS = replace(DEFAULT, no_bail_out=True)
 ALL = replace(OPTIONS, all_matches=True)
 FORENSIC = OPTIONS.forensic()
 MAX_BYTES = 12_000
@@ -117,7 +118,7 @@ def strip_block(spark, sf):
 
 
 def bail_out(spark, sf):
-    return _lines(spark, sf, OPTIONS).select("file_id", "line_no", F.length("raw").cast("bigint").alias("chars"))
+    return _lines(spark, sf, DEFAULT).select("file_id", "line_no", F.length("raw").cast("bigint").alias("chars"))
 
 
 # ---- patterns
@@ -298,6 +299,11 @@ def hits(spark, sf):
     return report_columns(_scan(spark, sf))
 
 
+def default_hits(spark, sf):
+    """A scan that stops in each file at the default limits."""
+    return report_columns(_scan(spark, sf, DEFAULT))
+
+
 def forensic_hits(spark, sf):
     return report_columns(_scan(spark, sf, FORENSIC))
 
@@ -349,12 +355,12 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_keywords": rule_keywords,
         "rule_applicability": rule_applicability,
         "rule_lint": rule_lint,
-        "rule_string_length": _lines_where(lambda line: checks.string_length(line.text, 300)),
+        "rule_string_length": _lines_where(lambda line: checks.string_length(line.text, 240)),
         "rule_base64": _lines_where(lambda line: checks.base64_suspect(line.text, 20)),
         "rule_hex": _lines_where(lambda line: checks.hex_suspect(line.text, 20)),
         "rule_path_access": _lines_where(lambda line: checks.path_access(line.text, _rule("secret_path").parameters["paths"])),
         "rule_keyword_single": _keyword_rule("decode_words"),
-        "rule_keyword_multi": _keyword_rule("env_then_exec"),
+        "rule_keyword_multi": _keyword_rule("read_then_now"),
         "obf_strings_line": obf_strings_line,
         "line_rule_events": line_rule_events,
         "fallback_gate": fallback_gate,
@@ -368,6 +374,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_entropy": token_entropy,
         "obf_vars": obf_vars,
         "all_hits": hits,
+        "default_hits": default_hits,
         "forensic_hits": forensic_hits,
         "csv_hits": csv_hits,
         "pivot": pivot,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 DOUBLE, SINGLE = '"' * 3, "'" * 6  # three quotes, as they stand in an SQL literal
-MAX_LINES, MAX_CHARS, MAX_BYTES = 20, 20000, 12000
+MAX_LINES, MAX_CHARS, MAX_BYTES = 200, 20000, 12000
 
 SHELL = "'.sh', '.bash', '.zsh', '.ksh', '.csh', '.tcsh', '.fish', '.ash'"
 JS = "'.js', '.jsx', '.mjs', '.cjs'"
@@ -93,7 +93,7 @@ cte("plants", r"""
         (7, 'QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0NTY3ODk='),
         (8, 'deadbeefdeadbeefdeadbeefdeadbeefdeadbeef'),
         (9, 'read("/etc/app_secret")'),
-        (10, 'var a = "x" + "y" + "z".concat("1", "2") + "' || chr(92) || 'x41" + "' || chr(92) || 'u0042";'),
+        (10, 'out += "ka" + word.concat(part) + list.join("-") + "' || chr(92) || 'x6b' || chr(92) || 'x6c" + "' || chr(92) || 'u00e9" + "mi"; out += "lo"'),
         (11, 'spawn_shell now')
     ) p(i, t)""")
 cte("planted", """
@@ -106,9 +106,8 @@ cte("located", """
              WHEN d.doc_id % 53 = 0 THEN 'package.json'
              ELSE 'd' || d.doc_id || ['.js', '.py', '.sh', '.ts', '.java', '.rb', '.conf', '.txt', '.c', '.php'][d.doc_id % 10 + 1]
         END AS path,
-        CASE WHEN d.doc_id % 41 = 0 THEN array_to_string(list_transform(range(4),
-                 lambda i: repeat('var _0xab12=_0xcd34[abcdefghijklmnopq];', 20)), chr(10))
-             ELSE d.text || chr(10) || coalesce(p.tail, '') END AS text
+        d.text || chr(10) || coalesce(p.tail, '') || CASE WHEN d.doc_id % 41 = 0 THEN array_to_string(list_transform(range(4),
+            lambda i: repeat('let _0x51fe=_0x77aa(qwertzuiopasdfgh);', 40)), chr(10)) ELSE '' END AS text
     FROM documents d LEFT JOIN planted p ON p.doc_id = d.doc_id
     UNION ALL
     SELECT 'p' || page_id, 'local_cache', '/local_cache/cache/p' || page_id || '.js', html FROM pages
@@ -173,17 +172,17 @@ cte("patterns", r"""
         ('content', 1, 'normal', 'decode_payload(', 0),
         ('content', 2, 'normal', 'Fetch_Tool ', 0),
         ('content', 3, 'normal', 'ENV_READ', 0),
-        ('content', 4, 'regex', '(^|[^A-Za-z0-9_\$])(spawn_shell|exec_now)\b', 1),
-        ('content', 5, 'regex', '(^|[^A-Za-z0-9_\$])(nc|ncat|netcat)\b', 2),
+        ('content', 4, 'regex', '\b(spawn_shell|exec_now)\b', 1),
+        ('content', 5, 'regex', '\boi[eé]?n?\b', 2),
         ('shell', 1, 'normal', 'Fetch_Tool ', 0),
         ('shell', 2, 'normal', 'decode_payload(', 0),
-        ('shell', 3, 'regex', '(^|[^A-Za-z0-9_\$])(nc|ncat|netcat)\b', 2),
-        ('shell', 4, 'regex', '(^|[^A-Za-z0-9_\$])(spawn_shell|exec_now)\b', 1)
+        ('shell', 3, 'regex', '\boi[eé]?n?\b', 2),
+        ('shell', 4, 'regex', '\b(spawn_shell|exec_now)\b', 1)
     ) p(pack, ord, kind, pattern, rx)""")
 # RE2 knows ASCII word boundaries only, so the boundary is spelled out.
 MATCH = r"""p.pack = k.scan_kind AND CASE p.rx WHEN 0 THEN contains(lower(k.code), lower(p.pattern))
-        WHEN 1 THEN regexp_matches(k.code, '(^|[^A-Za-z0-9_\$])(spawn_shell|exec_now)($|[^\p{L}\p{N}_])', 'i')
-        ELSE regexp_matches(k.code, '(^|[^A-Za-z0-9_\$])(nc|ncat|netcat)($|[^\p{L}\p{N}_])', 'i') END"""
+        WHEN 1 THEN regexp_matches(k.code, '(^|[^\p{L}\p{N}_])(spawn_shell|exec_now)($|[^\p{L}\p{N}_])', 'i')
+        ELSE regexp_matches(k.code, '(^|[^\p{L}\p{N}_])oi[eé]?n?($|[^\p{L}\p{N}_])', 'i') END"""
 
 
 def pattern_rows(lines: str, first: bool) -> str:
@@ -211,7 +210,7 @@ LINE_RULES = f"""
         (2, 'hex_body', 'Hex body', 'hex_suspect', 'high', false, 1),
         (3, 'secret_path', 'Secret path', 'path_access', 'medium', false, 1),
         (4, 'decode_words', 'Decode vocabulary', 'keyword_combination', 'medium', false, 2),
-        (5, 'env_then_exec', 'Environment and execution', 'keyword_combination', 'low', false, 1),
+        (5, 'read_then_now', 'Reading and doing', 'keyword_combination', 'low', false, 1),
         (6, 'string_parts', 'String building on a line', 'obfuscation_strings', 'low', false, 1),
         (7, 'long_text', 'Long line', 'string_length', 'low', true, 2),
         (8, 'spawn_call', 'Spawn call', 'keyword_combination', 'low', true, 1)
@@ -221,7 +220,7 @@ BASE64 = lambda n: f"length(code) >= {n} AND regexp_full_match(code, '[A-Za-z0-9
 HEX = lambda n: f"length(code) >= {n} AND regexp_full_match(code, '[0-9a-fA-F]+')"
 DECODE = """((strpos(lower(code), 'decode') > 0)::INT + (strpos(lower(code), 'payload') > 0)::INT
     + (strpos(lower(code), 'fetch') > 0)::INT) >= 2"""
-ENV = "code ILIKE '%env%' AND code ILIKE '%exec%'"
+ENV = "contains(lower(code), '_read') AND contains(lower(code), '_now')"
 PATHS = "regexp_matches(code, '/etc/app_secret|/root/[.]app')"
 
 
@@ -234,7 +233,7 @@ def events(lines: str) -> str:
         WHEN 4 THEN ext IN ({JS}, '.py', {SHELL}, '.conf') AND {DECODE}
         WHEN 5 THEN {ENV}
         WHEN 6 THEN ext IN ({JS}, {TS}, '.py', '.java') AND {score('code', 'ext', 0.5)} >= 12
-        WHEN 7 THEN length(code) >= 300
+        WHEN 7 THEN length(code) >= 240
         WHEN 8 THEN ext IN ({SHELL}, '.conf', '.config', '.rb') AND regexp_matches(code, 'spawn_[a-z]+', 'i')
         END"""
 
@@ -243,6 +242,7 @@ GATE = """SELECT * FROM {source} QUALIFY NOT fallback OR row_number() OVER (PART
 cte("events", events("bailed"), "bailed", "line_rules")
 cte("events_kept", events("kept"), "kept", "line_rules")
 cte("gated", GATE.format(source="events"), "events")
+cte("gated_kept", GATE.format(source="events_kept"), "events_kept")
 
 
 def rule_rows(source: str) -> str:
@@ -256,7 +256,7 @@ def rule_rows(source: str) -> str:
 
 
 cte("line_hits", rule_rows("gated"), "gated")
-cte("line_hits_open", rule_rows("events"), "events")
+cte("line_hits_gated", rule_rows("gated_kept"), "gated_kept")
 cte("line_hits_kept", rule_rows("events_kept"), "events_kept")
 
 # ---- file rules
@@ -342,9 +342,9 @@ for s in ("", "_kept"):
     cte(f"stats{s}", STATS.format(texts=f"texts{s}", tokens=f"tokens{s}", weighed=f"weighed{s}"), f"weighed{s}")
     for name, rule, title, kind, line, seq, test in (
         ("heap_hits", "string_heap", "String building in file", "obfuscation_strings", "[Check file – content omitted]", 2,
-         f"ext IN ({JS}, '.java') AND {score('file_text', 'ext', 0.2)} >= 25"),
+         f"ext IN ({JS}, '.java') AND {score('file_text', 'ext', 0.3)} >= 18"),
         ("vars_hits", "renamed_identifiers", "Renamed identifiers", "obfuscation_vars", "[File content omitted]", 3,
-         "tokens >= 50 AND round(weight / tokens, 9) >= 0.75 AND hex_hits > 0 AND long_lines >= 3 AND entropy_hits >= 5"),
+         "tokens >= 50 AND round(weight / tokens, 9) >= 0.75 AND hex_hits > 0 AND long_lines >= 2 AND entropy_hits >= 7"),
     ):
         joined = f"texts{s}" if name == "heap_hits" else f"texts{s} JOIN stats{s} USING (file_id)"
         cte(f"{name}{s}", f"""
@@ -353,10 +353,14 @@ for s in ("", "_kept"):
                 scope, 'file_rule' AS stage, {seq} AS seq, '' AS whole
             FROM {joined} WHERE {test}""", f"texts{s}" if name == "heap_hits" else f"stats{s}")
 
-cte("everything", """
+cte("by_default", """
     SELECT * FROM names UNION ALL SELECT * FROM pattern_first UNION ALL SELECT * FROM line_hits
     UNION ALL SELECT * FROM keyword_hits UNION ALL SELECT * FROM heap_hits UNION ALL SELECT * FROM vars_hits""",
     "names", "pattern_first", "line_hits", "keyword_hits", "heap_hits", "vars_hits")
+cte("everything", """
+    SELECT * FROM names UNION ALL SELECT * FROM pattern_first_kept UNION ALL SELECT * FROM line_hits_gated
+    UNION ALL SELECT * FROM keyword_hits_kept UNION ALL SELECT * FROM heap_hits_kept UNION ALL SELECT * FROM vars_hits_kept""",
+    "names", "pattern_first_kept", "line_hits_gated", "keyword_hits_kept", "heap_hits_kept", "vars_hits_kept")
 cte("forensic", """
     SELECT * FROM names UNION ALL SELECT * FROM pattern_first_kept UNION ALL SELECT * FROM line_hits_kept
     UNION ALL SELECT * FROM keyword_hits_kept UNION ALL SELECT * FROM heap_hits_kept UNION ALL SELECT * FROM vars_hits_kept""",
@@ -464,7 +468,7 @@ ORACLES: dict[str, str] = {
     "filename_hits": report("names"),
     "plain_hits": query("SELECT file, line_number, pattern_or_rule FROM pattern_all WHERE type_or_severity = 'normal'", "pattern_all"),
     "regex_hits": query("SELECT file, line_number, pattern_or_rule FROM pattern_all WHERE type_or_severity = 'regex'", "pattern_all"),
-    "pattern_hits": report("pattern_first"),
+    "pattern_hits": report("pattern_first_kept"),
     "pattern_hits_all": report("pattern_all"),
     "ngram_pattern_hits": query("""
         SELECT file_id, line_no, count(*) AS patterns, min(pattern) AS first_pattern, max(pattern) AS last_pattern
@@ -498,7 +502,7 @@ ORACLES: dict[str, str] = {
                 FROM (SELECT id, unnest(extensions) AS e FROM catalog) c LEFT JOIN known_groups g ON g.name = c.e)
             GROUP BY ext) USING (ext)""", "catalog", "known_groups", "files"),
     "rule_lint": query(LINT, "catalog", "keywords"),
-    "rule_string_length": lines_where("length(code) >= 300"),
+    "rule_string_length": lines_where("length(code) >= 240"),
     "rule_base64": lines_where(BASE64(20)),
     "rule_hex": lines_where(HEX(20)),
     "rule_path_access": lines_where(PATHS),
@@ -506,20 +510,21 @@ ORACLES: dict[str, str] = {
     "rule_keyword_multi": lines_where(ENV),
     "obf_strings_line": query(f"""
         SELECT file_id, line_no, score FROM (SELECT file_id, line_no, {score('code', 'ext', 0.5)} AS score FROM kept) WHERE score > 0""", "kept"),
-    "line_rule_events": query("SELECT file_id, rule_id, pos::INT AS rule_order, line_no, severity FROM events", "events"),
-    "fallback_gate": query("SELECT file_id, rule_id, pos::INT AS rule_order, line_no, severity FROM gated", "gated"),
-    "line_rule_hits": report("line_hits"),
-    "line_rule_hits_all": report("line_hits_open"),
-    "file_text": query("SELECT file_id, length(file_text)::BIGINT AS chars, md5(file_text) AS digest FROM texts UNION ALL SELECT file_id, 0, md5('') FROM relevant WHERE file_id NOT IN (SELECT file_id FROM texts)", "texts"),
-    "file_keyword": report("keyword_hits"),
-    "minified_files": query("SELECT file_id, ext FROM shapes JOIN relevant USING (file_id) WHERE minified", "shapes"),
-    "obf_strings_file": query(f"SELECT file_id, {score('file_text', 'ext', 0.2)} AS score FROM texts UNION ALL SELECT file_id, 0 FROM relevant WHERE file_id NOT IN (SELECT file_id FROM texts)", "texts"),
+    "line_rule_events": query("SELECT file_id, rule_id, pos::INT AS rule_order, line_no, severity FROM events_kept", "events_kept"),
+    "fallback_gate": query("SELECT file_id, rule_id, pos::INT AS rule_order, line_no, severity FROM gated_kept", "gated_kept"),
+    "line_rule_hits": report("line_hits_gated"),
+    "line_rule_hits_all": report("line_hits_kept"),
+    "file_text": query("SELECT file_id, length(file_text)::BIGINT AS chars, md5(file_text) AS digest FROM texts_kept UNION ALL SELECT file_id, 0, md5('') FROM relevant WHERE file_id NOT IN (SELECT file_id FROM texts_kept)", "texts_kept"),
+    "file_keyword": report("keyword_hits_kept"),
+    "minified_files": query("SELECT file_id, ext FROM shapes_kept JOIN relevant USING (file_id) WHERE minified", "shapes_kept"),
+    "obf_strings_file": query(f"SELECT file_id, {score('file_text', 'ext', 0.3)} AS score FROM texts_kept UNION ALL SELECT file_id, 0 FROM relevant WHERE file_id NOT IN (SELECT file_id FROM texts_kept)", "texts_kept"),
     "identifier_stats": query("""
-        SELECT file_id, tokens, hex_hits, entropy_hits, long_lines, weight FROM stats
-        UNION ALL SELECT file_id, 0, 0, 0, 0, 0 FROM relevant WHERE file_id NOT IN (SELECT file_id FROM texts)""", "stats"),
-    "token_entropy": query("SELECT token, uses, entropy FROM (SELECT token, count(*) AS uses FROM tokens GROUP BY token) JOIN weighed USING (token)", "weighed"),
-    "obf_vars": report("vars_hits"),
+        SELECT file_id, tokens, hex_hits, entropy_hits, long_lines, weight FROM stats_kept
+        UNION ALL SELECT file_id, 0, 0, 0, 0, 0 FROM relevant WHERE file_id NOT IN (SELECT file_id FROM texts_kept)""", "stats_kept", "texts_kept"),
+    "token_entropy": query("SELECT token, uses, entropy FROM (SELECT token, count(*) AS uses FROM tokens_kept GROUP BY token) JOIN weighed_kept USING (token)", "weighed_kept"),
+    "obf_vars": report("vars_hits_kept"),
     "all_hits": report("everything"),
+    "default_hits": report("by_default"),
     "forensic_hits": report("forensic"),
     "csv_hits": query(f"""
         SELECT {csv('file')} AS file, hits, {csv('pattern_or_rule')} AS pattern_or_rule, {csv('type_or_severity')} AS type_or_severity,

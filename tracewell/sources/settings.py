@@ -12,6 +12,9 @@ from tracewell.options import ScanOptions
 from tracewell.sources.packs import Packs, read_packs
 from tracewell.sources.rules import Rule, read_rules
 
+# Fixed value: what a settings file without it means.
+UNSET_LINE_LENGTH = 200
+
 _LIMITS = (
     "max_line_length", "max_line_rule_hit_length", "max_lines_file_scan", "max_chars_file_scan",
     "max_preview_lines_file", "max_minified_line_avg_length",
@@ -54,7 +57,7 @@ def read_settings(spark: SparkSession, path: str, base: str = ".", **options) ->
     rows = spark.read.text(path, wholetext=True).collect()
     config = json.loads(rows[0].value)
     artifacts, limits = config.get("artifacts", {}), config.get("limits", {})
-    o = replace(ScanOptions(**options), **{k: int(limits[k]) for k in _LIMITS if k in limits})
+    o = replace(ScanOptions(**({"max_line_length": UNSET_LINE_LENGTH} | options)), **{k: int(limits[k]) for k in _LIMITS if k in limits})
     if "extensions" in artifacts:
         o = replace(o, extension_groups={g: tuple(exts) for g, exts in artifacts["extensions"].items()})
     if "content_files" in artifacts:

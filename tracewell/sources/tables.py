@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-BYTES_PER_CORE = 128 << 20
+PARTITIONS = "tracewell.deal.partitions"
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+def deal(rows: DataFrame) -> DataFrame:
+    """The rows dealt out over as many partitions as the session's ``tracewell.deal.partitions`` says.
 
-
-def spread_small(rows: DataFrame, paths: list[str]) -> DataFrame:
-    """Deal out rows of small tables evenly over the cores, for work that is heavy per byte.
-
-    A task reads whole row groups, so a small table in one row group would keep a single core
-    busy. Below 128 MB stored per core the rows are dealt out first, which bounds the exchange;
-    above it the tables have row groups enough and are read as they lie.
+    A task reads whole row groups, so a table of one row group keeps a single core busy. Where work is heavy per
+    byte and tables are small, dealing out pays; by default, and for large tables, rows stay where they are read.
     """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if sum(stored_bytes(spark, p) for p in paths) < cores * BYTES_PER_CORE:
-        return rows.repartition(cores)
-    return rows
+    partitions = rows.sparkSession.conf.get(PARTITIONS, None)
+    return rows.repartition(int(partitions)) if partitions else rows
