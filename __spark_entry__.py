@@ -304,6 +304,11 @@ def default_hits(spark, sf):
     return report_columns(_scan(spark, sf, DEFAULT))
 
 
+def signature_gate(spark, sf):
+    """A scan in which rules leave lines and files alone that have a pattern hit."""
+    return report_columns(_scan(spark, sf, replace(OPTIONS, signature_gate=True)))
+
+
 def forensic_hits(spark, sf):
     return report_columns(_scan(spark, sf, FORENSIC))
 
@@ -375,6 +380,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "obf_vars": obf_vars,
         "all_hits": hits,
         "default_hits": default_hits,
+        "signature_gate": signature_gate,
         "forensic_hits": forensic_hits,
         "csv_hits": csv_hits,
         "pivot": pivot,

@@ -255,7 +255,13 @@ def rule_rows(source: str) -> str:
     FROM {source} GROUP BY file_id, path, rule_id HAVING count(*) >= any_value(threshold)"""
 
 
+cte("events_unsigned", """
+    SELECT e.* FROM events_kept e
+    WHERE NOT EXISTS (SELECT 1 FROM pattern_first_kept p WHERE p.file = e.path AND p.line_number = e.line_no)""",
+    "events_kept", "pattern_first_kept")
+cte("gated_unsigned", GATE.format(source="events_unsigned"), "events_unsigned")
 cte("line_hits", rule_rows("gated"), "gated")
+cte("line_hits_unsigned", rule_rows("gated_unsigned"), "gated_unsigned")
 cte("line_hits_gated", rule_rows("gated_kept"), "gated_kept")
 cte("line_hits_kept", rule_rows("events_kept"), "events_kept")
 
@@ -361,6 +367,11 @@ cte("everything", """
     SELECT * FROM names UNION ALL SELECT * FROM pattern_first_kept UNION ALL SELECT * FROM line_hits_gated
     UNION ALL SELECT * FROM keyword_hits_kept UNION ALL SELECT * FROM heap_hits_kept UNION ALL SELECT * FROM vars_hits_kept""",
     "names", "pattern_first_kept", "line_hits_gated", "keyword_hits_kept", "heap_hits_kept", "vars_hits_kept")
+cte("unsigned", """
+    SELECT * FROM names UNION ALL SELECT * FROM pattern_first_kept UNION ALL SELECT * FROM line_hits_unsigned UNION ALL
+    SELECT * FROM (SELECT * FROM keyword_hits_kept UNION ALL SELECT * FROM heap_hits_kept UNION ALL SELECT * FROM vars_hits_kept)
+    WHERE file NOT IN (SELECT file FROM pattern_first_kept)""",
+    "names", "pattern_first_kept", "line_hits_unsigned", "keyword_hits_kept", "heap_hits_kept", "vars_hits_kept")
 cte("forensic", """
     SELECT * FROM names UNION ALL SELECT * FROM pattern_first_kept UNION ALL SELECT * FROM line_hits_kept
     UNION ALL SELECT * FROM keyword_hits_kept UNION ALL SELECT * FROM heap_hits_kept UNION ALL SELECT * FROM vars_hits_kept""",
@@ -525,6 +536,7 @@ ORACLES: dict[str, str] = {
     "obf_vars": report("vars_hits_kept"),
     "all_hits": report("everything"),
     "default_hits": report("by_default"),
+    "signature_gate": report("unsigned"),
     "forensic_hits": report("forensic"),
     "csv_hits": query(f"""
         SELECT {csv('file')} AS file, hits, {csv('pattern_or_rule')} AS pattern_or_rule, {csv('type_or_severity')} AS type_or_severity,

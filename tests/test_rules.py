@@ -309,3 +309,18 @@ def test_lint(spark):
     }
     with pytest.raises(RuleError):
         ro.lint_rules(table, O, strict=True)
+
+
+def test_order_has_no_single_task(spark):
+    table = rules_table(spark, [rule(id=f"r{i}", idx=i, priority=i % 7, parameters={"keywords": ["a"]}) for i in range(300)])
+    ordered = ro.order_rules(table, "low")
+    assert "SinglePartition" not in ordered._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.rule_order for r in ordered.collect()) == list(range(1, 301))
+
+
+def test_shape_of_rule_files(spark):
+    files = spark.createDataFrame([("a", '{"rules": 3}'), ("b", "no json"), ("c", '{"rules": []}')], "source_file string, value string")
+    assert {(v.check, v.detail) for v in ro.rule_file_problems(files).collect()} == {
+        ("rules_not_list", "a"), ("rules_not_list", "b"), ("no_rules", "")}
+    good = spark.createDataFrame([("a", '{"rules": [{"id": "x"}]}')], files.schema)
+    assert ro.rule_file_problems(good).collect() == []

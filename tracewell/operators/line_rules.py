@@ -16,7 +16,7 @@ from tracewell.sources.packs import Packs
 from tracewell.sources.rules import Rule, order_rules
 
 LINE_RULE_PREFIX = "[heuristic threshold reached]: "
-_NO_HITS = f"CAST(array() AS array<{HIT_TYPE}>)"
+NO_HITS = f"CAST(array() AS array<{HIT_TYPE}>)"
 
 
 def applies(rule: Rule, o: ScanOptions) -> Sql | None:
@@ -129,8 +129,9 @@ def pattern_hit_array(packs: Packs, o: ScanOptions) -> Sql:
     return transform(found, lambda m: pattern_hit(m, f"{m}.pattern", packs, o))
 
 
-def events(marks: Sql) -> Sql:
-    return where(marks, lambda m: f"size({m}.rules) > 0")
+def events(marks: Sql, o: ScanOptions) -> Sql:
+    unsigned = lambda m: f" AND {m}.pattern IS NULL" if o.signature_gate else ""
+    return where(marks, lambda m: f"size({m}.rules) > 0{unsigned(m)}")
 
 
 def gated(rule: Rule, i: int, fired: Sql, o: ScanOptions) -> Sql:
@@ -174,9 +175,9 @@ def line_rule_hit_array(rules: list[Rule], o: ScanOptions) -> Sql:
 
     def hits_of(fired: Sql) -> Sql:
         hits = present([hit(i, r, fired) for i, r in enumerate(ordered)], HIT_TYPE)
-        return case((f"size({fired}) > 0", hits), default=_NO_HITS)
+        return case((f"size({fired}) > 0", hits), default=NO_HITS)
 
-    return let(events("marks"), hits_of) if ordered else _NO_HITS
+    return let(events("marks", o), hits_of) if ordered else NO_HITS
 
 
 def gated_event_rows(files: DataFrame, rules: list[Rule], o: ScanOptions) -> DataFrame:
@@ -191,5 +192,5 @@ def gated_event_rows(files: DataFrame, rules: list[Rule], o: ScanOptions) -> Dat
         return transform(gated(rule, i, fired, o), row)
 
     all_rules = lambda fired: f"flatten(array({', '.join(of_rule(i, r, fired) for i, r in enumerate(ordered))}))"
-    rows = files.select("file_id", F.expr(f"inline_outer({let(events('marks'), all_rules)})"))
+    rows = files.select("file_id", F.expr(f"inline_outer({let(events('marks', o), all_rules)})"))
     return rows.filter("rule_id IS NOT NULL")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tracewell.functions.regex import check_pattern
-from tracewell.operators.ranking import with_row_number
+from tracewell.operators.ranking import with_global_number
 from tracewell.options import SEVERITY_RANK, ScanOptions
 from tracewell.sources.rules import TYPE_SCOPES, RuleError
 
@@ -53,6 +53,18 @@ def rule_files_to_texts(files: DataFrame) -> DataFrame:
     return rows.filter(F.col("rule").isNotNull()).select("source_file", "idx", F.to_json("rule").alias("value"))
 
 
+def rule_file_problems(files: DataFrame) -> DataFrame:
+    """``violations(rule_id, check, detail)`` of whole rule files ``files(source_file, value)``: a file whose ``rules`` is
+    not a list, and a set of files that has no rule at all."""
+    rules = F.try_variant_get(F.try_parse_json("value"), "$.rules", "variant")
+    is_list = F.coalesce(_kind_of(rules) == "ARRAY", F.lit(False))
+    none = F.lit(None).cast("string").alias("rule_id")
+    shapes = files.where(~is_list).select(none, F.lit("rules_not_list").alias("check"), F.col("source_file").alias("detail"))
+    held = F.size(F.from_json("value", "rules array<variant>")["rules"])
+    total = files.agg(F.coalesce(F.sum(F.greatest(F.coalesce(held, F.lit(0)), F.lit(0))), F.lit(0)).alias("n"))
+    return shapes.unionByName(total.where("n = 0").select(none, F.lit("no_rules").alias("check"), F.lit("").alias("detail")))
+
+
 def severity_rank(severity: Column) -> Column:
     ranks = None
     for name, rank in SEVERITY_RANK.items():
@@ -80,7 +92,7 @@ def order_rules(rules: DataFrame, level: str) -> DataFrame:
         "_file": F.col("source_file"),
     }
     placed = at_level(rules, level).withColumns(keys)
-    return with_row_number(placed, "rule_order", "idx", keys=list(keys)).drop(*keys)
+    return with_global_number(placed, "rule_order", [*keys, "idx"]).drop(*keys)
 
 
 ANY_EXTENSION = "*"

@@ -57,6 +57,9 @@ class ScanOptions:
 
     ``exclude_mode='parent'`` drops a file only when its own directory is listed, which is
     what a walk that keeps descending does; ``'subtree'`` drops everything below as well.
+    ``signature_gate`` takes pattern hits for enough: no line rule counts on a line that has one, and no file rule in
+    a file that has one.
+
     ``file_gate='documented'`` keeps only the first fallback file rule of a file, while
     ``'evaluated'`` keeps them all.
     """
@@ -69,6 +72,7 @@ class ScanOptions:
     exclude_mode: str = "parent"
     file_gate: str = "evaluated"
     scan_context: str | None = None
+    signature_gate: bool = False
     max_line_length: int = 100
     max_line_rule_hit_length: int = 100
     max_lines_file_scan: int = 200

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tracewell.functions.sql import case
 from tracewell.operators.file_rules import file_rule_hit_array, needs_text, with_file_text
 from tracewell.operators.files import filename_hits, relevant_files, with_text
 from tracewell.operators.hits import all_hits, explode_hits
-from tracewell.operators.line_rules import line_rule_hit_array, pattern_hit_array, with_marks
+from tracewell.operators.line_rules import NO_HITS, line_rule_hit_array, pattern_hit_array, with_marks
 from tracewell.operators.lines import with_kept_lines
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Packs
@@ -26,7 +27,10 @@ def scan_prepared(prepared: DataFrame, packs: Packs, rules: list[Rule], o: ScanO
     step = with_marks(prepared, packs, rules, o)
     if needs_text(rules, o):
         step = with_file_text(step, o)
-    parts = [pattern_hit_array(packs, o), line_rule_hit_array(rules, o), file_rule_hit_array(rules, o)]
+    file_hits = file_rule_hit_array(rules, o)
+    if o.signature_gate:
+        file_hits = case(("exists(marks, m -> m.pattern IS NOT NULL)", NO_HITS), default=file_hits)
+    parts = [pattern_hit_array(packs, o), line_rule_hit_array(rules, o), file_hits]
     return explode_hits(step, f"concat({', '.join(parts)})")
 
 
