@@ -114,7 +114,9 @@ def test_pattern_table_equals_contains(spark):
     patterns = {"".join(rng.choices("abcdAé ", k=rng.randint(1, 8))) for _ in range(150)}
     patterns = [p for p in patterns if p]
     lines = kept_lines(prepare(files_of(spark, {"a.rb": text}), O.forensic()))
-    found = pattern_table_hits(lines, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    found = pattern_table_hits(lines, table).collect()
+    assert sorted(pattern_table_hits(lines, table, broadcast_bytes=None).collect()) == sorted(found)
     expected = {
         (n, p) for n, line in enumerate(text.split("\n"), 1) if line.strip() for p in patterns if p.lower() in line.lower()
     }

@@ -14,7 +14,8 @@ from tracewell.operators.hits import HIT_COLUMNS, ORIGIN_COLUMNS, hit_struct
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Pack, Packs
 
-BROADCAST_PATTERNS = 200_000
+BROADCAST_BYTES = 8 << 20
+ROW_BYTES = 64  # of a row besides its texts
 COMPILED_TESTS = 40
 
 
@@ -82,30 +83,39 @@ def pattern_hits(lines: DataFrame, packs: Packs, o: ScanOptions, mode: str = "fi
     return hits.select("file", "scope", "h.*").select(*HIT_COLUMNS, *ORIGIN_COLUMNS)
 
 
-def pattern_table_hits(lines: DataFrame, patterns: DataFrame, n: int = 4) -> DataFrame:
+def pattern_table_hits(
+    lines: DataFrame, patterns: DataFrame, n: int = 4, broadcast_bytes: int | None = BROADCAST_BYTES
+) -> DataFrame:
     """All plain matches of a pattern table too large to compile, as ``(file_id, line_no, pattern)``.
 
-    Every pattern is filed under the one of its ``n``-grams that fewest patterns share, a line meets
-    the patterns filed under its own grams, and ``contains`` settles it. A table counted to be
-    small is broadcast, so lines do not move at all; a larger one is joined by gram, where adaptive
-    execution splits the partitions of common grams. A pattern shorter than ``n`` is its own gram;
-    that branch is dropped at run time when there is none.
+    Every pattern is filed under the one of its ``n``-grams that fewest patterns share. Candidates are pairs of
+    a line's place and a gram under which something is filed; no text travels with them. A pattern table of up to
+    ``broadcast_bytes`` (its own size, measured; None: never) goes to the lines, which then do not move at all.
+    Otherwise candidates meet the patterns by gram, where adaptive execution splits the partitions of common
+    grams, patterns are collected per line, and each line is joined once, by place, and settles them with
+    ``contains``. A pattern shorter than ``n`` is filed under itself, by its length.
     """
-    wanted = patterns.select("pattern", F.lower("pattern").alias("_p")).distinct()
-    texts = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
-
-    filed = wanted.filter(F.length("_p") >= n).select("pattern", "_p", _grams("_p", n).alias("_g"))
-    share = filed.groupBy("_g").agg(F.count("*").alias("_w"))
-    place = F.broadcast if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else lambda side: side
-    rarest = filed.join(share, "_g").groupBy("pattern", "_p").agg(F.min_by("_g", F.struct("_w", "_g")).alias("_g"))
-    pieces = texts.select("*", _grams("_lc", n).alias("_g"))
-    long = pieces.join(place(rarest), "_g").filter(F.contains("_lc", "_p"))
-
-    short_pieces = texts.select("file_id", "line_no", _grams("_lc", *range(1, n)).alias("_p"))
-    short = short_pieces.join(place(wanted.filter(F.length("_p") < n)), "_p")
+    wanted = patterns.select("pattern", F.lower("pattern").alias("_p")).where("_p <> ''").distinct()
+    long = wanted.filter(F.length("_p") >= n).select("pattern", "_p", _grams("_p", n).alias("_g"))
+    share = long.groupBy("_g").agg(F.count("*").alias("_w"))
+    rarest = long.join(share, "_g").groupBy("pattern", "_p").agg(F.min_by("_g", F.struct("_w", "_g")).alias("_g"))
+    filed = rarest.unionByName(wanted.filter(F.length("_p") < n).withColumn("_g", F.col("_p")))
+    sizes = [r[0] for r in wanted.filter(F.length("_p") < n).select(F.length("_p")).distinct().collect()]
 
+    texts = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
+    grams = lambda *kept: texts.select(*kept, _grams("_lc", *sorted({n, *sizes})).alias("_g"))
     columns = ["file_id", "line_no", "pattern"]
-    return long.select(columns).unionByName(short.select(columns))
+    if broadcast_bytes is not None:
+        held = wanted.agg(F.coalesce(F.sum(F.octet_length("_p") * 2 + n + ROW_BYTES), F.lit(0))).first()[0]
+        if held <= broadcast_bytes:
+            near = grams("file_id", "line_no", "_lc").join(F.broadcast(filed), "_g")
+            return near.filter(F.contains("_lc", "_p")).select(columns)
+    places = grams("file_id", "line_no").join(filed.select("_g", "pattern", "_p"), "_g")
+    found = places.groupBy("file_id", "line_no").agg(F.collect_set(F.struct("pattern", "_p")).alias("_c"))
+    met = texts.join(found, ["file_id", "line_no"])
+    return met.select(
+        "file_id", "line_no", F.explode(F.filter("_c", lambda c: F.contains("_lc", c["_p"]))).alias("_c")
+    ).select("file_id", "line_no", F.col("_c.pattern").alias("pattern"))
 
 
 def _grams(c: str, *sizes: int):
