@@ -41,7 +41,8 @@ def _has_triple(code: Sql) -> Sql:
 
 
 def python_code(raw: Sql, code: Sql) -> Sql:
-    inline = case((_has_triple(code), f"regexp_replace({code}, {text(_TRIPLE_ON_ONE_LINE)}, '')"), default=code)
+    pair = any_of([f"({contains(code, q)} AND {occurrences(code, q)} >= 2)" for q in ('"""', "'''")])
+    inline = case((pair, f"regexp_replace({code}, {text(_TRIPLE_ON_ONE_LINE)}, '')"), default=code)
     return case((_starts_with_hash(raw), "''"), default=let(inline, cut_hash))
 
 
@@ -53,7 +54,9 @@ def python_symbol(code: Sql) -> Sql:
 
 
 def _without_blocks(code: Sql) -> Sql:
-    return case((contains(code, "/*"), f"regexp_replace({code}, {text(_BLOCK_ON_ONE_LINE)}, '')"), default=code)
+    # without a closing mark the expression would try every opening one in vain
+    both = f"{contains(code, '/*')} AND {contains(code, '*/')}"
+    return case((both, f"regexp_replace({code}, {text(_BLOCK_ON_ONE_LINE)}, '')"), default=code)
 
 
 def block_code(raw: Sql, code: Sql) -> Sql:

@@ -16,6 +16,12 @@ Sql = str
 _numbers = itertools.count()
 
 
+def check_session(spark) -> None:
+    """Expression text relies on how literals are read."""
+    if str(spark.conf.get("spark.sql.parser.escapedStringLiterals", "false")).lower() == "true":
+        raise ValueError("spark.sql.parser.escapedStringLiterals must be false: it changes every literal of a scan")
+
+
 def text(value: str) -> Sql:
     """A string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tracewell.functions.sql import case
+from tracewell.functions.sql import case, check_session
 from tracewell.operators.file_rules import file_rule_hit_array, needs_text, with_file_text
 from tracewell.operators.files import filename_hits, relevant_files, with_text
 from tracewell.operators.hits import all_hits, explode_hits
@@ -19,6 +19,7 @@ FILE_COLUMNS = ["file_id", "scope", "path", "basename", "ext", "parent"]
 
 def prepare(files: DataFrame, o: ScanOptions) -> DataFrame:
     """Relevant files with their kept lines."""
+    check_session(files.sparkSession)
     relevant = relevant_files(files, o)
     return with_kept_lines(with_text(relevant).select(*FILE_COLUMNS, "scan_kind", "text"), o)
 
