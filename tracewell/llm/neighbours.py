@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.storage import Scratch
 
-NEIGHBOURS = 16
-REVERSE = 10
+NEIGHBOURS = 32
+REVERSE = 24
 DRAWS = 3
-ROUNDS = 2
+ROUNDS = 5
 BLOCK = 256  # nodes of a block on average
 CENTRES = 512  # nodes compared around at once
-OFFERS = 6  # nearest that a node is offered around each node
-POOL = 40  # nodes a query keeps
+OFFERS = 12  # nearest that a node is offered around each node
+POOL = 160  # nodes a query keeps
 ENTRIES = 16
 MOST_BITS = 24
 
