@@ -7,8 +7,10 @@ import pytest
 
 from tests.llm.conftest import SF, brute_components, brute_words, shingles
 from tracewell.llm import jaccard_join, paragraph_dedup
+from tracewell.llm.components import components
 from tracewell.llm.jaccard_join import forest, jaccard_components, overlaps_linked
 from tracewell.llm.paragraph_dedup import repeated_paragraphs
+from tracewell.llm.storage import Scratch
 
 
 def table(spark, texts):
@@ -98,6 +100,30 @@ def test_paragraphs_of_the_documents(spark, documents):
             assert any(100 * len(mine & n) >= 80 * len(mine | n) for n in near)
 
 
+@pytest.mark.parametrize("shape", ["random", "path", "none"])
+def test_components(spark, shape):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1, None), (None, 2)]
+    if shape == "path":
+        order = rng.sample(range(1000), 150)
+        edges = list(zip(order, order[1:]))
+    rows = [] if shape == "none" else edges
+    found = components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark, "test")).collect()
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        if None not in (a, b) and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert {r["node"]: r["component"] for r in found} == {x: find(x) for x in root}
+
+
 def test_paragraphs_of_odd_rows(odd_docs, no_docs):
     found = repeated_paragraphs(odd_docs).collect()
     assert {r["doc_id"] for r in found} == {6, 7, 8}

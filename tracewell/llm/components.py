@@ -1,4 +1,4 @@
-"""Connected components by label spreading with shortcuts, as Spark joins."""
+"""Connected components by contraction, as Spark joins."""
 
 from __future__ import annotations
 
@@ -11,34 +11,37 @@ from tracewell.llm.storage import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``, the component being the smallest node reachable.
 
-    Each round hangs every node's smallest neighbour label onto it and onto its current label, then
-    halves the label chains, so rounds grow with the logarithm of the longest path. Nodes of many
-    links cost partial sums only; every round is written to the shared folder. Nulls are not nodes;
-    an empty edge table gives an empty result.
+    In each round every node takes the smallest node among itself and its neighbours, and then what that one took;
+    edges are drawn between what their ends took, and those within one node vanish. The graph shrinks by a
+    factor each round until no edge is left; what nodes took is then followed from the last round back. A node of
+    many links costs partial minima only; every round is written to the shared folder. Nulls are not nodes; an empty
+    edge table gives an empty result.
     """
-    links = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = scratch.keep(links.union(links.select("b", "a")).distinct(), "links")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
-        "node", F.least("node", "low").alias("component")), "labels")
+    level = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    level = scratch.keep(level, "links")
+    taken = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(
-            F.min("component").alias("low"))
-        spread = labels.alias("l").join(near.alias("n"), F.col("l.node") == F.col("n.a")).select(
-            "l.node", F.col("l.component").alias("was"), F.least("l.component", "n.low").alias("low"))
-        # what a node has learnt also lowers the label it had
-        learnt = spread.select(F.inline(F.array(
-            F.struct("node", "low", "was"),
-            F.struct(F.col("was").alias("node"), "low", F.lit(None).cast(spread.schema["was"].dataType).alias("was")),
-        )))
-        raised = scratch.keep(learnt.groupBy("node").agg(F.min("low").alias("low"), F.max("was").alias("was")), "raised")
-        jumped = raised.alias("x").join(
-            raised.select(F.col("node").alias("at"), F.col("low").alias("lower")).alias("y"),
-            F.col("x.low") == F.col("y.at"),
-        ).select("x.node", F.least("x.low", "y.lower").alias("component"), "x.was")
-        new = scratch.keep(jumped, "labels")
-        scratch.drop(labels, raised)
-        labels = new.select("node", "component")
-        labels._tracewell_path = new._tracewell_path
-        if new.where("component <> was").isEmpty():
-            scratch.drop(both)
-            return labels
+        both = level.select(F.inline(F.array(
+            F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))))
+        least = scratch.keep(both.groupBy("node").agg(F.min("near").alias("near")).select(
+            "node", F.least("node", "near").alias("low")), "least")
+        jumped = least.alias("x").join(
+            least.select(F.col("node").alias("at"), F.col("low").alias("lower")).alias("y"), F.col("x.low") == F.col("y.at"))
+        took = scratch.keep(jumped.select("x.node", F.col("y.lower").alias("took")), "took")
+        scratch.drop(least)
+        taken.append(took)
+        left = took.select(F.col("node").alias("a"), F.col("took").alias("p"))
+        right = took.select(F.col("node").alias("b"), F.col("took").alias("q"))
+        drawn = level.join(left, "a").select("b", "p").join(right, "b").where("p <> q").select(
+            F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        drawn = scratch.keep(drawn, "links")
+        scratch.drop(level)
+        level = drawn
+        if level.isEmpty():
+            break
+    found = taken.pop().withColumnRenamed("took", "component")
+    while taken:
+        above = found.select(F.col("node").alias("of"), F.col("component").alias("last"))
+        found = taken.pop().join(above, F.col("took") == F.col("of"), "left").select(
+            "node", F.coalesce("last", "took").alias("component"))
+    return found

@@ -5,12 +5,12 @@ Paragraphs are ``WIDTH`` words that begin where the text itself says: at words w
 stands, inside lines or across them. A text shorter than a paragraph is one.
 
 Bands of ``ROWS`` of ``BANDS * ROWS`` MinHash values of a paragraph's five-word shingles are its keys: at a similarity of
-0.8 some key agrees with probability ``1 - (1 - 0.8**ROWS)**BANDS``, over 0.95. Paragraphs that share a key are linked to
-the first of them if their sets are equal, or if the exact Jaccard similarity, verified on the texts, is 0.8 or more.
-Of each connected component the first paragraph stays.
+0.8 some key agrees with probability ``1 - (1 - 0.8**ROWS)**BANDS``, over 0.95. Paragraphs of equal sets are linked to the
+first of them; of the different sets that share a key, the first is linked to those whose exact Jaccard similarity to it,
+verified on the texts, is 0.8 or more. Of each connected component the first paragraph stays.
 
-Each batch links its own paragraphs of a key and sends on the first only, so a passage that a third of all documents
-hold costs a row a batch.
+Each batch links its own equal paragraphs and sends on the first only, so a passage that a third of all documents hold costs
+a row a batch.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from tracewell.llm.words import Powers, Words, binaries, mix, row_sets, word_sli
 WIDTH, REACH = 30, 18
 SHINGLE = 5
 BANDS, ROWS = 3, 2
+BAND_KEYS = 4  # a key's remainder by this is its band
 PERCENT = 80
 BUCKETS_PER_PARTITION = 8
 RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("set", "<u4")])
@@ -83,24 +84,40 @@ def records(words: Words, ids: np.ndarray) -> np.ndarray:
         key = np.full(len(at), band, dtype=np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i])
+        key = key - key % np.uint64(BAND_KEYS) + np.uint64(band)
         part["key"], part["doc"], part["start"] = key, ids[row], at - words.first[:-1][row]
         part["set"] = (mix(total) >> np.uint64(32)).astype(np.uint32)
     return out
 
 
-def stars(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first record of each key, and edges from it to the key's others."""
-    found = found[np.lexsort((found["start"], found["doc"], found["key"]))]
+def _edges(first: np.ndarray, other: np.ndarray, equal: bool) -> np.ndarray:
+    # paragraphs of one text that overlap do not repeat each other
+    apart = (first["doc"] != other["doc"]) | (np.abs(first["start"] - other["start"]) >= WIDTH)
+    edges = np.zeros(int(apart.sum()), EDGE)
+    for name, source, column in (("a", first, "doc"), ("s", first, "start"), ("b", other, "doc"), ("t", other, "start")):
+        edges[name] = source[column][apart]
+    edges["equal"] = equal
+    return edges
+
+
+def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first record of each key and set, and edges from it to those it equals. Equal sets agree in every
+    band, so the first band's keys are enough for the edges."""
+    found = found[np.lexsort((found["start"], found["doc"], found["set"], found["key"]))]
+    fresh = np.append(True, (found["key"][1:] != found["key"][:-1]) | (found["set"][1:] != found["set"][:-1]))[: len(found)]
+    firsts = np.flatnonzero(fresh)
+    first = np.repeat(firsts, np.diff(np.append(firsts, len(found))))
+    other = ~fresh & (found["key"] % BAND_KEYS == 0)
+    return found[firsts], _edges(found[first[other]], found[other], True)
+
+
+def unequal_sets(firsts: np.ndarray) -> np.ndarray:
+    """Edges from each key's first record to the first of each other set."""
+    found = firsts[np.lexsort((firsts["start"], firsts["doc"], firsts["key"]))]
     fresh = np.append(True, found["key"][1:] != found["key"][:-1])[: len(found)]
     heads = np.flatnonzero(fresh)
-    head = found[np.repeat(heads, np.diff(np.append(heads, len(found))))]
-    # paragraphs of one text that overlap do not repeat each other
-    other = ~fresh & ((head["doc"] != found["doc"]) | (np.abs(head["start"] - found["start"]) >= WIDTH))
-    edges = np.zeros(int(other.sum()), EDGE)
-    for name, source, column in (("a", head, "doc"), ("s", head, "start"), ("b", found, "doc"), ("t", found, "start")):
-        edges[name] = source[column][other]
-    edges["equal"] = (head["set"] == found["set"])[other]
-    return found[heads], edges
+    head = np.repeat(heads, np.diff(np.append(heads, len(found))))
+    return _edges(found[head[~fresh]], found[~fresh], False)
 
 
 def _dealt(values: np.ndarray, bucket: np.ndarray, buckets: int) -> list[bytes]:
@@ -120,7 +137,7 @@ def _band(buckets: int):
             ]
             if not found:
                 continue
-            first, edges = stars(np.concatenate(found))
+            first, edges = equal_sets(np.concatenate(found))
             n = np.uint64(buckets)
             spread = (mix(edges["b"].astype(np.uint64) + edges["t"].astype(np.uint64)) % n).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +155,8 @@ def _band(buckets: int):
 def _meet(table: pa.Table) -> pa.Table:
     held = [np.frombuffer(r, RECORD) for r in table.column("records").to_pylist()]
     edges = [np.frombuffer(e, EDGE) for e in table.column("edges").to_pylist()]
-    edges = np.unique(np.concatenate([*edges, stars(np.concatenate(held))[1]]))
+    firsts, equal = equal_sets(np.concatenate(held))
+    edges = np.unique(np.concatenate([*edges, equal, unequal_sets(firsts)]))
     return pa.table({
         "a": pa.array(edges["a"]), "s": pa.array(edges["s"]), "b": pa.array(edges["b"]), "t": pa.array(edges["t"]),
         "equal": pa.array(edges["equal"].astype(bool)),
