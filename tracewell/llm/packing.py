@@ -29,7 +29,8 @@ SHARD_PIECES = 4096
 GROUPS = 24
 SMALL = 10  # pieces of up to capacity / SMALL tokens are small
 UNITS = 512  # lengths are rounded up to capacity / UNITS for the configurations
-CACHED_WORDS = 350_000  # of a worker process, and as many stems
+CACHED_WORDS = 350_000  # of a task, and as many stems
+KEPT_STEMS = 120_000
 WORD_END = "</w>"
 BATCH_ROWS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,8 +38,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # ---- tokens
 
-def _worker_cache(key: str) -> dict:
-    """A dict that lives as long as the worker process, so that tasks share what they have looked up."""
+def _worker_stems(key: str) -> dict[str, bytes]:
+    """Stems that a worker process keeps from task to task, ``KEPT_STEMS`` at most: the first it meets, hence the
+    frequent ones."""
     home = sys.modules.setdefault("_tracewell_worker", types.ModuleType("_tracewell_worker"))
     return home.__dict__.setdefault(key, {})
 
@@ -49,8 +51,8 @@ class WordIds:
     and final punctuation those of the two. Stems are looked up many at a time; a token that ends a word ends a stem.
     """
 
-    def __init__(self, tokenizer, suffix: str):
-        self.tokenizer, self.words, self.parts = tokenizer, {}, {}
+    def __init__(self, tokenizer, suffix: str, kept: dict[str, bytes]):
+        self.tokenizer, self.words, self.parts, self.kept = tokenizer, {}, {}, kept
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
@@ -62,14 +64,15 @@ class WordIds:
             split[word] = (stem, plain[len(stem) :]) if stem.isalpha() else (word, "")
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
-        stems = [s for s in {s for s, _ in split.values()}.difference(self.parts) if s.isalpha()]
+        stems = [s for s in {s for s, _ in split.values()}.difference(self.parts, self.kept) if s.isalpha()]
         for at in range(0, len(stems), 2000):
             self._add_stems(stems[at : at + 2000])
-        rest = list({part for pair in split.values() for part in pair}.difference(self.parts))
+        rest = list({part for pair in split.values() for part in pair}.difference(self.parts, self.kept))
         for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.parts[part] = np.array(found.ids, dtype="<u4").tobytes()
         for word, (stem, end) in split.items():
-            self.words[word] = self.parts[stem] + self.parts[end] if end else self.parts[stem]
+            ids = self.kept[stem] if stem in self.kept else self.parts[stem]
+            self.words[word] = ids + self.parts[end] if end else ids
 
     def _add_stems(self, stems: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
@@ -78,7 +81,8 @@ class WordIds:
         if len(ends) == len(stems):  # else some stem is more than one run of letters to the tokenizer
             data, start = ids.tobytes(), 0
             for stem, end in zip(stems, ends):
-                self.parts[stem] = data[start:end]
+                held = self.kept if len(self.kept) < KEPT_STEMS else self.parts
+                held[stem] = data[start:end]
                 start = end
 
 
@@ -87,10 +91,8 @@ def _pieces(model, capacity: int, end_id: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model.value)
-        held = _worker_cache(f"words {zlib.crc32(model.value.encode())}")
-        if "ids" not in held:
-            held["ids"] = WordIds(tokenizer, WORD_END)
-        ids_of = held["ids"]
+        # all but the kept stems goes with the task: worker processes live on, beside those of other stages
+        ids_of = WordIds(tokenizer, WORD_END, _worker_stems(f"stems {zlib.crc32(model.value.encode())}"))
         cache = ids_of.words
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
