@@ -43,15 +43,14 @@ def decontamination_stage(spark, docs, sf_dir):
 
 def secret_stage(spark, docs, sf_dir):
     """Writes ``[SECRET]`` in place of each secret; where matches of two rules overlap, over both."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = secret_scan(docs.withColumn("whole", F.col("text")), keep=(*others, "whole"))
+    found = secret_scan(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
     cut = F.expr("""
         aggregate(spans, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
             'at', s.end,
             'out', if(s.start < a.at, a.out,
-                concat(a.out, substring(whole, cast(a.at + 1 as int), cast(s.start - a.at as int)), '[SECRET]')))),
-            a -> concat(a.out, substring(whole, cast(a.at + 1 as int))))""")
-    clean = found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("whole")))
+                concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '[SECRET]')))),
+            a -> concat(a.out, substring(text, cast(a.at + 1 as int))))""")
+    clean = found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

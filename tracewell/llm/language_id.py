@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.storage import bound_batches
 from tracewell.llm.words import byte_column, mix
 
 GRAM = 4
@@ -30,7 +31,7 @@ SLOTS = 1 << 20
 HASHES = 3
 MOST_LANGUAGES = 63
 UNKNOWN = "und"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 
 def letters_table() -> np.ndarray:
@@ -123,6 +124,7 @@ def fit(texts: DataFrame) -> LanguageFilters:
     """Learns from ``texts(text, lang)``; rows with a null in either teach nothing.
 
     What reaches the driver is bounded: the languages with their counts, and at most ``SLOTS`` slots."""
+    bound_batches(texts.sparkSession)
     known = texts.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = known.mapInArrow(_count, "lang string, gram long, uses long").groupBy("lang", "gram").agg(
         F.sum("uses").alias("uses")).cache()
@@ -149,12 +151,12 @@ def fit(texts: DataFrame) -> LanguageFilters:
     return LanguageFilters(languages, masks, filled**HASHES, usual)
 
 
-def _decide(model, width: int):
+def _decide(model, width: int, text_at: int):
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = LanguageFilters(**model.value)
         names, wrong = filters.languages, filters.false_positives
         for batch in batches:
-            text = batch.column(width)
+            text = batch.column(text_at)
             rows = batch.num_rows
             share = np.zeros((rows, len(names)))
             for row, code, first in grams(text):
@@ -190,13 +192,14 @@ def detect(docs: DataFrame, filters: LanguageFilters, columns: list[str]) -> Dat
     learnt language where no n-gram is known; ties go to the first language by name. ``score`` is the best
     language's part of all languages' corrected shares, ``coverage`` its corrected share of the text's n-grams.
     ``columns`` that bear those names are replaced. One row per row, no exchange."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in columns if c not in ("lang_pred", "score", "coverage")]
-    rows = docs.select(*kept, F.col("text").alias("text to read"))
+    rows = docs.select(*kept, *([] if "text" in kept else ["text"]))  # the text travels once
     schema = ", ".join(f"c{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(kept)))
     model = docs.sparkSession.sparkContext.broadcast(vars(filters))
     n = len(kept)
     made = f"c{n} string, c{n + 1} double, c{n + 2} double"
-    found = rows.mapInArrow(_decide(model, n), f"{schema}, {made}" if kept else made)
+    found = rows.mapInArrow(_decide(model, n, rows.columns.index("text")), f"{schema}, {made}" if kept else made)
     return found.toDF(*kept, "lang_pred", "score", "coverage")
 
 

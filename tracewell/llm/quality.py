@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.storage import bound_batches
 from tracewell.llm.words import byte_column
 
 SAMPLE = 1000
@@ -129,6 +130,7 @@ def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs(text, ...)`` and ``score``, the probability of label 1, and ``predicted`` (1 from
     ``THRESHOLD`` on). Null text is empty; an empty text has the curve's value at no difference. ``columns`` that
     bear those names are replaced. One row per row, no exchange."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in columns if c not in ("score", "predicted")]
     rows = docs.select(*kept, F.col("text").alias("text to read"))
     schema = [f"c{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(kept))] + [f"c{len(kept)} double"]

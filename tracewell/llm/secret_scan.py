@@ -181,11 +181,11 @@ def secret_scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, keep: tu
     ``(start, rank, end)`` in code points, end exclusive, by start and then rule order (``rank`` numbers the rules).
 
     A rule's matches are leftmost and do not overlap; those too short are dropped after matching. Null text
-    is empty. Rows may repeat or lack a ``doc_id``; each is verified on its own text. Other columns are not read.
+    is empty; ``keep`` may name ``text`` and returns it as it was. Rows may repeat or lack a ``doc_id``; each is verified on its own text. Other columns are not read.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
-    texts = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", *[c for c in keep if c != "text"], "text")
     if indexed:
         wanted = sorted({t for q in indexed.values() for clause in q for choice in clause for t in choice})
         scratch = Scratch(docs.sparkSession, "secrets")

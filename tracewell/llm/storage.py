@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "4m"
+UNBOUNDED = (str(2**31 - 1), "2147483647b", "2g")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where a cluster names none (tests), a folder of this
     machine becomes the session's."""
@@ -18,11 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows alone unless the session says otherwise; long texts need a bound in bytes."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, *UNBOUNDED):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Scratch:
     """Tables of one run. ``keep`` writes a table and reads it back: its lineage ends there, and lost
     executors cost only the tasks they ran. ``drop`` deletes a table that is not read any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._tables = 0
