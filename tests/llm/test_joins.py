@@ -100,6 +100,22 @@ def test_paragraphs_of_the_documents(spark, documents):
             assert any(100 * len(mine & n) >= 80 * len(mine | n) for n in near)
 
 
+@pytest.mark.parametrize("small, chunk", [(8, 512), (2, 16)])
+def test_paragraphs_compare_all_sets_of_a_key(spark, words, monkeypatch, small, chunk):
+    """Similar pairs among many paragraphs that share most of their words, so that keys hold many unlike sets."""
+    monkeypatch.setattr(paragraph_dedup, "SMALL_KEY", small)
+    monkeypatch.setattr(paragraph_dedup, "CHUNK_SETS", chunk)
+    rng = random.Random(17)
+    shared = [rng.choice(words) for _ in range(22)]
+    texts = {d: [*shared, *(rng.choice(words) for _ in range(8))] for d in range(600)}
+    for d in range(200):  # the second word from the end differs: 24 shingles of 28 are shared
+        texts[1000 + d] = [*texts[200 + d][:-2], f"other{d}", texts[200 + d][-1]]
+    found = repeated_paragraphs(table(spark, {d: " ".join(t) for d, t in texts.items()})).collect()
+    first = {r["doc_id"]: r["first_doc_id"] for r in found}
+    assert sum(first.get(1000 + d) == 200 + d for d in range(200)) >= 190
+    assert all(first[d] == (d if d < 1000 else d - 800) for d in first)
+
+
 @pytest.mark.parametrize("shape", ["random", "path", "none"])
 def test_components(spark, shape):
     rng = random.Random(1)

@@ -6,8 +6,10 @@ stands, inside lines or across them. A text shorter than a paragraph is one.
 
 Bands of ``ROWS`` of ``BANDS * ROWS`` MinHash values of a paragraph's five-word shingles are its keys: at a similarity of
 0.8 some key agrees with probability ``1 - (1 - 0.8**ROWS)**BANDS``, over 0.95. Paragraphs of equal sets are linked to the
-first of them; of the different sets that share a key, the first is linked to those whose exact Jaccard similarity to it,
-verified on the texts, is 0.8 or more. Of each connected component the first paragraph stays.
+first of them; of the different sets that share a key, each is compared with every other on the texts, and those of an
+exact Jaccard similarity of 0.8 or more are linked. Pairs of keys of ``SMALL_KEY`` sets at most are compared one by one; the
+sets of others are dealt into chunks of ``CHUNK_SETS``, every two chunks of a key meet in a block, and a block returns a
+spanning forest of its links. Of each connected component the first paragraph stays.
 
 Each batch links its own equal paragraphs and sends on the first only, so a passage that a third of all documents hold costs
 a row a batch.
@@ -16,6 +18,7 @@ a row a batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
+from tracewell.llm.jaccard_join import forest, overlaps_linked
 from tracewell.llm.storage import Scratch
 from tracewell.llm.words import Powers, Words, binaries, mix, row_sets, word_slices
 
 WIDTH, REACH = 30, 18
 SHINGLE = 5
-BANDS, ROWS = 3, 2
-BAND_KEYS = 4  # a key's remainder by this is its band
+BANDS, ROWS = 6, 4
+BAND_KEYS = 8  # a key's remainder by this is its band
+SMALL_KEY = 8
+CHUNK_SETS = 512
 PERCENT = 80
 BUCKETS_PER_PARTITION = 8
 RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("set", "<u4")])
@@ -111,13 +117,20 @@ def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[firsts], _edges(found[first[other]], found[other], True)
 
 
-def unequal_sets(firsts: np.ndarray) -> np.ndarray:
-    """Edges from each key's first record to the first of each other set."""
+def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between all sets of each key of ``SMALL_KEY`` sets at most; and the records of larger keys, each one's
+    place in its key and its key's number of sets."""
     found = firsts[np.lexsort((firsts["start"], firsts["doc"], firsts["key"]))]
-    fresh = np.append(True, found["key"][1:] != found["key"][:-1])[: len(found)]
-    heads = np.flatnonzero(fresh)
-    head = np.repeat(heads, np.diff(np.append(heads, len(found))))
-    return _edges(found[head[~fresh]], found[~fresh], False)
+    heads = np.flatnonzero(np.append(True, found["key"][1:] != found["key"][:-1])[: len(found)])
+    many = np.diff(np.append(heads, len(found)))
+    size, place = np.repeat(many, many), np.arange(len(found)) - np.repeat(heads, many)
+    few = np.flatnonzero(size <= SMALL_KEY)
+    pairs = [_edges(found[:0], found[:0], False)]
+    for apart in range(1, int(size[few].max(initial=1))):
+        first = few[place[few] + apart < size[few]]
+        pairs.append(_edges(found[first], found[first + apart], False))
+    large = size > SMALL_KEY
+    return np.concatenate(pairs), found[large], place[large], size[large]
 
 
 def _dealt(values: np.ndarray, bucket: np.ndarray, buckets: int) -> list[bytes]:
@@ -153,13 +166,28 @@ def _band(buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
+    """Edges, and members of large keys: a row of ``key``, ``chunk`` and its key's ``chunks`` without ``b`` and ``t``."""
     held = [np.frombuffer(r, RECORD) for r in table.column("records").to_pylist()]
     edges = [np.frombuffer(e, EDGE) for e in table.column("edges").to_pylist()]
     firsts, equal = equal_sets(np.concatenate(held))
-    edges = np.unique(np.concatenate([*edges, equal, unequal_sets(firsts)]))
+    unsure, large, place, size = unequal_sets(firsts)
+    edges = np.unique(np.concatenate([*edges, equal, unsure]))
+    nothing, rows = np.zeros(len(large), dtype=np.int64), np.arange(len(edges) + len(large))
+    is_edge, is_member = pa.array(rows >= len(edges)), pa.array(rows < len(edges))  # masks: true is null
+
+    def column(of_edges: np.ndarray, of_large: np.ndarray, kind: pa.DataType, mask: pa.Array) -> pa.Array:
+        values = np.concatenate([of_edges.astype(np.int64), of_large.astype(np.int64)])
+        return pa.array(values, mask=mask.to_numpy(zero_copy_only=False)).cast(kind)
+
+    none = np.zeros(len(edges), dtype=np.int64)
+    all_there = pa.array(np.zeros(len(rows), dtype=bool))
     return pa.table({
-        "a": pa.array(edges["a"]), "s": pa.array(edges["s"]), "b": pa.array(edges["b"]), "t": pa.array(edges["t"]),
-        "equal": pa.array(edges["equal"].astype(bool)),
+        "a": column(edges["a"], large["doc"], pa.int64(), all_there), "s": column(edges["s"], large["start"], pa.int32(), all_there),
+        "b": column(edges["b"], nothing, pa.int64(), is_edge), "t": column(edges["t"], nothing, pa.int32(), is_edge),
+        "equal": column(edges["equal"], nothing, pa.bool_(), is_edge),
+        "key": column(none, large["key"].view(np.int64), pa.int64(), is_member),
+        "chunk": column(none, place // CHUNK_SETS, pa.int64(), is_member),
+        "chunks": column(none, -(-size // CHUNK_SETS), pa.int64(), is_member),
     })
 
 
@@ -189,6 +217,39 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "s", "b", "t"]).filter(pa.array(keep, pa.bool_()))
 
 
+def block_links(doc: np.ndarray, start: np.ndarray, sets: list[np.ndarray], left: int) -> np.ndarray:
+    """A spanning forest of the links between the first ``left`` paragraphs of a block and all of it."""
+    linked = overlaps_linked(sets, left, PERCENT)
+    linked &= (doc[:left, None] != doc) | (np.abs(start[:left, None] - start) >= WIDTH)
+    return np.array(forest(linked), dtype=np.int64).reshape(-1, 2)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of blocks, whose rows come one after another, side 0 first."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if held is None or not held.num_rows:
+            continue
+        block = np.stack([held.column(name).to_numpy() for name in ("key", "i", "j")])
+        heads = np.append(0, np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1)
+        ends = np.append(heads[1:], held.num_rows)
+        if batch is not None:  # the last block may go on
+            heads, ends = heads[:-1], ends[:-1]
+        doc, start, side = (held.column(name).to_numpy() for name in ("doc", "start", "side"))
+        shingles, ats = held.column("shingles"), []
+        for lo, hi in zip(heads, ends):
+            left = int(np.count_nonzero(side[lo:hi] == 0))
+            sets = [np.frombuffer(x, np.uint64) for x in shingles.slice(lo, hi - lo).to_pylist()]
+            ats.append(lo + block_links(doc[lo:hi], start[lo:hi], sets, left) if left else np.zeros((0, 2), dtype=np.int64))
+        held = held.slice(ends[-1] if len(ends) else 0)
+        at = np.concatenate(ats) if ats else np.zeros((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[at[:, 0]]), pa.array(start[at[:, 0]]), pa.array(doc[at[:, 1]]), pa.array(start[at[:, 1]])],
+            ["a", "s", "b", "t"])
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, first_doc_id, first_start, removed)``: every paragraph that some other one repeats, ``start`` in
     words, and the first paragraph (smallest doc_id, then start) of its component; all but the first are removed.
@@ -199,15 +260,17 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     buckets = BUCKETS_PER_PARTITION * max(8, docs.rdd.getNumPartitions())
     packed = docs.mapInArrow(_band(buckets), "bucket int, records binary, edges binary")
-    edges = scratch.keep(
-        packed.groupBy("bucket").applyInArrow(_meet, "a long, s int, b long, t int, equal boolean"), "edges")
+    met = scratch.keep(packed.groupBy("bucket").applyInArrow(
+        _meet, "a long, s int, b long, t int, equal boolean, key long, chunk long, chunks long"), "met")
+    edges = met.where("key IS NULL")
+    members = met.where("key IS NOT NULL").select(F.col("a").alias("doc"), F.col("s").alias("start"), "key", "chunk", "chunks")
 
     unsure = edges.where("NOT equal").select("a", "s", "b", "t").distinct().join(
         edges.where("equal").select("a", "s", "b", "t"), ["a", "s", "b", "t"], "left_anti")
     unsure = scratch.keep(unsure, "unsure")
     ends = unsure.select(F.inline(F.array(
         F.struct(F.col("a").alias("doc"), F.col("s").alias("start")), F.struct(F.col("b").alias("doc"), F.col("t").alias("start")))))
-    asked = ends.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    asked = ends.union(members.select("doc", "start")).groupBy("doc").agg(F.collect_set("start").alias("starts"))
     sets = docs.hint("merge").join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "starts").mapInArrow(
         _sets, "doc long, start int, shingles binary")
     sets = scratch.keep(sets.dropDuplicates(["doc", "start"]), "sets")
@@ -215,7 +278,13 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     right = sets.select(F.col("doc").alias("b"), F.col("start").alias("t"), F.col("shingles").alias("right"))
     verified = unsure.join(left, ["a", "s"]).join(right, ["b", "t"]).select("a", "s", "b", "t", "left", "right").mapInArrow(
         _similar, "a long, s int, b long, t int")
-    links = edges.where("equal").select("a", "s", "b", "t").union(verified).select(
+    tiles = members.select("doc", "start", "key", "chunk", "chunks", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"))
+    tiles = tiles.select(
+        "doc", "start", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    blocks = tiles.join(sets, ["doc", "start"]).select("key", "i", "j", "side", "doc", "start", "shingles").repartition(
+        "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, "a long, s int, b long, t int")
+    links = edges.where("equal").select("a", "s", "b", "t").union(verified).union(blocks).select(
         F.struct(F.col("a").alias("doc"), F.col("s").alias("start")).alias("a"),
         F.struct(F.col("b").alias("doc"), F.col("t").alias("start")).alias("b"))
     found = components(links, scratch)
