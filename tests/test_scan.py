@@ -209,3 +209,14 @@ def test_new_files(spark, tmp_path):
     assert [r.basename for r in first.collect()] == ["_a.js"]
     (tmp_path / ".b.js").write_text("")
     assert [r.basename for r in new_files(spark, {"project": [str(tmp_path)]}, first).collect()] == [".b.js"]
+
+
+def test_files_rewritten_at_the_same_length_are_new(spark, tmp_path):
+    for name in ("a.js", "b.js"):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, ns=(10**18, 10**18))
+    rows = new_files(spark, {"project": [str(tmp_path)]}, None)
+    seen = spark.createDataFrame(rows.collect(), rows.schema)
+    assert new_files(spark, {"project": [str(tmp_path)]}, seen).isEmpty()
+    (tmp_path / "b.js").write_text("y")
+    assert [r.basename for r in new_files(spark, {"project": [str(tmp_path)]}, seen).collect()] == ["b.js"]

@@ -29,7 +29,7 @@ PIECE_ENTRIES = 4096
 BATCH_BYTES = 32 << 20
 DIRECTORIES_PER_TASK = 256
 FILES_PER_TASK = 4096
-LISTED = "scope string, kind string, path string, name string, length long"
+LISTED = "scope string, kind string, path string, name string, length long, modified long"
 
 # Arrow's names of schemes that Hadoop knows by others.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
@@ -51,8 +51,8 @@ def _remote(path: str) -> tuple[arrow_fs.FileSystem, str, str]:
     return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else f"{scheme}://"
 
 
-def _entries(directory: str) -> Iterator[tuple[str, str, str, int]]:
-    """``(kind, path, name, length)`` of what is directly in a directory: ``directory``, ``file``, or ``error`` for
+def _entries(directory: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """``(kind, path, name, length, modified)`` of what is directly in a directory: ``directory``, ``file``, or ``error`` for
     what cannot be looked at. Links to files are resolved and links to directories not entered; a link to
     nothing is a file by its name."""
     try:
@@ -60,23 +60,23 @@ def _entries(directory: str) -> Iterator[tuple[str, str, str, int]]:
             system, inner, before = _remote(directory)
             for info in system.get_file_info(arrow_fs.FileSelector(inner)):
                 kind = "directory" if info.type == arrow_fs.FileType.Directory else "file"
-                yield kind, before + info.path, info.base_name, info.size or 0
+                yield kind, before + info.path, info.base_name, info.size or 0, info.mtime_ns or 0
             return
         with os.scandir(_local(directory)) as entries:
             for entry in entries:
                 try:
                     if entry.is_dir(follow_symlinks=False):
-                        yield "directory", entry.path, entry.name, 0
+                        yield "directory", entry.path, entry.name, 0, 0
                     elif entry.is_symlink() and not os.path.exists(entry.path):
-                        yield "file", os.path.realpath(entry.path), entry.name, 0
+                        yield "file", os.path.realpath(entry.path), entry.name, 0, 0
                     else:
                         found = entry.stat()
                         if stat.S_ISREG(found.st_mode):
-                            yield "file", os.path.realpath(entry.path), entry.name, found.st_size
+                            yield "file", os.path.realpath(entry.path), entry.name, found.st_size, found.st_mtime_ns
                 except OSError:
-                    yield "error", entry.path, entry.name, 0
+                    yield "error", entry.path, entry.name, 0, 0
     except OSError:
-        yield "error", directory, os.path.basename(directory), 0
+        yield "error", directory, os.path.basename(directory), 0, 0
 
 
 # Workers need not have this package: what runs there is sent by value.
@@ -84,8 +84,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["scope", "kind", "path", "name", "length"]
-    kinds = [pa.string()] * 4 + [pa.int64()]
+    names = ["scope", "kind", "path", "name", "length", "modified"]
+    kinds = [pa.string()] * 4 + [pa.int64()] * 2
 
     def piece(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -120,7 +120,7 @@ def _checkpointed(rows: DataFrame) -> DataFrame:
 
 
 def list_everything(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
-    """``(scope, kind, path, name, length)`` of all files below ``{scope: [directories]}`` and of what could not be
+    """``(scope, kind, path, name, length, modified)`` of all files below ``{scope: [directories]}`` and of what could not be
     looked at. Each round lists one level of directories in tasks of some hundred directories; the driver holds the
     roots only. Directories that do not exist are left out."""
     given = [(scope, path) for scope, paths in roots.items() for path in _existing(spark, paths)]
@@ -139,12 +139,12 @@ def list_everything(spark: SparkSession, roots: dict[str, list[str]]) -> DataFra
 
 def _as_files(listed: DataFrame) -> DataFrame:
     files = with_path_columns(listed.where("kind = 'file'"))
-    return files.withColumns({"basename": F.col("name"), "file_id": F.col("path")}).select(*FILE_COLUMNS, "length")
+    return files.withColumns({"basename": F.col("name"), "file_id": F.col("path")}).select(*FILE_COLUMNS, "length", "modified")
 
 
 def list_tree(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
-    """All files below ``{scope: [directories]}`` with their length, none of them opened, empty and hidden ones
-    included. ``ext`` is that of the file a link leads to, ``basename`` the link's own."""
+    """All files below ``{scope: [directories]}`` with their length and time of modification (nanoseconds since 1970, 0 where
+    none is known), none of them opened, empty and hidden ones included. ``ext`` is that of the file a link leads to, ``basename`` the link's own."""
     return _as_files(list_everything(spark, roots))
 
 

@@ -1,7 +1,8 @@
 """Scanning files as they arrive.
 
 A scan keeps nothing between files and has no exchange, so the batch plan runs on a stream as it
-is: no watermark and no state, and each file is complete in its micro-batch.
+is: no watermark and no state, and each file is complete in its micro-batch. ``stream_tree`` sees fewer files than
+``list_tree`` does; where every file counts, scan what ``new_files`` lists.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ BINARY_FILES = "path string, modificationTime timestamp, length bigint, content
 
 
 def new_files(spark: SparkSession, roots: dict[str, list[str]], seen: DataFrame | None) -> DataFrame:
-    """Files of ``list_tree`` that ``seen(path, length)``, an earlier listing, has not, for scans on a schedule. It sees
-    every file, hidden and empty ones too."""
+    """Files of ``list_tree`` that ``seen(path, length, modified)``, an earlier listing, has not, for scans on a schedule.
+    It sees every file, hidden and empty ones too, and those rewritten at the same length."""
     listed = list_tree(spark, roots)
-    return listed if seen is None else listed.join(seen.select("path", "length").distinct(), ["path", "length"], "left_anti")
+    known = ["path", "length", "modified"]
+    return listed if seen is None else listed.join(seen.select(known).distinct(), known, "left_anti").select(listed.columns)
 
 
 def stream_tree(spark: SparkSession, path: str, scope: str = "project", max_files_per_trigger: int = 10_000) -> DataFrame:
-    """New files below ``path``. Spark's file stream passes over names that start with ``_`` or ``.`` and over empty files;
-    ``new_files`` does not."""
+    """New files below ``path``, but not all that ``list_tree`` sees: Spark's file stream passes over files and directories whose
+    names start with ``_`` or ``.`` and over empty files, without an error row. ``new_files`` does not."""
     found = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILES)
