@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from tracewell.llm.class_lm import score_texts
 from tracewell.llm.decontamination import contaminated
 from tracewell.llm.jaccard_join import jaccard_components
-from tracewell.llm import quality, warc
+from tracewell.llm import quality, toxicity, warc
+from tracewell.llm.centroids import centroid_digest, cluster_vectors
 from tracewell.llm.language_id import held_out, language_id
 from tracewell.llm.neighbours import nearest_neighbours
 from tracewell.llm.oracle import ORACLES
 from tracewell.llm.packing import pack_documents
 from tracewell.llm.paragraph_dedup import repeated_paragraphs
 from tracewell.llm.secret_scan import RULES, secret_scan, span_text
+from tracewell.llm.source_audit import source_audit
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -76,9 +78,29 @@ def op10_nn_descent(spark, sf):
     return nearest_neighbours(_read(spark, sf, "embeddings"))
 
 
+def op11_source_audit(spark, sf):
+    return source_audit(_read(spark, sf, "documents"))
+
+
+def op12_centroids(spark, sf):
+    state, centroids = cluster_vectors(_read(spark, sf, "embeddings"))
+    sums = {r["cluster"]: int(r["s"]) for r in state.groupBy("cluster").agg(F.sum("distance").alias("s")).collect() if r["s"] is not None}
+    facts = spark.createDataFrame(
+        [(c, str(sums[c]), str(sum(sums.values())), centroid_digest(v)) for c, v in enumerate(centroids) if c in sums],
+        "cluster int, cluster_inertia string, inertia string, centroid_sha256 string")
+    long = [F.expr(f"try_cast({c} AS bigint)").alias(c) for c in ("distance", "cluster_inertia", "inertia")]
+    return state.join(F.broadcast(facts), "cluster", "left").select("vec_id", "cluster", *long, "centroid_sha256")
+
+
+def op13_toxicity(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    labels = _read(spark, sf, "labels").where(~held_out("doc_id", 5, 0))
+    return toxicity.score(docs, toxicity.fit(docs.where("NOT held_out"), labels), ["doc_id", "held_out"])
+
+
 QUERIES = (
     op1_secret_scan, op2_best_fit_packing, op3_substring_dedup, op4_quality_classifier, op5_class_lm, op6_jaccard_join,
-    op7_warc, op8_decontamination, op9_language_id, op10_nn_descent,
+    op7_warc, op8_decontamination, op9_language_id, op10_nn_descent, op11_source_audit, op12_centroids, op13_toxicity,
 )
 
 

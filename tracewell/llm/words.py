@@ -127,6 +127,49 @@ def word_slices(
         row = last
 
 
+def word_pieces(
+    column: pa.Array, powers: Powers, carry: int, letters: np.ndarray | None = None, size: int = SLICE_BYTES
+) -> Iterator[tuple[Words, bool]]:
+    """As ``word_slices``, but a row of more than ``size`` bytes comes in pieces, cut between words. A piece that goes
+    on with a row begins with the last ``carry`` words of the piece before, and is marked."""
+    offsets, data = byte_column(column)
+    if letters is None:
+        letters = np.ones(256, dtype=bool)
+        letters[list(_SPACES)] = False
+    inside = letters[lower_table()]
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        if offsets[row + 1] - offsets[row] <= size:
+            last = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
+            last = min(max(last, row + 1), rows)
+            part = offsets[row : last + 1]
+            yield Words(row, part - part[0], data[part[0] : part[-1]], powers, letters), False
+            row = last
+            continue
+        at, end, width, goes_on = int(offsets[row]), int(offsets[row + 1]), size, False
+        while True:
+            stop = _between_words(data, inside, min(at + width, end), end)
+            words = Words(row, np.array([0, stop - at], dtype=np.int64), data[at:stop], powers, letters)
+            if stop < end and len(words.start) <= carry:
+                width *= 2  # too few words to go on from
+                continue
+            yield words, goes_on
+            if stop == end:
+                break
+            at, width, goes_on = (at + int(words.start[-carry]) if carry else stop), size, True
+        row += 1
+
+
+def _between_words(data: np.ndarray, inside: np.ndarray, at: int, end: int) -> int:
+    """The first place from ``at`` on that is not within a word."""
+    while at < end:
+        ahead = np.flatnonzero(~inside[data[at - 1 : min(at + 4096, end)]])
+        if len(ahead):
+            return at + int(ahead[0])
+        at += 4096
+    return end
+
+
 def row_sets(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, and each row's first."""
     rows = len(first) - 1
