@@ -16,6 +16,7 @@ from tracewell.operators.hits import explode_hits, keep_where, report_columns
 from tracewell.options import ScanOptions
 from tracewell.plans.catalog import catalog, pattern_list_lines
 from tracewell.plans.corpus import STARTER_PACKS, STARTER_RULES, corpus
+from tracewell.plans.pieces import scan_table
 from tracewell.plans.scan import prepare, scan_with_filenames
 from tracewell.sources.packs import parse_pattern_lines
 from tracewell.sources.rules import Rule
@@ -28,6 +29,8 @@ except ModuleNotFoundError as missing:  # the subpackage is optional, what it ne
         raise
     llm = None
 
+PIECE_BYTES = 8192
+
 # Whole files, but for the queries of the default limits.
 DEFAULT = ScanOptions()
 OPTIONS = replace(DEFAULT, no_bail_out=True)
@@ -313,6 +316,11 @@ def forensic_hits(spark, sf):
     return report_columns(_scan(spark, sf, FORENSIC))
 
 
+def piece_hits(spark, sf):
+    """All findings, files beyond some kilobytes being scanned in pieces."""
+    return report_columns(scan_table(corpus(spark, sf), STARTER_PACKS, STARTER_RULES, OPTIONS, PIECE_BYTES))
+
+
 def csv_hits(spark, sf):
     return report.csv_columns(_scan(spark, sf), OPTIONS)
 
@@ -382,6 +390,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "default_hits": default_hits,
         "signature_gate": signature_gate,
         "forensic_hits": forensic_hits,
+        "piece_hits": piece_hits,
         "csv_hits": csv_hits,
         "pivot": pivot,
         "scope_summary": scope_summary,

@@ -535,6 +535,7 @@ ORACLES: dict[str, str] = {
     "token_entropy": query("SELECT token, uses, entropy FROM (SELECT token, count(*) AS uses FROM tokens_kept GROUP BY token) JOIN weighed_kept USING (token)", "weighed_kept"),
     "obf_vars": report("vars_hits_kept"),
     "all_hits": report("everything"),
+    "piece_hits": report("everything"),
     "default_hits": report("by_default"),
     "signature_gate": report("unsigned"),
     "forensic_hits": report("forensic"),

@@ -21,6 +21,12 @@ PLUS_EQUALS_EXTRA = 0.5
 BACKTICK_WEIGHT = 0.5
 SHORT_LITERAL_EXTRA = 0.25
 
+# Patterns of the string check.
+CONCAT_CALL, JOIN_CALL = r"\.concat\s*\(", r"\.join\s*\("
+POWERSHELL_CALLS = ("(?iu)-bxor", "(?iu)FromBase64String", r"(?iU)\bIEX\b|\bInvoke-Expression\b")
+ESCAPES = ((r"\\x[0-9a-fA-F]{2}", "\\x"), (r"\\u[0-9a-fA-F]{4}", "\\u"))
+STRING_LITERAL = "'[^']*'|\"[^\"]*\""
+
 # An identifier: an ASCII letter, '_' or '$' at a word boundary, then letters, digits, '_' and '$'
 # up to the last boundary. Word characters are letters, numbers and '_', without combining marks.
 _WORD = r"\p{L}\p{N}_"
@@ -91,57 +97,52 @@ def count_matches(c: Sql, pattern: str, needs: str) -> Sql:
     return case((contains(c, needs), f"regexp_count({c}, {text(pattern)})"), default="0")
 
 
-def obfuscation_score(
-    c: Sql, ext: Sql, weights: dict | None = None, min_literals: int = MIN_STRING_LITERALS
-) -> Sql:
-    """Weighted count of string building, escapes and literals in a text."""
-    w = {**STRING_WEIGHTS, **(weights or {})}
-
-    def parts(t: Sql) -> Sql:
-        plus_equals, plus = occurrences(t, "+="), occurrences(t, "+")
-        building = case(
-            (contains(t, "+"), let(
-                plus_equals,
-                lambda n: f"({n} * {number(w['plus'] + PLUS_EQUALS_EXTRA)} + ({plus} - {n}) * {number(w['plus'])})",
-            )),
-            default="0.0D",
-        )
-        joins = case(
-            (is_in(ext, CONCAT_EXTENSIONS), count_matches(t, r"(?U)\.concat\s*\(", ".concat")),
-            (is_in(ext, JOIN_EXTENSIONS), count_matches(t, r"(?U)\.join\s*\(", ".join")),
-            default="0",
-        )
-        calls = " + ".join(
-            f"regexp_count({t}, {text(rx)})"
-            for rx in ("(?iu)-bxor", "(?iu)FromBase64String", r"(?iU)\bIEX\b|\bInvoke-Expression\b")
-        )
-        powershell = case(
-            (is_in(ext, POWERSHELL_EXTENSIONS),
-             f"({calls}) * {number(w['powershell_exec'])} + {occurrences(t, '`')} * {number(BACKTICK_WEIGHT)}"),
-            default="0.0D",
-        )
-        escapes = (
-            f"({count_matches(t, r'\\x[0-9a-fA-F]{2}', chr(92) + 'x')} "
-            f"+ {count_matches(t, r'\\u[0-9a-fA-F]{4}', chr(92) + 'u')}) * {number(w['escape'])}"
-        )
-        lengths = transform(f"regexp_extract_all({t}, {text(_STRING_LITERAL)}, 0)", lambda s: f"length({s})")
+STRING_COUNTS = ("plus", "plus_equals", "joins", "calls", "backticks", "escapes", "literals", "short")
 
-        def literal_score(sizes: Sql) -> Sql:
-            def when_many(n: Sql, weight: float) -> Sql:
-                return case((f"{n} >= {min_literals}", f"{n} * {number(weight)}"), default="0.0D")
 
-            short = f"size({where(sizes, lambda n: f'{n} <= {SHORT_LITERAL}')})"
-            return f"({when_many(f'size({sizes})', w['short_string'])} + {let(short, lambda n: when_many(n, w['short_string'] + SHORT_LITERAL_EXTRA))})"
+def string_counts(t: Sql, ext: Sql, literals: bool = True) -> Sql:
+    """What ``obfuscation_score`` counts in a text, as a struct; without ``literals`` those are left at 0."""
+    joins = case(
+        (is_in(ext, CONCAT_EXTENSIONS), count_matches(t, rf"(?U){CONCAT_CALL}", ".concat")),
+        (is_in(ext, JOIN_EXTENSIONS), count_matches(t, rf"(?U){JOIN_CALL}", ".join")),
+        default="0",
+    )
+    calls = " + ".join(f"regexp_count({t}, {text(rx)})" for rx in POWERSHELL_CALLS)
+    powershell = is_in(ext, POWERSHELL_EXTENSIONS)
+    escapes = " + ".join(count_matches(t, rx, needs) for rx, needs in ESCAPES)
+    lengths = transform(f"regexp_extract_all({t}, {text(STRING_LITERAL)}, 0)", lambda s: f"length({s})")
+    sizes = lambda of: struct(n=f"size({of})", short=f"size({where(of, lambda n: f'{n} <= {SHORT_LITERAL}')})")
+    none = struct(n="0", short="0")
+    quoted = any_of([contains(t, '"'), contains(t, "'")])
+    found = case((quoted, let(lengths, sizes)), default=none) if literals else none
+    return let(found, lambda f: struct(
+        plus=occurrences(t, "+"), plus_equals=occurrences(t, "+="), joins=joins, calls=case((powershell, calls), default="0"),
+        backticks=case((powershell, occurrences(t, "`")), default="0"), escapes=f"({escapes})", literals=f"{f}.n", short=f"{f}.short",
+    ))
 
-        quoted = any_of([contains(t, '"'), contains(t, "'")])
-        literals = case((quoted, let(lengths, literal_score)), default="0.0D")
-        return f"({building} + {joins} * {number(w['concat'])} + {powershell} + {escapes} + {literals})"
 
+def score_of_counts(n: Sql, weights: dict | None = None, min_literals: int = MIN_STRING_LITERALS) -> Sql:
+    w = {**STRING_WEIGHTS, **(weights or {})}
+    many = lambda field, weight: case((f"{n}.{field} >= {min_literals}", f"{n}.{field} * {number(weight)}"), default="0.0D")
+    parts = [
+        f"{n}.plus_equals * {number(w['plus'] + PLUS_EQUALS_EXTRA)}",
+        f"({n}.plus - {n}.plus_equals) * {number(w['plus'])}",
+        f"{n}.joins * {number(w['concat'])}",
+        f"{n}.calls * {number(w['powershell_exec'])}",
+        f"{n}.backticks * {number(BACKTICK_WEIGHT)}",
+        f"{n}.escapes * {number(w['escape'])}",
+        many("literals", w["short_string"]),
+        many("short", w["short_string"] + SHORT_LITERAL_EXTRA),
+    ]
     # Weights are multiples of 0.05, so a score can sit on a limit: drop the noise of the sum.
-    return f"round({let(c, parts)}, 9)"
+    return f"round({' + '.join(parts)}, 9)"
 
 
-_STRING_LITERAL = "'[^']*'|\"[^\"]*\""
+def obfuscation_score(
+    c: Sql, ext: Sql, weights: dict | None = None, min_literals: int = MIN_STRING_LITERALS
+) -> Sql:
+    """Weighted count of string building, escapes and literals in a text."""
+    return let(let(c, lambda t: string_counts(t, ext)), lambda n: score_of_counts(n, weights, min_literals))
 
 
 def identifiers(c: Sql) -> Sql:
@@ -221,16 +222,21 @@ def obfuscated_vars(c: Sql, parameters: dict) -> Sql:
         refusals.append(contains(c, HEX_PREFIX))
     if p["require_long_lines"]:
         refusals.append(f"{long_lines(c)} >= {p['min_long_lines']}")
+    stats = identifier_stats(c, float(p["entropy_threshold"]))
+    return all_of([*refusals, let(stats, lambda s: vars_of_stats(s, parameters))])
+
 
-    def test(s: Sql) -> Sql:
-        ratio = case((f"{s}.tokens > 0", f"{s}.weight / {s}.tokens"), default="1000.0D")
-        tests = [
-            f"{s}.tokens >= {p['min_tokens']}",
-            f"round({ratio}, 9) >= {number(p['min_ratio'])}",
-            f"{s}.entropy_hits >= {p['min_entropy_hits']}",
-        ]
-        if p["require_hex_prefix"]:
-            tests.append(f"{s}.hex_hits > 0")
-        return all_of(tests)
-
-    return all_of([*refusals, let(identifier_stats(c, float(p["entropy_threshold"])), test)])
+def vars_of_stats(s: Sql, parameters: dict) -> Sql:
+    """The identifier shape test on ``identifier_stats``."""
+    p = {**VARS_DEFAULTS, **parameters}
+    ratio = case((f"{s}.tokens > 0", f"{s}.weight / {s}.tokens"), default="1000.0D")
+    tests = [
+        f"{s}.tokens >= {p['min_tokens']}",
+        f"round({ratio}, 9) >= {number(p['min_ratio'])}",
+        f"{s}.entropy_hits >= {p['min_entropy_hits']}",
+    ]
+    if p["require_hex_prefix"]:
+        tests.append(f"{s}.hex_hits > 0")
+    if p["require_long_lines"]:
+        tests.append(f"{s}.long_lines >= {p['min_long_lines']}")
+    return all_of(tests)

@@ -81,18 +81,42 @@ def _runs_to_mask(symbols: Sql, run: str, hidden: str) -> Sql:
     return f"split(array_join({transform(runs, mask)}, ''), '')"
 
 
-def block_mask(symbols: Sql) -> Sql:
+def _going_on(symbols: Sql, inside: Sql | None, opener: str, mask) -> Sql:
+    """The mask of lines that may begin inside a comment: as if a line had opened it before them."""
+    if inside is None:
+        return mask(symbols)
+    opened = f"concat('{opener}', {symbols})"
+    return case((inside, f"slice({mask(opened)}, 2, length({symbols}))"), default=mask(symbols))
+
+
+def block_mask(symbols: Sql, inside: Sql | None = None) -> Sql:
     """An opening line hides itself and all up to and including the next line that closes."""
     hidden = "[ob][on]*+[bc]?"
-    return _runs_to_mask(symbols, f"{hidden}|[nc]++", f"^{hidden}")
+    return _going_on(symbols, inside and f"{inside}.b", "o", lambda s: _runs_to_mask(s, f"{hidden}|[nc]++", f"^{hidden}"))
 
 
-def python_mask(symbols: Sql) -> Sql:
+def python_mask(symbols: Sql, inside: Sql | None = None) -> Sql:
     """A line is hidden while either state is on after it; the line that ends both shows."""
-    double = _runs_to_mask(symbols, "[db][ns]*+[db]?|[ns]++", "^[db][ns]*+")
-    single = _runs_to_mask(symbols, "[sb][nd]*+[sb]?|[nd]++", "^[sb][nd]*+")
+    double = _going_on(symbols, inside and f"{inside}.d", "d", lambda s: _runs_to_mask(s, "[db][ns]*+[db]?|[ns]++", "^[db][ns]*+"))
+    single = _going_on(symbols, inside and f"{inside}.s", "s", lambda s: _runs_to_mask(s, "[sb][nd]*+[sb]?|[nd]++", "^[sb][nd]*+"))
     return f"zip_with({double}, {single}, (d, s) -> greatest(d, s))"
 
 
+# What lines do to the comment state, for lines that come after others: whether a block comment is open after them if none
+# was before (``open``) and if one was (``still``), and whether they flip the triple-quote states (``d``, ``s``).
+NO_CHANGE = struct(open="false", still="true", d="false", s="false")
+
+
+def block_change(symbols: Sql) -> Sql:
+    closed = "(?:[ob][on]*+[bc]|[nc]++)*+[ob][on]*+"
+    return struct(
+        open=f"rlike({symbols}, '^{closed}$')", still=f"rlike({symbols}, '^[on]*+(?:[bc]{closed})?$')", d="false", s="false")
+
+
+def python_change(symbols: Sql) -> Sql:
+    odd = lambda letters: f"(length({symbols}) - length(translate({symbols}, '{letters}', ''))) % 2 = 1"
+    return struct(open="false", still="true", d=odd("db"), s=odd("sb"))
+
+
 def symbols_of(lines: Sql) -> Sql:
     return f"array_join({transform(lines, lambda x: f'{x}.sym')}, '')"

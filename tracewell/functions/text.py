@@ -77,12 +77,14 @@ def decode_text(content: Sql) -> Sql:
     )
 
 
-def prefix_length(items: Sql, weight: Callable[[Sql], Sql], max_items: int, max_weight: int) -> Sql:
+def prefix_length(
+    items: Sql, weight: Callable[[Sql], Sql], max_items: int, max_weight: int, items_before: Sql = "0", weight_before: Sql = "0L"
+) -> Sql:
     """How many leading items fit: one fits while fewer than ``max_items`` items and less than
     ``max_weight`` came before it. A single fold, so it is linear in the array."""
     return fold(
         items,
-        struct(n="0", w="0L"),
+        struct(n=items_before, w=weight_before),
         lambda acc, x: case(
             (
                 f"{acc}.n < {max_items} AND {acc}.w < {max_weight}",
@@ -90,5 +92,5 @@ def prefix_length(items: Sql, weight: Callable[[Sql], Sql], max_items: int, max_
             ),
             default=acc,
         ),
-        lambda acc: f"{acc}.n",
+        lambda acc: f"{acc}.n" if items_before == "0" else f"{acc}.n - {items_before}",
     )

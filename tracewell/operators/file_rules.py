@@ -26,9 +26,13 @@ PREVIEW_HEADER = "Preview of matched lines (max. {n}):\n"
 def is_minified(o: ScanOptions) -> Sql:
     """A script of one or two lines whose mean length is over the limit."""
     total = fold("kept", "0L", lambda acc, x: f"{acc} + length({x}.raw)", lambda acc: acc)
+    return is_minified_of("size(kept)", total, o)
+
+
+def is_minified_of(lines: Sql, chars: Sql, o: ScanOptions) -> Sql:
     return (
-        f"({is_in('ext', o.script_extensions)} AND size(kept) BETWEEN 1 AND 2 "
-        f"AND {total} / size(kept) > {o.max_minified_line_avg_length})"
+        f"({is_in('ext', o.script_extensions)} AND {lines} BETWEEN 1 AND 2 "
+        f"AND {chars} / {lines} > {o.max_minified_line_avg_length})"
     )
 
 
@@ -44,15 +48,20 @@ def keyword_lines(i: int, o: ScanOptions) -> Sql:
 
 
 def keyword_preview(found: Sql, o: ScanOptions) -> Sql:
+    return preview_of(found, f"size({found})", is_minified(o), o)
+
+
+def preview_of(found: Sql, count: Sql, minified: Sql, o: ScanOptions) -> Sql:
+    """Of ``count`` lines, of which ``found`` has those to show at least."""
     n = o.max_preview_lines_file
     lines = transform(f"slice({found}, 1, {n})", lambda t: truncate(strip(t), o.max_line_rule_hit_length))
     header = case(
-        (f"size({found}) > {n}", text(PREVIEW_HEADER.format(n=n))),
-        (f"size({found}) > 1", text(MATCHED_HEADER)),
+        (f"{count} > {n}", text(PREVIEW_HEADER.format(n=n))),
+        (f"{count} > 1", text(MATCHED_HEADER)),
         default="''",
     )
     preview = f"concat({header}, array_join({lines}, {text(chr(10))}))"
-    return case((is_minified(o), text(MINIFIED_EVIDENCE)), default=preview)
+    return case((minified, text(MINIFIED_EVIDENCE)), default=preview)
 
 
 def text_for_rules(o: ScanOptions) -> Sql:

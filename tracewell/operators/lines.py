@@ -19,6 +19,7 @@ from tracewell.options import PYTHON_EXTENSION, ScanOptions
 _CODE = {"shell": C.shell_code, "python": C.python_code, "block": C.block_code}
 _SYMBOL = {"python": C.python_symbol, "block": C.block_symbol}
 _MASK = {"python": ("[dsb]", C.python_mask), "block": ("[ob]", C.block_mask)}
+_CHANGE = {"python": C.python_change, "block": C.block_change}
 _NO_MASK = "CAST(array() AS array<string>)"
 
 
@@ -63,12 +64,14 @@ def _cut_comments(lines: Sql, plan: dict[str, list[str]]) -> Sql:
     return case(*[(is_in("ext", exts), with_dialect(name)) for name, exts in plan.items()], default=lines)
 
 
-def _masks(lines: Sql, plan: dict[str, list[str]]) -> Sql:
-    """One '1' per hidden line, or an empty array where the file has no multi-line comment."""
+def _masks(lines: Sql, plan: dict[str, list[str]], inside: Sql | None = None) -> Sql:
+    """One '1' per hidden line, or an empty array where the file has no multi-line comment. ``inside`` has the comment
+    state before the first line (``b``, ``d``, ``s``)."""
+    began = f"{inside}.b OR {inside}.d OR {inside}.s OR " if inside else ""
 
     def masked(trigger: str, mask) -> Sql:
         return let(
-            C.symbols_of(lines), lambda s: case((f"rlike({s}, {text(trigger)})", mask(s)), default=_NO_MASK)
+            C.symbols_of(lines), lambda s: case((f"{began}rlike({s}, {text(trigger)})", mask(s, inside)), default=_NO_MASK)
         )
 
     return case(
@@ -81,6 +84,13 @@ def _without_hidden(lines: Sql, masks: Sql) -> Sql:
     return where(shown, lambda x: f"{x} IS NOT NULL AND {has_text(f'{x}.code')}")
 
 
+def comment_change(lines: Sql, plan: dict[str, list[str]]) -> Sql:
+    """What the lines of a piece do to the comment state."""
+    changes = [
+        (is_in("ext", plan[name]), let(C.symbols_of(lines), change)) for name, change in _CHANGE.items() if name in plan]
+    return case(*changes, default=C.NO_CHANGE)
+
+
 # Lines looked at first when a scan may bail out, per line it may keep.
 HEAD_LINES = 4
 
@@ -111,8 +121,9 @@ def with_kept_lines(files: DataFrame, o: ScanOptions) -> DataFrame:
     return step.select(*others, F.expr(f"coalesce(slice(_all, 1, {_fitting('_all', o)}), kept)").alias("kept"))
 
 
-def _fitting(lines: Sql, o: ScanOptions) -> Sql:
-    return prefix_length(lines, lambda x: f"length({x}.raw)", o.max_lines_file_scan, o.max_chars_file_scan)
+def _fitting(lines: Sql, o: ScanOptions, items: Sql = "0", weight: Sql = "0L") -> Sql:
+    return prefix_length(
+        lines, lambda x: f"length({x}.raw)", o.max_lines_file_scan, o.max_chars_file_scan, items, weight)
 
 
 def _with_shown_lines(files: DataFrame, source: str, name: str, o: ScanOptions) -> DataFrame:

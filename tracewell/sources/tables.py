@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 PARTITIONS = "tracewell.deal.partitions"
@@ -15,3 +17,15 @@ def deal(rows: DataFrame) -> DataFrame:
     """
     partitions = rows.sparkSession.conf.get(PARTITIONS, None)
     return rows.repartition(int(partitions)) if partitions else rows
+
+
+def kept_for_good(rows: DataFrame) -> DataFrame:
+    """The rows, written in the folder that driver and executors share (``spark.checkpoint.dir``), where their lineage ends.
+    Only a session of one machine can do without such a folder."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
+    return rows.checkpoint()

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import stat
 import sys
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.files import relevant_files, with_path_columns
 from tracewell.options import ScanOptions
 from tracewell.plans.scan import FILE_COLUMNS
+from tracewell.sources.tables import kept_for_good
 
 # The most a row's binary value can hold; larger files are reported, not read.
 MAX_FILE_BYTES = (1 << 31) - 1 - (1 << 20)
@@ -111,14 +111,6 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def _checkpointed(rows: DataFrame) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
-    return rows.checkpoint()
-
-
 def list_everything(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
     """``(scope, kind, path, name, length, modified)`` of all files below ``{scope: [directories]}`` and of what could not be
     looked at. Each round lists one level of directories in tasks of some hundred directories; the driver holds the
@@ -129,7 +121,7 @@ def list_everything(spark: SparkSession, roots: dict[str, list[str]]) -> DataFra
     level, waiting, found = spark.createDataFrame(given, "scope string, path string"), len(given), None
     while waiting:
         tasks = max(1, min(waiting, max(spark.sparkContext.defaultParallelism, waiting // DIRECTORIES_PER_TASK)))
-        listed = _checkpointed(level.repartition(tasks).mapInArrow(_list_level, LISTED))
+        listed = kept_for_good(level.repartition(tasks).mapInArrow(_list_level, LISTED))
         part = listed.where("kind <> 'directory'")
         found = part if found is None else found.union(part)
         level = listed.where("kind = 'directory'").select("scope", "path")
@@ -172,34 +164,26 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, size, contents = i + 1, 0, []
 
 
-def _unreadable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        failed = []
-        for path in batch.column(0).to_pylist():
-            try:
-                with _open(path) as file:
-                    file.read(1)
-            except OSError:
-                failed.append(path)
-        yield pa.RecordBatch.from_arrays([pa.array(failed, pa.string())], ["file_id"])
-
-
 def read_tree(
     spark: SparkSession, roots: dict[str, list[str]], o: ScanOptions = ScanOptions(), max_bytes: int = MAX_FILE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """``(files with content, scan_errors)`` of the files a scan reads, empty ones included.
 
-    Relevance and size are settled on the listing, so other files are never opened. Errors are ``oversized`` files,
-    and files and directories that are ``unreadable``; a file is tried for that by its first byte, so the errors
-    cost no second reading. A file that fails later on has no content row."""
+    Relevance and size are settled on the listing, so other files are never opened, and the others are opened once: contents
+    are written in the shared folder, and files and errors are read from there. Errors are ``oversized`` files (``plans.pieces``
+    scans those too), and files and directories that are ``unreadable``, be it from the first byte or a later one."""
     listed = list_everything(spark, roots)
+    return read_listed(listed, o, max_bytes)
+
+
+def read_listed(listed: DataFrame, o: ScanOptions, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``read_tree`` of what ``list_everything`` found."""
     files = relevant_files(_as_files(listed), o).select(*FILE_COLUMNS, "length")
     fits = files.where(F.col("length") <= max_bytes)
-    tasks = max(spark.sparkContext.defaultParallelism, fits.count() // FILES_PER_TASK)
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, fits.count() // FILES_PER_TASK)
     dealt = fits.repartition(tasks).select(*FILE_COLUMNS, F.col("path").alias("where"))
     schema = ", ".join(f"{c} string" for c in FILE_COLUMNS) + ", content binary"
-    readable = dealt.mapInArrow(_contents, schema).where("content IS NOT NULL")
-    tried = dealt.select("where").mapInArrow(_unreadable, "file_id string").withColumn("reason", F.lit("unreadable"))
-    lost = listed.where("kind = 'error'").select(F.col("path").alias("file_id"), F.lit("unreadable").alias("reason"))
+    read = kept_for_good(dealt.mapInArrow(_contents, schema))
+    lost = read.where("content IS NULL").select("file_id").union(listed.where("kind = 'error'").select(F.col("path")))
     oversized = files.where(F.col("length") > max_bytes).select("file_id", F.lit("oversized").alias("reason"))
-    return readable, oversized.union(lost).union(tried)
+    return read.where("content IS NOT NULL"), oversized.union(lost.withColumn("reason", F.lit("unreadable")))
