@@ -17,8 +17,8 @@ from tracewell.options import ScanOptions
 from tracewell.plans.catalog import catalog, pattern_list_lines
 from tracewell.plans.corpus import STARTER_PACKS, STARTER_RULES, corpus
 from tracewell.plans.pieces import scan_table
-from tracewell.plans.scan import prepare, scan_with_filenames
-from tracewell.sources.packs import parse_pattern_lines
+from tracewell.plans.scan import prepare, scan, scan_with_filenames
+from tracewell.sources.packs import Pack, Packs, parse_pattern_lines
 from tracewell.sources.rules import Rule
 
 try:
@@ -321,6 +321,30 @@ def piece_hits(spark, sf):
     return report_columns(scan_table(corpus(spark, sf), STARTER_PACKS, STARTER_RULES, OPTIONS, PIECE_BYTES))
 
 
+# Inside a group its own condition never holds, so this is \b(spawn_shell|exec_now)\b; Java cannot ask that.
+PYTHON_ONLY = r"\b((?(1)x|spawn)_shell|exec(?(1)-|_)now)\b"
+
+
+def python_regex_hits(spark, sf):
+    """Hits of a pattern that only Python can say."""
+    pack = Pack(regex=(PYTHON_ONLY,))
+    found = po.pattern_hits(_lines(spark, sf), Packs(content=pack, shell=pack), FORENSIC, "all")
+    return found.select("file", "line_number", F.lit("spawn or exec").alias("pattern"))
+
+
+CONTEXT_RULES = [
+    replace(r, applies_to=r.applies_to | {"scan_context": contexts})
+    for name, contexts in (("decode_file", ["backend"]), ("stop_words", ["frontend", "batch"])) for r in [_rule(name)]
+]
+
+
+def context_hits(spark, sf):
+    """File rules that ask for a context, on files of two contexts and of none."""
+    context = F.expr("CASE parent WHEN 'src' THEN 'frontend' WHEN 'lib' THEN 'backend' END")
+    files = corpus(spark, sf).withColumn("context", context)
+    return report_columns(scan(files, Packs(), CONTEXT_RULES, replace(OPTIONS, context_column="context")))
+
+
 def csv_hits(spark, sf):
     return report.csv_columns(_scan(spark, sf), OPTIONS)
 
@@ -358,6 +382,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filename_hits": filename_hits,
         "plain_hits": plain_hits,
         "regex_hits": regex_hits,
+        "python_regex_hits": python_regex_hits,
         "pattern_hits": pattern_hits,
         "pattern_hits_all": pattern_hits_all,
         "ngram_pattern_hits": ngram_pattern_hits,
@@ -391,6 +416,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "signature_gate": signature_gate,
         "forensic_hits": forensic_hits,
         "piece_hits": piece_hits,
+        "context_hits": context_hits,
         "csv_hits": csv_hits,
         "pivot": pivot,
         "scope_summary": scope_summary,

@@ -481,6 +481,9 @@ ORACLES: dict[str, str] = {
     "regex_hits": query("SELECT file, line_number, pattern_or_rule FROM pattern_all WHERE type_or_severity = 'regex'", "pattern_all"),
     "pattern_hits": report("pattern_first_kept"),
     "pattern_hits_all": report("pattern_all"),
+    "python_regex_hits": query("""
+        SELECT path AS file, line_no::INT AS line_number, 'spawn or exec' AS pattern FROM kept
+        WHERE regexp_matches(code, '(^|[^\p{L}\p{N}_])(spawn_shell|exec_now)($|[^\p{L}\p{N}_])', 'i')""", "kept"),
     "ngram_pattern_hits": query("""
         SELECT file_id, line_no, count(*) AS patterns, min(pattern) AS first_pattern, max(pattern) AS last_pattern
         FROM kept JOIN (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS pattern FROM benchmark)
@@ -536,6 +539,10 @@ ORACLES: dict[str, str] = {
     "obf_vars": report("vars_hits_kept"),
     "all_hits": report("everything"),
     "piece_hits": report("everything"),
+    "context_hits": query(f"""
+        SELECT {HIT} FROM keyword_hits_kept JOIN (SELECT DISTINCT path AS file, parent FROM files) USING (file)
+        WHERE parent NOT IN ('src', 'lib') OR CASE rule_id WHEN 'decode_file' THEN parent = 'lib' ELSE parent = 'src' END""",
+        "keyword_hits_kept", "files"),
     "default_hits": report("by_default"),
     "signature_gate": report("unsigned"),
     "forensic_hits": report("forensic"),

@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import files_of
-from tracewell.functions.regex import java_pattern, required_literals
+from tracewell.functions.regex import check_pattern, java_pattern, needs_python, required_literals
 from tracewell.operators.lines import kept_lines
 from tracewell.operators.patterns import pattern_hits, pattern_table_hits
 from tracewell.options import ScanOptions
 from tracewell.plans.corpus import STARTER_PACKS
 from tracewell.plans.scan import prepare, scan
+from tracewell.sources.rules import rule_from_dict
 from tracewell.sources.packs import Pack, Packs, default_packs, parse_pattern_lines, patterns_table, read_patterns
 
 O = ScanOptions()
@@ -141,6 +142,46 @@ def test_invalid_pattern_is_refused():
         Pack(regex=("(",))
 
 
+PYTHON_ONLY = [r"((?(1)a|b)c)+d", r"x{0,4294967290}y", r"(?(1)é|foo)(q)?bar", r"\b((?(1)x|spawn)_shell)\b"]
+
+
+@pytest.mark.parametrize("ignore", [False, True])
+def test_patterns_that_only_python_can_say(spark, ignore):
+    """In packs, line rules and file rules; first matches keep their order."""
+    assert all(needs_python(p) and check_pattern(p) is None for p in PYTHON_ONLY) and check_pattern("(") is not None
+    rng = random.Random(3)
+    lines = ["".join(rng.choice(["bc", "ac", "d", "xx", "y", "foo", "bar", "é", "spawn_shell", " ", "K"]) for _ in range(6)) for _ in range(80)]
+    text = "\n".join(lines)
+    packs = Packs(content=Pack(plain=("xxy",), regex=(r"K+", *PYTHON_ONLY)))
+    flags = {"flags": ["IGNORECASE"]} if ignore else {}
+    rules = [
+        rule_from_dict({"id": f"{scope}{i}", "type": "keyword_combination", "scope": scope, "severity": "low",
+                        "parameters": {"keywords": [[{"regex": p} | flags]]}}, "t", i)
+        for scope in ("line", "file") for i, p in enumerate(PYTHON_ONLY)]
+    o = ScanOptions(no_bail_out=True, max_preview_lines_file=1000)
+    hits = scan(files_of(spark, {"a.rb": text}), packs, rules, o).collect()
+
+    def first(line):
+        tests = [("xxy", "xxy" in line.lower())] + [(p, re.search(p, line, re.I)) for p in packs.content.regex]
+        return next((p for p, found in tests if found), None)
+
+    shown = [(n, x) for n, x in enumerate(lines, 1) if x.strip()]
+    assert [(r.line_number, r.pattern_or_rule) for r in hits if r.stage == "pattern"] == [(n, first(x)) for n, x in shown if first(x)]
+    for i, p in enumerate(PYTHON_ONLY):
+        found = [(n, x) for n, x in shown if re.search(p, x, re.I * ignore)]
+        got = {r.stage: r for r in hits if r.rule_id in (f"line{i}", f"file{i}")}
+        assert bool(found) == ("line_rule" in got) == ("file_rule" in got)
+        if found:
+            assert got["line_rule"].hits == len(found) and got["line_rule"].line_number == found[0][0]
+            assert got["file_rule"].hits == len({x for _, x in found})
+
+
+def test_python_is_asked_only_where_it_is_needed(spark):
+    files = files_of(spark, {"a.rb": "x"})
+    plan = lambda regex: scan(files, Packs(content=Pack(regex=regex)))._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan((r"\bx\b",)) and "EvalPython" in plan((PYTHON_ONLY[0],))
+
+
 def test_default_packs(spark):
     packs = default_packs(spark)
     assert packs.names and packs.content.plain and packs.content.regex and packs.shell.plain and packs.shell.regex

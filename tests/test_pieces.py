@@ -16,6 +16,7 @@ from tracewell.plans.corpus import STARTER_PACKS, STARTER_RULES
 from tracewell.plans.pieces import scan_table, scan_tree
 from tracewell.plans.scan import scan_with_filenames
 from tracewell.sources import pieces, tree
+from tracewell.sources.packs import Pack, Packs
 from tracewell.sources.pieces import read_range
 from tracewell.sources.rules import rule_from_dict
 
@@ -80,6 +81,18 @@ def test_pieces_of_an_extension_in_two_dialects(spark):
     assert rows(scan_table(files, STARTER_PACKS, STARTER_RULES, o, 150)) == expected
 
 
+def test_pieces_know_their_context_and_python_patterns(spark):
+    files = files_of(spark, corpus_of(random.Random(8), 30)).selectExpr(
+        "*", "CASE ext WHEN '.js' THEN 'web' WHEN '.py' THEN 'batch' END AS context")
+    rules = [replace(r, applies_to=r.applies_to | {"scan_context": ["web"]}) for r in [*STARTER_RULES, *EXTRA]]
+    packs = Packs(content=Pack(regex=(r"((?(1)x|decode)_payload)",)), shell=STARTER_PACKS.shell)
+    for o in (ScanOptions(no_bail_out=True, context_column="context"), ScanOptions(context_column="context", scan_context="batch")):
+        expected = rows(scan_with_filenames(files, packs, rules, o))
+        assert rows(scan_table(files, packs, rules, o, 200)) == expected
+        of_file = {f.rsplit(".", 1)[1] for f, *_, stage, _ in expected if stage == "file_rule"}
+        assert "js" in of_file and "py" not in of_file and ("rb" in of_file) == (o.scan_context is None)
+
+
 def test_tree_in_pieces(spark, tmp_path, monkeypatch):
     """64 KB pieces of real files, among them what whole files cannot be: one over the size of a row."""
     rng = random.Random(7)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from re import _parser
 
 from tracewell.functions.sql import Sql, any_of, contains, let, struct, text
@@ -18,6 +19,9 @@ SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 CLASSES = {"DIGIT": (r"\p{Nd}", "0-9"), "SPACE": (SPACE, r"\t-\r\x{20}"), "WORD": (r"\p{L}\p{N}_", "a-zA-Z0-9_")}
 
 
+JAVA_REPEATS = 2**31 - 2  # more have no form there
+
+
 class Untranslatable(ValueError):
     """A pattern that Python knows and Spark's regex functions cannot say."""
 
@@ -122,6 +126,8 @@ class _Translation:
             return self.subpattern(*arg, flags)
         if op in (p.MAX_REPEAT, p.MIN_REPEAT, p.POSSESSIVE_REPEAT):
             least, most, body = arg
+            if least > JAVA_REPEATS or most is not p.MAXREPEAT and most > JAVA_REPEATS:
+                raise Untranslatable("cannot translate so many repeats")
             how = "" if op is p.MAX_REPEAT else "?" if op is p.MIN_REPEAT else "+"
             return f"(?:{self.sequence(body, flags)}){{{least},{'' if most is p.MAXREPEAT else most}}}{how}"
         if op is p.GROUPREF and arg in self.numbers:
@@ -189,15 +195,23 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
 
 
 def check_pattern(pattern: str) -> str | None:
-    """Why a pattern cannot be used, or None."""
+    """Why a pattern cannot be used, or None. What Python compiles can be used."""
     try:
         re.compile(pattern)
-        java_pattern(pattern)
-    except (re.error, Untranslatable, OverflowError, RecursionError) as e:
+    except (re.error, OverflowError, RecursionError) as e:
         return str(e)
     return None
 
 
+def needs_python(pattern: str, ignore_case: bool = False) -> bool:
+    """The pattern has no Java spelling."""
+    try:
+        java_pattern(pattern, ignore_case)
+    except (Untranslatable, RecursionError):
+        return True
+    return False
+
+
 def required_literals(pattern: str) -> tuple[str, ...]:
     """ASCII literals of which every match contains one; empty if no such set is known."""
     tree = _parser.parse(pattern)
@@ -229,15 +243,21 @@ def _literals(tree) -> tuple[str, ...]:
 def matches(line: "Line", pattern: str, ignore_case: bool = False) -> Sql:
     """The pattern is found in the line. Most lines lack every literal it needs and are settled by
     a byte search, without a Java string being made of them."""
+    if needs_python(pattern, ignore_case):
+        return line.found(pattern, ignore_case)
     test = f"rlike({line.text}, {text(java_pattern(pattern, ignore_case))})"
+    guard = may_match(line, pattern, ignore_case)
+    return test if guard is None else f"({guard} AND {test})"
+
+
+def may_match(line: "Line", pattern: str, ignore_case: bool) -> Sql | None:
+    """The line has a literal that every match contains; None if no such literal is known."""
     literals = required_literals(pattern)
     if not literals:
-        return test
+        return None
     if ignore_case:
-        guard = any_of([*(contains(line.lower, w.lower()) for w in literals), line.folds])
-    else:
-        guard = any_of(contains(line.text, w) for w in literals)
-    return f"({guard} AND {test})"
+        return any_of([*(contains(line.lower, w.lower()) for w in literals), line.folds])
+    return any_of(contains(line.text, w) for w in literals)
 
 
 def folds(c: Sql) -> Sql:
@@ -246,12 +266,18 @@ def folds(c: Sql) -> Sql:
 
 
 class Line:
-    """A line under test: its text, the same in lower case, and whether ``folds`` holds."""
+    """A line under test: its text, the same in lower case, whether ``folds`` holds, and, for patterns that need Python, how
+    to look up what that found (``functions.python_regex``)."""
+
+    def __init__(self, text: Sql, lower: Sql, folds: Sql, found: Callable[[str, bool], Sql] | None = None):
+        self.text, self.lower, self.folds, self._found = text, lower, folds, found
 
-    def __init__(self, text: Sql, lower: Sql, folds: Sql):
-        self.text, self.lower, self.folds = text, lower, folds
+    def found(self, pattern: str, ignore_case: bool) -> Sql:
+        if self._found is None:
+            raise Untranslatable(f"{pattern!r} has no Java spelling, and Python was not asked")
+        return self._found(pattern, ignore_case)
 
 
-def with_line(c: Sql, body) -> Sql:
+def with_line(c: Sql, body, found: Callable[[str, bool], Sql] | None = None) -> Sql:
     """``body(Line)`` with the lower case of ``c`` made once."""
-    return let(struct(lower=f"lower({c})", folds=folds(c)), lambda v: body(Line(c, f"{v}.lower", f"{v}.folds")))
+    return let(struct(lower=f"lower({c})", folds=folds(c)), lambda v: body(Line(c, f"{v}.lower", f"{v}.folds", found)))

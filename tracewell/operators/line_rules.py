@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import checks
+from tracewell.functions.python_regex import Pattern, only_python, with_found_lines
 from tracewell.functions.regex import Line, folds, with_line
-from tracewell.functions.sql import Sql, array, case, first, is_in, let, present, struct, text, transform, where
+from tracewell.functions.sql import Sql, all_of, array, case, first, is_in, let, present, struct, text, transform, where
 from tracewell.functions.text import strip, truncate
 from tracewell.operators.hits import HIT_TYPE, hit_struct
-from tracewell.operators.patterns import by_kind, compiled_or_not, first_match, pattern_hit, with_line_columns
+from tracewell.operators.patterns import by_kind, compiled_or_not, first_match, pattern_hit, regex_patterns, with_line_columns
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Packs
 from tracewell.sources.rules import Rule, order_rules
@@ -22,7 +23,12 @@ NO_HITS = f"CAST(array() AS array<{HIT_TYPE}>)"
 def applies(rule: Rule, o: ScanOptions) -> Sql | None:
     """File-level condition for a rule; None where it applies to every file."""
     exts = rule.extensions(o.extension_groups)
-    return None if exts is None else is_in("ext", exts)
+    tests = [] if exts is None else [is_in("ext", exts)]
+    contexts = rule.applies_to.get("scan_context")
+    if rule.scope == "file" and o.context_column and contexts:
+        given = o.context_column if o.scan_context is None else f"coalesce({o.context_column}, {text(o.scan_context)})"
+        tests.append(f"({given} IS NULL OR {is_in(given, contexts)})")
+    return all_of(tests) if tests else None
 
 
 def line_check(rule: Rule, line: Line) -> Sql:
@@ -54,7 +60,13 @@ def line_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
 
 
 def file_rules(rules: list[Rule], o: ScanOptions) -> list[Rule]:
-    return [r for r in order_rules(rules, o.level) if r.scope == "file" and r.in_context(o.scan_context)]
+    found = [r for r in order_rules(rules, o.level) if r.scope == "file"]
+    return found if o.context_column else [r for r in found if r.in_context(o.scan_context)]
+
+
+def rule_patterns(rules: list[Rule]) -> list[Pattern]:
+    keywords = (k for r in rules if r.type == "keyword_combination" for group in r.keyword_groups() for k in group)
+    return [(k.value, k.ignore_case) for k in keywords if k.kind == "regex"]
 
 
 def fired_rules(ordered: list[Rule], o: ScanOptions, line: Line) -> Sql:
@@ -70,7 +82,7 @@ def fired_rules(ordered: list[Rule], o: ScanOptions, line: Line) -> Sql:
 def line_rule_events(lines: DataFrame, rules: list[Rule], o: ScanOptions) -> DataFrame:
     """Raw events, before the gate: one row per kept line and rule that fires on it."""
     ordered = line_rules(rules, o)
-    rows, line = with_line_columns(lines)
+    rows, line = with_line_columns(lines, rule_patterns(ordered))
     positions = compiled_or_not(len(ordered), fired_rules(ordered, o, line))
     fired = rows.select("file_id", "line_no", "raw", F.expr(f"explode_outer({positions})").alias("i"))
     fired = fired.filter("i IS NOT NULL")
@@ -104,12 +116,16 @@ def with_marks(files: DataFrame, packs: Packs | None, rules: list[Rule], o: Scan
     pattern index (null for none), its line rules' positions, and those of keyword file rules, which
     test the original line. One pass over the lines; everything after it works on the marks."""
     ordered, by_file = line_rules(rules, o), keyword_file_rules(rules, o)
+    columns = files.columns
+    files, in_code = with_found_lines(
+        files, "code", only_python([*(regex_patterns(packs) if packs else []), *rule_patterns(ordered)]))
+    files, in_raw = with_found_lines(files, "raw", only_python(rule_patterns([r for _, r in by_file])))
 
     def mark(x: Sql) -> Sql:
         def tested(line: Line) -> Sql:
             pattern = "CAST(NULL AS INT)" if packs is None else by_kind(packs, lambda pack: first_match(line, pack))
             lower = case((f"{x}.raw = {x}.code", line.lower), default=f"lower({x}.raw)")
-            original = lambda v: _fired_file_rules(by_file, o, Line(f"{x}.raw", v, folds(f"{x}.raw")))
+            original = lambda v: _fired_file_rules(by_file, o, Line(f"{x}.raw", v, folds(f"{x}.raw"), in_raw(f"{x}.line_no")))
             return struct(
                 line_no=f"{x}.line_no",
                 raw=f"{x}.raw",
@@ -118,10 +134,10 @@ def with_marks(files: DataFrame, packs: Packs | None, rules: list[Rule], o: Scan
                 file_rules=let(lower, original) if by_file else "CAST(array() AS array<int>)",
             )
 
-        return with_line(f"{x}.code", tested)
+        return with_line(f"{x}.code", tested, in_code(f"{x}.line_no"))
 
     fires = lambda m: f"{m}.pattern IS NOT NULL OR size({m}.rules) > 0 OR size({m}.file_rules) > 0"
-    return files.withColumn("marks", F.expr(where(transform("kept", mark), fires)))
+    return files.select(*columns, F.expr(where(transform("kept", mark), fires)).alias("marks"))
 
 
 def pattern_hit_array(packs: Packs, o: ScanOptions) -> Sql:

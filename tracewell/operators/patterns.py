@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.python_regex import Pattern, only_python, with_found
 from tracewell.functions.regex import Line, folds, matches
 from tracewell.functions.sql import Sql, array, case, contains, interpreted, present, text
 from tracewell.functions.text import strip, truncate
@@ -59,16 +60,20 @@ def pattern_hit(line: Sql, index: Sql, packs: Packs, o: ScanOptions) -> Sql:
     )
 
 
-def with_line_columns(lines: DataFrame) -> tuple[DataFrame, Line]:
-    """Adds what tests of a line share."""
+def with_line_columns(lines: DataFrame, patterns: list[Pattern] = ()) -> tuple[DataFrame, Line]:
+    """Adds what tests of a line share, of ``patterns`` those that need Python."""
     rows = lines.withColumns({"_lower": F.lower("code"), "_folds": F.expr(folds("code"))})
-    return rows, Line("code", "_lower", "_folds")
+    return with_found(rows, only_python(patterns), Line("code", "_lower", "_folds"))
+
+
+def regex_patterns(packs: Packs) -> list[Pattern]:
+    return [(p, True) for pack in packs.by_kind().values() for p in pack.regex]
 
 
 def pattern_hits(lines: DataFrame, packs: Packs, o: ScanOptions, mode: str = "first") -> DataFrame:
     """Hits on ``kept_lines``. ``first``: at most one per line, the first pattern in list order;
     ``all``: one per matching pattern."""
-    rows, line = with_line_columns(lines)
+    rows, line = with_line_columns(lines, regex_patterns(packs))
     tests = sum(len(pack.patterns) for pack in packs.by_kind().values())
     if mode == "first":
         index = compiled_or_not(tests, by_kind(packs, lambda pack: first_match(line, pack)))

@@ -30,7 +30,7 @@ from tracewell.operators.line_rules import (
 )
 from tracewell.options import ScanOptions
 from tracewell.sources.packs import Packs
-from tracewell.sources.pieces import PIECE_COLUMNS, Pieces
+from tracewell.sources.pieces import Pieces
 from tracewell.sources.rules import Rule
 from tracewell.sources.tables import kept_for_good
 
@@ -183,7 +183,7 @@ def piece_parts(kept: DataFrame, packs: Packs, rules: list[Rule], o: ScanOptions
                 parts["strings"] = checks.string_counts("chunk", "ext", literals=False)
                 parts["begins"] = r"rlike(chunk, '(?U)\\A\\s*\\(')"
                 parts["ends"] = f"rlike(chunk, concat('(?U)', {call}, {text(chr(92) + 'z')}))"
-    columns = [*PIECE_COLUMNS[:-2], *(F.expr(e).alias(n) for n, e in parts.items())]
+    columns = [*file_key(o), "piece", *(F.expr(e).alias(n) for n, e in parts.items())]
     if "strings" in parts:
         columns.append(summaries(checks.SHORT_LITERAL)(F.expr("CASE WHEN size(kept) > 0 THEN chunk END")).alias("quotes"))
     return step.select(*columns)
@@ -199,12 +199,13 @@ def _stats_name(threshold: float) -> str:
 
 # ---- what the file says
 
-FILE = ["file_id", "scope", "path", "ext"]
+def file_key(o: ScanOptions) -> list[str]:
+    return ["file_id", "scope", "path", "ext"] + [o.context_column] * bool(o.context_column)
 
 
 def _line_rule_hits(parts: DataFrame, ordered: list[Rule], facts: DataFrame, o: ScanOptions) -> DataFrame:
-    rows = parts.select(*FILE, F.expr("inline_outer(rules)")).where("i IS NOT NULL")
-    merged = rows.groupBy(*FILE, "i").agg(
+    rows = parts.select(*file_key(o), F.expr("inline_outer(rules)")).where("i IS NOT NULL")
+    merged = rows.groupBy(*file_key(o), "i").agg(
         F.sum("n").alias("n"), F.min(F.struct("line_no", "line")).alias("head"),
         F.array_sort(F.collect_list(F.struct("line_no", "lines"))).alias("parts"))
     merged = merged.join(facts.select("file_id", "first_event"), "file_id")
@@ -225,15 +226,15 @@ def _line_rule_hits(parts: DataFrame, ordered: list[Rule], facts: DataFrame, o:
 
 def _keyword_hits(parts: DataFrame, ordered: list[Rule], facts: DataFrame, o: ScanOptions) -> DataFrame:
     """Distinct lines are grouped by the line itself, so a line that a file repeats without end is one row."""
-    rows = parts.select(*FILE, F.expr("inline_outer(keywords)")).where("i IS NOT NULL")
-    distinct = rows.groupBy(*FILE, "i", "line").agg(F.min("line_no").alias("line_no"))
+    rows = parts.select(*file_key(o), F.expr("inline_outer(keywords)")).where("i IS NOT NULL")
+    distinct = rows.groupBy(*file_key(o), "i", "line").agg(F.min("line_no").alias("line_no"))
     of_rule = Window.partitionBy("file_id", "i").orderBy("line_no")
     if not o.no_bail_out:  # a scan that bails out has few lines
         before = of_rule.rowsBetween(Window.unboundedPreceding, -1)
         distinct = distinct.withColumns({
             "_n": F.row_number().over(of_rule) - 1, "_w": F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)),
         }).where((F.col("_n") < o.max_lines_file_scan) & (F.col("_w") < o.max_chars_file_scan)).drop("_n", "_w")
-    counts = distinct.groupBy(*FILE, "i").agg(F.count("*").cast("int").alias("n"))
+    counts = distinct.groupBy(*file_key(o), "i").agg(F.count("*").cast("int").alias("n"))
     heads = distinct.withColumn("nth", F.row_number().over(of_rule)).where(F.col("nth") <= o.max_preview_lines_file)
     heads = heads.groupBy("file_id", "i").agg(F.expr("transform(array_sort(collect_list(struct(nth, line))), x -> x.line)").alias("found"))
     merged = counts.join(heads, ["file_id", "i"]).join(facts.select("file_id", "kept_lines", "kept_chars"), "file_id")
@@ -254,10 +255,10 @@ def _text_hits(parts: DataFrame, rules: list[Rule], facts: DataFrame, o: ScanOpt
     """File rules on the kept text: on the text itself where the scan bails out (it is bounded then), else on merged counts."""
     ordered, texts = file_rules(rules, o), _text_rules(rules, o)
     if not o.no_bail_out:
-        held = parts.where("kept_lines > 0").groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("piece", "chunk"))).alias("c"))
+        held = parts.where("kept_lines > 0").groupBy(*file_key(o)).agg(F.array_sort(F.collect_list(F.struct("piece", "chunk"))).alias("c"))
         joined = f"substring(array_join(transform(c, x -> x.chunk), {text(chr(10))}), 1, {o.max_chars_file_scan})"
         rows = held.withColumn("file_text", F.expr(joined))
-        every = parts.select(*FILE).distinct().join(rows.select("file_id", "file_text"), "file_id", "left")
+        every = parts.select(*file_key(o)).distinct().join(rows.select("file_id", "file_text"), "file_id", "left")
         rows = every.withColumn("file_text", F.coalesce("file_text", F.lit("")))
 
         def test(rule: Rule) -> Sql:
@@ -275,7 +276,7 @@ def _text_hits(parts: DataFrame, rules: list[Rule], facts: DataFrame, o: ScanOpt
         if strings:
             sums += [F.sum(f"strings.{c}").alias(c) for c in checks.STRING_COUNTS[:6]]
             sums.append(F.array_sort(F.collect_list(F.when(F.col("kept_lines") > 0, F.struct("piece", "begins", "ends", "quotes")))).alias("c"))
-        rows = parts.groupBy(*FILE).agg(*sums)
+        rows = parts.groupBy(*file_key(o)).agg(*sums)
         if strings:
             over = is_in("ext", [*checks.CONCAT_EXTENSIONS, *checks.JOIN_EXTENSIONS])
             rows = rows.withColumn("q", merged_literals(checks.SHORT_LITERAL)("c"))
@@ -294,7 +295,7 @@ def _text_hits(parts: DataFrame, rules: list[Rule], facts: DataFrame, o: ScanOpt
         file_test = applies(rule, o)
         return case((all_of([test(rule)] if file_test is None else [file_test, test(rule)]), str(i)))
 
-    rows = rows.select(*FILE, F.explode(F.expr(f"array_compact({array([fires(i, r) for i, r in texts], 'int')})")).alias("i"))
+    rows = rows.select(*file_key(o), F.explode(F.expr(f"array_compact({array([fires(i, r) for i, r in texts], 'int')})")).alias("i"))
     evidence = array([text(STRINGS_EVIDENCE if r.type == "obfuscation_strings" else VARS_EVIDENCE) for r in ordered], "string")
     return _file_hits(rows, ordered, "1", f"element_at({evidence}, i + 1)")
 

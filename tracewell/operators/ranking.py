@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.tables import kept_for_good
+
 BLOCK = 1 << 16
 
 
@@ -23,25 +27,17 @@ def with_row_number(rows: DataFrame, name: str, position: str, keys: list[str] =
     return numbered.withColumn(name, F.col("_offset") + F.col("_within")).drop("_block", "_within", "_offset")
 
 
-RANGES = 64
-SAMPLE = 4096
-
-
 def with_global_number(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Adds ``name``: 1, 2, … in the order of ``keys``, which no two rows share, over the whole table.
 
-    Boundaries of ``RANGES`` ranges are read once off a bounded sample and become part of the plan; rows are numbered
-    within their range, after the counts of the ranges before. Any boundaries give the same numbers, good ones make
-    ranges alike in size."""
-    key = F.struct(*keys)
-    sample = rows.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE).orderBy("k").collect()
-    kinds = [rows.schema[k].dataType for k in keys]
-    bounds = [sample[len(sample) * i // RANGES]["k"] for i in range(1, RANGES)] if len(sample) >= RANGES else []
-    literals = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, b, kinds)]) for b in bounds]
-    place = F.size(F.filter(F.array(*literals), lambda b: b <= key)) if literals else F.lit(0)
-    ranged = rows.withColumn("_range", place)
+    The rows are made once and written in the shared folder, dealt out by ranges of the keys and sorted within each; a row's
+    number is its place in its range after the counts of the ranges before, of which the driver has one number each. These
+    jobs run when the plan is built."""
+    made = kept_for_good(rows)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    ranged = made.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = kept_for_good(ranged.withColumns({"_range": F.spark_partition_id(), "_nth": nth}))
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    before = [sum(n for r, n in counts.items() if r < i) for i in range(RANGES)]
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    offset = F.element_at(F.array(*map(F.lit, before)).cast("array<bigint>"), F.col("_range") + 1)
-    return ranged.withColumn(name, offset + within).drop("_range")
+    before = list(accumulate((counts.get(i, 0) for i in range(max(counts, default=0))), initial=0))
+    offset = F.expr(f"array({', '.join(f'{n}L' for n in before)})[_range]")
+    return ranged.withColumn(name, offset + F.col("_nth") + 1).drop("_range", "_nth")

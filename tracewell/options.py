@@ -60,6 +60,9 @@ class ScanOptions:
     ``signature_gate`` takes pattern hits for enough: no line rule counts on a line that has one, and no file rule in
     a file that has one.
 
+    ``context_column`` names a column of the files that holds each one's scan context; where it is null, ``scan_context`` holds.
+    A file rule that names contexts applies in those, and where there is none.
+
     ``file_gate='documented'`` keeps only the first fallback file rule of a file, while
     ``'evaluated'`` keeps them all.
     """
@@ -72,6 +75,7 @@ class ScanOptions:
     exclude_mode: str = "parent"
     file_gate: str = "evaluated"
     scan_context: str | None = None
+    context_column: str | None = None
     signature_gate: bool = False
     max_line_length: int = 100
     max_line_rule_hit_length: int = 100

@@ -17,11 +17,15 @@ from tracewell.sources.rules import Rule
 FILE_COLUMNS = ["file_id", "scope", "path", "basename", "ext", "parent"]
 
 
+def file_columns(o: ScanOptions) -> list[str]:
+    return FILE_COLUMNS + [o.context_column] * bool(o.context_column)
+
+
 def prepare(files: DataFrame, o: ScanOptions) -> DataFrame:
     """Relevant files with their kept lines."""
     check_session(files.sparkSession)
     relevant = relevant_files(files, o)
-    return with_kept_lines(with_text(relevant).select(*FILE_COLUMNS, "scan_kind", "text"), o)
+    return with_kept_lines(with_text(relevant).select(*file_columns(o), "scan_kind", "text"), o)
 
 
 def scan_prepared(prepared: DataFrame, packs: Packs, rules: list[Rule], o: ScanOptions) -> DataFrame:
@@ -37,7 +41,7 @@ def scan_prepared(prepared: DataFrame, packs: Packs, rules: list[Rule], o: ScanO
 
 def scan(files: DataFrame, packs: Packs, rules: list[Rule] = (), o: ScanOptions = ScanOptions()) -> DataFrame:
     """Pattern, line-rule and file-rule hits of ``files(file_id, scope, path, basename, ext,
-    parent, content|text)``. Lazy, stateless and free of exchanges, so it also runs on a stream."""
+    parent, content|text)`` and what ``o.context_column`` names. Lazy, stateless and free of exchanges, so it also runs on a stream."""
     return scan_prepared(prepare(files, o), packs, list(rules), o)
 
 

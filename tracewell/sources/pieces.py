@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.files import relevant_files
 from tracewell.options import ScanOptions
-from tracewell.plans.scan import FILE_COLUMNS
+from tracewell.plans.scan import file_columns
 from tracewell.sources.tree import BATCH_BYTES, MAX_FILE_BYTES, _is_local, _local, _remote
 
 PIECE_BYTES = 64 << 20
 AHEAD = 1 << 16
 PIECES_PER_TASK = 4
-PIECE_COLUMNS = [*FILE_COLUMNS, "scan_kind", "piece", "start", "stop"]
 _BREAK = re.compile(rb"\r\n|\n|\r")
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,11 +38,12 @@ class Pieces:
 
 def _with_ranges(files: DataFrame, piece_bytes: int) -> DataFrame:
     """Descriptors of ``files(…, length)``."""
+    columns = [c for c in files.columns if c != "length"]
     last = f"greatest(length - 1, 0) div {piece_bytes}"
     dealt = files.withColumn("piece", F.explode(F.expr(f"sequence(0L, {last})")))
     return dealt.withColumns({
         "start": F.expr(f"piece * {piece_bytes}"), "stop": F.expr(f"least(length, (piece + 1) * {piece_bytes})"),
-    }).select(*PIECE_COLUMNS)
+    }).select(*columns, "piece", "start", "stop")
 
 
 class _Window:
@@ -119,7 +119,7 @@ def read_from_files(descriptors: DataFrame) -> DataFrame:
 
 def tree_pieces(listed: DataFrame, o: ScanOptions, piece_bytes: int = PIECE_BYTES) -> Pieces:
     """Of the files ``listed(…file columns, length)`` that a scan reads and that are longer than a piece."""
-    files = relevant_files(listed, o).where(F.col("length") > piece_bytes)
+    files = relevant_files(listed, o).where(F.col("length") > piece_bytes).select(*file_columns(o), "scan_kind", "length")
     descriptors = _with_ranges(files, piece_bytes)
 
     def read(rows: DataFrame) -> DataFrame:
@@ -152,9 +152,9 @@ def table_pieces(files: DataFrame, o: ScanOptions, piece_bytes: int) -> tuple[Da
     """``(files of a piece at most, pieces of the others)`` of a table of files with ``text`` or ``content``."""
     body = "text" if "text" in files.columns else "content"
     whole = files.where(F.octet_length(body) <= piece_bytes)
-    large = relevant_files(files.where(F.octet_length(body) > piece_bytes), o).select(*FILE_COLUMNS, "scan_kind", body)
-    columns = [*FILE_COLUMNS, "scan_kind"]
-    schema = ", ".join(f"{c} string" for c in columns) + ", piece long, content binary"
+    columns = [*file_columns(o), "scan_kind"]
+    large = relevant_files(files.where(F.octet_length(body) > piece_bytes), o).select(*columns, body)
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", piece long, content binary"
     parts = large.mapInArrow(_cut(piece_bytes, large.columns.index(body), large.columns), schema)
     sizes = large.select(*columns, F.octet_length(body).cast("long").alias("length"))
 
