@@ -76,19 +76,116 @@ def test_language_model_of_the_documents(spark, documents, monkeypatch, frequent
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_language_model_sums_to_one(spark):
-    """All next words, with one unknown for each ending, have probability 1 together."""
-    texts = ["a b a c", "b a c d e", "", "e d c b a a"]
-    vocabulary = sorted({w for t in texts for w in t.split()})
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+def brute_language_model(texts, classes, n):
+    """Score of a text by the classes of its words, written out."""
+    uses, pairs, members = Counter(), Counter(), Counter()
+    for t in texts:
+        before = n
+        for w in brute_words(t):
+            uses[w] += 1
+            members[classes[w]] += 1
+            pairs[before, classes[w]] += 1
+            before = classes[w]
+        pairs[before, n] += 1
+    tokens = sum(uses.values()) + len(texts)
+    unknown = 0.5 / (tokens + 0.5 * (len(uses) + 2))
+    into = [sum(pairs[c, d] for c in range(n + 1)) for d in range(n + 1)]
+    anywhere = [(x + class_lm.SMOOTH) / (sum(into) + class_lm.SMOOTH * (n + 1)) for x in into]
+
+    def follow(c, d):
+        if d == n + 1:
+            return unknown
+        if c == n + 1:
+            return (1 - unknown) * anywhere[d]
+        here = (pairs[c, d] + class_lm.SMOOTH) / (sum(pairs[c, x] for x in range(n + 1)) + class_lm.SMOOTH * (n + 1))
+        return (1 - unknown) * ((1 - class_lm.BACKED) * here + class_lm.BACKED * anywhere[d])
+
+    def score(text):
+        total, before = 0.0, n
+        for w in brute_words(text):
+            c = classes.get(w, n + 1)
+            total += math.log10(follow(before, c)) + (math.log10(uses[w] / members[c]) if w in uses else 0)
+            before = c
+        return total + math.log10(follow(before, n))
+
+    return score, follow, uses, members
+
+
+@pytest.mark.parametrize("core, frequent", [(50, 120), (4096, 1 << 18), (7, 0)])
+def test_language_model_by_brute_force(spark, documents, monkeypatch, core, frequent):
+    """Scores, and that every word outside the core is in the class that its neighbours make likeliest."""
+    monkeypatch.setattr(class_lm, "CORE", core)
+    monkeypatch.setattr(class_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(class_lm, "GROUP_TOKENS", 5000)
+    some = {d: t for d, t in documents.items() if len(t) < 4000}
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
     from tracewell.llm.storage import Scratch
-
-    model, _ = class_lm.learn(docs, Scratch(spark, "test"))
-    clustered = np.bincount(model["class_of"][: len(vocabulary)], 10 ** model["emission"], minlength=class_lm.CLASSES)
-    used = np.bincount(model["class_of"][: len(vocabulary)], minlength=class_lm.CLASSES) > 0
-    assert np.allclose(clustered[used], 1)
-    assert np.allclose((10 ** model["follow"]).sum(axis=1), 1)
-    assert np.allclose(0.5 / 10 ** model["ending_total"], 1)  # no word but unknown ones
+    from tracewell.llm.words import Powers, word_slices
+
+    training = [t for d, t in some.items() if fold(d, 5) != 1]
+    model, words = class_lm.learn_classes(docs.where(~held_out("doc_id", 5, 1)).select("text"), Scratch(spark, "test"))
+    vocabulary = sorted({w for t in training for w in brute_words(t)})
+    import pyarrow as pa
+
+    hashes = next(word_slices(pa.array([w.decode() for w in vocabulary]), Powers(), size=1 << 40)).hash.view(np.int64).tolist()
+    rows = {r["word"]: (r["uses"], r["class"]) for r in words.collect()}
+    assert set(rows) == set(hashes)
+    classes = {w: rows[h][1] for w, h in zip(vocabulary, hashes)}
+    n = model["classes"]
+    assert n == max(8, math.ceil(len(vocabulary) ** (1 / 3)))
+    score, follow, uses, members = brute_language_model(training, classes, n)
+    assert {w: rows[h][0] for w, h in zip(vocabulary, hashes)} == uses
+    for r in score_texts(docs, held_out("doc_id", 5, 1)).collect():
+        assert r["score"] == pytest.approx(score(some[r["doc_id"]]), rel=1e-9)
+    # probabilities of all next words and an unknown one
+    for c in range(n + 2):
+        assert sum(follow(c, d) for d in range(n + 2)) == pytest.approx(1)
+
+
+def test_words_outside_the_core_go_where_their_neighbours_say(spark, documents, monkeypatch):
+    """The class of every rare word, one seen once included, against its likelihood in each class written out."""
+    monkeypatch.setattr(class_lm, "CORE", 60)
+    import pyarrow as pa
+    from tracewell.llm.storage import Scratch
+    from tracewell.llm.words import Powers, word_slices
+
+    texts = [t for t in documents.values() if len(t) < 3000]
+    model, held = class_lm.learn_classes(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "test"))
+    tokens = [[w.decode() for w in brute_words(t)] for t in texts]
+    uses = Counter(w for t in tokens for w in t)
+    hashes = next(word_slices(pa.array(list(uses)), Powers(), size=1 << 40)).hash.view(np.int64).tolist()
+    found = {r["word"]: r["class"] for r in held.collect()}
+    classes = {w: found[h] for w, h in zip(uses, hashes)}
+    n = model["classes"]
+    ranges = Counter(math.floor(math.log2(u) * 16) for u in uses.values())
+    least, total = 99, 0
+    for step in sorted(ranges, reverse=True):
+        total += ranges[step]
+        if total > 60:
+            break
+        least = step
+    core = {w for w, u in uses.items() if math.floor(math.log2(u) * 16) >= least}
+    pairs, around = np.zeros((n + 2, n + 2)), {}
+    for t in tokens:
+        kinds = [n + 1, *(classes[w] if w in core else n for w in t), n + 1]
+        for i, w in enumerate(t):
+            around.setdefault(w, []).append((kinds[i], kinds[i + 2]))
+        for a, b in zip(kinds, kinds[1:]):
+            pairs[a, b] += 1
+    follow = np.log(pairs + class_lm.SMOOTH) - np.log(pairs.sum(axis=1, keepdims=True) + class_lm.SMOOTH * (n + 2))
+    emission = np.log(pairs.sum(axis=0) + 0.5)
+    assert min(uses.values()) == 1 and len(core) < len(uses) / 5
+    for w in set(uses) - core:
+        gain = [sum(follow[a, c] + follow[c, b] - emission[c] for a, b in around[w]) for c in range(n)]
+        assert gain[classes[w]] >= max(gain) - 1e-4 * abs(max(gain))
+
+
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([(i, 1 + i * i // 7) for i in range(500)], "word long, uses long")
+    found = class_lm.most_frequent(counts, 100).to_pydict()
+    least = min(found["uses"])
+    assert 50 <= len(found["word"]) <= 100 and sorted(found["word"]) == [i for i in range(500) if 1 + i * i // 7 >= least]
+    assert class_lm.most_frequent(counts, 0).num_rows == class_lm.most_frequent(counts.limit(0), 9).num_rows == 0
 
 
 def test_language_model_of_odd_rows(odd_docs, no_docs):
