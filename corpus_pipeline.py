@@ -1,57 +1,37 @@
 """Cleaning and packing of ``documents``, stage by stage. Each stage takes ``(spark, docs, sf_dir)``, and all but
 the last return the columns of ``documents``.
 
-Rows that share a ``doc_id`` are one document: they stay or go together. Extra columns of ``docs`` travel along.
+Rows that share a ``doc_id`` are one document: they stay or go together; a row without one is a document of its own. Extra
+columns of ``docs`` travel along. ``tracewell.llm.stages`` says what each stage does with nulls and empty texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tracewell.llm.decontamination import contaminated
-from tracewell.llm.jaccard_join import jaccard_components
-from tracewell.llm.language_id import UNKNOWN, detect, fit, held_out
+from tracewell.llm import stages
+from tracewell.llm.language_id import held_out
 from tracewell.llm.packing import pack_documents
 from tracewell.llm.queries import tokenizer_file
-from tracewell.llm.secret_scan import secret_scan
 from tracewell.llm.storage import Scratch
 
-# A text of whose n-grams fewer are known, in the language that knows most, is in no language.
-LEAST_KNOWN = 0.1
-
 
 def language_stage(spark, docs, sf_dir):
     """Drops documents in no language: without a letter, or with hardly a known n-gram."""
-    filters = fit(docs.where(~held_out("doc_id", 4, 2)))
-    found = detect(docs, filters, docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= LEAST_KNOWN)).select(*docs.columns)
+    return stages.in_a_language(docs, docs.where(~held_out("doc_id", 4, 2)))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """Keeps the smallest doc_id of each group of linked documents (five-word shingles, Jaccard of 0.8)."""
-    groups = jaccard_components(docs, n=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return stages.without_near_duplicates(docs, n=5, percent=80)
 
 
 def decontamination_stage(spark, docs, sf_dir):
     """Drops documents that hold a passage of the benchmark."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return stages.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark, docs, sf_dir):
-    """Writes ``[SECRET]`` in place of each secret; where matches of two rules overlap, over both."""
-    found = secret_scan(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    cut = F.expr("""
-        aggregate(spans, named_struct('at', 0L, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct(
-            'at', s.end,
-            'out', if(s.start < a.at, a.out,
-                concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '[SECRET]')))),
-            a -> concat(a.out, substring(text, cast(a.at + 1 as int))))""")
-    clean = found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Writes ``[SECRET]`` in place of each secret."""
+    return stages.without_secrets(docs)
 
 
 def packing_stage(spark, docs, sf_dir):
@@ -72,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Applies the stages to ``documents``; each result is written and read again as the next one's input."""
+    """Applies the stages to ``documents``; each result is written and read again as the next one's input, and deleted
+    once that is done with it."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

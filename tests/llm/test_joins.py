@@ -90,14 +90,57 @@ def test_paragraphs_of_the_documents(spark, documents):
         for i in range(len(w) - 50):
             seen.setdefault(tuple(w[i : i + 51]), set()).add(d)
     assert set().union(*[v for v in seen.values() if len(v) > 1]) <= {r["doc_id"] for r in found}
-    width = paragraph_dedup.WIDTH
-    part = lambda d, s: shingles(" ".join(documents[d].split()[s : s + width]), 5)
+    held = {d: t.encode().split() for d, t in documents.items()}
+    part = lambda r: shingles(b" ".join(held[r["doc_id"]][r["start"] : r["start"] + r["words"]]).decode(), 5)
+    groups = {}
     for r in found:
-        if r["removed"]:  # some paragraph of its component is similar
-            mine = part(r["doc_id"], r["start"])
-            near = [part(q["doc_id"], q["start"]) for q in found if q is not r and
-                    (q["first_doc_id"], q["first_start"]) == (r["first_doc_id"], r["first_start"])]
-            assert any(100 * len(mine & n) >= 80 * len(mine | n) for n in near)
+        groups.setdefault((r["first_doc_id"], r["first_start"], r["first_words"]), []).append(part(r))
+    for r in found:
+        if r["removed"]:  # some other paragraph of its component is similar
+            mine, group = part(r), groups[r["first_doc_id"], r["first_start"], r["first_words"]]
+            assert sum(100 * len(mine & n) >= 80 * len(mine | n) for n in group) > 1
+
+
+@pytest.mark.parametrize("size", [50, 60, 70, 200])
+def test_near_copies_of_whole_texts(spark, words, size):
+    """One or more words substituted; all pairs of a similarity of 0.8 or more."""
+    rng = random.Random(size)
+    texts, near = {}, []
+    for d in range(200):
+        text = [rng.choice(words) for _ in range(size)]
+        copy = list(text)
+        for _ in range(max(1, size // 60)):
+            copy[rng.randrange(size)] = rng.choice(words)
+        a, b = shingles(" ".join(text), 5), shingles(" ".join(copy), 5)
+        texts[d] = "\n".join(" ".join(text[i : i + 12]) for i in range(0, size, 12)) if d % 2 else " ".join(text)
+        texts[1000 + d] = " ".join(copy)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            near.append(d)
+    found = repeated_paragraphs(table(spark, texts)).collect()
+    whole = {r["doc_id"]: r["first_doc_id"] for r in found if r["words"] == size}
+    assert len(near) > 150 and sum(whole.get(1000 + d) == d for d in near) >= 0.95 * len(near)
+    assert all(r["first_doc_id"] % 1000 == r["doc_id"] % 1000 for r in found)
+
+
+def test_paragraphs_of_a_text(words):
+    """Lines, short texts as a whole and windows, by hand."""
+    import pyarrow as pa
+    from tracewell.llm.words import Powers, word_slices
+
+    lines = [" ".join(words[i : i + n]) for i, n in ((0, 40), (40, 10), (50, 31), (81, 29))]
+    texts = ["\n".join(lines), "\n\n".join(lines * 3), lines[0], "one two"]
+    held = next(word_slices(pa.array(texts), Powers()))
+    row, at, size = paragraph_dedup.natural(held)
+    found = set(zip(row.tolist(), (at - held.first[row]).tolist(), size.tolist()))
+    assert found == {(0, 0, 40), (0, 50, 31), (0, 0, 110), (2, 0, 40)} | {(1, 110 * k, 40) for k in range(3)} | {(1, 110 * k + 50, 31) for k in range(3)}
+    row, at, size = paragraph_dedup.paragraphs(held)
+    sets, first = paragraph_dedup.paragraph_sets(held, row, at, size)
+    made = paragraph_dedup.records(held, np.arange(4))
+    every = [t.split() for t in texts]
+    for r, a, n, lo, hi in zip(row, at - held.first[row], size, first[:-1], first[1:]):
+        assert len(set(sets[lo:hi].tolist())) == len(shingles(" ".join(every[r][a : a + n]), 5))
+    assert {tuple(x) for x in made[["doc", "start", "size"]].tolist()} == set(zip(row.tolist(), (at - held.first[row]).tolist(), size.tolist()))
+    assert len(made) == paragraph_dedup.BANDS * len(row)
 
 
 @pytest.mark.parametrize("small, chunk", [(8, 512), (2, 16)])

@@ -29,6 +29,38 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_more_languages_than_a_mask_holds(spark):
+    """Masks against sets of n-grams, and predictions of texts not learnt from, for 130 languages."""
+    from tracewell.llm.language_id import HASHES, MASK_BITS, MIN_RATE, RELATIVE, grams, slots
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    names = [f"l{i:03d}" for i in range(130)]
+    assert len(names) > 2 * MASK_BITS
+    own = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for n in names}
+    text = lambda n: " ".join(rng.choice(own[n]) for _ in range(40))
+    rows = [(text(n), n) for n in names for _ in range(4)]
+    filters = fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert filters.languages == names and filters.masks.shape[0] == 3
+    uses = {n: Counter() for n in names}
+    for t, n in rows:
+        for _, code, _ in grams(pa.array([t])):
+            uses[n].update(code.tolist())
+    rate = {n: {g: c / sum(u.values()) for g, c in u.items()} for n, u in uses.items()}
+    top = Counter()
+    for r in rate.values():
+        for g, x in r.items():
+            top[g] = max(top[g], x)
+    expected = np.zeros_like(filters.masks)
+    for i, n in enumerate(names):
+        kept = np.array([g for g, x in rate[n].items() if x >= MIN_RATE and x >= RELATIVE * top[g]], dtype=np.uint32)
+        for where in slots(kept):
+            expected[i // MASK_BITS][where] |= 1 << i % MASK_BITS
+    assert HASHES == len(slots(kept)) and (filters.masks == expected).all()
+    found = detect(spark.createDataFrame([(text(n), n) for n in names], "text string, lang string"), filters, ["lang"]).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in found) >= 128
+
+
 def test_languages_of_odd_rows(odd_docs, no_docs):
     rows = language_id(odd_docs).collect()
     assert len(rows) == odd_docs.count()

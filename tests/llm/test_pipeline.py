@@ -41,6 +41,24 @@ def test_duplicate_stage_keeps_one_of_each_group(spark, docs, documents):
     assert kept.columns == docs.columns and kept.count() == len(set(groups.values()))
 
 
+def test_rows_without_an_id(spark, words):
+    """Copies and leaks without a doc_id go like others; each is a document of its own."""
+    import random
+
+    rng = random.Random(3)
+    prose = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(4)]
+    item = pq.read_table(f"{SF}/benchmark.parquet")["text"].to_pylist()[0]
+    rows = [(1, prose[0]), (None, prose[0]), (None, prose[1]), (None, prose[1]), (2, prose[2]), (None, prose[3]), (None, None), (None, ""),
+            (None, f"{prose[3]} {item} {prose[2]}"), (3, f"{prose[2]} {item} {prose[3]}")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1, 7) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, gone long")
+    kept = STAGES["jaccard_join"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    left = sorted(r["text"] for r in kept.collect() if r["text"] in prose)
+    assert left == sorted(prose) and kept.count() == 7  # the last two are near copies
+    clean = [r["text"] for r in STAGES["decontamination"](spark, docs, SF).collect()]
+    assert len(clean) == 8 and not any(item in (t or "") for t in clean)
+
+
 def test_decontamination_stage_drops_passages(spark, docs, documents):
     def norm(x):
         return " " + " ".join(re.findall(r"\w+", unicodedata.normalize("NFC", x.lower()))) + " "

@@ -448,7 +448,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     counted = resolved.where("NOT held_out").select("classes").mapInArrow(_count_steps(classes), "step long, uses long")
     for r in counted.groupBy("step").agg(F.sum("uses").alias("uses")).toLocalIterator():
         pairs[divmod(r["step"], classes + 2)] = r["uses"]
-    unknown = HALF / (model["tokens"] + HALF * (model["distinct"] + 1))
+    unknown = min(0.5, HALF / (model["tokens"] + HALF * (model["distinct"] + 1)))  # without training texts, less than all
     follow = spark.sparkContext.broadcast(transitions(pairs, unknown))
     scored = resolved.mapInArrow(
         _score(follow, classes), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

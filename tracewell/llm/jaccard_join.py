@@ -48,7 +48,7 @@ def bucket_bits(docs: DataFrame) -> int:
 
 
 def _count_shingles(n: int, bits: int):
-    """Per bucket of the key space, the keys of a batch's shingles (a document's once), sorted."""
+    """Per bucket of the key space that has any, the keys of a batch's shingles (a document's once), sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -61,10 +61,10 @@ def _count_shingles(n: int, bits: int):
                 continue
             keys = np.sort(np.concatenate(keys))
             bucket = keys >> np.uint64(KEY_BITS - bits)
-            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
             low = (keys & np.uint64((1 << (KEY_BITS - bits)) - 1)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(1 << bits, dtype=np.int32)), binaries(low, edges.astype(np.int64))],
+                [pa.array(bucket[begin].astype(np.int32)), binaries(low, np.append(begin, len(low)))],
                 ["bucket", "keys"],
             )
 

@@ -2,7 +2,7 @@
 
 Each language's set of characteristic n-grams (four bytes of lower-case UTF-8; anything but letters is one
 space) goes into a Bloom filter. The filters are bit-sliced: one slot holds one bit per language, so the AND of
-an n-gram's slots is the mask of all languages that contain it. A text's popcounts per language, corrected for
+an n-gram's slots is the mask of all languages that contain it. More than ``MASK_BITS`` languages take several masks a slot. A text's popcounts per language, corrected for
 each filter's false-positive rate, decide.
 
 An n-gram is characteristic of a language when its rate there is at least ``MIN_RATE`` (so a language has at
@@ -29,7 +29,7 @@ MIN_RATE = 2e-5
 RELATIVE = 0.2
 SLOTS = 1 << 20
 HASHES = 3
-MOST_LANGUAGES = 63
+MASK_BITS = 62
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 19
 
@@ -108,14 +108,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         where = slots(batch.column(0).to_numpy().astype(np.uint32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(where)), pa.concat_arrays([batch.column(1)] * HASHES)], ["slot", "mask"])
+        columns = [pa.concat_arrays([batch.column(i)] * HASHES) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where)), *columns], ["slot", "nth", "mask"])
 
 
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    masks: np.ndarray  # one slot's languages as bits
+    masks: np.ndarray  # [nth, slot]: languages nth * MASK_BITS on, as bits
     false_positives: np.ndarray  # per language
     usual: str | None  # the language of most training n-grams; decides where no n-gram is known
 
@@ -123,7 +123,7 @@ class LanguageFilters:
 def fit(texts: DataFrame) -> LanguageFilters:
     """Learns from ``texts(text, lang)``; rows with a null in either teach nothing.
 
-    What reaches the driver is bounded: the languages with their counts, and at most ``SLOTS`` slots."""
+    What reaches the driver is bounded by the languages: each with its count, and a mask a slot for ``MASK_BITS`` of them."""
     bound_batches(texts.sparkSession)
     known = texts.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = known.mapInArrow(_count, "lang string, gram long, uses long").groupBy("lang", "gram").agg(
@@ -131,22 +131,20 @@ def fit(texts: DataFrame) -> LanguageFilters:
     try:
         totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("uses").alias("total")).collect()}
         languages = sorted(totals)
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; a slot holds {MOST_LANGUAGES}")
-        masks = np.zeros(SLOTS, dtype=np.int64)
+        masks = np.zeros((-(-len(languages) // MASK_BITS), SLOTS), dtype=np.int64)
         if languages:
-            facts = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, float(totals[name]))])
-            bits = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, 1 << i)])
-            rates = counts.select("gram", (F.col("uses") / facts[F.col("lang")]).alias("rate"), bits[F.col("lang")].alias("bit"))
-            held = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "bit")).alias("by"))
+            facts = texts.sparkSession.createDataFrame(
+                [(name, float(totals[name]), i // MASK_BITS, 1 << i % MASK_BITS) for i, name in enumerate(languages)],
+                "lang string, total double, nth int, bit long")
+            rates = counts.join(F.broadcast(facts), "lang").select("gram", (F.col("uses") / F.col("total")).alias("rate"), "nth", "bit")
+            held = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "nth", "bit")).alias("by"))
             member = F.filter("by", lambda x: (x["rate"] >= MIN_RATE) & (x["rate"] >= RELATIVE * F.col("top")))
-            mask = F.aggregate(member, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"].cast("long")))
-            rows = held.select("gram", mask.alias("mask")).where("mask <> 0").mapInArrow(_slot_rows, "slot long, mask long")
-            table = rows.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-            masks[table.column("slot").to_numpy()] = table.column("mask").to_numpy()
+            rows = held.select("gram", F.inline(member)).select("gram", "nth", "bit").mapInArrow(_slot_rows, "slot long, nth int, mask long")
+            table = rows.groupBy("slot", "nth").agg(F.bit_or("mask").alias("mask")).toArrow()
+            masks[table.column("nth").to_numpy(), table.column("slot").to_numpy()] = table.column("mask").to_numpy()
     finally:
         counts.unpersist()
-    filled = np.array([np.count_nonzero((masks >> i) & 1) / SLOTS for i in range(len(languages))])
+    filled = np.array([np.count_nonzero((masks[i // MASK_BITS] >> i % MASK_BITS) & 1) / SLOTS for i in range(len(languages))])
     usual = max(languages, key=lambda name: (totals[name], name)) if languages else None
     return LanguageFilters(languages, masks, filled**HASHES, usual)
 
@@ -160,13 +158,12 @@ def _decide(model, width: int, text_at: int):
             rows = batch.num_rows
             share = np.zeros((rows, len(names)))
             for row, code, first in grams(text):
-                mask = filters.masks[slots(code)[0]]
-                for more in slots(code)[1:]:
-                    mask = mask & filters.masks[more]
+                where = slots(code)
+                mask = np.bitwise_and.reduce([filters.masks[:, s] for s in where])  # of every n-gram
                 size = np.maximum(np.diff(first), 1)
                 for i in range(len(names)):
-                    ones = np.zeros(len(mask) + 1, dtype=np.int64)
-                    np.cumsum((mask >> i) & 1, out=ones[1:])
+                    ones = np.zeros(len(code) + 1, dtype=np.int64)
+                    np.cumsum((mask[i // MASK_BITS] >> i % MASK_BITS) & 1, out=ones[1:])
                     seen = (ones[first[1:]] - ones[first[:-1]]) / size
                     share[row : row + len(size), i] = np.clip((seen - wrong[i]) / (1 - wrong[i]), 0, 1)
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)

@@ -3,8 +3,10 @@
 Equal vectors are one node. Every node's first neighbours come from exact search inside small blocks (signs of random
 projections, several draws). NN-descent then joins the graph with itself: around every node, those it has as
 neighbours and the nearest of those that have it are compared pair by pair, and who finds a nearer neighbour than
-its farthest takes it. A query keeps the nearest nodes it has met and goes on from those not yet expanded, one
-Spark join a round for all queries, until a round brings nothing nearer.
+its farthest takes it, until a round changes at most ``SETTLED`` of all edges. A query keeps the nearest nodes it has met
+and goes on from those not yet expanded, one Spark join a round for all queries, until a round brings nothing nearer.
+Queries of equal vectors are one search. How many draws make the first graph and how many nodes a query keeps grow
+with the logarithm of the nodes.
 
 Distances are Euclidean, in double precision. Work per node is bounded by the parameters; hubs are bounded because
 only the nearest ``REVERSE`` of those that have a node as neighbour join around it.
@@ -23,12 +25,12 @@ from tracewell.llm.storage import Scratch
 
 NEIGHBOURS = 32
 REVERSE = 24
-DRAWS = 3
-ROUNDS = 5
+SETTLED = 0.002  # of the edges
 BLOCK = 256  # nodes of a block on average
 CENTRES = 512  # nodes compared around at once
 OFFERS = 12  # nearest that a node is offered around each node
-POOL = 160  # nodes a query keeps
+POOL_STEP, LEAST_POOL = 14, 64  # nodes a query keeps for each bit of the number of nodes
+NODES_A_DRAW = 4  # bits of the number of nodes for each draw
 ENTRIES = 16
 MOST_BITS = 24
 
@@ -97,18 +99,28 @@ def nearest(edges: DataFrame, k: int, by: str = "u", other: str = "v") -> DataFr
     return ranked.where(F.col("nth") <= k).drop("nth")
 
 
+def draws(count: int) -> int:
+    return max(2, -(-count.bit_length() // NODES_A_DRAW))
+
+
+def pool_size(count: int) -> int:
+    return max(LEAST_POOL, POOL_STEP * count.bit_length())
+
+
 def first_graph(nodes: DataFrame, count: int, scratch: Scratch) -> DataFrame:
     bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(count, 1) / BLOCK)))))
     found = None
     vec = nodes.schema["vec"].dataType.simpleString()
-    for draw in range(DRAWS):
+    for draw in range(draws(count)):
         keyed = scratch.keep(nodes.mapInArrow(_signs(bits, draw), f"node long, vec {vec}, key long"), "keyed")
         # a key of many nodes is dealt into blocks at random
         sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
         dealt = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(draw)), "parts"))
-        part = dealt.select("key", "part", "node", "vec").groupBy("key", "part").applyInArrow(_block(NEIGHBOURS), EDGES)
+        # after the join Spark would keep a key's parts together
+        parts = dealt.select("key", "part", "node", "vec").repartition("key", "part").groupBy("key", "part")
+        part = parts.applyInArrow(_block(NEIGHBOURS), EDGES)
         found = part if found is None else found.union(part)
-    return scratch.keep(nearest(found.distinct(), NEIGHBOURS), "graph")
+    return scratch.keep(nearest(found.distinct(), NEIGHBOURS).withColumn("fresh", F.lit(True)), "graph")
 
 
 def _around(table: pa.Table) -> pa.Table:
@@ -146,43 +158,51 @@ def descend(nodes: DataFrame, graph: DataFrame, count: int, scratch: Scratch) ->
     buckets = max(1, -(-count // CENTRES))
     told = around.join(known, "member").withColumn("bucket", F.pmod(F.xxhash64("centre"), F.lit(buckets)))
     offers = told.select("bucket", "centre", "member", "far", "vec").groupBy("bucket").applyInArrow(_around, EDGES)
-    merged = graph.union(offers).groupBy("u", "v").agg(F.min("d").alias("d"))
+    offers = offers.withColumn("fresh", F.lit(True))
+    merged = graph.withColumn("fresh", F.lit(False)).union(offers).groupBy("u", "v").agg(
+        F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     return scratch.keep(nearest(merged, NEIGHBOURS), "graph")
 
 
-def neighbour_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(u, v, d)``: up to ``NEIGHBOURS`` neighbours of each of ``nodes(node, vec)``."""
-    count = nodes.count()
+def neighbour_graph(nodes: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """``(u, v, d)``: up to ``NEIGHBOURS`` neighbours of each of ``nodes(node, vec)``. Every round brings edges nearer, so
+    the descent ends."""
     graph = first_graph(nodes, count, scratch)
-    for _ in range(ROUNDS):
-        graph = descend(nodes, graph, count, scratch)
-    return graph
+    while True:
+        moved = descend(nodes, graph, count, scratch)
+        scratch.drop(graph)
+        graph = moved
+        facts = graph.agg(F.count("*").alias("edges"), F.count_if("fresh").alias("fresh")).first()
+        if facts["fresh"] <= SETTLED * facts["edges"]:
+            return graph.drop("fresh")
 
 
 MEASURE = "sqrt(aggregate(zip_with(a, b, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, x) -> s + x))"
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(query_id, node, d)``: the ``POOL`` nearest nodes each of ``queries(query_id, vec, start)`` met. ``start`` is a node
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, pool_nodes: int, scratch: Scratch) -> DataFrame:
+    """``(query_id, node, d)``: the ``pool_nodes`` nearest nodes each of ``queries(query_id, vec, start)`` met. ``start`` is a node
     to begin at (null: none); a few nodes, the same for all, are begun at besides."""
     asked = scratch.keep(queries.select("query_id", F.col("vec").alias("a"), "start"), "queries")
     targets = scratch.keep(nodes.select("node", F.col("vec").alias("b")), "targets")
-    entries = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
-    begin = F.array_distinct(F.array_compact(F.array("start", *[F.lit(e) for e in entries])))
-    met = asked.select("query_id", F.explode(begin).alias("node"))
+    entries = targets.orderBy(F.xxhash64("node")).limit(ENTRIES)  # a few rows, which go to the queries
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(targets, "node").join(asked.select("query_id", "a"), "query_id")
+    def measured(pairs: DataFrame, to: DataFrame) -> DataFrame:
+        both = pairs.join(to, "node").join(asked.select("query_id", "a"), "query_id")
         return both.select("query_id", "node", F.expr(MEASURE).alias("d"), F.lit(False).alias("expanded"))
 
-    pool = scratch.keep(nearest(measured(met), POOL, "query_id", "node"), "pool")
+    places = F.array(*[F.lit(r["node"]) for r in entries.select("node").collect()]).cast("array<bigint>")
+    begun = asked.select("query_id", F.explode(places).alias("node")).where("node IS NOT NULL")
+    own = asked.where("start IS NOT NULL").select("query_id", F.col("start").alias("node"))
+    met = measured(begun, F.broadcast(entries)).union(measured(own, targets)).distinct()
+    pool = scratch.keep(nearest(met, pool_nodes, "query_id", "node"), "pool")
     while True:
         fresh = pool.where("NOT expanded").select("query_id", F.col("node").alias("u"))
         seen = pool.select("query_id", "node")
         offered = fresh.join(graph, "u").select("query_id", F.col("v").alias("node")).distinct().join(
             seen, ["query_id", "node"], "left_anti")
-        grown = pool.withColumn("expanded", F.lit(True)).union(measured(offered))
-        grown = scratch.keep(nearest(grown, POOL, "query_id", "node"), "pool")
+        grown = pool.withColumn("expanded", F.lit(True)).union(measured(offered, targets))
+        grown = scratch.keep(nearest(grown, pool_nodes, "query_id", "node"), "pool")
         scratch.drop(pool)
         pool = grown
         if pool.where("NOT expanded").isEmpty():
@@ -201,11 +221,17 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100) -> Dat
     rows = scratch.keep(usable(vectors), "rows")
     held = scratch.keep(classes(rows, k + 1), "classes")
     nodes = scratch.keep(held.where("vec_id = node").select("node", "vec"), "nodes")
-    graph = neighbour_graph(nodes, scratch)
-    asked = rows.where(F.col("vec_id") % every == 0).join(nodes, "vec").select(
-        F.col("vec_id").alias("query_id"), "vec", F.col("node").alias("start"))
-    pool = greedy_search(asked, nodes, graph, scratch)
-    found = pool.join(held.select("node", "vec_id"), "node").where("vec_id <> query_id")
+    count = nodes.count()
+    graph = neighbour_graph(nodes, count, scratch)
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec")
+    queries = scratch.keep(asked.join(nodes, "vec").select(F.col("vec_id").alias("query_id"), F.col("node").alias("of")), "asked")
+    searched = queries.select(F.col("of").alias("node")).distinct().join(nodes, "node").select(
+        F.col("node").alias("query_id"), "vec", F.col("node").alias("start"))
+    pool = greedy_search(searched, nodes, graph, pool_size(count), scratch)
+    # of each searched vector one more id than asked for, as a query's own falls away
+    near = pool.join(held.select("node", "vec_id"), "node").groupBy("query_id", "vec_id").agg(F.min("d").alias("score"))
+    near = nearest(near.select("query_id", "vec_id", F.col("score").alias("d")), k + 1, "query_id", "vec_id")
+    found = queries.join(near.select(F.col("query_id").alias("of"), "vec_id", "d"), "of").where("vec_id <> query_id")
     found = found.groupBy("query_id", "vec_id").agg(F.min("d").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

@@ -1,12 +1,13 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are ``WIDTH`` words that begin where the text itself says: at words whose three-word hash is the least of
-``REACH`` in a row. Texts that share ``REACH + WIDTH + 2`` words (50) in a row so share a paragraph wherever the passage
-stands, inside lines or across them. A text shorter than a paragraph is one.
+Paragraphs are of two kinds. Some the text has itself: its lines, of ``WIDTH`` words at least, and, up to ``WHOLE`` words, the
+whole of it; near copies are found by these. The others are windows of ``WIDTH`` words that begin where the text itself says: at words
+whose three-word hash is the least of ``REACH`` in a row. Texts that share ``REACH + WIDTH + 2`` words (50) in a row so share a
+window wherever the passage stands, inside lines or across them. A text shorter than a window is one.
 
 Bands of ``ROWS`` of ``BANDS * ROWS`` MinHash values of a paragraph's five-word shingles are its keys: at a similarity of
-0.8 some key agrees with probability ``1 - (1 - 0.8**ROWS)**BANDS``, over 0.95. Paragraphs of equal sets are linked to the
-first of them; of the different sets that share a key, each is compared with every other on the texts, and those of an
+0.8 some key agrees with probability ``1 - (1 - 0.8**ROWS)**BANDS``, over 0.95. Paragraphs of the same shingles are linked to the
+first of them; of the others that share a key, each is compared with every other on the texts, and those of an
 exact Jaccard similarity of 0.8 or more are linked. Pairs of keys of ``SMALL_KEY`` sets at most are compared one by one; the
 sets of others are dealt into chunks of ``CHUNK_SETS``, every two chunks of a key meet in a block, and a block returns a
 spanning forest of its links. Of each connected component the first paragraph stays.
@@ -31,6 +32,7 @@ from tracewell.llm.storage import Scratch
 from tracewell.llm.words import Powers, Words, binaries, mix, row_sets, word_slices
 
 WIDTH, REACH = 30, 18
+WHOLE = 256  # words of the longest text that is compared as a whole
 SHINGLE = 5
 BANDS, ROWS = 6, 4
 BAND_KEYS = 8  # a key's remainder by this is its band
@@ -38,8 +40,10 @@ SMALL_KEY = 8
 CHUNK_SETS = 512
 PERCENT = 80
 BUCKETS_PER_PARTITION = 8
-RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("set", "<u4")])
-EDGE = np.dtype([("a", "<i8"), ("s", "<i4"), ("b", "<i8"), ("t", "<i4"), ("equal", "u1")])
+PLACE = ("doc", "start", "size")  # of a paragraph; in edges (a, s, m) and (b, t, n)
+RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("set", "<u4")])
+EDGE = np.dtype([("a", "<i8"), ("s", "<i4"), ("m", "<i4"), ("b", "<i8"), ("t", "<i4"), ("n", "<i4"), ("equal", "u1")])
+ENDS = "a long, s int, m int, b long, t int, n int"
 
 
 def beginnings(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -65,25 +69,63 @@ def beginnings(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return row[at], at
 
 
-def paragraph_sets(words: Words, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all paragraphs, one after another, and each one's first."""
+def natural(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and number of words of the paragraphs that texts have themselves: lines of ``WIDTH`` words at least, and
+    whole texts of ``WIDTH`` to ``WHOLE`` words."""
+    row = np.repeat(np.arange(words.rows), words.lengths())
+    line = np.searchsorted(np.flatnonzero(words.data == 10), words.start)
+    heads = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1]))[: len(row)])
+    size = np.diff(np.append(heads, len(row)))
+    counts = words.lengths()
+    whole = np.flatnonzero((counts >= WIDTH) & (counts <= WHOLE))
+    at = np.concatenate([heads[size >= WIDTH], words.first[whole]])
+    size = np.concatenate([size[size >= WIDTH], counts[whole]])
+    return row[at], at, size
+
+
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and number of words of all paragraphs, each once."""
+    row, at = beginnings(words)
     size = np.minimum(words.first[1:][row] - at, WIDTH)
+    more = natural(words)
+    row, at, size = np.concatenate([row, more[0]]), np.concatenate([at, more[1]]), np.concatenate([size, more[2]])
+    order = np.lexsort((size, at))
+    row, at, size = row[order], at[order], size[order]
+    fresh = np.append(True, (at[1:] != at[:-1]) | (size[1:] != size[:-1]))[: len(at)]
+    return row[fresh], at[fresh], size[fresh]
+
+
+def spans(words: Words, first: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the paragraphs' shingles begin and end among those of all rows, of which ``first`` are the rows' first."""
+    begin = first[:-1][row] + at - words.first[:-1][row]
+    return begin, begin + np.where(size >= SHINGLE, size - SHINGLE + 1, 1)
+
+
+def paragraph_sets(words: Words, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all paragraphs, one after another, and each one's first."""
     values, first = words.shingles(SHINGLE)
-    many = np.where(size >= SHINGLE, size - SHINGLE + 1, 1)
+    begin, end = spans(words, first, row, at, size)
+    many = end - begin
     starts = np.zeros(len(at) + 1, dtype=np.int64)
     np.cumsum(many, out=starts[1:])
-    place = np.repeat(first[:-1][row] + at - words.first[:-1][row] - starts[:-1], many) + np.arange(starts[-1])
-    return values[place], starts
+    return values[np.repeat(begin - starts[:-1], many) + np.arange(starts[-1])], starts
 
 
 def records(words: Words, ids: np.ndarray) -> np.ndarray:
-    row, at = beginnings(words)
+    row, at, size = paragraphs(words)
     if not len(at):
         return np.zeros(0, RECORD)
-    values, starts = paragraph_sets(words, row, at)
-    least = [np.minimum.reduceat(mix(values + np.uint64(0x51ED2701 * (i + 1))), starts[:-1]) for i in range(BANDS * ROWS)]
-    sets, first = row_sets(values, starts)
-    total = np.add.reduceat(mix(sets), first[:-1])
+    values, first = words.shingles(SHINGLE)
+    begin, end = spans(words, first, row, at, size)
+    # paragraphs overlap: every shingle is hashed once, and minima are taken of ranges
+    ranges = np.stack([begin, end], axis=1).ravel()
+    least = [
+        np.minimum.reduceat(np.append(mix(values + np.uint64(0x51ED2701 * (i + 1))), ~np.uint64(0)), ranges)[::2]
+        for i in range(BANDS * ROWS)
+    ]
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(mix(values), out=total[1:])
+    total = mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
     out = np.zeros(BANDS * len(at), RECORD)
     for band in range(BANDS):
         part = out[band * len(at) : (band + 1) * len(at)]
@@ -91,17 +133,22 @@ def records(words: Words, ids: np.ndarray) -> np.ndarray:
         for i in range(band * ROWS, (band + 1) * ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i])
         key = key - key % np.uint64(BAND_KEYS) + np.uint64(band)
-        part["key"], part["doc"], part["start"] = key, ids[row], at - words.first[:-1][row]
-        part["set"] = (mix(total) >> np.uint64(32)).astype(np.uint32)
+        part["key"], part["doc"], part["start"], part["size"] = key, ids[row], at - words.first[:-1][row], size
+        part["set"] = (total >> np.uint64(32)).astype(np.uint32)
     return out
 
 
+def apart(doc: np.ndarray, start: np.ndarray, size: np.ndarray, doc2: np.ndarray, start2: np.ndarray, size2: np.ndarray) -> np.ndarray:
+    """Paragraphs of one text that overlap do not repeat each other."""
+    return (doc != doc2) | (start + size <= start2) | (start2 + size2 <= start)
+
+
 def _edges(first: np.ndarray, other: np.ndarray, equal: bool) -> np.ndarray:
-    # paragraphs of one text that overlap do not repeat each other
-    apart = (first["doc"] != other["doc"]) | (np.abs(first["start"] - other["start"]) >= WIDTH)
-    edges = np.zeros(int(apart.sum()), EDGE)
-    for name, source, column in (("a", first, "doc"), ("s", first, "start"), ("b", other, "doc"), ("t", other, "start")):
-        edges[name] = source[column][apart]
+    keep = apart(*(first[c] for c in PLACE), *(other[c] for c in PLACE))
+    edges = np.zeros(int(keep.sum()), EDGE)
+    for names, source in ((("a", "s", "m"), first), (("b", "t", "n"), other)):
+        for name, column in zip(names, PLACE):
+            edges[name] = source[column][keep]
     edges["equal"] = equal
     return edges
 
@@ -109,7 +156,7 @@ def _edges(first: np.ndarray, other: np.ndarray, equal: bool) -> np.ndarray:
 def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first record of each key and set, and edges from it to those it equals. Equal sets agree in every
     band, so the first band's keys are enough for the edges."""
-    found = found[np.lexsort((found["start"], found["doc"], found["set"], found["key"]))]
+    found = found[np.lexsort((found["size"], found["start"], found["doc"], found["set"], found["key"]))]
     fresh = np.append(True, (found["key"][1:] != found["key"][:-1]) | (found["set"][1:] != found["set"][:-1]))[: len(found)]
     firsts = np.flatnonzero(fresh)
     first = np.repeat(firsts, np.diff(np.append(firsts, len(found))))
@@ -120,7 +167,7 @@ def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Edges between all sets of each key of ``SMALL_KEY`` sets at most; and the records of larger keys, each one's
     place in its key and its key's number of sets."""
-    found = firsts[np.lexsort((firsts["start"], firsts["doc"], firsts["key"]))]
+    found = firsts[np.lexsort((firsts["size"], firsts["start"], firsts["doc"], firsts["key"]))]
     heads = np.flatnonzero(np.append(True, found["key"][1:] != found["key"][:-1])[: len(found)])
     many = np.diff(np.append(heads, len(found)))
     size, place = np.repeat(many, many), np.arange(len(found)) - np.repeat(heads, many)
@@ -133,11 +180,10 @@ def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(pairs), found[large], place[large], size[large]
 
 
-def _dealt(values: np.ndarray, bucket: np.ndarray, buckets: int) -> list[bytes]:
+def _dealt(values: np.ndarray, bucket: np.ndarray, wanted: np.ndarray) -> list[bytes]:
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    values = values[order]
-    return [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    bucket, values = bucket[order], values[order]
+    return [values[a:b].tobytes() for a, b in zip(np.searchsorted(bucket, wanted), np.searchsorted(bucket, wanted, side="right"))]
 
 
 def _band(buckets: int):
@@ -153,11 +199,13 @@ def _band(buckets: int):
             first, edges = equal_sets(np.concatenate(found))
             n = np.uint64(buckets)
             spread = (mix(edges["b"].astype(np.uint64) + edges["t"].astype(np.uint64)) % n).astype(np.int64)
+            place = (first["key"] % n).astype(np.int64)
+            wanted = np.union1d(place, spread)  # buckets without any of either have no row
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(buckets, dtype=np.int32)),
-                    pa.array(_dealt(first, (first["key"] % n).astype(np.int64), buckets), pa.binary()),
-                    pa.array(_dealt(edges, spread, buckets), pa.binary()),
+                    pa.array(wanted.astype(np.int32)),
+                    pa.array(_dealt(first, place, wanted), pa.binary()),
+                    pa.array(_dealt(edges, spread, wanted), pa.binary()),
                 ],
                 ["bucket", "records", "edges"],
             )
@@ -166,7 +214,7 @@ def _band(buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Edges, and members of large keys: a row of ``key``, ``chunk`` and its key's ``chunks`` without ``b`` and ``t``."""
+    """Edges, and members of large keys: a row of ``key``, ``chunk`` and its key's ``chunks`` without a second end."""
     held = [np.frombuffer(r, RECORD) for r in table.column("records").to_pylist()]
     edges = [np.frombuffer(e, EDGE) for e in table.column("edges").to_pylist()]
     firsts, equal = equal_sets(np.concatenate(held))
@@ -183,7 +231,9 @@ def _meet(table: pa.Table) -> pa.Table:
     all_there = pa.array(np.zeros(len(rows), dtype=bool))
     return pa.table({
         "a": column(edges["a"], large["doc"], pa.int64(), all_there), "s": column(edges["s"], large["start"], pa.int32(), all_there),
+        "m": column(edges["m"], large["size"], pa.int32(), all_there),
         "b": column(edges["b"], nothing, pa.int64(), is_edge), "t": column(edges["t"], nothing, pa.int32(), is_edge),
+        "n": column(edges["n"], nothing, pa.int32(), is_edge),
         "equal": column(edges["equal"], nothing, pa.bool_(), is_edge),
         "key": column(none, large["key"].view(np.int64), pa.int64(), is_member),
         "chunk": column(none, place // CHUNK_SETS, pa.int64(), is_member),
@@ -198,29 +248,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in word_slices(batch.column(1), powers):
             asked = starts[words.row0 : words.row0 + words.rows]
             row = np.repeat(np.arange(words.rows), [len(x) for x in asked])
-            start = np.array([x for part in asked for x in part], dtype=np.int64)
-            there = start < words.lengths()[row]  # rows that share a doc_id may differ
-            row, start = row[there], start[there]
-            sets, first = row_sets(*paragraph_sets(words, row, words.first[:-1][row] + start))
+            place = np.array([(x["start"], x["size"]) for part in asked for x in part], dtype=np.int64).reshape(-1, 2)
+            there = place.sum(axis=1) <= words.lengths()[row]  # rows that share a doc_id may differ
+            row, start, size = row[there], place[there, 0], place[there, 1]
+            sets, first = row_sets(*paragraph_sets(words, row, words.first[:-1][row] + start, size))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[words.row0 + row]), pa.array(start.astype(np.int32)), binaries(sets, first)],
-                ["doc", "start", "shingles"])
+                [pa.array(ids[words.row0 + row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), binaries(sets, first)],
+                ["doc", "start", "size", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+        for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()):
             u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             shared = len(np.intersect1d(u, v, assume_unique=True))
             keep.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
-        yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "s", "b", "t"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(batch.columns[:6], list("asmbtn")).filter(pa.array(keep, pa.bool_()))
 
 
-def block_links(doc: np.ndarray, start: np.ndarray, sets: list[np.ndarray], left: int) -> np.ndarray:
+def block_links(place: list[np.ndarray], sets: list[np.ndarray], left: int) -> np.ndarray:
     """A spanning forest of the links between the first ``left`` paragraphs of a block and all of it."""
     linked = overlaps_linked(sets, left, PERCENT)
-    linked &= (doc[:left, None] != doc) | (np.abs(start[:left, None] - start) >= WIDTH)
+    linked &= apart(*(p[:left, None] for p in place), *place)
     return np.array(forest(linked), dtype=np.int64).reshape(-1, 2)
 
 
@@ -237,22 +287,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(heads[1:], held.num_rows)
         if batch is not None:  # the last block may go on
             heads, ends = heads[:-1], ends[:-1]
-        doc, start, side = (held.column(name).to_numpy() for name in ("doc", "start", "side"))
+        *place, side = (held.column(name).to_numpy() for name in (*PLACE, "side"))
         shingles, ats = held.column("shingles"), []
         for lo, hi in zip(heads, ends):
             left = int(np.count_nonzero(side[lo:hi] == 0))
             sets = [np.frombuffer(x, np.uint64) for x in shingles.slice(lo, hi - lo).to_pylist()]
-            ats.append(lo + block_links(doc[lo:hi], start[lo:hi], sets, left) if left else np.zeros((0, 2), dtype=np.int64))
+            ats.append(lo + block_links([p[lo:hi] for p in place], sets, left) if left else np.zeros((0, 2), dtype=np.int64))
         held = held.slice(ends[-1] if len(ends) else 0)
         at = np.concatenate(ats) if ats else np.zeros((0, 2), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[at[:, 0]]), pa.array(start[at[:, 0]]), pa.array(doc[at[:, 1]]), pa.array(start[at[:, 1]])],
-            ["a", "s", "b", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array(p[at[:, k]]) for k in (0, 1) for p in place], list("asmbtn"))
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, start, first_doc_id, first_start, removed)``: every paragraph that some other one repeats, ``start`` in
-    words, and the first paragraph (smallest doc_id, then start) of its component; all but the first are removed.
+    """``(doc_id, start, words, first_doc_id, first_start, first_words, removed)``: every paragraph that some other one repeats, ``start``
+    and length in words, and the first paragraph (smallest doc_id, then start, then length) of its component; all but the
+    first are removed.
 
     Null and empty texts have no paragraphs; texts of fewer than five words are one shingle. Rows without a
     ``doc_id`` take no part; rows that share one are one document. Other columns are not read."""
@@ -261,34 +310,32 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     buckets = BUCKETS_PER_PARTITION * max(8, docs.rdd.getNumPartitions())
     packed = docs.mapInArrow(_band(buckets), "bucket int, records binary, edges binary")
     met = scratch.keep(packed.groupBy("bucket").applyInArrow(
-        _meet, "a long, s int, b long, t int, equal boolean, key long, chunk long, chunks long"), "met")
+        _meet, f"{ENDS.split(', b')[0]}, b long, t int, n int, equal boolean, key long, chunk long, chunks long"), "met")
     edges = met.where("key IS NULL")
-    members = met.where("key IS NOT NULL").select(F.col("a").alias("doc"), F.col("s").alias("start"), "key", "chunk", "chunks")
+    members = met.where("key IS NOT NULL").select(
+        F.col("a").alias("doc"), F.col("s").alias("start"), F.col("m").alias("size"), "key", "chunk", "chunks")
 
-    unsure = edges.where("NOT equal").select("a", "s", "b", "t").distinct().join(
-        edges.where("equal").select("a", "s", "b", "t"), ["a", "s", "b", "t"], "left_anti")
+    both = list("asmbtn")
+    unsure = edges.where("NOT equal").select(both).distinct().join(edges.where("equal").select(both), both, "left_anti")
     unsure = scratch.keep(unsure, "unsure")
-    ends = unsure.select(F.inline(F.array(
-        F.struct(F.col("a").alias("doc"), F.col("s").alias("start")), F.struct(F.col("b").alias("doc"), F.col("t").alias("start")))))
-    asked = ends.union(members.select("doc", "start")).groupBy("doc").agg(F.collect_set("start").alias("starts"))
-    sets = docs.hint("merge").join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "starts").mapInArrow(
-        _sets, "doc long, start int, shingles binary")
-    sets = scratch.keep(sets.dropDuplicates(["doc", "start"]), "sets")
-    left = sets.select(F.col("doc").alias("a"), F.col("start").alias("s"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc").alias("b"), F.col("start").alias("t"), F.col("shingles").alias("right"))
-    verified = unsure.join(left, ["a", "s"]).join(right, ["b", "t"]).select("a", "s", "b", "t", "left", "right").mapInArrow(
-        _similar, "a long, s int, b long, t int")
-    tiles = members.select("doc", "start", "key", "chunk", "chunks", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"))
+    end = lambda names: F.struct(*[F.col(c).alias(p) for c, p in zip(names, PLACE)])
+    ends = unsure.select(F.inline(F.array(end("asm"), end("btn"))))
+    asked = ends.union(members.select(*PLACE)).groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    sets = docs.hint("merge").join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "places").mapInArrow(
+        _sets, "doc long, start int, size int, shingles binary")
+    sets = scratch.keep(sets.dropDuplicates([*PLACE]), "sets")
+    of = lambda names, made: sets.select(*[F.col(p).alias(c) for p, c in zip(PLACE, names)], F.col("shingles").alias(made))
+    verified = unsure.join(of("asm", "left"), list("asm")).join(of("btn", "right"), list("btn")).select(
+        *both, "left", "right").mapInArrow(_similar, ENDS)
+    tiles = members.select(*PLACE, "key", "chunk", "chunks", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"))
     tiles = tiles.select(
-        "doc", "start", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        *PLACE, "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
         (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    blocks = tiles.join(sets, ["doc", "start"]).select("key", "i", "j", "side", "doc", "start", "shingles").repartition(
-        "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, "a long, s int, b long, t int")
-    links = edges.where("equal").select("a", "s", "b", "t").union(verified).union(blocks).select(
-        F.struct(F.col("a").alias("doc"), F.col("s").alias("start")).alias("a"),
-        F.struct(F.col("b").alias("doc"), F.col("t").alias("start")).alias("b"))
+    blocks = tiles.join(sets, [*PLACE]).select("key", "i", "j", "side", *PLACE, "shingles").repartition(
+        "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, ENDS)
+    links = edges.where("equal").select(both).union(verified).union(blocks).select(end("asm").alias("a"), end("btn").alias("b"))
     found = components(links, scratch)
     return found.select(
-        F.col("node.doc").alias("doc_id"), F.col("node.start").alias("start"),
+        F.col("node.doc").alias("doc_id"), F.col("node.start").alias("start"), F.col("node.size").alias("words"),
         F.col("component.doc").alias("first_doc_id"), F.col("component.start").alias("first_start"),
-        (F.col("node") != F.col("component")).alias("removed"))
+        F.col("component.size").alias("first_words"), (F.col("node") != F.col("component")).alias("removed"))

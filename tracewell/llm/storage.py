@@ -13,10 +13,12 @@ UNBOUNDED = (str(2**31 - 1), "2147483647b", "2g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where a cluster names none (tests), a folder of this
-    machine becomes the session's."""
+    """``spark.checkpoint.dir`` of the session. Where none is named, a session of one machine (tests) gets a folder of
+    its own; one of several machines is refused, as they would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
