@@ -25,7 +25,7 @@ def kept_for_good(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+        if not folder and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
     return rows.checkpoint()
