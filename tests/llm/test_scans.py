@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import SF
 from tracewell.llm import queries as q
-from tracewell.llm import warc
+from tracewell.llm import decontamination, warc
 from tracewell.llm.decontamination import common_subsequence, contaminated
 from tracewell.llm.packing import configurations, pack_documents, size_groups
 from tracewell.llm.secret_scan import RULES, SecretRule, secret_scan, trigram_query
@@ -154,6 +154,66 @@ def test_decontamination_finds_passages_and_paraphrases(spark, words):
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, benchmark).collect()} == leaks
 
 
+@pytest.mark.parametrize("rank, kept", [(96, 0.1), (8, 0.0), (8, 0.1)])
+def test_decontamination_among_many_items(spark, words, monkeypatch, rank, kept):
+    """Exact copies and copies with a fifth of the words changed, of hot and rare items, whatever the space holds. The search
+    finds them by cosine: without anchors in a space of usual rank, and nearly all in one of 8."""
+    monkeypatch.setattr(decontamination, "RANK", rank)
+    monkeypatch.setattr(decontamination, "LEAST_KEPT", kept)
+    rng = random.Random(12)
+    common = words[:300]
+    draw = lambda n: [rng.choice(words if rng.random() < 0.6 else common) for _ in range(n)]
+    items = [draw(rng.randint(25, 60)) for _ in range(600)]
+    docs, leaks = {}, set()
+    for d in range(240):
+        text, item = draw(rng.randint(90, 250)), rng.randrange(30) if d % 4 == 0 else rng.randrange(30, 600)
+        copy = list(items[item])
+        if d % 4 == 2:
+            for k in rng.sample(range(len(copy)), len(copy) // 5):
+                copy[k] = rng.choice(words)
+        if d % 4 < 3:
+            text[40:40] = copy
+            leaks.add((d, item))
+        docs[d] = " ".join(text)
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["cosine"] for r in contaminated(table, benchmark).collect()}
+    assert set(found) <= leaks
+    assert len(found) >= (0.97 * len(leaks) if kept == 0 else len(leaks))
+    if rank == 96:
+        assert min(found.values()) >= decontamination.COSINE + 0.05
+
+
+def test_overlaps_by_brute_force(words):
+    """Vectors, terms and overlap bounds of windows against those made one by one."""
+    import pyarrow as pa
+    from tracewell.llm.words import Powers, word_slices
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(words[:200]) for _ in range(n)) for n in (0, 5, 21, 84, 85, 300)]
+    held = next(word_slices(pa.array(texts), Powers(), decontamination.term_bytes()))
+    terms = np.unique(held.hash)[::2]
+    place, known = decontamination._places(terms, held.hash)
+    basis = np.random.default_rng(1).standard_normal((len(terms), 7)).astype(np.float32)
+    vectors = decontamination.window_vectors(held, place, known, basis)
+    first, owner = decontamination.window_blocks(held)
+    at = np.flatnonzero(known)
+    row = np.searchsorted(held.first, at, side="right") - 1
+    of_word = first[row] + (at - held.first[row]) // decontamination.STRIDE, place[at], first[row]
+    items = [np.array([rng.randrange(len(terms)) for _ in range(rng.randint(1, 30))]) for _ in range(9)]
+    overlaps = decontamination.Overlaps(items, len(terms))
+    for lo, hi in ((0, len(owner)), (3, 9)):
+        has = decontamination.windows_with_terms(*of_word, lo, hi, len(terms))
+        for w in range(lo, hi):
+            begin = held.first[owner[w]] + (w - first[owner[w]]) * decontamination.STRIDE
+            span = slice(begin, min(begin + decontamination.WINDOW, held.first[owner[w] + 1]))
+            passage = place[span][known[span]]
+            assert set(np.flatnonzero(has[w - lo]).tolist()) == set(passage.tolist())
+            assert np.allclose(vectors[w], basis[passage].sum(axis=0), atol=1e-4)
+            most = overlaps.most(has, np.full(9, w - lo), np.arange(9))
+            assert most.tolist() == [sum(t in passage for t in i.tolist()) for i in items]
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     benchmark = spark.createDataFrame([(1, "one two three"), (2, None)], "item_id long, text string")
     assert [r["doc_id"] for r in contaminated(odd_docs, benchmark).collect()] == [9]
