@@ -18,8 +18,10 @@ from tracewell.plans.catalog import catalog, pattern_list_lines
 from tracewell.plans.corpus import STARTER_PACKS, STARTER_RULES, corpus
 from tracewell.plans.pieces import scan_table
 from tracewell.plans.scan import prepare, scan, scan_with_filenames
+from tracewell.sources import sinks
 from tracewell.sources.packs import Pack, Packs, parse_pattern_lines
 from tracewell.sources.rules import Rule
+from tracewell.sources.tables import new_folder
 
 try:
     import corpus_pipeline
@@ -357,6 +359,54 @@ def scope_summary(spark, sf):
     return report.scope_summary(_scan(spark, sf), corpus(spark, sf), OPTIONS)
 
 
+def _written(spark, sf) -> tuple[str, DataFrame]:
+    folder = new_folder(spark, "report")
+    sinks.write_hits(_scan(spark, sf), f"{folder}/hits", OPTIONS)
+    return folder, spark.read.parquet(f"{folder}/hits")
+
+
+def written_hits(spark, sf):
+    """Hits written and read back."""
+    return report_columns(_written(spark, sf)[1])
+
+
+def written_pivot(spark, sf):
+    """Lines of the written pivot."""
+    folder, found = _written(spark, sf)
+    sinks.write_pivot(found, f"{folder}/pivot")
+    return spark.read.text(f"{folder}/pivot").withColumnRenamed("value", "line")
+
+
+def _runs(spark, sf) -> str:
+    """Partial reports of three runs, each with a third of the files."""
+    folder, found = _written(spark, sf)
+    files = corpus(spark, sf)
+    for run in range(3):
+        of_run = lambda c: F.crc32(c) % 3 == run  # noqa: E731, B023
+        sinks.write_run(found.where(of_run("file")), files.where(of_run("path")), f"{folder}/reports", f"r{run}", OPTIONS)
+    return f"{folder}/reports"
+
+
+def pivot_runs(spark, sf):
+    """The pivot merged from those of three runs."""
+    return sinks.pivot_of_runs(spark, _runs(spark, sf))
+
+
+def scope_runs(spark, sf):
+    return sinks.scopes_of_runs(spark, _runs(spark, sf))
+
+
+def rule_file_shapes(spark, sf):
+    """Rule files, one per brand, of each shape a file may have."""
+    brands = _part(spark, sf).select("p_brand").distinct()
+    shape = F.expr("CAST(substring(p_brand, 7) AS INT) % 5")
+    value = (
+        F.when(shape == 0, F.lit('{"rules": {"id": "a"}}')).when(shape == 1, F.lit('{"rules": [{"id": "a"}, 5]}'))
+        .when(shape == 2, F.lit("{}")).when(shape == 3, F.lit('{"rules": [')).otherwise(F.lit('{"rules": []}'))
+    )
+    return ro.rule_file_problems(brands.select(F.col("p_brand").alias("source_file"), value.alias("value")))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """All findings over the smallest corpus."""
     return hits(spark, "/root/testdata/sf0.001").orderBy("file", "line_number", "pattern_or_rule")
@@ -393,6 +443,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_keywords": rule_keywords,
         "rule_applicability": rule_applicability,
         "rule_lint": rule_lint,
+        "rule_file_shapes": rule_file_shapes,
         "rule_string_length": _lines_where(lambda line: checks.string_length(line.text, 240)),
         "rule_base64": _lines_where(lambda line: checks.base64_suspect(line.text, 20)),
         "rule_hex": _lines_where(lambda line: checks.hex_suspect(line.text, 20)),
@@ -419,6 +470,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "context_hits": context_hits,
         "csv_hits": csv_hits,
         "pivot": pivot,
+        "written_hits": written_hits,
+        "written_pivot": written_pivot,
+        "pivot_runs": pivot_runs,
+        "scope_runs": scope_runs,
         "scope_summary": scope_summary,
     }
 

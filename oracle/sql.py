@@ -455,6 +455,21 @@ def csv(x: str, limit: int | None = None, feeds: bool = True) -> str:
 
 RANKS = "list_position(['project', 'local_cache', 'global_cache'], scope), file, list_position(['filename', 'pattern', 'line_rule', 'file_rule'], stage), line_number, seq"
 
+PIVOT = f"""
+        SELECT pattern_or_rule, arg_min(type_or_severity, pos) AS type_or_severity, count(*) AS hits FROM (
+            SELECT pattern_or_rule, type_or_severity, row_number() OVER (ORDER BY {RANKS}) AS pos FROM everything)
+        GROUP BY pattern_or_rule"""
+SCOPES = """
+        SELECT scope, coalesce(filename_hits, 0) AS filename_hits, coalesce(pattern_hits, 0) AS pattern_hits,
+            coalesce(line_rule_hits, 0) AS line_rule_hits, coalesce(file_rule_hits, 0) AS file_rule_hits,
+            coalesce(total_hits, 0) AS total_hits, files_scanned
+        FROM (SELECT scope, count(*) AS files_scanned FROM relevant GROUP BY scope)
+        LEFT JOIN (
+            SELECT scope, count(*) FILTER (stage = 'filename') AS filename_hits, count(*) FILTER (stage = 'pattern') AS pattern_hits,
+                count(*) FILTER (stage = 'line_rule') AS line_rule_hits, count(*) FILTER (stage = 'file_rule') AS file_rule_hits,
+                count(*) AS total_hits
+            FROM everything GROUP BY scope) USING (scope)"""
+
 ORACLES: dict[str, str] = {
     "decode_text": r"""
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x{0}-\x{ff}]', '?', 'g') END AS text FROM documents""",
@@ -481,7 +496,7 @@ ORACLES: dict[str, str] = {
     "regex_hits": query("SELECT file, line_number, pattern_or_rule FROM pattern_all WHERE type_or_severity = 'regex'", "pattern_all"),
     "pattern_hits": report("pattern_first_kept"),
     "pattern_hits_all": report("pattern_all"),
-    "python_regex_hits": query("""
+    "python_regex_hits": query(r"""
         SELECT path AS file, line_no::INT AS line_number, 'spawn or exec' AS pattern FROM kept
         WHERE regexp_matches(code, '(^|[^\p{L}\p{N}_])(spawn_shell|exec_now)($|[^\p{L}\p{N}_])', 'i')""", "kept"),
     "ngram_pattern_hits": query("""
@@ -551,18 +566,15 @@ ORACLES: dict[str, str] = {
             {csv('rule_id')} AS rule_id, {csv('rule_type')} AS rule_type, line_number,
             CASE WHEN stage = 'pattern' THEN {csv('whole', 100)} ELSE {csv('line', None, False)} END AS line
         FROM everything""", "everything"),
-    "pivot": query(f"""
-        SELECT pattern_or_rule, arg_min(type_or_severity, pos) AS type_or_severity, count(*) AS hits FROM (
-            SELECT pattern_or_rule, type_or_severity, row_number() OVER (ORDER BY {RANKS}) AS pos FROM everything)
-        GROUP BY pattern_or_rule""", "everything"),
-    "scope_summary": query("""
-        SELECT scope, coalesce(filename_hits, 0) AS filename_hits, coalesce(pattern_hits, 0) AS pattern_hits,
-            coalesce(line_rule_hits, 0) AS line_rule_hits, coalesce(file_rule_hits, 0) AS file_rule_hits,
-            coalesce(total_hits, 0) AS total_hits, files_scanned
-        FROM (SELECT scope, count(*) AS files_scanned FROM relevant GROUP BY scope)
-        LEFT JOIN (
-            SELECT scope, count(*) FILTER (stage = 'filename') AS filename_hits, count(*) FILTER (stage = 'pattern') AS pattern_hits,
-                count(*) FILTER (stage = 'line_rule') AS line_rule_hits, count(*) FILTER (stage = 'file_rule') AS file_rule_hits,
-                count(*) AS total_hits
-            FROM everything GROUP BY scope) USING (scope)""", "relevant", "everything"),
+    "pivot": query(PIVOT, "everything"),
+    "pivot_runs": query(PIVOT, "everything"),
+    "written_hits": report("everything"),
+    "written_pivot": query(f"""
+        SELECT 'pattern_or_rule;type_or_severity;hits' AS line UNION ALL
+        SELECT {csv('pattern_or_rule')} || ';' || {csv('type_or_severity')} || ';' || hits FROM ({PIVOT})""", "everything"),
+    "scope_summary": query(SCOPES, "relevant", "everything"),
+    "scope_runs": query(SCOPES, "relevant", "everything"),
+    "rule_file_shapes": """
+        SELECT NULL::VARCHAR AS rule_id, 'rules_not_list' AS "check", p_brand AS detail
+        FROM (SELECT DISTINCT p_brand FROM part) WHERE CAST(substr(p_brand, 7) AS INT) % 5 IN (0, 2, 3)""",
 }

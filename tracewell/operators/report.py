@@ -27,6 +27,25 @@ def pivot(hits: DataFrame) -> DataFrame:
     )
 
 
+def pivot_partial(hits: DataFrame) -> DataFrame:
+    """What a run's hits add to a pivot over runs: ``(pattern_or_rule, seen_first, hits)``."""
+    seen = f"""struct({_position('scope', SCOPES)} AS scope_place, file, {_position('stage', STAGES)} AS stage_place, line_number, seq,
+        type_or_severity)"""
+    return hits.groupBy("pattern_or_rule").agg(F.expr(f"min({seen})").alias("seen_first"), F.count("*").alias("hits"))
+
+
+def merged_pivot(partials: DataFrame) -> DataFrame:
+    """The pivot of all runs' hits, from their partials."""
+    merged = partials.groupBy("pattern_or_rule").agg(F.min("seen_first").alias("seen_first"), F.sum("hits").alias("hits"))
+    return merged.select("pattern_or_rule", "seen_first.type_or_severity", "hits")
+
+
+def merged_scopes(summaries: DataFrame) -> DataFrame:
+    """The scope summary of all runs, from theirs (each file in one run)."""
+    counts = [c for c in summaries.columns if c not in ("scope", "run")]
+    return summaries.groupBy("scope").agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def scope_summary(hits: DataFrame, files: DataFrame, o: ScanOptions) -> DataFrame:
     """Per scope: hits of each stage, all hits, and relevant files."""
     counts = hits.groupBy("scope").agg(

@@ -13,7 +13,7 @@ from tracewell.plans.scan import scan
 from tracewell.sources.packs import Packs
 from tracewell.sources.pieces import PIECE_BYTES, table_pieces, tree_pieces
 from tracewell.sources.rules import Rule
-from tracewell.sources.tree import _as_files, list_everything, read_listed
+from tracewell.sources.tree import as_files, list_everything, read_listed
 
 
 def scan_tree(
@@ -24,8 +24,14 @@ def scan_tree(
     are scanned in pieces, whatever their size; hits do not depend on where the pieces are cut. What cannot be read to its end
     is an ``unreadable`` row and gives no hits but by its name, as is a file with a line that no row can hold (2 GB)."""
     check_session(spark)
-    listed = list_everything(spark, roots)
-    files = _as_files(listed)
+    return scan_listed(list_everything(spark, roots), packs, rules, o, piece_bytes)
+
+
+def scan_listed(
+    listed: DataFrame, packs: Packs, rules: list[Rule] = (), o: ScanOptions = ScanOptions(), piece_bytes: int = PIECE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """``scan_tree`` of what ``list_everything`` found, or a part of it."""
+    files = as_files(listed)
     whole, errors = read_listed(listed, o, piece_bytes)
     large, lost = scan_pieces(tree_pieces(files, o, piece_bytes), packs, list(rules), o)
     hits = all_hits(filename_hits(files, list(packs.names)), scan(whole, packs, rules, o), large)

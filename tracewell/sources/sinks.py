@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import csv_value
@@ -24,6 +24,22 @@ def write_hits(hits: DataFrame, path: str, o: ScanOptions = ScanOptions(), fmt:
         raise ValueError(f"unknown format {fmt!r}")
 
 
+def write_run(hits: DataFrame, files: DataFrame, path: str, run: str, o: ScanOptions = ScanOptions()) -> None:
+    """What one run adds to the reports over all runs below ``path``: some rows per pattern and scope, whatever its hits. ``files``
+    are those the run scanned. A run that is written again takes the place of what it had written. Meant for written hits."""
+    report.pivot_partial(hits).write.mode("overwrite").parquet(f"{path}/pivot/run={run}")
+    report.scope_summary(hits, files, o).write.mode("overwrite").parquet(f"{path}/scopes/run={run}")
+
+
+def pivot_of_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The pivot of the hits of all runs below ``path``; no run's hits are read."""
+    return report.merged_pivot(spark.read.parquet(f"{path}/pivot"))
+
+
+def scopes_of_runs(spark: SparkSession, path: str) -> DataFrame:
+    return report.merged_scopes(spark.read.parquet(f"{path}/scopes"))
+
+
 def write_pivot(hits: DataFrame, path: str, mode: str = "errorifexists") -> bool:
     """The pivot as a ``;`` report, most hits first; nothing is written when there are no hits.
     Meant for written hits: on a scan's own result, each action here would scan again."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 PARTITIONS = "tracewell.deal.partitions"
 
@@ -19,13 +20,24 @@ def deal(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(partitions)) if partitions else rows
 
 
-def kept_for_good(rows: DataFrame) -> DataFrame:
-    """The rows, written in the folder that driver and executors share (``spark.checkpoint.dir``), where their lineage ends.
-    Only a session of one machine can do without such a folder."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Only a session of one machine can do
+    without."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name that nothing else writes to."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_for_good(rows: DataFrame) -> DataFrame:
+    """The rows, written in the shared folder, where their lineage ends."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

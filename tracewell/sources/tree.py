@@ -129,7 +129,7 @@ def list_everything(spark: SparkSession, roots: dict[str, list[str]]) -> DataFra
     return found
 
 
-def _as_files(listed: DataFrame) -> DataFrame:
+def as_files(listed: DataFrame) -> DataFrame:
     files = with_path_columns(listed.where("kind = 'file'"))
     return files.withColumns({"basename": F.col("name"), "file_id": F.col("path")}).select(*FILE_COLUMNS, "length", "modified")
 
@@ -137,7 +137,7 @@ def _as_files(listed: DataFrame) -> DataFrame:
 def list_tree(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
     """All files below ``{scope: [directories]}`` with their length and time of modification (nanoseconds since 1970, 0 where
     none is known), none of them opened, empty and hidden ones included. ``ext`` is that of the file a link leads to, ``basename`` the link's own."""
-    return _as_files(list_everything(spark, roots))
+    return as_files(list_everything(spark, roots))
 
 
 def _open(path: str):
@@ -178,7 +178,7 @@ def read_tree(
 
 def read_listed(listed: DataFrame, o: ScanOptions, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``read_tree`` of what ``list_everything`` found."""
-    files = relevant_files(_as_files(listed), o).select(*FILE_COLUMNS, "length")
+    files = relevant_files(as_files(listed), o).select(*FILE_COLUMNS, "length")
     fits = files.where(F.col("length") <= max_bytes)
     tasks = max(listed.sparkSession.sparkContext.defaultParallelism, fits.count() // FILES_PER_TASK)
     dealt = fits.repartition(tasks).select(*FILE_COLUMNS, F.col("path").alias("where"))
