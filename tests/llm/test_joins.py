@@ -44,6 +44,35 @@ def test_jaccard_join_of_near_copies_in_blocks(spark, words, monkeypatch):
         assert {d: c for d, (_, c) in found.items()} == brute_components(texts, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_jaccard_join_of_unlike_sizes(spark, words, monkeypatch, percent):
+    """One text cut off at every length, so that long columns hold sets of all sizes, many just at the bound."""
+    monkeypatch.setattr(jaccard_join, "SMALL_LIST", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 5)
+    rng = random.Random(13)
+    base = [rng.choice(words) for _ in range(120)]
+    texts = {d: " ".join(base[: 5 + d]) for d in range(0, 116, 3)}
+    texts |= {200 + d: " ".join([*base[:60], *(rng.choice(words) for _ in range(d))]) for d in range(0, 90, 6)}
+    found = held(jaccard_components(table(spark, texts), 4, percent))
+    assert {d: c for d, (_, c) in found.items()} == brute_components(texts, 4, percent)
+
+
+def test_long_rows_have_the_same_shingles():
+    import pyarrow as pa
+    from tracewell.llm.words import Powers, shingle_slices
+
+    rng = random.Random(14)
+    text = lambda n: " ".join("".join(rng.choice("ab\n") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    column = pa.array([text(3), text(4000), None, "", text(900), text(2), "x" * 5000, text(700)], pa.string())
+    for n in (1, 4, 5):
+        whole, parts = {}, {}
+        for size, out in ((1 << 30, whole), (300, parts)):
+            for s in shingle_slices(column, Powers(), n, size):
+                for i in range(s.rows):
+                    out[s.row0 + i] = s.values[s.first[i] : s.first[i + 1]].tolist()
+        assert whole == parts and len(whole) == 8
+
+
 def test_blocks_count_overlaps(monkeypatch):
     monkeypatch.setattr(jaccard_join, "COLUMN_BLOCK", 7)
     rng = np.random.default_rng(1)

@@ -29,6 +29,24 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_long_rows_have_the_same_n_grams(monkeypatch):
+    import pyarrow as pa
+    from tracewell.llm import language_id as li
+
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abc é.\n ") for _ in range(n))
+    column = pa.array([text(30), text(5000), None, "", "a" * 2000, text(1200), text(8)], pa.string())
+    found = []
+    for size in (1 << 19, 200):
+        monkeypatch.setattr(li, "SLICE_BYTES", size)
+        held = [Counter() for _ in range(7)]
+        for row, code, first in li.grams(column):
+            for i in range(len(first) - 1):
+                held[row + i].update(code[first[i] : first[i + 1]].tolist())
+        found.append(held)
+    assert found[0] == found[1] and sum(found[0][1].values()) > 1000
+
+
 def test_more_languages_than_a_mask_holds(spark):
     """Masks against sets of n-grams, and predictions of texts not learnt from, for 130 languages."""
     from tracewell.llm.language_id import HASHES, MASK_BITS, MIN_RATE, RELATIVE, grams, slots

@@ -9,7 +9,8 @@ and the product runs in blocks over those.
   a block only where little else is in them. This is counted over all documents, in a bitmap and a list of
   bounded size. It only orders: any order gives the same links.
 * Columns with up to ``SMALL_LIST`` documents give their pairs, each verified on the whole sets.
-* Longer columns are dealt into chunks of bounded rows and bytes; each pair of chunks is one block, whose
+* Longer columns are dealt into chunks of sets of like size, of bounded rows and bytes. Sizes fall into classes by their
+  logarithm, so that sets that link are in one class or in neighbouring ones: only chunks of those meet, each pair in one block, whose
   overlap counts are accumulated over blocks of shingle columns, pairs being discarded as soon as what is
   left cannot reach the bound. A block returns a spanning forest of the links it found: no link between
   different components is lost, and a group of thousands of near copies does not become millions of rows.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
 from tracewell.llm.storage import Scratch
-from tracewell.llm.words import Powers, binaries, mix, row_sets, word_slices
+from tracewell.llm.words import Powers, binaries, mix, row_sets, shingle_slices
 
 SMALL_LIST = 32
 CHUNK_ROWS = 1024
@@ -54,8 +55,8 @@ def _count_shingles(n: int, bits: int):
         powers = Powers()
         for batch in batches:
             keys = []
-            for words in word_slices(batch.column(0), powers):
-                sets, _ = row_sets(*words.shingles(n))
+            for part in shingle_slices(batch.column(0), powers, n):
+                sets, _ = row_sets(part.values, part.first)
                 keys.append((sets >> np.uint64(64 - KEY_BITS)))
             if not keys:
                 continue
@@ -127,8 +128,8 @@ def _describe(n: int, percent: int, order):
         powers, (bitmap, often) = Powers(), order.value
         for batch in batches:
             ids = batch.column(0)
-            for words in word_slices(batch.column(1), powers):
-                sets, first = row_sets(*words.shingles(n))
+            for words in shingle_slices(batch.column(1), powers, n):
+                sets, first = row_sets(words.values, words.first)
                 size = np.diff(first)
                 row = np.repeat(np.arange(words.rows), size)
                 prints = [fingerprint(sets, first, salt) for salt in (1, 2)]
@@ -177,8 +178,8 @@ def _sets(n: int):
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for words in word_slices(batch.column(1), powers):
-                sets, first = row_sets(*words.shingles(n))
+            for words in shingle_slices(batch.column(1), powers, n):
+                sets, first = row_sets(words.values, words.first)
                 part = [batch.column(i).slice(words.row0, words.rows) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays(
                     [part[0], part[1], pa.array(fingerprint(sets, first, 1).view(np.int64)), binaries(sets, first)],
@@ -274,6 +275,33 @@ def describe_sets(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> Da
         docs.mapInArrow(_describe(n, percent, order), "doc_id long, n long, f1 long, f2 long, head binary"), "described")
 
 
+TILE = ["shingle", "size", "apart", "i", "j"]
+
+
+def size_tiles(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``(shingle, size, apart, i, j, side, node)``: into which blocks each row ``(shingle, node, n)`` of a long column goes. A block is a
+    pair of chunks ``i`` and ``j`` of one class of sizes (``apart`` 0), or of it and the next (1)."""
+    if percent < 100:  # sets that link differ by less than one class, with room for rounding
+        size = F.floor(F.log("n") / float(np.log(100 / percent) * 1.0001))
+    else:
+        size = F.col("n")
+    classed = rows.withColumn("size", size.cast("long"))
+    chunks = scratch.keep(classed.groupBy("shingle", "size").agg(F.greatest(
+        F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks")), "chunks")
+    beside = lambda step, name: chunks.select("shingle", (F.col("size") + step).alias("size"), F.col("chunks").alias(name))
+    dealt = classed.join(chunks, ["shingle", "size"]).join(beside(-1, "above"), ["shingle", "size"], "left").join(
+        beside(1, "below"), ["shingle", "size"], "left").withColumn("chunk", F.pmod(F.xxhash64("node", "shingle"), "chunks"))
+
+    def met(count: str, size: str, apart: int, i: str, j: str, side: str) -> str:
+        tile = f"named_struct('size', {size}, 'apart', {apart}, 'i', {i}, 'j', {j}, 'side', {side})"
+        return f"slice(transform(sequence(0L, coalesce({count}, 0L)), o -> {tile}), 1, CAST(coalesce({count}, 0L) AS INT))"
+
+    every = [met("chunks", "size", 0, "least(chunk, o)", "greatest(chunk, o)", "CAST(chunk > o AS INT)")]
+    if percent < 100:
+        every += [met("above", "size", 1, "chunk", "o", "0"), met("below", "size - 1", 1, "o", "chunk", "1")]
+    return dealt.select("shingle", "node", F.expr(f"inline(concat({', '.join(every)}))")).select(*TILE, "side", "node")
+
+
 def links(docs: DataFrame, described: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """``(a, b)``: links between class representatives (smallest doc_id of an equal set), enough of them
     to connect all that are connected."""
@@ -305,17 +333,9 @@ def links(docs: DataFrame, described: DataFrame, n: int, percent: int, scratch:
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     cold = paired.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
 
-    chunks = columns.where(F.col("docs") > SMALL_LIST).select(
-        "shingle",
-        F.greatest(F.ceil(F.col("docs") / CHUNK_ROWS), F.ceil(F.col("cells") / CHUNK_SHINGLES)).alias("chunks"))
-    dealt = rows.join(chunks, "shingle").withColumn("chunk", F.pmod(F.xxhash64("node", "shingle"), "chunks"))
-    tiles = dealt.select(
-        "shingle", "node", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-    ).select(
-        "shingle", "node", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    hot = tiles.join(sets, "node").select("shingle", "i", "j", "side", "node", "shingles").groupBy(
-        "shingle", "i", "j").applyInArrow(_block(percent), "a long, b long")
+    tiles = size_tiles(rows.join(columns.where(F.col("docs") > SMALL_LIST).select("shingle"), "shingle"), percent, scratch)
+    hot = tiles.join(sets, "node").select(*TILE, "side", "node", "shingles").groupBy(*TILE).applyInArrow(
+        _block(percent), "a long, b long")
     return scratch.keep(cold.union(hot).distinct(), "links")
 
 

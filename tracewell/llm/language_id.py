@@ -42,16 +42,24 @@ def letters_table() -> np.ndarray:
 
 
 def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, n-grams, each row's first)`` of some rows at a time. A row reads as if a space stood
-    before and after it; n-grams with an inner space are left out."""
+    """``(first row, n-grams, each row's first)`` of some rows at a time, or of a piece of a long row. A row reads as if a space
+    stood before and after it; n-grams with an inner space are left out, so a row can be cut wherever no letter stands."""
     offsets, data = byte_column(pc.utf8_lower(column))
     table, row, rows = letters_table(), 0, len(offsets) - 1
+    at = 0  # in the row
     while row < rows:
-        last = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="left"))
-        last = min(max(last, row + 1), rows)
-        part = offsets[row : last + 1] - offsets[row]
+        begin = int(offsets[row]) + at
+        if offsets[row + 1] - begin > SLICE_BYTES:
+            end, last = _cut(data, table, begin + SLICE_BYTES, int(offsets[row + 1])), row + 1
+            part = np.array([0, end - begin], dtype=np.int64)
+        else:
+            last = int(np.searchsorted(offsets, begin + SLICE_BYTES, side="left"))
+            last = min(max(last, row + 1), rows) if not at else row + 1
+            part = offsets[row : last + 1] - begin
+            part[0] = 0
+            end = int(offsets[last])
         n = last - row
-        body = table[data[offsets[row] : offsets[last]]]
+        body = table[data[begin:end]]
         owner = np.repeat(np.arange(n), np.diff(part))
         text = np.full(len(body) + 2 * n, 0x20, dtype=np.uint8)
         text[np.arange(len(body)) + 2 * owner + 1] = body
@@ -74,7 +82,20 @@ def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             ok[late[(late >= 0) & (late < len(ok))]] = False
         places = np.flatnonzero(ok)
         yield row, code[places], np.searchsorted(places, edge)
-        row = last
+        if end < offsets[last]:
+            at = end - int(offsets[row])
+        else:
+            row, at = last, 0
+
+
+def _cut(data: np.ndarray, table: np.ndarray, at: int, end: int) -> int:
+    """The first place from ``at`` on where no letter stands."""
+    while at < end:
+        blank = np.flatnonzero(table[data[at : min(at + 4096, end)]] == 0x20)
+        if len(blank):
+            return at + int(blank[0])
+        at += 4096
+    return end
 
 
 def slots(code: np.ndarray) -> list[np.ndarray]:
@@ -156,16 +177,17 @@ def _decide(model, width: int, text_at: int):
         for batch in batches:
             text = batch.column(text_at)
             rows = batch.num_rows
-            share = np.zeros((rows, len(names)))
+            share, size = np.zeros((rows, len(names))), np.zeros(rows, dtype=np.int64)
             for row, code, first in grams(text):
+                here = slice(row, row + len(first) - 1)
                 where = slots(code)
                 mask = np.bitwise_and.reduce([filters.masks[:, s] for s in where])  # of every n-gram
-                size = np.maximum(np.diff(first), 1)
+                size[here] += np.diff(first)
                 for i in range(len(names)):
                     ones = np.zeros(len(code) + 1, dtype=np.int64)
                     np.cumsum((mask[i // MASK_BITS] >> i % MASK_BITS) & 1, out=ones[1:])
-                    seen = (ones[first[1:]] - ones[first[:-1]]) / size
-                    share[row : row + len(size), i] = np.clip((seen - wrong[i]) / (1 - wrong[i]), 0, 1)
+                    share[here, i] += ones[first[1:]] - ones[first[:-1]]
+            share = np.clip((share / np.maximum(size, 1)[:, None] - wrong) / (1 - wrong), 0, 1)
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             total = share.sum(axis=1)
             best = share.argmax(axis=1) if names else np.zeros(rows, dtype=np.int64)

@@ -160,6 +160,32 @@ def word_pieces(
         row += 1
 
 
+class Shingles:
+    """Shingle hashes of some rows in order: ``first[i]:first[i + 1]`` are row i's, ``row0`` is the first row's number."""
+
+    def __init__(self, row0: int, values: np.ndarray, first: np.ndarray):
+        self.row0, self.rows, self.values, self.first = row0, len(first) - 1, values, first
+
+
+def shingle_slices(column: pa.Array, powers: Powers, n: int, size: int = SLICE_BYTES) -> Iterator[Shingles]:
+    """The ``n``-word shingles of a column, some rows at a time. Of a long row only the hashes are held, its words piece by
+    piece."""
+    held: list[np.ndarray] = []
+    row0 = 0
+    for words, goes_on in word_pieces(column, powers, n - 1, size=size):
+        values, first = words.shingles(n)
+        if not goes_on and held:
+            yield Shingles(row0, np.concatenate(held), np.array([0, sum(map(len, held))], dtype=np.int64))
+            held = []
+        if words.rows == 1:
+            row0 = words.row0
+            held.append(values)
+        else:
+            yield Shingles(words.row0, values, first)
+    if held:
+        yield Shingles(row0, np.concatenate(held), np.array([0, sum(map(len, held))], dtype=np.int64))
+
+
 def _between_words(data: np.ndarray, inside: np.ndarray, at: int, end: int) -> int:
     """The first place from ``at`` on that is not within a word."""
     while at < end:
