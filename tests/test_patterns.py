@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.helpers import files_of
 from tracewell.functions.regex import check_pattern, java_pattern, needs_python, required_literals
 from tracewell.operators.lines import kept_lines
-from tracewell.operators.patterns import pattern_hits, pattern_table_hits
+from tracewell.operators import patterns
+from tracewell.operators.patterns import gram_filter, pattern_hits, pattern_table_hits
 from tracewell.options import ScanOptions
 from tracewell.plans.corpus import STARTER_PACKS
 from tracewell.plans.scan import prepare, scan
@@ -125,6 +126,22 @@ def test_pattern_table_equals_contains(spark):
     assert {(r.line_no, r.pattern) for r in found} == expected
 
 
+def test_gram_filter(spark, monkeypatch):
+    """All filed grams pass, few others do, and a table too large for the filter goes without."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäé", k=5))
+    filed, other = {word() for _ in range(5000)}, {word() for _ in range(5000)}
+    passes = gram_filter(spark.createDataFrame([(g,) for g in filed], "_g string"))
+    rows = spark.createDataFrame([(g,) for g in filed | other], "g string").select("g", F.expr(passes("g")).alias("ok")).collect()
+    assert all(r["ok"] for r in rows if r["g"] in filed)
+    assert sum(r["ok"] for r in rows if r["g"] not in filed) < 0.03 * len(other)
+    monkeypatch.setattr(patterns, "FILTER_BITS", 10)
+    assert gram_filter(spark.createDataFrame([(g,) for g in filed], "_g string")) is None
+    lines = kept_lines(prepare(files_of(spark, {"a.rb": "one two\nthree"}), O.forensic()))
+    table = spark.createDataFrame([(p,) for p in ["e t", "hre", "x", *filed]], "pattern string")
+    assert {(r.line_no, r.pattern) for r in pattern_table_hits(lines, table, n=3).collect()} == {(1, "e t"), (2, "hre")}
+
+
 def test_pattern_list_lines(spark, tmp_path):
     text = '"chown "\n# c\nab # x\n\n  \n""\n"a#b"\n\tlast\t\n"'
     path = tmp_path / "list.txt"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.python_regex import Pattern, only_python, with_found
 from tracewell.functions.regex import Line, folds, matches
-from tracewell.functions.sql import Sql, array, case, contains, interpreted, present, text
+from tracewell.functions.sql import Sql, array, case, contains, interpreted, present, text, where
 from tracewell.functions.text import strip, truncate
 from tracewell.operators.hits import HIT_COLUMNS, ORIGIN_COLUMNS, hit_struct
 from tracewell.options import ScanOptions
@@ -18,6 +18,8 @@ from tracewell.sources.packs import Pack, Packs
 BROADCAST_BYTES = 8 << 20
 ROW_BYTES = 64  # of a row besides its texts
 COMPILED_TESTS = 40
+FILTER_BITS = 20  # of the filter of filed grams (128 KB)
+FILTER_FILL = 8  # bits for each gram at least; with fewer a filter lets too much through
 
 
 def pattern_tests(line: Line, pack: Pack) -> list[Sql]:
@@ -94,7 +96,9 @@ def pattern_table_hits(
     """All plain matches of a pattern table too large to compile, as ``(file_id, line_no, pattern)``.
 
     Every pattern is filed under the one of its ``n``-grams that fewest patterns share. Candidates are pairs of
-    a line's place and a gram under which something is filed; no text travels with them. A pattern table of up to
+    a line's place and a gram under which something is filed; no text travels with them. Grams that nothing is filed under
+    mostly never become rows: a bitmap of the filed grams' hashes, of fixed size, is part of the plan (unless the table has
+    so many that it would be full). A pattern table of up to
     ``broadcast_bytes`` (its own size, measured; None: never) goes to the lines, which then do not move at all.
     Otherwise candidates meet the patterns by gram, where adaptive execution splits the partitions of common
     grams, patterns are collected per line, and each line is joined once, by place, and settles them with
@@ -108,7 +112,8 @@ def pattern_table_hits(
     sizes = [r[0] for r in wanted.filter(F.length("_p") < n).select(F.length("_p")).distinct().collect()]
 
     texts = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
-    grams = lambda *kept: texts.select(*kept, _grams("_lc", *sorted({n, *sizes})).alias("_g"))
+    passes = gram_filter(filed)
+    grams = lambda *kept: texts.select(*kept, _grams("_lc", *sorted({n, *sizes}), passes=passes).alias("_g"))
     columns = ["file_id", "line_no", "pattern"]
     if broadcast_bytes is not None:
         held = wanted.agg(F.coalesce(F.sum(F.octet_length("_p") * 2 + n + ROW_BYTES), F.lit(0))).first()[0]
@@ -123,7 +128,23 @@ def pattern_table_hits(
     ).select("file_id", "line_no", F.col("_c.pattern").alias("pattern"))
 
 
-def _grams(c: str, *sizes: int):
-    """Distinct windows of the given sizes, each size in one pass over the text."""
-    windows = [f"regexp_extract_all({c}, {text(f'(?s)(?=(.{{{n}}}))')}, 1)" for n in sizes]
-    return F.expr(f"explode_outer(array_distinct(concat({', '.join(windows)})))")
+def gram_filter(filed: DataFrame) -> Callable[[Sql], Sql] | None:
+    """A test that all filed grams ``_g`` pass and few others; None where there are too many grams for one."""
+    mask = (1 << FILTER_BITS) - 1
+    place = F.xxhash64("_g").bitwiseAND(F.lit(mask))
+    words = filed.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"), F.count("*").alias("n")).collect()
+    if sum(r["n"] for r in words) > (1 << FILTER_BITS) // FILTER_FILL:
+        return None
+    held = [0] * (1 << FILTER_BITS - 6)
+    for r in words:
+        held[r["word"]] = r["bits"]
+    bitmap = f"CAST(split('{','.join(map(str, held))}', ',') AS array<bigint>)"
+    word = lambda g: f"{bitmap}[CAST(shiftright(xxhash64({g}) & {mask}L, 6) AS INT)]"
+    return lambda g: f"shiftright({word(g)}, CAST(xxhash64({g}) & 63L AS INT)) & 1L = 1L"
+
+
+def _grams(c: str, *sizes: int, passes: Callable[[Sql], Sql] | None = None):
+    """Distinct windows of the given sizes that pass, each size in one pass over the text."""
+    windows = f"concat({', '.join(f'regexp_extract_all({c}, {text(f"(?s)(?=(.{{{n}}}))")}, 1)' for n in sizes)})"
+    return F.expr(f"explode_outer(array_distinct({where(windows, passes) if passes else windows}))")
