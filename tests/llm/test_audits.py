@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import SF, fold
 from tracewell.llm import centroids, source_audit as sa, toxicity
 from tracewell.llm import queries as q
-from tracewell.llm.oracle import ORACLES
 from tracewell.llm.transducer import Transducer, build
 from tracewell.llm.words import Powers, word_pieces
 
@@ -82,19 +80,6 @@ def audited(df):
     return set(rows)
 
 
-@pytest.mark.parametrize("name", ["op11_source_audit", "op12_centroids"])
-def test_query_against_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    found, expected = getattr(q, name)(spark, SF), con.sql(ORACLES[name])
-    columns = sorted(found.columns)
-    assert columns == sorted(expected.columns)
-    places = [expected.columns.index(c) for c in columns]
-    assert Counter(tuple(r[c] for c in columns) for r in found.collect()) == Counter(
-        tuple(r[i] for i in places) for r in expected.fetchall())
-
-
 @pytest.mark.parametrize("small", [False, True])
 def test_audit_by_brute_force(spark, monkeypatch, small):
     """Also with transducers, rounds, blocks and slices so small that there are many of each."""

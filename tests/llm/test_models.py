@@ -99,6 +99,45 @@ def test_quality_of_held_out_documents(spark, words):
     assert sum(r["predicted"] == r["good"] for r in tested) >= 0.95 * len(tested)
 
 
+def test_quality_scores_by_hand(spark, documents):
+    """Sizes of blocks compressed one by one, and a curve at whose parameters the likelihood has no slope."""
+    import zstandard
+
+    labels = pq.read_table(f"{SF}/labels.parquet").to_pydict()
+    docs = spark.createDataFrame(list(documents.items()), "doc_id long, text string")
+    table = spark.createDataFrame(list(zip(labels["doc_id"], labels["quality"])), "doc_id long, quality int")
+    model = quality.fit(docs, table)
+    sized = []
+    for content in model["dictionaries"]:
+        held = zstandard.ZstdCompressionDict(content)
+        sized.append(zstandard.ZstdCompressor(
+            level=quality.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
+
+    def difference(text):
+        data = text.encode()
+        blocks = [data[i : i + quality.BLOCK] for i in range(0, len(data), quality.BLOCK)]
+        good, bad = (sum(len(c.compress(b)) for b in blocks) for c in sized)
+        return (bad - good) / max(good, bad, 1)
+
+    for r in quality.score(docs, model, ["doc_id"]).collect():
+        value = model["slope"] * difference(documents[r["doc_id"]]) + model["intercept"]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-value)), abs=1e-9)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-2 * x + 1))).astype(float)
+    weight = rng.uniform(0.5, 2, 300)
+    slope, intercept = quality.calibrate(x, y, weight)
+    scale = x.std()
+
+    def likelihood(a, b):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        return (weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() - 0.005 * ((a * scale) ** 2 + b**2)
+
+    best = likelihood(slope, intercept)
+    for da, db in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3), (7e-4, -7e-4)):
+        assert likelihood(slope + da, intercept + db) < best
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame(
         [(6, 1), (7, 1), (9, 0), (10, 0), (5, 0), (3, None), (None, 1), (8, 7), (4, 1)], "doc_id long, quality int")

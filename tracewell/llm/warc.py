@@ -241,7 +241,7 @@ def _join_segments(payloads: bool):
                 if not payloads:
                     done.pop("payload", None)
                 # a record written n times comes back n times
-                out += [done] * max(1, sum(s["number"] == 1 for s in segments))
+                out += [done] * max(1, sum(s["times"] for s in segments if s["number"] == 1))
             yield pa.RecordBatch.from_pylist(out, RECORD)
 
     return join
@@ -257,9 +257,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         _parse(payloads), f"{RECORD_SQL}, origin string, number int, total long, block binary"), "parsed")
     names = [f.name for f in RECORD]
     whole = parsed.where("origin IS NULL AND record_type IN ('response', 'revisit')").select(*names)
-    segments = parsed.where("origin IS NOT NULL").groupBy("origin").agg(
-        F.max(F.when(F.col("number") == 1, F.struct("record_id", "record_type", "uri", "refers_to", "payload_digest"))).alias("head"),
-        F.collect_list(F.struct("origin", "number", "total", "block")).alias("segments"))
+    # a segment that is written again and again is one row with a count
+    once = parsed.where("origin IS NOT NULL").groupBy("origin", "number", "total", "block").agg(
+        F.count("*").alias("times"),
+        F.max(F.when(F.col("number") == 1, F.struct("record_id", "record_type", "uri", "refers_to", "payload_digest"))).alias("head"))
+    segments = once.groupBy("origin").agg(
+        F.max("head").alias("head"), F.collect_list(F.struct("origin", "number", "total", "block", "times")).alias("segments"))
     return whole.unionByName(segments.select("head", "segments").mapInArrow(_join_segments(payloads), RECORD_SQL))
 
 
