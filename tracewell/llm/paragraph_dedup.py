@@ -111,6 +111,23 @@ def paragraph_sets(words: Words, row: np.ndarray, at: np.ndarray, size: np.ndarr
     return values[np.repeat(begin - starts[:-1], many) + np.arange(starts[-1])], starts
 
 
+def min_hashes(values: np.ndarray, ranges: np.ndarray) -> list[np.ndarray]:
+    """For each hash function the minima of the ranges (begin, end, begin, end, …), which may overlap. Works in place: this is
+    most of the operator's work."""
+    hashed, shifted = np.empty(len(values) + 1, dtype=np.uint64), np.empty(len(values) + 1, dtype=np.uint64)
+    out = []
+    for i in range(BANDS * ROWS):
+        np.add(values, np.uint64(0x51ED2701 * (i + 1)), out=hashed[:-1])
+        for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            np.right_shift(hashed, np.uint64(bits), out=shifted)
+            np.bitwise_xor(hashed, shifted, out=hashed)
+            if factor != 1:
+                np.multiply(hashed, np.uint64(factor), out=hashed)
+        hashed[-1] = ~np.uint64(0)  # ranges may end behind the last
+        out.append(np.minimum.reduceat(hashed, ranges)[::2])
+    return out
+
+
 def records(words: Words, ids: np.ndarray) -> np.ndarray:
     row, at, size = paragraphs(words)
     if not len(at):
@@ -119,10 +136,7 @@ def records(words: Words, ids: np.ndarray) -> np.ndarray:
     begin, end = spans(words, first, row, at, size)
     # paragraphs overlap: every shingle is hashed once, and minima are taken of ranges
     ranges = np.stack([begin, end], axis=1).ravel()
-    least = [
-        np.minimum.reduceat(np.append(mix(values + np.uint64(0x51ED2701 * (i + 1))), ~np.uint64(0)), ranges)[::2]
-        for i in range(BANDS * ROWS)
-    ]
+    least = min_hashes(values, ranges)
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(mix(values), out=total[1:])
     total = mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
@@ -153,10 +167,15 @@ def _edges(first: np.ndarray, other: np.ndarray, equal: bool) -> np.ndarray:
     return edges
 
 
+def place_in_text(found: np.ndarray) -> np.ndarray:
+    return (found["start"].astype(np.int64) << 32) | found["size"]
+
+
 def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first record of each key and set, and edges from it to those it equals. Equal sets agree in every
     band, so the first band's keys are enough for the edges."""
-    found = found[np.lexsort((found["size"], found["start"], found["doc"], found["set"], found["key"]))]
+    together = mix(found["key"]) ^ found["set"].astype(np.uint64)  # equal for equal key and set
+    found = found[np.lexsort((place_in_text(found), found["doc"], together))]
     fresh = np.append(True, (found["key"][1:] != found["key"][:-1]) | (found["set"][1:] != found["set"][:-1]))[: len(found)]
     firsts = np.flatnonzero(fresh)
     first = np.repeat(firsts, np.diff(np.append(firsts, len(found))))
@@ -167,7 +186,7 @@ def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Edges between all sets of each key of ``SMALL_KEY`` sets at most; and the records of larger keys, each one's
     place in its key and its key's number of sets."""
-    found = firsts[np.lexsort((firsts["size"], firsts["start"], firsts["doc"], firsts["key"]))]
+    found = firsts[np.lexsort((place_in_text(firsts), firsts["doc"], firsts["key"]))]
     heads = np.flatnonzero(np.append(True, found["key"][1:] != found["key"][:-1])[: len(found)])
     many = np.diff(np.append(heads, len(found)))
     size, place = np.repeat(many, many), np.arange(len(found)) - np.repeat(heads, many)
