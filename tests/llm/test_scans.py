@@ -184,6 +184,47 @@ def test_decontamination_among_many_items(spark, words, monkeypatch, rank, kept)
         assert min(found.values()) >= decontamination.COSINE + 0.05
 
 
+def test_the_fit_counts_every_window(spark, words, monkeypatch):
+    """The product the latent space is fitted on, and the space itself, against dense ones of all windows, repeated ones too."""
+    import pyarrow as pa
+    from tracewell.llm.words import Powers, word_slices
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words[:120]) for _ in range(n)) for n in (0, 5, 21, 84, 85, 300, 300, 700)] + [None, "ta " * 90]
+    texts += texts[3:6] * 2
+    items = decontamination.Items(range(5), [" ".join(rng.choice(words[:90]) for _ in range(40)) for _ in range(4)] + ["ta ta"], [None] * 5)
+    weight = np.random.default_rng(3).random(len(items.terms)) + 0.1
+    held = next(word_slices(pa.array(texts), Powers(), decontamination.term_bytes()))
+    place, known = decontamination._places(items.terms, held.hash)
+    windows = []
+    for first, last in zip(held.first[:-1], held.first[1:]):
+        for at in range(first, last, decontamination.STRIDE):
+            span = slice(at, min(at + decontamination.WINDOW, last))
+            windows.append(place[span][known[span]])
+
+    def dense(rows):
+        x = np.array([np.bincount(r, minlength=len(weight)) * weight for r in rows])
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    x, own = dense(windows), dense(items.words)
+    basis = np.random.default_rng(1).standard_normal((len(weight), 7))
+    shared = spark.sparkContext.broadcast
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs = docs.mapInArrow(decontamination._placed(shared(vars(items))), "doc_id long, places binary")
+    made = docs.select("places").mapInArrow(decontamination._gram_times(shared(weight), shared(basis)), decontamination.PARTS)
+    product = decontamination.summed(made, (len(weight) + 1, 7))
+    assert product[-1, 0] == sum(len(w) > 0 for w in windows)
+    assert np.allclose(product[:-1], x.T @ (x @ basis), rtol=1e-4, atol=1e-3)
+
+    monkeypatch.setattr(decontamination, "RANK", 5)
+    space = decontamination.latent_basis(docs, shared(vars(items)), shared(weight))
+    whole = x.T @ x + product[-1, 0] / len(own) * own.T @ own
+    value, vector = np.linalg.eigh(whole)
+    assert np.allclose(space.T @ space, np.eye(5), atol=1e-6)
+    best = np.trace(vector[:, -5:].T @ whole @ vector[:, -5:])
+    assert np.trace(space.T @ whole @ space) > 0.98 * best
+
+
 def test_overlaps_by_brute_force(words):
     """Vectors, terms and overlap bounds of windows against those made one by one."""
     import pyarrow as pa

@@ -1,16 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of words. Over the benchmark's terms, passages are TF-IDF vectors; a randomised SVD of a sample of all
-documents' passages and of the items (which together weigh as much), computed over tasks' rows, gives the latent space. Every window of every document is projected
-into it, and each item finds the windows near it by cosine. What it finds is checked on words: the longest common subsequence
-with the item, and, where that is short of certain (a paraphrase), the item's answer.
+Passages are windows of words. Over the benchmark's terms, passages are TF-IDF vectors; a randomised SVD of all windows of all
+documents and of the items (which together weigh as much), computed over tasks' rows, gives the latent space. It starts from the
+items' own directions and multiplies them once by all windows (a Nyström approximation), so the fit reads the documents once. Every
+window is then projected into the space, and each item finds the windows near it by cosine. What it finds is checked on words: the
+longest common subsequence with the item, and, where that is short of certain (a paraphrase), the item's answer.
 
 A space of bounded rank does not hold every item. An item of whose length it keeps less than ``LEAST_KEPT`` also finds windows by its
 rarest words: a passage that passes the check has a known number of those at least, or all of its answer's ("anchors").
 
-Terms that no item has cannot be shared, so they have no column. Document frequencies count all documents; the space is
-fitted on some ``SAMPLE`` windows at most, drawn by the hash of their words, each once. The benchmark is the query set: it goes to the tasks
-in blocks of ``BLOCK_ITEMS`` items at most.
+Terms that no item has cannot be shared, so they have no column. Document frequencies count all documents, the fit all windows,
+repeated ones as often as they occur. The benchmark is the query set: it goes to the tasks in blocks of ``BLOCK_ITEMS`` items at most.
 """
 
 from __future__ import annotations
@@ -26,22 +26,22 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.storage import Scratch
 from tracewell.llm.sums import PARTS, in_parts, summed
-from tracewell.llm.words import Powers, Words, mix, word_slices
+from tracewell.llm.words import Powers, binaries, word_slices
 
 BLOCK_ITEMS = 4096
 PART_WORDS = 64  # longer items are sought in parts of so many words
 STRIDE = 21
 WINDOW = 4 * STRIDE  # so that some window holds the whole of any part
 RANK, EXTRA, ROUNDS = 96, 8, 2
-SAMPLE = 16_384
-SAMPLE_TASKS = 16
-DOCUMENTS, WINDOWS = -1, -2  # in place of a term: how many there are
+DOCUMENTS = -1  # in place of a term: how many there are
 COSINE = 0.3
 LEAST_KEPT = 0.1
 SURE, LEAST_SHARED = 0.75, 0.55  # parts of an item's words in common order: alone, and with its answer
 ANSWER_TERMS = 3
 ANCHORS = 60  # per cent of an item's words, the rarest
 PART_TERMS = 512  # rows of a partial product that travel together
+PART_ROWS = 32
+SLICE_WORDS = 1 << 17
 AT_ONCE = 1 << 22  # cells of windows by terms, or by items, that a task has at once
 
 
@@ -70,21 +70,66 @@ class Items:
         ]
 
 
-def _frequencies(items):
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Placed:
+    """Words of some rows as places in the items' terms: ``first[i]:first[i + 1]`` are row i's, ``row0`` is the first row's number.
+    ``known`` says of each word whether it is such a term."""
+
+    def __init__(self, row0: int, first: np.ndarray, place: np.ndarray, known: np.ndarray):
+        self.row0, self.rows, self.first, self.place, self.known = row0, len(first) - 1, first, place, known
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+def place_type(terms: int) -> np.dtype:
+    """Of places and, behind the last one, of a word that is no term."""
+    return np.dtype(np.uint16 if terms < 1 << 16 else np.uint32)
+
+
+def _placed(items):
+    """Texts as places of their words, so that they are tokenised once."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, letters, terms = Powers(), term_bytes(), items.value["terms"]
-        count, docs, windows = np.zeros(len(terms), dtype=np.int64), 0, 0
+        kind = place_type(len(terms))
         for batch in batches:
-            for words in word_slices(pc.utf8_lower(batch.column(0)), powers, letters):
+            ids = batch.column(0).cast(pa.int64())
+            for words in word_slices(pc.utf8_lower(batch.column(1)), powers, letters):
                 place, known = _places(terms, words.hash)
+                place = np.where(known, place, len(terms)).astype(kind)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(words.row0, words.rows), binaries(place, words.first)], ["doc_id", "places"])
+
+    return placed
+
+
+def placed_slices(column: pa.Array, terms: int) -> Iterator[Placed]:
+    """The rows of a column of places, some ``SLICE_WORDS`` words at a time."""
+    kind = place_type(terms)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    offsets = (offsets - offsets[0]) // kind.itemsize
+    row, rows = 0, len(column)
+    while row < rows:
+        last = min(max(int(np.searchsorted(offsets, offsets[row] + SLICE_WORDS)), row + 1), rows)
+        place = data[offsets[row] : offsets[last]].astype(np.int64)
+        yield Placed(row, offsets[row : last + 1] - offsets[row], place, place < terms)
+        row = last
+
+
+def _frequencies(terms: int):
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, docs = np.zeros(terms, dtype=np.int64), 0
+        for batch in batches:
+            for words in placed_slices(batch.column(0), terms):
                 row = np.repeat(np.arange(words.rows), words.lengths())
-                pair = np.unique(row[known] * len(terms) + place[known])
-                count += np.bincount(pair % len(terms), minlength=len(terms))
+                pair = np.unique(row[words.known] * terms + words.place[words.known])
+                count += np.bincount(pair % terms, minlength=terms)
                 docs += words.rows
-                windows += len(window_blocks(words)[1])
         held = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(held, [DOCUMENTS, WINDOWS])), pa.array(np.append(count[held], [docs, windows]))], ["term", "documents"])
+            [pa.array(np.append(held, DOCUMENTS)), pa.array(np.append(count[held], docs))], ["term", "documents"])
 
     return frequencies
 
@@ -119,7 +164,7 @@ def answer_terms(items, held: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def anchored_windows(words: Words, place: np.ndarray, known: np.ndarray, anchored) -> dict[tuple[int, int], set[int]]:
+def anchored_windows(words: Placed, place: np.ndarray, known: np.ndarray, anchored) -> dict[tuple[int, int], set[int]]:
     """``{(row, window): items}`` of windows with enough of some item's anchors."""
     first, owners, lists = anchored
     need = np.array([n for _, _, n in lists])
@@ -145,26 +190,36 @@ def anchored_windows(words: Words, place: np.ndarray, known: np.ndarray, anchore
     return found
 
 
-def window_blocks(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def window_blocks(words: Placed) -> tuple[np.ndarray, np.ndarray]:
     """Each row's first block of ``STRIDE`` words (one window begins in each), and each block's row."""
     blocks = -(-words.lengths() // STRIDE)
     first = np.concatenate(([0], np.cumsum(blocks)))
     return first, np.repeat(np.arange(words.rows), blocks)
 
 
-def window_vectors(words: Words, place: np.ndarray, known: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def sums_of_rows(table: np.ndarray, index: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each group the sum of the rows of ``table`` that ``index[begin : begin + many]`` names: the first rows of all groups, then
+    the second ones, and so on, larger groups first, so that whole blocks are added at once."""
+    order = np.argsort(-many, kind="stable")
+    begin, size = begin[order], np.sort(-many)
+    sums = np.zeros((len(begin), table.shape[1]), dtype=table.dtype)
+    for k in range(int(-size[0]) if len(size) else 0):
+        more = int(np.searchsorted(size, -k))  # groups of more than k rows
+        sums[:more] += table[index[begin[:more] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def window_vectors(words: Placed, place: np.ndarray, known: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Each window in the latent space: words are projected once, summed by block, and four blocks are a window."""
     first, owner = window_blocks(words)
     at = np.flatnonzero(known)
     row = np.searchsorted(words.first, at, side="right") - 1
     block = first[row] + (at - words.first[row]) // STRIDE
     sums = np.zeros((first[-1] + WINDOW // STRIDE - 1, basis.shape[1]), dtype=np.float32)
-    # the first words of all blocks, then the second ones, and so on: whole rows are added at once
     begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(at)])
-    many = np.diff(np.append(begin, len(at)))
-    for k in range(int(many.max(initial=0))):
-        held = begin[many > k]
-        sums[block[held]] += basis[place[at[held + k]]]
+    sums[block[begin]] = sums_of_rows(basis, place[at], begin, np.diff(np.append(begin, len(at))))
     out = sums[: first[-1]].copy()
     last = first[1:][owner]
     for k in range(1, WINDOW // STRIDE):  # not beyond the row's last block
@@ -207,37 +262,6 @@ def windows_with_terms(block: np.ndarray, term: np.ndarray, begin: np.ndarray, l
     return has
 
 
-def _sampled(items, bits: int):
-    """Windows for the fit, one of ``2**bits``: those whose words' hash begins with so many zeros. Equal windows have equal hashes."""
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, letters, terms = Powers(), term_bytes(), items.value["terms"]
-        for batch in batches:
-            out = []
-            for words in word_slices(pc.utf8_lower(batch.column(0)), powers, letters):
-                first, owner = window_blocks(words)
-                if not len(owner):
-                    continue
-                begin = words.first[:-1][owner] + (np.arange(len(owner)) - first[owner]) * STRIDE
-                end = np.minimum(begin + WINDOW, words.first[1:][owner])
-                total = np.concatenate(([0], np.cumsum(words.hash, dtype=np.uint64)))
-                chance = mix(total[end] - total[begin])
-                place, known = _places(terms, words.hash)
-                drawn = chance >> np.uint64(64 - bits) == 0 if bits else np.ones(len(chance), dtype=bool)
-                for i in np.flatnonzero(drawn).tolist():
-                    span = slice(begin[i], end[i])
-                    held = place[span][known[span]]
-                    if len(held):
-                        out.append(held.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["terms"])
-
-    return sampled
-
-
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(t, dtype=np.int32) for t in column.to_pylist()]
-
-
 def tf_idf(rows: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and value of the rows' vectors, of length 1 each."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -258,36 +282,106 @@ def project(rows: list[np.ndarray], weight: np.ndarray, basis: np.ndarray) -> tu
     return out, vectors
 
 
+def window_lengths(term: np.ndarray, block: np.ndarray, row: np.ndarray, last: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Squared lengths of the windows' TF-IDF vectors, from words in order of their term, then place; ``last`` is the block behind
+    each block's row."""
+    blocks, span = len(last), WINDOW // STRIDE
+    squares = weight[term] ** 2
+    # of each block: what its words add to a window that reaches so many blocks further, alone and with equal ones
+    gained = np.zeros((span, blocks + span))
+    gained[0, :blocks] = np.bincount(block, squares, minlength=blocks)
+    at, apart = np.arange(len(term)), 0
+    while len(at):
+        apart += 1
+        at = at[at + apart < len(term)]
+        far = block[at + apart] - block[at]
+        near = (term[at + apart] == term[at]) & (row[at + apart] == row[at]) & (far < span)
+        at, far = at[near], far[near]
+        gained[:, :blocks] += np.bincount(far * blocks + block[at], 2 * squares[at], minlength=span * blocks).reshape(span, blocks)
+    gained = np.cumsum(gained, axis=0)
+    out = np.zeros(blocks)
+    for k in range(span):
+        more = np.flatnonzero(np.arange(blocks) + k < last)
+        out[more] += gained[span - 1 - k, more + k]
+    return out
+
+
+def add_gram(words: Placed, weight: np.ndarray, basis: np.ndarray, total: np.ndarray) -> int:
+    """Adds ``XᵀX Q`` of all windows of some texts to ``total``, and says how many windows have terms. ``basis`` is ``Q`` times the
+    terms' weights."""
+    first, owner = window_blocks(words)
+    at = np.flatnonzero(words.known)
+    if not len(at):
+        return 0
+    # 16-bit places are sorted by their digits
+    at = at[np.argsort(words.place[at].astype(place_type(len(weight))), kind="stable")]
+    term, row = words.place[at], np.searchsorted(words.first, at, side="right") - 1
+    block = first[row] + (at - words.first[row]) // STRIDE
+    begin, last = first[:-1][owner], first[1:][owner]
+    length = window_lengths(term, block, row, last, weight)
+    held = length > 0
+    latent = window_vectors(words, words.place, words.known, basis)
+    latent *= np.where(held, 1 / np.where(held, length, 1), 0).astype(np.float32)[:, None]
+    back = latent.copy()  # of each block: the sum over the windows it is in
+    for k in range(1, WINDOW // STRIDE):
+        more = np.flatnonzero(np.arange(len(owner)) - k >= begin)
+        back[more] += latent[more - k]
+    heads = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    many = np.diff(np.append(heads, len(term)))
+    # frequent terms' words are added up some at a time first
+    parts = -(-many // PART_ROWS)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(heads, parts) + nth * PART_ROWS
+    sums = sums_of_rows(back, block, begin, np.minimum(np.repeat(heads + many, parts) - begin, PART_ROWS))
+    total[term[heads]] += np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0) * weight[term[heads], None]
+    return int(held.sum())
+
+
 def _gram_times(weights, basis):
-    """Partial sums of ``XᵀX Q`` of a task's passages, some terms' rows at a time."""
+    """Partial sums of ``XᵀX Q`` of all windows of a task's texts; one more row holds the number of windows."""
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, q = weights.value, basis.value
-        total = np.zeros_like(q)
+        weighted = (q * weight[:, None]).astype(np.float32)
+        total = np.zeros((len(q) + 1, q.shape[1]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                latent, (row, term, value) = project(_rows(batch.column(0).slice(at, 512)), weight, q)
-                latent *= batch.column(1).slice(at, 512).to_numpy()[:, None]
-                order = np.argsort(term, kind="stable")
-                if len(order):
-                    first = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
-                    total[term[order][first]] += np.add.reduceat((latent[row] * value[:, None])[order], first, axis=0)
+            for words in placed_slices(batch.column(0), len(weight)):
+                total[-1, 0] += add_gram(words, weight, weighted, total)
         yield in_parts(total, PART_TERMS)
 
     return times
 
 
-def latent_basis(passages: DataFrame, weights, terms: int) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix of ``passages(terms, mass)``, each counting by its mass, by randomised subspace iteration. Each round is one
-    distributed pass over the sample, whose tasks are few; the driver holds ``terms x (RANK + EXTRA)`` values."""
-    context = passages.sparkSession.sparkContext
-    q, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((terms, min(terms, RANK + EXTRA))))
-    for last in [False] * ROUNDS + [True]:
-        product = summed(passages.select("terms", "mass").mapInArrow(_gram_times(weights, context.broadcast(q)), PARTS), q.shape)
-        if not last:
-            q, _ = np.linalg.qr(product + 1e-9 * q)
-    _, turned = np.linalg.eigh(q.T @ product)
-    return q @ turned[:, ::-1][:, :RANK]
+def item_gram_times(rows: list[np.ndarray], weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``XᵀX Q`` of the items, some at a time."""
+    total = np.zeros_like(q)
+    for at in range(0, len(rows), 512):
+        latent, (row, term, value) = project(rows[at : at + 512], weight, q)
+        order = np.argsort(term, kind="stable")
+        if len(order):
+            first = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
+            total[term[order][first]] += np.add.reduceat((latent[row] * value[:, None])[order], first, axis=0)
+    return total
+
+
+def latent_basis(texts: DataFrame, items, weights) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF matrix of all windows of ``texts(places)`` and the items, all items weighing as
+    much as all windows. Subspace iteration on the items, the query set, is the start; one distributed pass over the texts multiplies it
+    by all rows, and the Nyström approximation from that product gives the vectors. The driver holds ``terms x (RANK + EXTRA)`` values."""
+    context, weight, rows = texts.sparkSession.sparkContext, weights.value, items.value["words"]
+    q, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((len(weight), min(len(weight), RANK + EXTRA))))
+    for _ in range(ROUNDS):
+        q, _ = np.linalg.qr(item_gram_times(rows, weight, q) + 1e-9 * q)
+    product = summed(
+        texts.select("places").mapInArrow(_gram_times(weights, context.broadcast(q)), PARTS), (len(q) + 1, q.shape[1]))
+    windows, product = product[-1, 0], product[:-1]
+    product += max(1.0, windows / max(1, len(rows))) * item_gram_times(rows, weight, q)
+    # A ~ Y (QᵀY)^-1 Yᵀ: its leading eigenvectors are the left singular vectors of Y (QᵀY)^-1/2
+    core = q.T @ product
+    size, turned = np.linalg.eigh((core + core.T) / 2)
+    sure = size > 1e-7 * max(size.max(initial=0), 1e-300)
+    u, _, _ = np.linalg.svd(product @ (turned[:, sure] / np.sqrt(size[sure])), full_matrices=False)
+    return u[:, :RANK]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -312,7 +406,7 @@ def _retrieve(model):
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SimpleNamespace(**model.value)
         block = SimpleNamespace(**m.items)
-        powers, letters, terms = Powers(), term_bytes(), block.terms
+        terms = block.terms
         basis = (m.basis * m.weight[:, None]).astype(np.float32)
         wanted, _ = project(block.words, m.weight, m.basis)
         wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -332,8 +426,8 @@ def _retrieve(model):
                 if shared >= SURE or (shared >= LEAST_SHARED and said):
                     out.append((ids[words.row0 + row], int(block.ids[item]), window * STRIDE, cosine, shared, said))
 
-            for words in word_slices(pc.utf8_lower(batch.column(1)), powers, letters):
-                place, known = _places(terms, words.hash)
+            for words in placed_slices(batch.column(1), len(terms)):
+                place, known = words.place, words.known
                 vectors = window_vectors(words, place, known, basis)
                 first, owner = window_blocks(words)
                 size = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -398,26 +492,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer: str | None = Non
         if not len(block.terms):
             continue
         items = spark.sparkContext.broadcast(vars(block))
-        counts = docs.select("text").mapInArrow(_frequencies(items), "term long, documents long").groupBy("term").agg(
+        texts = scratch.keep(docs.select("doc_id", "text").mapInArrow(_placed(items), "doc_id long, places binary"), "places")
+        counts = texts.select("places").mapInArrow(_frequencies(len(block.terms)), "term long, documents long").groupBy("term").agg(
             F.sum("documents").alias("documents")).toArrow().to_pydict()
         count = dict(zip(counts["term"], counts["documents"]))
         held = np.array([count.get(t, 0) for t in range(len(block.terms))])
         weight = np.log((count.get(DOCUMENTS, 0) + 1) / (held + 1)) + 0.05
         weights = spark.sparkContext.broadcast(weight)
-        bits = max(0, int(np.ceil(np.log2(max(count.get(WINDOWS, 0), 1) / SAMPLE))))
-        drawn = docs.select("text").mapInArrow(_sampled(items, bits), "terms binary").distinct()
-        drawn = scratch.keep(drawn.withColumn("mass", F.lit(1.0)), "drawn")
-        # all items together weigh as much as the sample, so that the space holds what tells them apart
-        mass = max(1.0, drawn.count() / max(1, len(block.words)))
-        own = spark.createDataFrame(
-            [(w.astype(np.int32).tobytes(), mass) for w in block.words if len(w)], "terms binary, mass double")
-        sample = scratch.keep(drawn.union(own).repartition(SAMPLE_TASKS), "sample")
-        basis = latent_basis(sample, weights, len(block.terms))
+        basis = latent_basis(texts, items, weights)
         weak = np.flatnonzero(kept_lengths(block.words, weight, basis) < LEAST_KEPT)
         model = spark.sparkContext.broadcast({
             "items": vars(block), "weight": weight, "basis": basis,
             "anchored": anchors(block, held, weak) if len(weak) else None})
-        part = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_retrieve(model), FOUND)
+        part = scratch.keep(texts.where("doc_id IS NOT NULL").mapInArrow(_retrieve(model), FOUND), "found")
+        scratch.drop(texts)
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], FOUND)
