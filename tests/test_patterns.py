@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import files_of
+from tracewell.functions import grams
 from tracewell.functions.regex import check_pattern, java_pattern, needs_python, required_literals
 from tracewell.operators.lines import kept_lines
 from tracewell.operators import patterns
@@ -126,6 +127,23 @@ def test_pattern_table_equals_contains(spark):
     assert {(r.line_no, r.pattern) for r in found} == expected
 
 
+def test_a_long_line_costs_its_length(spark, monkeypatch):
+    """Patterns are compared where their grams stand, over any number of steps; no row holds a gram and the whole line."""
+    monkeypatch.setattr(grams, "STEP", 64)
+    rng = random.Random(8)
+    rows = [(str(i), 1, "".join(rng.choices("abé ", k=n))) for i, n in enumerate((0, 1, 5, 700, 3000))] + [("x", None, None), (None, 2, "xab")]
+    rows += rows[3:4]
+    table = {"".join(rng.choices("abé ", k=rng.randint(1, 9))) for _ in range(80)} | {"aB", "Ab", rows[3][2][100:400]}
+    lines = spark.createDataFrame(rows, "file_id string, line_no int, code string")
+    found = pattern_table_hits(lines, spark.createDataFrame([(p,) for p in table] + [(None,), ("",)], "pattern string"), n=4)
+    expected = [(f, no, p) for f, no, code in rows for p in table if p.lower() in (code or "")]
+    order = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(expected, key=order)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert pattern_table_hits(lines, spark.createDataFrame([], "pattern string")).collect() == []
+
+
 def test_gram_filter(spark, monkeypatch):
     """All filed grams pass, few others do, and a table too large for the filter goes without."""
     rng = random.Random(4)

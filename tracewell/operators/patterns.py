@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from tracewell.functions.grams import Grams, search
 from tracewell.functions.python_regex import Pattern, only_python, with_found
 from tracewell.functions.regex import Line, folds, matches
 from tracewell.functions.sql import Sql, array, case, contains, interpreted, present, text, where
@@ -95,31 +97,33 @@ def pattern_table_hits(
 ) -> DataFrame:
     """All plain matches of a pattern table too large to compile, as ``(file_id, line_no, pattern)``.
 
-    Every pattern is filed under the one of its ``n``-grams that fewest patterns share. Candidates are pairs of
-    a line's place and a gram under which something is filed; no text travels with them. Grams that nothing is filed under
+    Every pattern is filed under the one of its ``n``-grams that fewest patterns share. A pattern table of up to
+    ``broadcast_bytes`` (its own size, measured; None: never) goes to the lines, which then do not move at all: grams are those of
+    the bytes, and each one filed is compared where it stands, so a line costs its length (``functions.grams``).
+    Otherwise candidates are pairs of a line's place and a gram under which something is filed; no text travels with them. Grams that nothing is filed under
     mostly never become rows: a bitmap of the filed grams' hashes, of fixed size, is part of the plan (unless the table has
-    so many that it would be full). A pattern table of up to
-    ``broadcast_bytes`` (its own size, measured; None: never) goes to the lines, which then do not move at all.
-    Otherwise candidates meet the patterns by gram, where adaptive execution splits the partitions of common
+    so many that it would be full). Candidates meet the patterns by gram, where adaptive execution splits the partitions of common
     grams, patterns are collected per line, and each line is joined once, by place, and settles them with
     ``contains``. A pattern shorter than ``n`` is filed under itself, by its length.
     """
     wanted = patterns.select("pattern", F.lower("pattern").alias("_p")).where("_p <> ''").distinct()
+    texts = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
+    columns = ["file_id", "line_no", "pattern"]
+    if broadcast_bytes is not None:
+        held = wanted.agg(F.coalesce(F.sum(F.octet_length("_p") * 2 + n + ROW_BYTES), F.lit(0))).first()[0]
+        if held <= broadcast_bytes:
+            rows = wanted.collect()
+            filed = lines.sparkSession.sparkContext.broadcast(([r["pattern"] for r in rows], Grams([r["_p"] for r in rows], n)))
+            schema = StructType([*texts.schema.fields[:2], StructField("pattern", StringType())])
+            return texts.mapInArrow(search(filed, columns), schema)
     long = wanted.filter(F.length("_p") >= n).select("pattern", "_p", _grams("_p", n).alias("_g"))
     share = long.groupBy("_g").agg(F.count("*").alias("_w"))
     rarest = long.join(share, "_g").groupBy("pattern", "_p").agg(F.min_by("_g", F.struct("_w", "_g")).alias("_g"))
     filed = rarest.unionByName(wanted.filter(F.length("_p") < n).withColumn("_g", F.col("_p")))
     sizes = [r[0] for r in wanted.filter(F.length("_p") < n).select(F.length("_p")).distinct().collect()]
 
-    texts = lines.select("file_id", "line_no", F.lower("code").alias("_lc"))
     passes = gram_filter(filed)
     grams = lambda *kept: texts.select(*kept, _grams("_lc", *sorted({n, *sizes}), passes=passes).alias("_g"))
-    columns = ["file_id", "line_no", "pattern"]
-    if broadcast_bytes is not None:
-        held = wanted.agg(F.coalesce(F.sum(F.octet_length("_p") * 2 + n + ROW_BYTES), F.lit(0))).first()[0]
-        if held <= broadcast_bytes:
-            near = grams("file_id", "line_no", "_lc").join(F.broadcast(filed), "_g")
-            return near.filter(F.contains("_lc", "_p")).select(columns)
     places = grams("file_id", "line_no").join(filed.select("_g", "pattern", "_p"), "_g")
     found = places.groupBy("file_id", "line_no").agg(F.collect_set(F.struct("pattern", "_p")).alias("_c"))
     met = texts.join(found, ["file_id", "line_no"])
