@@ -217,3 +217,18 @@ def test_paragraphs_of_odd_rows(odd_docs, no_docs):
     assert {r["doc_id"] for r in found} == {6, 7, 8}
     assert {r["first_doc_id"] for r in found} == {6}
     assert repeated_paragraphs(no_docs).collect() == []
+
+
+def test_records_travel_in_planes(documents):
+    """What a batch sends reads back as it was, and compresses better than records in a row."""
+    import pyarrow as pa
+    from tracewell.llm.words import Powers, word_slices
+
+    texts = list(documents.values())
+    made = [paragraph_dedup.records(w, np.arange(len(texts))[w.row0 :]) for w in word_slices(pa.array(texts), Powers())]
+    records = paragraph_dedup.equal_sets(np.concatenate(made))[0]
+    dealt = paragraph_dedup._dealt(records, np.zeros(len(records), dtype=np.int64), np.arange(2))
+    assert (paragraph_dedup.from_planes(dealt[0], paragraph_dedup.RECORD) == records).all()
+    assert len(paragraph_dedup.from_planes(dealt[1], paragraph_dedup.RECORD)) == 0
+    size = lambda b: len(pa.compress(b, "lz4_raw", asbytes=True))
+    assert size(dealt[0]) < 0.9 * size(records.tobytes())

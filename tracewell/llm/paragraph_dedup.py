@@ -199,10 +199,19 @@ def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(pairs), found[large], place[large], size[large]
 
 
+def in_planes(values: np.ndarray) -> bytes:
+    """Records as the first bytes of all, then the second ones, and so on: bytes that hardly vary stand together and compress."""
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _dealt(values: np.ndarray, bucket: np.ndarray, wanted: np.ndarray) -> list[bytes]:
     order = np.argsort(bucket, kind="stable")
     bucket, values = bucket[order], values[order]
-    return [values[a:b].tobytes() for a, b in zip(np.searchsorted(bucket, wanted), np.searchsorted(bucket, wanted, side="right"))]
+    return [in_planes(values[a:b]) for a, b in zip(np.searchsorted(bucket, wanted), np.searchsorted(bucket, wanted, side="right"))]
 
 
 def _band(buckets: int):
@@ -234,8 +243,8 @@ def _band(buckets: int):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Edges, and members of large keys: a row of ``key``, ``chunk`` and its key's ``chunks`` without a second end."""
-    held = [np.frombuffer(r, RECORD) for r in table.column("records").to_pylist()]
-    edges = [np.frombuffer(e, EDGE) for e in table.column("edges").to_pylist()]
+    held = [from_planes(r, RECORD) for r in table.column("records").to_pylist()]
+    edges = [from_planes(e, EDGE) for e in table.column("edges").to_pylist()]
     firsts, equal = equal_sets(np.concatenate(held))
     unsure, large, place, size = unequal_sets(firsts)
     edges = np.unique(np.concatenate([*edges, equal, unsure]))
