@@ -40,6 +40,7 @@ SMALL_KEY = 8
 CHUNK_SETS = 512
 PERCENT = 80
 BUCKETS_PER_PARTITION = 8
+BAND_BYTES = 1 << 18  # of texts whose shingles are hashed at once, so that a core's cache holds them
 PLACE = ("doc", "start", "size")  # of a paragraph; in edges (a, s, m) and (b, t, n)
 RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("set", "<u4")])
 EDGE = np.dtype([("a", "<i8"), ("s", "<i4"), ("m", "<i4"), ("b", "<i8"), ("t", "<i4"), ("n", "<i4"), ("equal", "u1")])
@@ -201,7 +202,7 @@ def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def in_planes(values: np.ndarray) -> bytes:
     """Records as the first bytes of all, then the second ones, and so on: bytes that hardly vary stand together and compress."""
-    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
 
 
 def from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
@@ -220,7 +221,8 @@ def _band(buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             found = [
-                records(words, ids[words.row0 : words.row0 + words.rows]) for words in word_slices(batch.column(1), powers)
+                records(words, ids[words.row0 : words.row0 + words.rows])
+                for words in word_slices(batch.column(1), powers, size=BAND_BYTES)
             ]
             if not found:
                 continue
