@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from collections import Counter
 from tokenizers import Tokenizer
@@ -16,7 +17,7 @@ from tests.llm.conftest import SF
 from tracewell.llm import queries as q
 from tracewell.llm import decontamination, warc
 from tracewell.llm.decontamination import common_subsequence, contaminated
-from tracewell.llm.packing import configurations, pack_documents, size_groups
+from tracewell.llm.packing import WORD_END, WordIds, configurations, letters_of, pack_documents, size_groups
 from tracewell.llm.secret_scan import RULES, SecretRule, secret_scan, trigram_query
 
 TEXTS = [
@@ -109,6 +110,28 @@ def test_packing_of_odd_rows(spark, odd_docs, no_docs):
     assert pack_documents(no_docs, q.tokenizer_file()).collect() == []
 
 
+def test_packing_of_letters_that_end_with_a_mark(spark):
+    texts = ["İ. x", "SİX!' İİ... bİa,", "\u0958. a\u0958\u0958-", "\ufb1d, \ufb4e.", "ñ. É! ǰ. ŉ' ſ, ß? Σ. ﬁ. \u1100\u1161.", "Ⅷ. x\u0345. ª!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(pack_documents(docs, q.tokenizer_file()).collect(), enumerate(texts), 4096)
+
+
+def test_parts_of_words_are_looked_up_once():
+    tokenizer = Tokenizer.from_file(q.tokenizer_file())
+    ids_of_words = WordIds(tokenizer, WORD_END)
+    words = pa.array(["Tower", "tower,", "TOWER!?", "(a)b", "", "écrit;", "Жук.", "жук", "12"])
+    for _ in range(2):
+        ids, first = ids_of_words.of(words)
+        for i, word in enumerate(words.to_pylist()):
+            assert ids[first[i] : first[i + 1]].tolist() == ids_of(word)[:-1]
+        assert set(ids_of_words.parts) == {"", "tower", ",", "!?", "(a)b", "écrit", ";", ".", "12", "Жук", "жук"}
+        assert len(ids_of_words.first) == len(ids_of_words.parts) + 1
+    letters = letters_of(tokenizer)
+    assert letters[ord("Q")] == "q" and ord("İ") not in letters and ord("Ж") not in letters
+    tokenizer.add_tokens(["tow"])  # now letters of a word may not stay together
+    assert letters_of(tokenizer) == {}
+
+
 def test_configurations_hold_all_groups():
     lengths = np.arange(1, 4097)
     counts = np.random.default_rng(2).integers(0, 9, 4096)

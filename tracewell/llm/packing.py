@@ -12,14 +12,17 @@ hot and no task holds more than a shard.
 
 from __future__ import annotations
 
+import os
 import string
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +32,12 @@ SHARD_PIECES = 4096
 GROUPS = 24
 SMALL = 10  # pieces of up to capacity / SMALL tokens are small
 UNITS = 512  # lengths are rounded up to capacity / UNITS for the configurations
-CACHED_WORDS = 350_000  # of a worker process, and as many stems
+CACHED_PARTS = 1_000_000  # stems, ends and other words that a worker process holds
+STEMS = 10_000  # looked up at once
+IDS_AT_ONCE = 1 << 18
 WORD_END = "</w>"
-BATCH_ROWS = 64
+# letters whose lower-cased normal form (NFC) ends with a mark, which the tokenizer joins with punctuation
+NOT_LETTERS_IN_NFC = "[\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40\ufb41\ufb43\ufb44\ufb46-\ufb4e]"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,74 +52,159 @@ def _worker_cache(key: str) -> dict:
 class WordIds:
     """Ids of words, as little-endian unsigned 32-bit integers, by a tokenizer that drops white space, folds case
     and never joins letters with what follows them: a text then has the ids of its words, and a word of letters
-    and final punctuation those of the two. Stems are looked up many at a time; a token that ends a word ends a stem.
+    and final punctuation those of the two. Such parts are looked up once; ``ids[first[i]:first[i + 1]]`` are those of
+    part i. Stems of ``letters_of`` go to the tokenizer's model as they are, which saves most of the time; others are
+    looked up many at a time, and a token that ends a word ends a stem.
     """
 
     def __init__(self, tokenizer, suffix: str):
-        self.tokenizer, self.words, self.parts = tokenizer, {}, {}
+        self.tokenizer, self.letters = tokenizer, letters_of(tokenizer)
+        self.known = frozenset(map(chr, self.letters))
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-
-    def add(self, words: set[str]) -> None:
-        split = {}
-        for word in words:
-            plain = word.lower() if word.isascii() else word
-            stem = plain.rstrip(string.punctuation)
-            split[word] = (stem, plain[len(stem) :]) if stem.isalpha() else (word, "")
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        stems = [s for s in {s for s, _ in split.values()}.difference(self.parts) if s.isalpha()]
-        for at in range(0, len(stems), 2000):
-            self._add_stems(stems[at : at + 2000])
-        rest = list({part for pair in split.values() for part in pair}.difference(self.parts))
-        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[part] = np.array(found.ids, dtype="<u4").tobytes()
-        for word, (stem, end) in split.items():
-            self.words[word] = self.parts[stem] + self.parts[end] if end else self.parts[stem]
-
-    def _add_stems(self, stems: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
-        ids = np.array(found[0].ids, dtype="<u4")
-        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(ends) == len(stems):  # else some stem is more than one run of letters to the tokenizer
-            data, start = ids.tobytes(), 0
-            for stem, end in zip(stems, ends):
-                self.parts[stem] = data[start:end]
-                start = end
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts, self.ids, self.first = {"": 0}, np.zeros(0, "<u4"), np.zeros(2, dtype=np.int64)
+
+    def of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and each word's first."""
+        if len(self.parts) > CACHED_PARTS:
+            self._forget()
+        stems, ends = stems_and_ends(words)
+        part = self._numbers(pa.concat_arrays([stems, ends])).reshape(2, -1).T.ravel()  # a word's stem, then its end
+        start, count = self.first[part], self.first[part + 1] - self.first[part]
+        first = np.zeros(len(words) + 1, dtype=np.int64)
+        np.cumsum(count[::2] + count[1::2], out=first[1:])
+        return self.ids[ranges(start, count)], first
+
+    def _numbers(self, parts: pa.StringArray) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist()
+        number = np.fromiter(map(self.parts.get, values, repeat(-1)), np.int64, len(values))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = [values[i] for i in new]
+            self._add(fresh)
+            number[new] = [self.parts[part] for part in fresh]
+        return number[coded.indices.to_numpy()]
+
+    def _add(self, parts: list[str]) -> None:
+        direct, stems, others = [], [], []
+        for part in parts:
+            (direct if self.known.issuperset(part) else stems if part.isalpha() else others).append(part)
+        tokenize = self.tokenizer.model.tokenize
+        found = [_joined([[t.id for t in tokenize(part.translate(self.letters))] for part in direct])]
+        found += [self._ids_of_stems(stems[at : at + STEMS]) for at in range(0, len(stems), STEMS)]
+        found.append(self._ids_of_each(others))
+        self.parts.update(zip(chain(direct, stems, others), range(len(self.parts), len(self.parts) + len(parts))))
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        counts = np.concatenate([count for _, count in found])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(counts))
+
+    def _ids_of_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
+        ids = np.array(joined[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(stems):
+            return ids, np.diff(ends, prepend=0)
+        return self._ids_of_each(stems)  # some stem is more than one run of letters to the tokenizer
+
+    def _ids_of_each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _joined([e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+
+
+def letters_of(tokenizer) -> dict[int, str]:
+    """What the tokenizer hands to its model for each letter below U+0300, where no two letters make up one; nothing if
+    it does not hand on the letters of a word one by one, all together."""
+
+    def handed(text: str) -> list[str]:
+        normal = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        return [part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    if any(any(map(str.isalpha, t.content)) and not t.special for t in tokenizer.get_added_tokens_decoder().values()):
+        return {}
+    letters = {c: handed(chr(c)) for c in range(0x300) if chr(c).isalpha()}
+    letters = {c: parts[0] for c, parts in letters.items() if len(parts) == 1}
+    return letters if handed("".join(map(chr, letters))) == ["".join(letters.values())] else {}
+
+
+def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``start[i]``, ``start[i] + 1``, … ``count[i]`` of them, for each i."""
+    before = np.cumsum(count) - count
+    places = np.repeat(start - before, count)
+    places += np.arange(len(places))
+    return places
+
+
+def stems_and_ends(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """Words of letters and final punctuation as those two, A-Z as a-z; other words as they are and an empty end."""
+    plain = pc.ascii_lower(words)
+    stems = pc.ascii_rtrim(plain, characters=string.punctuation)
+    split = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(split & ~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False))
+    split[odd] = ~pc.match_substring_regex(stems.take(pa.array(odd)), NOT_LETTERS_IN_NFC).to_numpy(zero_copy_only=False)
+    stem_bytes = pc.binary_length(stems).to_numpy().astype(np.int64)
+    offsets = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64)
+    count = np.where(split, np.diff(offsets) - stem_bytes, 0)
+    data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[ranges(offsets[:-1] + stem_bytes, count)]
+    ends = np.append(0, np.cumsum(count)).astype(np.int32)
+    ends = pa.StringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(data))
+    return pc.if_else(pa.array(split), stems, words), ends
+
+
+def _crcs(ids: np.ndarray, first: np.ndarray, words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[int]:
+    """CRC-32 of the pieces of the ids of ``words`` (numbers of words) that begin, ascending, at ``begin``."""
+    count = np.diff(first)[words]
+    place = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum(count, out=place[1:])
+    out, at = [], 0
+    while at < len(begin):  # some pieces at a time, as their ids need much more room than the words
+        stop = int(np.searchsorted(begin, begin[at] + IDS_AT_ONCE))
+        low = int(np.searchsorted(place, begin[at], side="right")) - 1
+        high = int(np.searchsorted(place, begin[stop - 1] + length[stop - 1]))
+        part = ids[ranges(first[words[low:high]], count[low:high])]
+        starts = (begin[at:stop] - place[low]).tolist()
+        out += [zlib.crc32(part[s : s + n]) for s, n in zip(starts, length[at:stop].tolist())]
+        at = stop
+    return out
 
 
 def _pieces(model, capacity: int, end_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(model.value)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         held = _worker_cache(f"words {zlib.crc32(model.value.encode())}")
         if "ids" not in held:
-            held["ids"] = WordIds(tokenizer, WORD_END)
-        ids_of = held["ids"]
-        cache = ids_of.words
-        end = np.array([end_id], dtype="<u4").tobytes()
-        step = 4 * capacity
+            held["ids"] = WordIds(Tokenizer.from_str(model.value), WORD_END)
         for batch in batches:
-            for row in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(row, BATCH_ROWS)
-                texts = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in part.column(1).to_pylist()]
-                new = set().union(*texts).difference(cache)
-                if new:
-                    if len(cache) > CACHED_WORDS:
-                        cache.clear()
-                        new = set().union(*texts)
-                    ids_of.add(new)
-                made = []
-                for doc_id, words in zip(part.column(0).to_pylist(), texts):
-                    ids = b"".join(map(cache.__getitem__, words)) + end
-                    made += [
-                        (doc_id, i, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step]))
-                        for i, at in enumerate(range(0, len(ids), step))
-                    ]
-                types_ = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array(c, t) for c, t in zip(zip(*made), types_)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            if not batch.num_rows:
+                continue
+            texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+            split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
+            coded = split.flatten().dictionary_encode()
+            ids, first = held["ids"].of(coded.dictionary)
+            after = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+            words = np.insert(coded.indices.to_numpy(), after[1:], len(first) - 1)  # a text ends with one word more
+            ids, first = np.append(ids, np.array([end_id], "<u4")), np.append(first, len(ids) + 1)
+            place = np.append(0, np.cumsum(np.diff(first)[words]))[after + np.arange(len(after))]
+            total = np.diff(place)
+            many = -(-total // capacity)
+            row = np.repeat(np.arange(batch.num_rows), many)
+            piece = ranges(np.zeros(len(many), dtype=np.int64), many)
+            start = piece * capacity
+            length = np.minimum(total[row] - start, capacity)
+            crcs = _crcs(ids, first, words, place[row] + start, length)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                 pa.array(crcs, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return pieces
 
