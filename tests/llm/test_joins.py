@@ -232,3 +232,32 @@ def test_records_travel_in_planes(documents):
     assert len(paragraph_dedup.from_planes(dealt[1], paragraph_dedup.RECORD)) == 0
     size = lambda b: len(pa.compress(b, "lz4_raw", asbytes=True))
     assert size(dealt[0]) < 0.9 * size(records.tobytes())
+
+
+def test_records_in_order_of_key_document_and_place():
+    rng = np.random.default_rng(3)
+    for n, keys in ((0, 1), (1, 1), (500, 3), (500, 400), (500, 1 << 40)):
+        found = np.zeros(n, paragraph_dedup.RECORD)
+        for name, top in (("key", keys), ("doc", 9), ("start", 5), ("size", 4), ("set", 1 << 30)):
+            found[name] = rng.integers(0, top, n)
+        place = paragraph_dedup.place_in_text(found)
+        expected = np.lexsort((place, found["doc"], found["key"]))
+        assert (paragraph_dedup.in_order(found, found["key"]) == expected).all()
+        bucket = rng.integers(0, 1 << 18, n)  # more than 16 bits hold
+        for records, b in zip(paragraph_dedup._dealt(found, bucket, np.unique(bucket)), np.unique(bucket)):
+            assert (paragraph_dedup.from_planes(records, paragraph_dedup.RECORD) == found[bucket == b]).all()
+
+
+def test_similar_sets_of_all_sizes():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pairs = [({*range(10)}, {*range(2, 12)}), ({*range(10)}, {*range(1, 11)}), ({*range(8)}, {*range(10)}), ({1}, {1}), ({1}, {2})]
+    for _ in range(300):
+        left = {rng.randrange(1 << 64) for _ in range(rng.randrange(1, 80))}
+        pairs.append((left, {v for v in left if rng.random() < 0.9} | {rng.randrange(1 << 64) for _ in range(rng.randrange(9))} | {7}))
+    binary = lambda sets: pa.array([np.array(sorted(s), np.uint64).tobytes() for s in sets], pa.binary())
+    left, right = (binary(sets) for sets in zip(*pairs))
+    expected = [100 * len(u & v) >= 80 * len(u | v) for u, v in pairs]
+    assert paragraph_dedup.similar(left, right).tolist() == expected and len(set(expected)) == 2
+    assert paragraph_dedup.similar(left[2:9], right[2:9]).tolist() == expected[2:9]
