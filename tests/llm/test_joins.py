@@ -1,16 +1,19 @@
 """N-gram Jaccard join and paragraph dedup against brute force."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF, brute_components, brute_words, shingles
 from tracewell.llm import jaccard_join, paragraph_dedup
 from tracewell.llm.components import components
 from tracewell.llm.jaccard_join import forest, jaccard_components, overlaps_linked
 from tracewell.llm.paragraph_dedup import repeated_paragraphs
-from tracewell.llm.storage import Scratch
+from tracewell.llm.storage import CLEANUP, Scratch
 
 
 def table(spark, texts):
@@ -261,3 +264,52 @@ def test_similar_sets_of_all_sizes():
     expected = [100 * len(u & v) >= 80 * len(u | v) for u, v in pairs]
     assert paragraph_dedup.similar(left, right).tolist() == expected and len(set(expected)) == 2
     assert paragraph_dedup.similar(left[2:9], right[2:9]).tolist() == expected[2:9]
+
+
+def shuffle_files(spark):
+    """Shuffle files that lie in the session's local folders."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p for folder in folders for p in Path(folder).glob("*/shuffle_*.data")}
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    scratch = Scratch(spark, "test")
+    grouped = spark.range(20_000, numPartitions=3).groupBy(F.col("id") % 5_000).count()
+    before = shuffle_files(spark)
+    grouped.write.format("noop").mode("overwrite").save()
+    assert shuffle_files(spark) - before  # they are where this looks for them
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP)
+    tables = [scratch.keep(grouped, f"table{k}") for k in range(3)]
+    until = time.time() + 20  # they are removed in the background, without the driver's garbage collection
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert [t.count() for t in [*tables, grouped]] == [5_000] * 4
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        scratch.keep(spark.range(3).select((F.lit(1) / (F.col("id") * 0)).alias("x")), "broken")
+    assert spark.conf.get(CLEANUP) == setting
+
+
+@pytest.mark.parametrize("rows", [[(3, 2), (2, 1), (7, 8)], []])
+def test_components_drop_what_only_edges_read(spark, rows):
+    scratch = Scratch(spark, "test")
+    kept = [scratch.keep(spark.createDataFrame(rows, "a long, b long"), name) for name in ("one", "two")]
+    found = components(kept[0].union(kept[1]), scratch, kept).collect()
+    assert {tuple(r) for r in found} == ({(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)} if rows else set())
+    assert not any(Path(t._tracewell_path.removeprefix("file://")).exists() for t in kept)
+
+
+def test_records_travel_text_by_text(documents):
+    """What a batch sends a bucket stands in the order of the texts, so that ids and places compress."""
+    import pyarrow as pa
+    from tracewell.llm.words import Powers, mix, word_slices
+
+    texts = list(documents.values())
+    made = [paragraph_dedup.records(w, np.arange(len(texts))[w.row0 :]) for w in word_slices(pa.array(texts), Powers())]
+    first, edges = paragraph_dedup.equal_sets(np.concatenate(made))
+    assert len(edges) and len({tuple(r) for r in first[["key", "set"]].tolist()}) == len(first)
+    bucket = (mix(first["key"]) % np.uint64(16)).astype(np.int64)
+    for part in paragraph_dedup._dealt(first, bucket, np.arange(16)):
+        part = paragraph_dedup.from_planes(part, paragraph_dedup.RECORD)
+        place = [tuple(r) for r in part[["doc", "start", "size"]].tolist()]
+        assert len(place) > 100 and place == sorted(place)

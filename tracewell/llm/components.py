@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.storage import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, made_of: Sequence[DataFrame] = ()) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``, the component being the smallest node reachable.
 
     In each round every node takes the smallest node among itself and its neighbours, and then what that one took;
     edges are drawn between what their ends took, and those within one node vanish. The graph shrinks by a
     factor each round until no edge is left; what nodes took is then followed from the last round back. A node of
     many links costs partial minima only; every round is written to the shared folder. Nulls are not nodes; an empty
-    edge table gives an empty result.
+    edge table gives an empty result. ``made_of`` are kept tables that only the edges read: they are dropped when these are written.
     """
     level = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     level = scratch.keep(level, "links")
+    scratch.drop(*made_of)
     taken = []
     while True:
         both = level.select(F.inline(F.array(

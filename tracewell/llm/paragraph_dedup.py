@@ -131,6 +131,7 @@ def min_hashes(values: np.ndarray, ranges: np.ndarray) -> list[np.ndarray]:
 
 
 def records(words: Words, ids: np.ndarray) -> np.ndarray:
+    """All bands of a paragraph one after another, so that what stands together is of one text and compresses."""
     row, at, size = paragraphs(words)
     if not len(at):
         return np.zeros(0, RECORD)
@@ -142,16 +143,16 @@ def records(words: Words, ids: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(mix(values), out=total[1:])
     total = mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
-    out = np.zeros(BANDS * len(at), RECORD)
+    out = np.zeros((len(at), BANDS), RECORD)
     for band in range(BANDS):
-        part = out[band * len(at) : (band + 1) * len(at)]
+        part = out[:, band]
         key = np.full(len(at), band, dtype=np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i])
         key = key - key % np.uint64(BAND_KEYS) + np.uint64(band)
         part["key"], part["doc"], part["start"], part["size"] = key, ids[row], at - words.first[:-1][row], size
         part["set"] = (total >> np.uint64(32)).astype(np.uint32)
-    return out
+    return out.ravel()
 
 
 def apart(doc: np.ndarray, start: np.ndarray, size: np.ndarray, doc2: np.ndarray, start2: np.ndarray, size2: np.ndarray) -> np.ndarray:
@@ -186,15 +187,16 @@ def in_order(found: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def equal_sets(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first record of each key and set, and edges from it to those it equals. Equal sets agree in every
-    band, so the first band's keys are enough for the edges."""
+    """The first record of each key and set, in the order they have, and edges from it to those it equals. Equal sets agree in
+    every band, so the first band's keys are enough for the edges."""
     together = mix(found["key"]) ^ found["set"].astype(np.uint64)  # equal for equal key and set
-    found = found.take(in_order(found, together))
-    fresh = np.append(True, (found["key"][1:] != found["key"][:-1]) | (found["set"][1:] != found["set"][:-1]))[: len(found)]
+    order = in_order(found, together)
+    key, made = found["key"].take(order), found["set"].take(order)
+    fresh = np.append(True, (key[1:] != key[:-1]) | (made[1:] != made[:-1]))[: len(found)]
     firsts = np.flatnonzero(fresh)
     first = np.repeat(firsts, np.diff(np.append(firsts, len(found))))
-    other = np.flatnonzero(~fresh & (found["key"] % BAND_KEYS == 0))
-    return found.take(firsts), _edges(found.take(first[other]), found.take(other), True)
+    other = np.flatnonzero(~fresh & (key % BAND_KEYS == 0))
+    return found.take(np.sort(order[firsts])), _edges(found.take(order[first[other]]), found.take(order[other]), True)
 
 
 def unequal_sets(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -389,7 +391,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     blocks = tiles.join(sets, [*PLACE]).select("key", "i", "j", "side", *PLACE, "shingles").repartition(
         "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, ENDS)
     links = edges.where("equal").select(both).union(verified).union(blocks).select(end("asm").alias("a"), end("btn").alias("b"))
-    found = components(links, scratch)
+    found = components(links, scratch, (met, unsure, sets))
     return found.select(
         F.col("node.doc").alias("doc_id"), F.col("node.start").alias("start"), F.col("node.size").alias("words"),
         F.col("component.doc").alias("first_doc_id"), F.col("component.start").alias("first_start"),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_BYTES = "4m"
 UNBOUNDED = (str(2**31 - 1), "2147483647b", "2g")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +33,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile removes its shuffle files as it ends. Else they stay until the driver happens to collect its garbage,
+    and a query of many steps holds those of all of them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables of one run. ``keep`` writes a table and reads it back: its lineage ends there, and lost
-    executors cost only the tasks they ran. ``drop`` deletes a table that is not read any more."""
+    executors cost only the tasks they ran; nothing else reads the shuffle files it took. ``drop`` deletes a table that is not
+    read any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
@@ -46,7 +62,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._tracewell_path = path
         return kept
